@@ -55,3 +55,38 @@ def fresh(df: DataFrame, name: str) -> str:
 def fold(column: str, modulus: int):
     """crc32 of the id's decimal text modulo ``modulus``; the text of a null id is empty."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def with_arrays(df: DataFrame, column: str, names_types: list[tuple[str, str]], compute, drop: bool = False) -> DataFrame:
+    """Appends columns that ``compute(pyarrow.Array of column) -> list of pyarrow.Array`` gives, batch by batch.
+
+    The other columns pass through as they are; ``drop`` leaves ``column`` out of the result."""
+    names = [c for c in df.columns if not (drop and c == column)]
+    schema = "struct<" + ",".join(f"`{n}`:{t}" for n, t in names_types) + ">"
+    from pyspark.sql.types import StructType
+
+    kept = StructType([f for f in df.schema.fields if f.name in names])
+    added = StructType.fromDDL(schema[7:-1]) if names_types else StructType([])
+    full = StructType(kept.fields + added.fields)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            new = compute(batch.column(batch.schema.get_field_index(column)))
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays(columns + list(new), names=[*names, *[n for n, _ in names_types]])
+
+    return df.mapInArrow(run, full)
+
+
+def sub_batches(texts, limit: int = 2 << 20):
+    """Ranges of neighbouring texts of about ``limit`` characters together, one text at least."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= limit:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
