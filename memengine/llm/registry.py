@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe_codec import op3
+from .packing import op2
 from .sharding import op4
 from .token_counts import op7
 
 
 def queries():
     return {
+        "op2_vector_bin_packing": op2,
         "op3_segment_tree_bpe": op3,
         "op4_external_shuffle": op4,
         "op7_rank_synchronous_counts": op7,
