@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op3
+from .language_id import op8
 from .packing import op2
 from .sharding import op4
 from .token_counts import op7
@@ -13,6 +14,7 @@ def queries():
         "op2_vector_bin_packing": op2,
         "op3_segment_tree_bpe": op3,
         "op4_external_shuffle": op4,
+        "op8_rank_order_profiles": op8,
         "op7_rank_synchronous_counts": op7,
     }
 
