@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_codec import op3
 from .language_id import op8
 from .packing import op2
+from .quality_rules import op6
 from .sharding import op4
 from .token_counts import op7
 
@@ -15,6 +16,7 @@ def queries():
         "op3_segment_tree_bpe": op3,
         "op4_external_shuffle": op4,
         "op8_rank_order_profiles": op8,
+        "op6_robust_outliers": op6,
         "op7_rank_synchronous_counts": op7,
     }
 
