@@ -8,6 +8,7 @@ from .packing import op2
 from .quality_rules import op6
 from .sharding import op4
 from .token_counts import op7
+from .toxicity import op10
 
 
 def queries():
@@ -15,6 +16,7 @@ def queries():
         "op2_vector_bin_packing": op2,
         "op3_segment_tree_bpe": op3,
         "op4_external_shuffle": op4,
+        "op10_boosted_toxicity": op10,
         "op8_rank_order_profiles": op8,
         "op6_robust_outliers": op6,
         "op7_rank_synchronous_counts": op7,
