@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op3
 from .language_id import op8
+from .minhash_dedup import op9
 from .packing import op2
 from .quality_rules import op6
 from .sharding import op4
@@ -16,6 +17,7 @@ def queries():
         "op2_vector_bin_packing": op2,
         "op3_segment_tree_bpe": op3,
         "op4_external_shuffle": op4,
+        "op9_min_max_hashing": op9,
         "op10_boosted_toxicity": op10,
         "op8_rank_order_profiles": op8,
         "op6_robust_outliers": op6,
