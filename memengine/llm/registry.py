@@ -6,6 +6,7 @@ from .bpe_codec import op3
 from .language_id import op8
 from .minhash_dedup import op9
 from .packing import op2
+from .ppm_scoring import op5
 from .quality_rules import op6
 from .sharding import op4
 from .token_counts import op7
@@ -20,6 +21,7 @@ def queries():
         "op9_min_max_hashing": op9,
         "op10_boosted_toxicity": op10,
         "op8_rank_order_profiles": op8,
+        "op5_ppm_scores": op5,
         "op6_robust_outliers": op6,
         "op7_rank_synchronous_counts": op7,
     }
