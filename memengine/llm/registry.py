@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op3
+from .embedding_graph import op1
 from .language_id import op8
 from .minhash_dedup import op9
 from .packing import op2
@@ -15,6 +16,7 @@ from .toxicity import op10
 
 def queries():
     return {
+        "op1_pruned_graph_links": op1,
         "op2_vector_bin_packing": op2,
         "op3_segment_tree_bpe": op3,
         "op4_external_shuffle": op4,
