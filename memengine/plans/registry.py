@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from . import graph_queries, memory_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
+
+
+def flagship(spark, sf_dir):
+    """Seven memory components and the total reward of every record."""
+    return QUERIES[memory_queries.FLAGSHIP](spark, sf_dir)
