@@ -13,7 +13,9 @@ results of chunks are remembered in a table of bounded size per Python worker.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -24,7 +26,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 GPT_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 WORD_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 500_000
 LONG = 192
 BATCH = 8192
 
@@ -64,6 +66,9 @@ class Vocabulary:
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.split = regex.compile(WORD_SPLIT if self.lower else GPT_SPLIT)
         self.chunk = regex.compile(rf"[^{WHITE}]+" if self.lower else rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        #: white space that is more than one space between two words
+        self.blank_line = regex.compile(rf"\.\n[{WHITE}]")
+        self.uneven = regex.compile(rf" [{WHITE}]|[{WHITE}] ")
         byte_of = {c: b for b, c in enumerate(chars)}
         self.bytes_of = [b""] * self.size
         for t, i in self.ids.items():
@@ -71,18 +76,23 @@ class Vocabulary:
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
 
+    def prepared(self, text: str) -> str:
+        """What the vocabulary's normalizer makes of a text, white space aside."""
+        if not self.lower:
+            return text
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
+
     def chunks(self, text: str) -> list[str]:
         if self.lower and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return text.split()
         return self.chunk.findall(text)
 
     def pre_tokens(self, piece: str) -> list[bytes]:
-        if self.lower:
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-            piece = piece.lower()
+        """Pre-tokens of a prepared piece of text."""
         # a word, alone or with one mark behind it, needs no pattern
-        word = piece[1:] if piece[0] == " " and not self.lower else piece
+        word = piece[1:] if piece[:1] == " " and not self.lower else piece
         if word.isalpha():
             return [piece.encode()]
         if word[:-1].isalpha() and word[-1] in ".,!?;:":
@@ -90,15 +100,13 @@ class Vocabulary:
         return [t.encode() for t in self.split.findall(piece)]
 
     def parts(self, chunk: str) -> list[int | bytes]:
-        """Ids of special tokens and pre-tokens, in order."""
-        if self.special_re is None or "<" not in chunk:
-            return self.pre_tokens(chunk)
+        """Ids of special tokens and pre-tokens of a piece as it stands in the text, in order."""
         out: list[int | bytes] = []
-        for piece in self.special_re.split(chunk):
+        for piece in self.special_re.split(chunk) if self.special_re is not None else [chunk]:
             if piece in self.special:
                 out.append(self.special[piece])
             elif piece:
-                out += self.pre_tokens(piece)
+                out += self.pre_tokens(self.prepared(piece))
         return out
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -254,11 +262,25 @@ class RankSynchronousCounter:
 
     def count(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols that survive in each pre-token."""
+        out = np.zeros(len(tokens), np.int64)
+        for owner, sizes, _ in self._rounds(tokens):
+            out[owner] = sizes
+        return out
+
+    def encode(self, tokens: list[bytes]) -> list[np.ndarray]:
+        """The symbols that survive in each pre-token."""
+        out = [np.zeros(0, np.int64)] * len(tokens)
+        for owner, sizes, symbols in self._rounds(tokens):
+            for k, ids in zip(owner.tolist(), np.split(symbols, np.cumsum(sizes)[:-1]), strict=True):
+                out[k] = ids
+        return out
+
+    def _rounds(self, tokens: list[bytes]):
+        """After each round, the sequences in which nothing merges any more: number, size, symbols."""
         v = self.v
         lengths = np.array([len(t) for t in tokens], np.int64)
-        out = lengths.copy()
-        if not len(tokens):
-            return out
+        if not lengths.sum():
+            return
         flat = np.frombuffer(b"".join(tokens), np.uint8)
         symbol = v.byte_ids[flat]
         full = np.nonzero(lengths)[0]
@@ -274,8 +296,8 @@ class RankSynchronousCounter:
             lowest = np.minimum.reduceat(rank, starts)
             done = lowest == v.n_merges
             if done.any():
-                out[owner[starts[done]]] = sizes[done]
                 stay = ~np.repeat(done, sizes)
+                yield owner[starts[done]], sizes[done], symbol[~stay]
                 symbol, owner, rank, lowest, sizes = symbol[stay], owner[stay], rank[stay], lowest[~done], sizes[~done]
                 if not len(symbol):
                     break
@@ -299,15 +321,83 @@ class RankSynchronousCounter:
             pair = np.nonzero(again[:-1])[0]
             pair = pair[owner[pair] == owner[pair + 1]]
             rank[pair] = v.ranks(symbol[pair], symbol[pair + 1])
+
+
+#: A full stop or comma that doesn't directly follow a letter or digit.
+ODD_MARK = re.compile(r"(?:^|[^\w]|_)[.,]")
+
+
+class ChunkCoder:
+    """What whole texts come to: chunks and pre-tokens that were met before are looked up, new ones go to ``merge``.
+
+    Values are ids as little-endian 32-bit integers. A key of ``known`` is a chunk of a text without its last comma or full stop. Under vocabularies that keep white space a
+    plain key stands for the chunk with one space before it, and a key that begins with NUL for the rest as it is."""
+
+    def __init__(self, vocab: Vocabulary, merge):
+        self.v, self.merge = vocab, merge
+        self.known, self.tokens = Memo(), Memo()
+
+    def keys(self, text: str) -> list[str]:
+        v = self.v
+        special = v.special_re is not None and "<" in text and v.special_re.search(text)
+        if special or "\0" in text:
+            # a special string ends the text before it: white space in front of it isn't split further
+            pieces = v.special_re.split(text) if special else [text]
+            return [f"\0{c}" for p in pieces if p for c in ([p] if p in v.special else v.chunks(v.prepared(p)))]
+        text = v.prepared(text)
+        plain = not ODD_MARK.search(text)
+        if v.lower:
+            return v.chunks(text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n") if plain else text)
+        if v.uneven.search(text):
+            return [f"\0{c}" for c in v.chunks(text)]
+        if plain:
+            text = text.replace(", ", " \0, ").replace(". ", " \0. ")
+            if not v.blank_line.search(text):
+                text = text.replace(".\n", " \0.\n \0")
+        out = text.split(" ")
+        out[0] = f"\0{out[0]}"
         return out
 
+    def _parts(self, key: str) -> list[int | bytes]:
+        v = self.v
+        raw = key[:1] == "\0"
+        chunk = key[1:] if raw else key if v.lower else f" {key}"
+        if raw and chunk in v.special:
+            return [v.special[chunk]]
+        return v.pre_tokens(chunk) if chunk else []
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        return [b"".join(map(self.known.__getitem__, k)) for k in self._looked_up(texts)]
+
+    def _looked_up(self, texts: list[str]) -> list[list[str]]:
+        """The keys of each text, all of them in ``known``."""
+        keys = [self.keys(t) for t in texts]
+        known, tokens = self.known, self.tokens
+        seen = set().union(*keys)
+        new = known.room_for(seen)
+        if new:
+            parts = [self._parts(c) for c in new]
+            wanted = {t for p in parts for t in p if isinstance(t, bytes)}
+            order = tokens.room_for(wanted)
+            for t, ids in zip(order, self.merge(order), strict=True):
+                tokens[t] = ids.astype("<i4").tobytes()
+            for c, p in zip(new, parts, strict=True):
+                known[c] = tokens[p[0]] if len(p) == 1 and isinstance(p[0], bytes) else b"".join(t.to_bytes(4, "little") if isinstance(t, int) else tokens[t] for t in p)
+        return keys
+
 
 class Memo(dict):
-    """Results by chunk, emptied before it grows beyond its bound."""
-
-    def room_for(self, n: int) -> None:
-        if len(self) + n > MEMO_CHUNKS:
-            self.clear()
+    """Results by key, of a bounded number: before it outgrows the bound it forgets the older half."""
+
+    def room_for(self, keys: set) -> list:
+        """Makes room for ``keys``, forgets none of them, and returns those that are not known."""
+        if len(self) + len(keys) > MEMO_CHUNKS:
+            kept = {k: self[k] for k in keys if k in self}
+            for k in list(itertools.islice(self, max(0, len(self) - max(0, MEMO_CHUNKS // 2 - len(keys))))):
+                del self[k]
+            self.update(kept)
+        return [k for k in keys if k not in self]
 
 
 _MEMOS: dict[tuple, Memo] = {}

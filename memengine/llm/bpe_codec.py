@@ -9,6 +9,8 @@ are no UTF-8 decode to U+FFFD.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -19,30 +21,16 @@ from . import bpe
 from .common import fresh, sub_batches, table, with_arrays
 
 
+@functools.lru_cache(maxsize=4)
+def _coder(path: str) -> bpe.ChunkCoder:
+    v = bpe.vocabulary(path)
+    return bpe.ChunkCoder(v, bpe.SegmentTreeBPE(v).encode)
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers."""
-    v = bpe.vocabulary(path)
-    coder, known = bpe.SegmentTreeBPE(v), bpe.memo("ids", path)
-    out: list[bytes] = []
-    for a, b in sub_batches(texts):
-        chunks: list[list[str]] = []
-        for t in texts[a:b]:
-            if v.special_re is not None and "<" in t and v.special_re.search(t):
-                # a special string ends the text before it: white space in front of it isn't split further
-                chunks.append([c for piece in v.special_re.split(t) if piece for c in ([piece] if piece in v.special else v.chunks(piece))])
-            else:
-                chunks.append(v.chunks(t))
-        seen = set().union(*chunks)
-        known.room_for(len(seen))
-        new = [c for c in seen if c not in known]
-        if new:
-            parts = [[v.special[c]] if c in v.special else v.pre_tokens(c) for c in new]
-            order = list({t for p in parts for t in p if isinstance(t, bytes)})
-            ids = dict(zip(order, (x.astype("<i4").tobytes() for x in coder.encode(order)), strict=True))
-            for c, p in zip(new, parts, strict=True):
-                known[c] = b"".join(t.to_bytes(4, "little") if isinstance(t, int) else ids[t] for t in p)
-        out += [b"".join(map(known.__getitem__, c)) for c in chunks]
-    return out
+    coder = _coder(path)
+    return [ids for a, b in sub_batches(texts) for ids in coder.encode(texts[a:b])]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", name: str = "ids", drop_text: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ Defined results:
 
 from __future__ import annotations
 
-import os
+import functools
 import zlib
 from dataclasses import dataclass
 
@@ -41,7 +41,7 @@ class Limits:
 
 
 #: Tokens a window holds before it is packed; a gap below ``MIN_GAP`` tokens is left as padding.
-WINDOW_TOKENS = 4 << 20
+WINDOW_TOKENS = 1 << 20
 MIN_GAP = 32
 GIVE_BACK = 0.98
 
@@ -245,46 +245,23 @@ def pack(
     return base.mapInArrow(run, schema)
 
 
-def library_ids(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """Ids of each text by the ``tokenizers`` library, chunk by chunk, then ``end_id``; little-endian 32 bits.
-
-    Only for vocabularies that drop white space: none of their tokens crosses it."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    v, coder, known, end = bpe.vocabulary(path), _library(path), bpe.memo("library", path), end_id.to_bytes(4, "little")
-    if not v.lower:
-        raise ValueError("this vocabulary keeps white space")
-    out: list[bytes] = []
-    for a, b in sub_batches(texts):
-        chunks = [v.chunks(t) for t in texts[a:b]]
-        seen = set().union(*chunks)
-        known.room_for(len(seen))
-        new = [c for c in seen if c not in known]
-        for s in range(0, len(new), 50_000):
-            part = new[s : s + 50_000]
-            for c, e in zip(part, coder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<i4").tobytes()
-        out += [b"".join(map(known.__getitem__, c)) + end for c in chunks]
-    return out
-
-
-_LIBRARY: dict = {}
-
+@functools.lru_cache(maxsize=4)
+def _coder(path: str) -> bpe.ChunkCoder:
+    v = bpe.vocabulary(path)
+    return bpe.ChunkCoder(v, bpe.RankSynchronousCounter(v).encode)
 
-def _library(path: str):
-    if path not in _LIBRARY:
-        from tokenizers import Tokenizer
 
-        _LIBRARY[path] = t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-    return _LIBRARY[path]
+def token_ids(texts: list[str], path: str, end_id: int) -> list[bytes]:
+    """Ids of each text as the ``tokenizers`` library gives them, then ``end_id``; little-endian 32 bits."""
+    coder, end = _coder(path), end_id.to_bytes(4, "little")
+    return [ids + end for a, b in sub_batches(texts) for ids in coder.encode(texts[a:b])]
 
 
 def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text", name: str = "ids") -> DataFrame:
     """``df`` without ``text``, with its ids and the end id; a null text is empty."""
 
     def compute(column):
-        coded = library_ids([t or "" for t in column.to_pylist()], path, end_id)
+        coded = token_ids([t or "" for t in column.to_pylist()], path, end_id)
         offsets = np.zeros(len(coded) + 1, np.int32)
         np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))]

@@ -26,8 +26,7 @@ def count_texts(texts: list[str], path: str) -> list[int]:
     for a, b in sub_batches(texts):
         chunks = [v.chunks(t) for t in texts[a:b]]
         seen = set().union(*chunks)
-        known.room_for(len(seen))
-        new = [c for c in seen if c not in known]
+        new = known.room_for(seen)
         if new:
             parts = [v.parts(c) for c in new]
             tokens = {t for p in parts for t in p if isinstance(t, bytes)}

@@ -114,10 +114,8 @@ class Features:
         chunks = text.lower().split()
         n = len(chunks)
         known = bpe.memo(*self.key)
-        known.room_for(n)
-        for c in set(chunks):
-            if c not in known:
-                known[c] = self._chunk(c)
+        for c in known.room_for(set(chunks)):
+            known[c] = self._chunk(c)
         found = [(i, k) for i, k in enumerate(map(known.__getitem__, chunks)) if k is not None]
         you = [i for i, k in found if k is True]
         hits = [(i, k) for i, k in found if k is not True]
