@@ -5,9 +5,9 @@ functions, both the smallest and the largest value: two signature entries for on
 entries (minima or maxima) propose candidates, and every link is confirmed on the full sets.
 
 Exact copies are one class from the start (equal word sequences). Inside a bucket no set of all pairs is made:
-1. every class is compared to the bucket's smallest and largest class, links are confirmed and components formed;
+1. every class is compared to the bucket's smallest class, links are confirmed and components formed;
 2. buckets that still hold several components compare, in bounded blocks, the signatures of the rows outside their
-   largest component to all rows of other components; pairs whose estimate comes within ``MARGIN`` of the threshold
+   largest component to all rows of other components; rows whose estimate comes within ``MARGIN`` of the threshold
    are confirmed on the full sets. Pairs inside one component are not needed: its members share their id already.
 A pair at exactly the threshold shares no band with probability (1 - 0.8**4)**32, about 5e-8.
 
@@ -37,6 +37,7 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 MARGIN = 0.14  # four standard errors of the estimate at the threshold
 BLOCK = 1024
+PART = 512
 #: Ids of at most this many candidates travel to all tasks (8 bytes each); more are matched by an exchange.
 BROADCAST_IDS = 1_000_000
 
@@ -55,10 +56,8 @@ def shingles(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
     if not words:
         return np.zeros(0, np.uint64), b""
     known = bpe.memo("words")
-    known.room_for(len(words))
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
+    for w in known.room_for(set(words)):
+        known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(width, len(words))
     mixed = np.full(len(words) - k + 1, k, np.uint64)
@@ -121,14 +120,19 @@ def with_signatures(df: DataFrame, width: int, text: str = "text") -> DataFrame:
     return with_arrays(df, text, [("words_key", "binary"), ("n_shingles", "bigint"), ("signature", "binary")], compute, drop=True)
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``ids`` (doc_id), written out."""
+    ids = saved(ids, "minhash-ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+    return saved(texts.dropDuplicates(["doc_id"]), "minhash-texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
     pairs = saved(pairs, "minhash-pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = saved(ids, "minhash-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
-    texts = saved(texts.dropDuplicates(["doc_id"]), "minhash-texts")
+    texts = texts_of(ids, docs)
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
 
@@ -153,7 +157,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     links = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "minhash-links")
-    dropped(texts, ids, pairs)
+    dropped(texts, pairs)
     return links
 
 
@@ -161,21 +165,83 @@ def _estimates(percent: int):
     least = int(np.ceil((percent / 100 - MARGIN) * 2 * PERMUTATIONS))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block of outside rows and a block of bucket rows that may be links."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        y = np.stack([np.frombuffer(s, np.uint32) for s in right["signature"]])
-        ids, comps, sizes = (right[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        rows = []
-        for i, c, n, s in zip(left["doc_id"], left["component"], left["n_shingles"], left["signature"], strict=True):
-            near = (y == np.frombuffer(s, np.uint32)).sum(1) >= least
-            near &= (comps != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-            rows += [(min(i, j), max(i, j)) for j in ids[near]]
-        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+        """Per outside row and part of another component: the rows of the bucket that it may be linked to."""
+        out = []
+        if len(left) and len(right):
+            y = np.stack([np.frombuffer(s, np.uint32) for s in right["signature"]])
+            ids, comps, sizes, parts = (right[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "part"))
+            for i, c, n, s in zip(left["doc_id"], left["component"], left["n_shingles"], left["signature"], strict=True):
+                near = (y == np.frombuffer(s, np.uint32)).sum(1) >= least
+                near &= (comps != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                at = np.nonzero(near)[0]
+                for k, p in set(zip(comps[at].tolist(), parts[at].tolist(), strict=True)):
+                    out.append((i, k, p, ids[at[(comps[at] == k) & (parts[at] == p)]].tolist()))
+        return pd.DataFrame(out, columns=["doc_id", "other", "part", "ids"])
 
     return compare
 
 
+def _first_links(width: int, percent: int):
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Per outside row the first of its candidates in this part whose full set is close enough."""
+        out, sets = [], {}
+        texts = dict(zip(right["doc_id"], right["text"], strict=True))
+        for i, ids, text in zip(left["doc_id"], left["ids"], left["text"], strict=True):
+            x = shingles(text, width)[0]
+            for j in sorted(ids):
+                if j not in sets:
+                    sets[j] = shingles(texts[j], width)[0]
+                y = sets[j]
+                common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    out.append((min(i, j), max(i, j)))
+                    break
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def linked_outside(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components still apart inside one bucket.
+
+    Rows outside a bucket's largest component are compared by signature to all rows of the bucket's other components,
+    in blocks of bounded size. What may be a link is then confirmed on full sets, again in blocks: the texts of a
+    part of one component meet the texts of a part of the rows that may be linked to it, each once, and a row stops
+    at its first link to that part. So neither step writes out pairs."""
+    large = buckets.where("members > 2").select("band", "doc_id", "n_shingles")
+    labelled = large.join(labels.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"))
+    mixed = saved(mixed.where("components > 1").drop("components"), "minhash-mixed")
+    rows = labelled.join(mixed.hint("merge"), "band")
+    whole = labels.groupBy("component").agg(F.count(F.lit(1)).alias("whole"))
+    rows = rows.join(whole.hint("merge"), "component", "left").join(classes.select("doc_id", "signature").hint("merge"), "doc_id")
+    parts = F.ceil(F.coalesce("whole", F.lit(1)) / PART)
+    rows = saved(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), parts)), "minhash-rows")
+    out_n = F.col("members") - F.col("main_n")
+    slots = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / BLOCK) - 1)
+    fields = ["band", "doc_id", "component", "n_shingles", "signature"]
+    inside = rows.select(*fields, "part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK)).alias("block"), F.explode(slots(out_n)).alias("outer"))
+    outside = rows.where("component <> main").select(*fields, F.explode(slots(F.col("members"))).alias("block"), F.pmod(F.xxhash64("doc_id"), F.ceil(out_n / BLOCK)).alias("outer"))
+    group = ["band", "block", "outer"]
+    found = outside.groupBy(*group).cogroup(inside.groupBy(*group)).applyInPandas(_estimates(percent), "doc_id bigint, other bigint, part bigint, ids array<bigint>")
+    found = saved(found, "minhash-found")
+    asked = found.groupBy("doc_id", "other", "part").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    askers = found.groupBy("other", "part").agg(F.ceil(F.approx_count_distinct("doc_id") / PART).alias("rounds"))
+    asked = asked.join(askers.hint("merge"), ["other", "part"]).withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.col("rounds")))
+    needed = found.select("other", "part", F.explode("ids").alias("doc_id")).distinct()
+    needed = needed.join(askers.hint("merge"), ["other", "part"]).select("other", "part", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("turn"))
+    texts = texts_of(found.select("doc_id").unionByName(needed.select("doc_id")).distinct(), docs)
+    left = asked.join(texts.hint("merge"), "doc_id").select("other", "part", "turn", "doc_id", "ids", "text")
+    # the same tables stand on both sides: new column identities keep the two apart
+    again = texts.toDF("doc_id", "text").hint("merge")
+    right = needed.join(again, "doc_id").select("other", "part", "turn", "doc_id", "text").toDF("other", "part", "turn", "doc_id", "text")
+    group = ["other", "part", "turn"]
+    links = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_first_links(width, percent), "a bigint, b bigint")
+    return saved(links.distinct(), "minhash-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -187,39 +253,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     keys = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
     bands = classes.select("doc_id", "n_shingles", F.explode(F.array(*keys)).alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("members > 1")
+    hub = F.min(F.struct("doc_id", "n_shingles"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), hub.alias("low")).where("members > 1")
     buckets = saved(bands.join(shared.hint("merge"), "band"), "minhash-buckets")
-
-    # the comparison to both ends of a bucket leaves no pair of two or three members out
-    def ends(hub):
-        return buckets.select(F.least("doc_id", hub).alias("a"), F.greatest("doc_id", hub).alias("b")).where("a <> b")
-
-    sizes = classes.select("doc_id", "n_shingles")
-
-    def sized(pairs):
-        out = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")).hint("merge"), "a")
-        out = out.join(sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")).hint("merge"), "b")
-        return out.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-    links = confirmed(sized(ends("low").unionByName(ends("high")).distinct()), docs, width, percent)
-    labels = components(links)
-
-    large = buckets.where("members > 3").select("band", "doc_id", "n_shingles")
-    labelled = large.join(labels.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-    parts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("band").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"))
-    mixed = saved(mixed.where("parts > 1").drop("parts"), "minhash-mixed")
-    rows = labelled.join(mixed.hint("merge"), "band")
-    rows = saved(rows.join(classes.select("doc_id", "signature").hint("merge"), "doc_id"), "minhash-rows")
-    deal = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK))
-    deal_out = F.pmod(F.xxhash64("doc_id"), F.ceil((F.col("members") - F.col("main_n")) / BLOCK))
-    slots = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / BLOCK) - 1)
-    inside = rows.select("band", "doc_id", "component", "n_shingles", "signature", deal.alias("block"), F.explode(slots(F.col("members") - F.col("main_n"))).alias("outer"))
-    outside = rows.where("component <> main").select("band", "doc_id", "component", "n_shingles", "signature", F.explode(slots(F.col("members"))).alias("block"), deal_out.alias("outer"))
-    group = ["band", "block", "outer"]
-    candidates = outside.groupBy(*group).cogroup(inside.groupBy(*group)).applyInPandas(_estimates(percent), "a bigint, b bigint")
-    more = confirmed(candidates.distinct(), docs, width, percent)
+    # first every class to the smallest id of each of its buckets, then what is still apart inside a bucket
+    near = (F.col("doc_id") != F.col("low.doc_id")) & (100 * F.least("n_shingles", "low.n_shingles") >= percent * F.greatest("n_shingles", "low.n_shingles"))
+    pairs = buckets.where(near).select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = confirmed(pairs, docs, width, percent)
+    more = linked_outside(buckets, components(links), classes, docs, width, percent)
     labels = components(links.unionByName(more))
 
     named = reps.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("words_key", F.coalesce("component", "rep").alias("class_component"))
