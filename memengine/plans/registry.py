@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, memory_queries  # noqa: F401
+from . import graph_queries, memory_queries, table_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
