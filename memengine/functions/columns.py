@@ -97,7 +97,8 @@ def clamp(c, low: float = 0.0, high: float = 1.0) -> Column:
 
 def score_1_5(c, default: int) -> Column:
     """P10: half-even rounding to 1..5; what is no number gives the default."""
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), F.bround(_c(c).cast("string").try_cast("double")).cast("int"))), F.lit(default))
+    v = F.bround(_c(c).cast("string").try_cast("double")).cast("int")
+    return F.when(v.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), v)))
 
 
 def finite_or_null(c) -> Column:
