@@ -3,7 +3,8 @@
 Pass one scatters the rows uniformly into buckets of a bounded size by a seeded hash of the whole row (the
 exchange is the external scatter). Pass two gathers each bucket, which fits in a task's memory, and orders it by
 ``shuffle`` with a seed, which is Spark's Fisher-Yates. Buckets follow each other in the order of their number, so
-every row has one place in a uniform random order of all rows, and shards are equal ranges of that order.
+every row has one place in a uniform random order of all rows, and shards are equal ranges of that order. The seed
+fixes buckets for good; the order inside a bucket is drawn per task, so it also depends on the partitioning.
 
 Defined results:
 * null in any column, also in the id: such a row is scattered by its other columns and keeps its nulls;
@@ -78,7 +79,7 @@ def external_shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, buck
     )
     record = F.struct(F.col(key), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     gathered = rows.groupBy(bucket).agg(F.collect_list(record).alias("rows"))
-    # the order of collect_list depends on the exchange; sorting by the row hash first makes the draw repeatable
+    # the order of collect_list depends on the exchange; the draw starts from the order of the row hashes
     by_hash = F.array_sort("rows", lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0))
     drawn = gathered.join(starts.hint("shuffle_hash"), F.col(bucket) == F.col("start_bucket")).select(
         bucket, "start", "total", F.posexplode(F.shuffle(by_hash, F.lit(seed))).alias("at", "record")
