@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, unit_hash
+from ..sources.durable import durable
 from .access import generic_entities
 
 #: How informative a next node is, and how edge types change that.
@@ -33,19 +34,19 @@ def adjacency(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> Dat
     return out.withColumn("weight", weight)
 
 
-def random_walks(nodes: DataFrame, edges: DataFrame, attempts: int = 30, length: int = 5, seed: int = 42, max_next: int = -1, checkpoint=None) -> DataFrame:
+def random_walks(nodes: DataFrame, edges: DataFrame, attempts: int = 30, length: int = 5, seed: int = 42, max_next: int = -1) -> DataFrame:
     """(record_id, attempt, step, node_id, edge_type, traversal) of every attempt. A walk starts at a fact
     or abstract with neighbours (at any node with neighbours where a record has none) and takes each step by an
-    exponential race over hashed draws: the same walk on every run and partitioning. ``checkpoint`` may write the
-    adjacency out once, as every step reads it."""
-    adj = adjacency(nodes, edges)
-    adj = adj if checkpoint is None else checkpoint(adj)
+    exponential race over hashed draws: the same walk on every run and partitioning. The adjacency and each
+    step's frontier are written out, as later steps read them again."""
+    adj = durable(adjacency(nodes, edges))
     linked = nodes.join(adj.select("record_id", "node_id").distinct(), ["record_id", "node_id"], "left_semi").select("record_id", "node_id", F.col("node_type").isin("abstract_memory", "fact").cast("int").alias("good"))
     starts = linked.withColumn("best", F.max("good").over(Window.partitionBy("record_id"))).where("good = best").withColumn("pos", F.row_number().over(Window.partitionBy("record_id").orderBy("node_id")) - 1)
     starts = starts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("record_id")))
     tries = starts.select("record_id", "n").distinct().select("record_id", "n", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
     pick = F.least(F.floor(unit_hash(F.lit(seed), "record_id", "attempt") * F.col("n")), F.col("n") - 1)
     at = tries.withColumn("pos", pick).join(starts.select("record_id", "pos", "node_id"), ["record_id", "pos"]).select("record_id", "attempt", "node_id", F.lit(None).cast("string").alias("prev_id"), F.lit(0).alias("run"))
+    at = durable(at)
     steps = [at.select("record_id", "attempt", F.lit(0).alias("step"), "node_id", F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("string").alias("traversal"))]
     for k in range(1, length):
         options = at.join(adj, ["record_id", "node_id"]).where("prev_id is null or next_id <> prev_id")
@@ -54,6 +55,7 @@ def random_walks(nodes: DataFrame, edges: DataFrame, attempts: int = 30, length:
         race = -F.log(unit_hash(F.lit(seed), "record_id", "attempt", F.lit(k), "edge_ord", "traversal")) / F.col("weight")
         best = options.groupBy("record_id", "attempt").agg(F.min(F.struct(race.alias("race"), F.col("edge_ord"), F.col("traversal"), F.col("next_id"), F.col("edge_type"), F.col("node_id"), F.col("run"))).alias("b"))
         at = best.select("record_id", "attempt", F.col("b.next_id").alias("node_id"), F.col("b.node_id").alias("prev_id"), F.when(F.col("b.edge_type") == "NEXT", F.col("b.run") + 1).otherwise(F.lit(0)).alias("run"), F.col("b.edge_type"), F.col("b.traversal"))
+        at = durable(at)
         steps.append(at.select("record_id", "attempt", F.lit(k).alias("step"), "node_id", "edge_type", "traversal"))
         at = at.select("record_id", "attempt", "node_id", "prev_id", "run")
     out = steps[0]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_text
 from ..operators import graph, memory, retrieval, rewards
+from ..sources.durable import durable
 from . import sqlparts as S
 from .base import query, table
 from .graph_queries import graph_of, turns_of
@@ -39,9 +40,10 @@ def answers_of(spark, sf_dir):
 
 
 def items_of(spark, sf_dir):
-    q, a = answers_of(spark, sf_dir)
     nodes, _, summaries = memory_of(spark, sf_dir)
-    return rewards.question_items(q, a, graph_of(spark, sf_dir)[0], nodes, summaries)
+    nodes, q = durable(nodes), durable(questions_of(spark, sf_dir))
+    a = durable(retrieval.baseline_answers(q, retrieval.retrieve(q, nodes)))
+    return durable(rewards.question_items(q, a, durable(graph_of(spark, sf_dir)[0]), nodes, summaries))
 
 
 @query("m2_m3_retained_turns", f"WITH {S.KEPT} SELECT record_id, event_id, kept_ord FROM kept WHERE kept_ord <= 6")

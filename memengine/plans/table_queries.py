@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import audit, questions, replay, rollout, splits, suite, walks, weakness
+from ..sources.durable import durable
 from ..streaming import streams
 from . import sqlparts as S
 from .base import query, table
@@ -285,10 +286,10 @@ def sessions(spark, sf_dir):
 def walks_of(spark, sf_dir):
     from ..operators.access import infer_sessions
 
-    n, e = graph_of(spark, sf_dir)
-    s = infer_sessions(n, e, mode="walk")
+    n, e = (durable(x) for x in graph_of(spark, sf_dir))
+    s = durable(infer_sessions(n, e, mode="walk"))
     steps = walks.random_walks(n, e, attempts=30, length=4)
-    return n, s, steps, walks.accept_walks(steps, n, s)
+    return n, s, steps, durable(walks.accept_walks(steps, n, s))
 
 
 @query("w11_w12_walks")

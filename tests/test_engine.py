@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memengine.functions import columns as C
 from memengine.operators import access, audit, graph, memory, questions, replay, retrieval, rewards, rollout, splits, suite, walks, weakness
 from memengine.sources import turns as sources
+from memengine.sources.durable import durable
 
 TURNS = "record_id string, session_id string, session_ord int, turn_id int, event_ord int, event_id string, speaker string, text string, ts_raw string"
 
@@ -91,12 +92,14 @@ def test_retrieval_and_rewards(spark, turns):
     gone = retrieval.retrieve(q, nodes.withColumn("status", F.lit("archived")), k=2)
     assert gone.count() == 0
     assert retrieval.baseline_answers(q, gone).first().answer_status == "insufficient_evidence"
-    items = rewards.question_items(q, retrieval.baseline_answers(q, got), graph.oracle_nodes(turns), nodes, memory.memory_summaries(nodes))
+    nodes, got = durable(nodes), durable(got)
+    oracle = durable(graph.oracle_nodes(turns))
+    items = rewards.question_items(q, retrieval.baseline_answers(q, got), oracle, nodes, memory.memory_summaries(nodes))
     row = items.first()
     assert row.correctness == 0.75 and row.citation_quality == 1.0 and row.oracle_coverage == 0.0
     assert "missing_fact" not in row.failure_types
     assert abs(sum(rewards.MEMORY_WEIGHTS.values()) - 1) < 1e-12
-    none = rewards.question_items(q, retrieval.baseline_answers(q, got).where("false"), graph.oracle_nodes(turns), nodes, memory.memory_summaries(nodes)).first()
+    none = rewards.question_items(q, retrieval.baseline_answers(q, got).where("false"), oracle, nodes, memory.memory_summaries(nodes)).first()
     assert none.correctness == 0 and "answerer_insufficient_evidence" in none.failure_types and "missing_multi_session_link" in none.failure_types
 
 
@@ -133,18 +136,18 @@ def test_splits(spark):
 
 
 def test_walk_constraints(turns):
-    nodes, edges = graph.oracle_nodes(turns), graph.oracle_edges(turns)
-    sessions = access.infer_sessions(nodes, edges, mode="walk")
+    nodes, edges = durable(graph.oracle_nodes(turns)), durable(graph.oracle_edges(turns))
+    sessions = durable(access.infer_sessions(nodes, edges, mode="walk"))
     steps = walks.random_walks(nodes, edges, attempts=20, length=4)
     by = {}
     for r in steps.orderBy("attempt", "step").collect():
         by.setdefault(r.attempt, []).append(r.node_id)
     assert all(a != b for w in by.values() for a, b in zip(w, w[2:]))
-    accepted = walks.accept_walks(steps, nodes, sessions, num_walks=5)
+    accepted = durable(walks.accept_walks(steps, nodes, sessions, num_walks=5))
     rows = accepted.collect()
     assert rows and len({tuple(r.node_ids) for r in rows}) == len(rows) and all(r.n_nodes >= 2 for r in rows)
     labels = walks.node_labels(nodes)
-    q = questions.placeholder_questions(accepted, labels, sessions)
+    q = durable(questions.placeholder_questions(accepted, labels, sessions))
     ok = questions.oracle_validity(q, accepted, labels, sessions, allow_placeholder=True)
     assert {r.verdict for r in ok.collect()} == {"accept"}
     assert {r.verdict for r in questions.oracle_validity(q, accepted, labels, sessions).collect()} == {"reject"}
