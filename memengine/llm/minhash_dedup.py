@@ -230,7 +230,8 @@ def linked_outside(buckets: DataFrame, labels: DataFrame, classes: DataFrame, do
     asked = found.groupBy("doc_id", "other", "part").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     askers = found.groupBy("other", "part").agg(F.ceil(F.approx_count_distinct("doc_id") / PART).alias("rounds"))
     asked = asked.join(askers.hint("merge"), ["other", "part"]).withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.col("rounds")))
-    needed = found.select("other", "part", F.explode("ids").alias("doc_id")).distinct()
+    # the members of a part, once each, whatever the number of rows that ask for them
+    needed = rows.select(F.col("component").alias("other"), "part", "doc_id").distinct()
     needed = needed.join(askers.hint("merge"), ["other", "part"]).select("other", "part", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("turn"))
     texts = texts_of(found.select("doc_id").unionByName(needed.select("doc_id")).distinct(), docs)
     left = asked.join(texts.hint("merge"), "doc_id").select("other", "part", "turn", "doc_id", "ids", "text")
