@@ -1,14 +1,17 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
 1. Vectors go to the shards of their ``OVERLAP`` nearest centroids, which are fitted on a bounded sample; shards over
-   ``SHARD_ROWS`` are dealt by two different hashes into parts, so that they overlap too.
+   ``SHARD_ROWS`` are split again in the same way by centroids of their own, level by level, until none is left. A
+   shard that no centroids part (all of one direction) stays whole.
 2. A task builds its shard's graph: each vector's nearest candidates, pruned so that no kept neighbour is much
    closer to a candidate than the vector itself (robust pruning), plus the reverse edges. From the shard's medoid it
    runs a greedy beam search for each of its vectors, which goes on expanding every node within the range.
-3. The adjacency lists of all shards are united. Links found in one shard are extended along the united edges of their
-   ends, round by round, until a round finds nothing: that carries the search across shards.
-4. Every link is verified by cosine in double precision. Recall is audited on a bounded sample of vectors against all
-   vectors by brute force, and returned with each row.
+3. The adjacency lists of all shards are united. Every vector, linked or not, walks greedily along the united edges
+   from its nearest neighbour while it gets nearer. Then links are extended along the united edges of their ends, round
+   by round, until a round finds nothing. Both are joins and carry the search across shards; rounds that run out fail.
+4. Every link is verified by cosine in double precision. Recall is audited by brute force against all vectors on two
+   bounded samples, one of all vectors and one of those with links; the lower one is returned with each row, and one
+   below ``LEAST_RECALL`` fails.
 
 Vectors equal in every component are one node with a count.
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import dropped, released, saved, table
 from .components import components
 
 SAMPLE_PER_CENTROID = 16
@@ -41,7 +44,12 @@ DEGREE = 24
 ALPHA = 1.2
 BEAM = 8
 AUDIT = 256
-MAX_ROUNDS = 10
+LEAST_RECALL = 0.9
+MAX_ROUNDS = 50
+FAN_OUT = 64
+CHUNK_ROWS = 20_000
+WALK_PAIRS = 300_000
+WALK_CHUNKS = 64
 
 
 def usable(df: DataFrame, vec: str) -> DataFrame:
@@ -103,12 +111,63 @@ def sharded(nodes: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.string()), ids.take(take), vecs.take(take)], names=["shard", "node", "vec"])
 
     first = saved(nodes.select("node", "vec").mapInArrow(run, "shard string, node bigint, vec array<double>"), "graph-shards")
-    sizes = first.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / SHARD_ROWS)
-    # an oversized shard is dealt twice, by two hashes: each node meets two sets of its neighbours
-    deals = F.when(parts > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    dealt = first.join(sizes.hint("merge"), "shard").select("shard", "node", "vec", parts.alias("parts"), F.explode(deals).alias("deal"))
-    return dealt.select(F.concat_ws("/", "shard", "deal", F.pmod(F.xxhash64("node", "deal"), F.col("parts"))).alias("shard"), "node", "vec")
+    return split_again(first)
+
+
+def _own_centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """At most ``k`` unit centroids of a sample, none of them among the nearest of most of it."""
+    c = x[np.random.default_rng(11).permutation(len(x))[:k]]
+    for _ in range(5):
+        total = np.zeros_like(c)
+        np.add.at(total, np.argmax(x @ c.T, 1), x)
+        size = np.linalg.norm(total, axis=1)
+        c = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], c)
+    while len(c) > OVERLAP + 1:
+        near = np.argpartition(-(x @ c.T), OVERLAP - 1, axis=1)[:, :OVERLAP]
+        drawn = np.bincount(near.ravel(), minlength=len(c))
+        if drawn.max() <= 0.7 * len(x):
+            break
+        c = np.delete(c, drawn.argmax(), 0)
+    return c
+
+
+def split_again(shards: DataFrame) -> DataFrame:
+    """Splits shards over ``SHARD_ROWS`` by centroids of their own, until none is left that can be parted."""
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        c = _own_centroids(_unit(np.stack(frame["vec"].to_numpy()).astype(float)), int(frame["k"].iloc[0]))
+        return pd.DataFrame({"shard": frame["shard"].iloc[:1], "n": frame["n"].iloc[:1], "centers": [c.tolist()]})
+
+    def deal(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"shard": [], "node": [], "vec": [], "parent_n": []})
+        c = np.stack([np.asarray(r, float) for r in model["centers"].iloc[0]])
+        o = min(OVERLAP, len(c))
+        near = np.argpartition(-(_unit(np.stack(rows["vec"].to_numpy()).astype(float)) @ c.T), o - 1, axis=1)[:, :o]
+        at = np.repeat(np.arange(len(rows)), o)
+        out = rows.iloc[at][["shard", "node", "vec", "n"]].rename(columns={"n": "parent_n"})
+        return out.assign(shard=[f"{s}/{i}" for s, i in zip(out["shard"], near.ravel(), strict=True)])
+
+    whole = "shard string, node bigint, vec array<double>, parent_n bigint"
+    done, now, level = None, shards.withColumn("parent_n", F.lit(None).cast("bigint")), 0
+    while True:
+        sizes = saved(now.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("parent_n").alias("parent_n")), "graph-sizes")
+        big = sizes.where((F.col("n") > SHARD_ROWS) & (F.col("parent_n").isNull() | (F.col("n") < F.col("parent_n")))).select("shard", "n")
+        if big.isEmpty():
+            small = now.select("shard", "node", "vec")
+            return small if done is None else done.unionByName(small)
+        level += 1
+        small = now.join(big.hint("merge"), "shard", "left_anti").select("shard", "node", "vec")
+        done = small if done is None else done.unionByName(small)
+        chunks = F.floor((F.col("n") - 1) / CHUNK_ROWS) + 1
+        rows = now.select("shard", "node", "vec").join(big.hint("merge"), "shard").withColumn("k", F.least(F.lit(FAN_OUT), F.ceil(F.col("n") * OVERLAP / SHARD_TARGET)).cast("int"))
+        share = F.least(F.lit(1.0), 1.5 * SAMPLE_PER_CENTROID * F.col("k") / F.col("n"))
+        sample = rows.where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) < F.greatest(share, F.lit(0.01)) * (1 << 30))
+        centers = sample.groupBy("shard").applyInPandas(fit, "shard string, n bigint, centers array<array<double>>")
+        centers = saved(centers, "graph-centers").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks))
+        now = saved(rows.groupBy("shard", "chunk").cogroup(centers.groupBy("shard", "chunk")).applyInPandas(deal, whole), "graph-shards")
 
 
 def build_graph(x: np.ndarray) -> list[np.ndarray]:
@@ -185,9 +244,8 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], least: float) -> tuple[
 
 
 def search_shards(shards: DataFrame, cosine: float) -> DataFrame:
-    """(kind, a, b): edges of each shard's graph ('edge', both directions) and pairs in range ('pair', a < b)."""
-    # ends of an edge that can extend a link lie within twice the range's angle
-    bridge = float(np.cos(min(np.pi, 2 * np.arccos(cosine))))
+    """(kind, a, b, sim): edges of each shard's graph ('edge', both directions) with their cosine, and pairs in range
+    ('pair', a < b)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         # rows come in any order; sorted, a repeated task does the same
@@ -197,18 +255,23 @@ def search_shards(shards: DataFrame, cosine: float) -> DataFrame:
         graph = build_graph(x)
         src = np.repeat(np.arange(len(x)), [len(g) for g in graph])
         dst = np.concatenate(graph).astype(np.int64)
-        use = np.einsum("nd,nd->n", x[src], x[dst]) >= bridge - 1e-9 if len(src) else np.zeros(0, bool)
+        sim = np.concatenate([np.einsum("nd,nd->n", x[src[i : i + (1 << 17)]], x[dst[i : i + (1 << 17)]]) for i in range(0, len(src), 1 << 17)] or [np.zeros(0)])
         q, v = range_search(x, graph, cosine)
         low, high = np.minimum(ids[q], ids[v]), np.maximum(ids[q], ids[v])
         pairs = pd.DataFrame({"a": low, "b": high})[low < high].drop_duplicates()
-        edges = pd.DataFrame({"a": ids[src[use]], "b": ids[dst[use]]})
-        return pd.concat([edges.assign(kind="edge"), pairs.assign(kind="pair")])[["kind", "a", "b"]]
+        edges = pd.DataFrame({"a": ids[src], "b": ids[dst], "sim": sim})
+        return pd.concat([edges.assign(kind="edge"), pairs.assign(kind="pair", sim=1.0)])[["kind", "a", "b", "sim"]]
 
-    return shards.groupBy("shard").applyInPandas(run, "kind string, a bigint, b bigint")
+    return shards.groupBy("shard").applyInPandas(run, "kind string, a bigint, b bigint, sim float")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
     """Those pairs (a, b) of nodes whose cosine in double precision reaches ``cosine``."""
+    return cosines(pairs.select("a", "b"), nodes).where(F.col("sim") >= cosine).select("a", "b")
+
+
+def cosines(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, sim) of pairs (a, b) of nodes of one length, with their cosine in double precision."""
     vec = nodes.select("node", "vec")
     both = pairs.join(vec.select(F.col("node").alias("a"), F.col("vec").alias("va")).hint("merge"), "a")
     both = both.join(vec.select(F.col("node").alias("b"), F.col("vec").alias("vb")).hint("merge"), "b")
@@ -220,20 +283,68 @@ def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
             va, vb = batch.column(2), batch.column(3)
             la, lb = (np.diff(v.offsets.to_numpy()) for v in (va, vb))
             ok = np.nonzero(la == lb)[0]
-            keep = np.zeros(batch.num_rows, bool)
+            sim = np.full(batch.num_rows, -2.0)
             for length in np.unique(la[ok]):
                 at = pa.array(ok[la[ok] == length])
                 x, y = (v.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, length) for v in (va, vb))
-                keep[at.to_numpy()] = np.einsum("nd,nd->n", _unit(x), _unit(y)) >= cosine
-            yield batch.select([0, 1]).filter(pa.array(keep))
+                sim[at.to_numpy()] = np.einsum("nd,nd->n", _unit(x), _unit(y))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], names=["a", "b", "sim"])
+            yield out.filter(pa.array(sim > -2))
+
+    return both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, sim double")
+
 
-    return both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint")
+def walked(nodes: DataFrame, edges: DataFrame, cosine: float) -> DataFrame:
+    """(a, b), a < b: links that greedy walks over the united edges meet. Every vector starts at its nearest neighbour
+    and moves to the nearest of that one's neighbours as long as it gets nearer."""
+    spark = nodes.sparkSession
+    at = saved(edges.groupBy("a").agg(F.max(F.struct("sim", "b")).alias("m")).select(F.col("a").alias("q"), F.col("m.b").alias("x"), F.col("m.sim").cast("double").alias("bar")), "graph-at")
+    own = edges.select(F.col("a").alias("q"), F.col("b").alias("y"))
+    found = []
+    for _ in range(MAX_ROUNDS):
+        steps = at.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).hint("merge"), "x").where("q <> y")
+        steps = saved(steps.select("q", "y").join(own.hint("merge"), ["q", "y"], "left_anti"), "graph-steps")
+        chunks = min(WALK_CHUNKS, -(-steps.count() // WALK_PAIRS))
+        best = []
+        for k in range(chunks):
+            mine = steps.where(F.pmod(F.xxhash64("q", F.lit("walk")), F.lit(chunks)) == k)
+            scored = cosines(mine.select(F.col("q").alias("a"), F.col("y").alias("b")), nodes)
+            # of each query: its nearest, and all in range
+            top = scored.groupBy("a").agg(F.max(F.struct("sim", "b")).alias("m"), F.collect_list(F.when(F.col("sim") >= cosine, F.col("b"))).alias("links"))
+            best.append(saved(top, "graph-walk"))
+            released(spark)
+        dropped(steps)
+        if not best:
+            break
+        met = best[0]
+        for b in best[1:]:
+            met = met.unionByName(b)
+        found.append(saved(met.select("a", F.explode("links").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph-walked"))
+        nearer = met.select(F.col("a").alias("q"), F.col("m.b").alias("x"), F.col("m.sim").alias("sim")).join(at.select("q", "bar").hint("merge"), "q").where("sim > bar")
+        at = saved(nearer.select("q", "x", F.col("sim").alias("bar")), "graph-at")
+        dropped(*best)
+        if at.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"walks over the united graph go on after {MAX_ROUNDS} rounds")
+    if not found:
+        return edges.select("a", "b").where("false")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def audit_recall(links: DataFrame, nodes: DataFrame, cosine: float, queries: int = AUDIT) -> float:
-    """Share of the true links of about ``queries`` nodes, chosen by hash, that ``links`` has; 1 where there are none."""
+    """The lower one of two recalls: of about ``queries`` of all nodes and of as many nodes with links."""
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    return min(_recall(nodes, links, nodes, cosine, queries), _recall(nodes.join(linked.hint("merge"), "node", "left_semi"), links, nodes, cosine, queries))
+
+
+def _recall(of: DataFrame, links: DataFrame, nodes: DataFrame, cosine: float, queries: int) -> float:
+    """Share of the true links of ``queries`` nodes of ``of``, chosen by hash, that ``links`` has; 1 where there are none."""
     order = F.xxhash64("node", F.lit("audit"))
-    chosen = nodes.select("node", "vec").orderBy(order, "node").limit(queries).toArrow()
+    chosen = of.select("node", "vec").orderBy(order, "node").limit(queries).toArrow()
     q_ids, q_vecs = np.array(chosen.column(0).to_pylist(), np.int64), chosen.column(1).to_pylist()
 
     def run(batches):
@@ -267,9 +378,16 @@ def embedding_links(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding
     classes = good.groupBy("vec").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     nodes = saved(classes.select(F.xxhash64("vec", "first_id").alias("node"), "vec", "first_id", "copies"), "graph-nodes")
     n = nodes.count()
+    # ends of an edge that can extend a link lie within twice the range's angle
+    bridge = float(np.cos(min(np.pi, 2 * np.arccos(cosine))))
     found = saved(search_shards(sharded(nodes, centroids(nodes, n)), cosine), "graph-found")
-    edges = saved(found.where("kind = 'edge'").select("a", "b").distinct(), "graph-edges")
-    links = saved(verified(found.where("kind = 'pair'").select("a", "b").distinct(), nodes, cosine), "graph-links")
+    united = saved(found.where("kind = 'edge'").groupBy("a", "b").agg(F.max("sim").alias("sim")), "graph-edges")
+    met = saved(found.where("kind = 'pair'").select("a", "b").distinct(), "graph-pairs")
+    dropped(found)
+    released(df.sparkSession)
+    met = met.unionByName(walked(nodes, united, cosine)).distinct()
+    links = saved(verified(met, nodes, cosine), "graph-links")
+    edges = united.where(F.col("sim") >= bridge - 1e-6)
     frontier = links
     for _ in range(MAX_ROUNDS):
         ends = frontier.select(F.col("a").alias("q"), F.col("b").alias("x")).unionByName(frontier.select(F.col("b").alias("q"), F.col("a").alias("x")))
@@ -280,7 +398,11 @@ def embedding_links(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding
         if frontier.isEmpty():
             break
         links = saved(links.unionByName(frontier), "graph-links")
+    else:
+        raise RuntimeError(f"links still grow after {MAX_ROUNDS} rounds")
     recall = audit_recall(links, nodes, cosine)
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"audited recall is {recall:.4f}, less than {LEAST_RECALL}")
     sizes = nodes.select("node", "first_id", "copies")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = ends.join(sizes.select(F.col("node").alias("b"), "copies").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))

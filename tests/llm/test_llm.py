@@ -173,6 +173,20 @@ def test_embedding_links_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (200, 201, 202, 203))
 
 
+def test_oversized_shards_lose_no_isolated_pair(spark, monkeypatch):
+    monkeypatch.setattr(embedding_graph, "MAX_CENTROIDS", 1)
+    monkeypatch.setattr(embedding_graph, "SHARD_ROWS", 100)
+    monkeypatch.setattr(embedding_graph, "SHARD_TARGET", 50)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 16))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.1])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in embedding_graph.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), cosine=0.95).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    assert links.sum() > 300 and [got[i].n_links for i in range(400)] == links.tolist()
+
+
 def test_ppm_is_a_distribution_and_counts_match(spark):
     rng = np.random.default_rng(4)
     words = ["the", "then", "when", "zoo", "Ähre"]
