@@ -6,11 +6,11 @@ asked, without the symbols that the longer one would have predicted (symbol excl
 bytes never seen. A text is read as its lower-cased words joined by one space and one end mark, so its code length is
 that of its token sequence. ``pretrained`` scores come from the counts of training rows alone.
 
-Counting: every task sorts the (ORDER+1)-byte strings of its texts and passes sums on; shorter contexts follow by
-summing over the oldest byte. All training rows count. The trie that tasks receive keeps strings seen at least once
-in every ``KEPT`` training bytes, so an order holds ``KEPT`` entries at most whatever the corpus, and a context's
-dropped children add to its escape probability. Word counts for the base score are not pruned: they come back to the
-texts by an exchange on word hashes, per block of texts.
+Counting: every block's distinct (ORDER+1)-byte strings go, with their training counts, to the part that the hash of
+the last ``HEAD`` context bytes names. A part so has all contexts of ``HEAD`` bytes or more whole, and the counts
+under shorter ones, whose number the alphabet bounds, come as one table. It sums the counts, works out each
+string's log probability and returns those to the blocks. All training rows count, and nothing is pruned. Word
+counts for the base score come back to the texts by an exchange on word hashes, per block of texts.
 
 Defined results:
 * null or empty text, or only white space: the end mark alone; rows without an id train and are scored like others;
@@ -22,6 +22,7 @@ Defined results:
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import dropped, fold, released, saved, table
 
 ORDER = 6
-KEPT = 1 << 21
+HEAD = 3
+PART_BYTES = 16 << 20
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 2048
 END = b"\n"
@@ -146,6 +148,103 @@ def string_counts(parts: DataFrame, order: int) -> DataFrame:
     return parts.select("texts", "trains").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    by = np.argsort(keys, kind="stable")
+    keys, n = keys[by], n[by]
+    starts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
+    return keys[starts], np.add.reduceat(n, starts)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The bytes of ``x`` by their places, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = pa.decompress(data, n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def in_parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of sorted ``keys`` by part and key, and where each part starts and ends in it."""
+    head = ((keys >> 8) & ((1 << (8 * HEAD)) - 1)).astype(np.uint64)
+    part = (((head + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
+    by = np.argsort(part, kind="stable")
+    return by, np.searchsorted(part[by], np.arange(parts + 1))
+
+
+def dealt_strings(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, block, size, keys, n): each block's distinct strings by part, with their training counts; as part -1 the
+    training counts of its HEAD-byte strings."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, texts, trains = (batch.column(c)[k].as_py() for c in range(3))
+                keys = np.unique(strings(texts, order)[0])
+                n = np.zeros(len(keys), np.int64)
+                mine = [t for t, yes in zip(texts, trains, strict=True) if yes]
+                if mine:
+                    seen, count = np.unique(strings(mine, order)[0], return_counts=True)
+                    n[np.searchsorted(keys, seen)] = count
+                by, cuts = in_parts(keys, parts)
+                low = summed((keys & ((1 << (8 * HEAD)) - 1))[n > 0], n[n > 0])
+                rows = [(-1, *low)] + [(p, keys[by[i:j]], n[by[i:j]]) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[0] for r in rows], pa.int32()),
+                        pa.array([block] * len(rows), pa.int64()),
+                        pa.array([len(r[1]) for r in rows], pa.int64()),
+                        pa.array([packed(np.diff(r[1], prepend=0)) for r in rows], pa.binary()),
+                        pa.array([packed(r[2]) for r in rows], pa.binary()),
+                    ],
+                    names=["part", "block", "size", "keys", "n"],
+                )
+
+    return blocks_.select("block", "texts", "trains").mapInArrow(run, "part int, block bigint, size bigint, keys binary, n binary")
+
+
+def short_counts(dealt: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of all HEAD-byte strings; the alphabet bounds their number, not the corpus."""
+
+    def run(batches):
+        for batch in batches:
+            for size, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpacked(keys, size, np.int64))), pa.array(unpacked(n, size, np.int64))], names=["key", "n"])
+
+    t = dealt.where("part = -1 and size > 0").select("size", "keys", "n").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)
+
+
+def trie_of(longest: tuple[np.ndarray, np.ndarray], order: int, short: tuple[np.ndarray, np.ndarray] | None = None) -> Trie:
+    """The trie of all strings in ``longest``; orders under ``HEAD`` from ``short`` where it is given."""
+    levels = [None] * (order + 1)
+    levels[order] = longest
+    for k in range(order - 1, -1, -1):
+        keys, n = short if short is not None and k == HEAD - 1 else levels[k + 1]
+        levels[k] = summed(keys & ((1 << (8 * (k + 1))) - 1), n)
+    return Trie(levels, [summed(keys >> 8, n) for keys, n in levels])
+
+
+def string_logs(dealt: DataFrame, short: tuple[np.ndarray, np.ndarray], order: int) -> DataFrame:
+    """(block, part, logs): log10 of the probability of each string of a block in a part, as float32."""
+    shared = dealt.sparkSession.sparkContext.broadcast(short)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block")
+        mine = [np.cumsum(unpacked(k, int(size), np.int64)) for k, size in zip(frame["keys"], frame["size"], strict=True)]
+        keys, n = summed(np.concatenate(mine), np.concatenate([unpacked(c, int(size), np.int64) for c, size in zip(frame["n"], frame["size"], strict=True)]))
+        logs = trie_of((keys[n > 0], n[n > 0]), order, shared.value).logs(keys).astype(np.float32)
+        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "logs": [logs[np.searchsorted(keys, m)].tobytes() for m in mine]})
+
+    return dealt.where("part >= 0").groupBy("part").applyInPandas(run, "block bigint, part int, logs binary")
+
+
 class Trie:
     """Kept strings and contexts of every order as sorted arrays, with all that scoring needs worked out."""
 
@@ -273,36 +372,23 @@ class Trie:
         return np.add.reduceat(self.logs(keys), np.cumsum(sizes) - sizes)
 
 
-def train_trie(parts: DataFrame, order: int = ORDER, kept: int = KEPT) -> Trie:
-    """Counts of all training texts, pruned to a size that does not depend on the corpus."""
-    counts = saved(string_counts(parts, order), "ppm-counts")
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-n // kept))
-    levels, contexts = [None] * (order + 1), [None] * (order + 1)
-
-    def arrays(df):  # at most ``kept`` rows of two numbers
-        t = df.toArrow()
-        return t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)
-
-    for k in range(order, -1, -1):
-        if k < order:
-            longer = counts
-            counts = saved(longer.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")), "ppm-counts")
-            dropped(longer)
-        levels[k] = arrays(counts.where(F.col("n") >= least))
-        contexts[k] = arrays(counts.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    dropped(counts)
-    released(parts.sparkSession)
-    return Trie(levels, contexts)
+def train_trie(parts: DataFrame, order: int = ORDER) -> Trie:
+    """The trie of all training texts in one piece, for texts that fit the driver."""
+    t = string_counts(parts, order).toArrow()
+    return trie_of(summed(t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)), order)
 
 
 def scores(docs: DataFrame, train) -> DataFrame:
     """(doc_id, trains, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``; ``train`` is
     the condition that picks training rows."""
     parts = saved(blocks(docs, train), "ppm-blocks")
-    trie = train_trie(parts)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(trie)
+    size = parts.agg(F.sum(F.aggregate("texts", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)))).first()[0] or 0
+    n_parts = max(1, -(-size // PART_BYTES))
+    dealt = saved(dealt_strings(parts, ORDER, n_parts), "ppm-dealt")
+    found = saved(string_logs(dealt, short_counts(dealt), ORDER), "ppm-logs")
+    dropped(dealt)
+    released(spark)
 
     # one row per block and distinct word, so the words' totals come from one exchange; a word has at most as many
     # rows as there are blocks
@@ -315,10 +401,10 @@ def scores(docs: DataFrame, train) -> DataFrame:
     ends = parts.select(F.explode("trains").alias("t")).where("t").count()
     n, v = (n or 0) + ends, v + (1 if ends else 0)
     counts = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("s")).select("block", F.col("s.c").alias("known"))
-    full = parts.select("block", "ids", "texts", "trains").join(counts.hint("merge"), "block", "left")
+    logs = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "logs"))).alias("s")).select("block", F.col("s.logs").alias("logs"))
+    full = parts.select("block", "ids", "texts", "trains").join(counts.hint("merge"), "block", "left").join(logs.hint("merge"), "block")
 
     def run(batches):
-        model = shared.value
         bottom = np.log10(n + 0.5 * (v + 1))
         unknown, end = float(np.log10(0.5) - bottom), float(np.log10(ends + 0.5) - bottom)
         for batch in batches:
@@ -338,14 +424,12 @@ def scores(docs: DataFrame, train) -> DataFrame:
                     base.append(float(values.sum()) + end)
                     hits.append(int((values > unknown).sum()) + (ends > 0))
                     sizes.append(len(w) + 1)
-                out, start = [], 0
-                while start < len(texts):  # about a million bytes at a time
-                    stop, held = start, 0
-                    while stop < len(texts) and (held == 0 or held + len(texts[stop]) < 1 << 20):
-                        held += len(texts[stop])
-                        stop += 1
-                    out.append(model.score(texts[start:stop]))
-                    start = stop
+                # the block's strings in the order in which they were dealt
+                every, lengths = strings(texts, ORDER)
+                keys, at = np.unique(every, return_inverse=True)
+                value = np.empty(len(keys), np.float64)
+                value[in_parts(keys, n_parts)[0]] = np.frombuffer(b"".join(batch.column(5)[k].as_py()), np.float32)
+                out = np.add.reduceat(value[at], np.cumsum(lengths) - lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
@@ -354,7 +438,7 @@ def scores(docs: DataFrame, train) -> DataFrame:
                         pa.array(hits, pa.int64()),
                         pa.array([n] * len(ids), pa.int64()),
                         pa.array(base, pa.float64()),
-                        pa.array(np.concatenate(out)),
+                        pa.array(out),
                     ],
                     names=["doc_id", "trains", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )

@@ -210,6 +210,24 @@ def test_ppm_is_a_distribution_and_counts_match(spark):
         assert abs((10 ** trie.logs((context << 8) | np.arange(256))).sum() - 1) < 1e-5
 
 
+def test_ppm_scores_from_all_counts(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    rare = "zyx wvut qrpo zzyy xwvu tsrq"
+    rows = [(i, " ".join(rng.choice(words, 15000))) for i in range(1, 50) if i % 5] + [(1001, rare), (1000, rare)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in ppm_scoring.scores(df, F.col("doc_id") % 5 != 0).collect()}
+    texts = [ppm_scoring.canonical(t) for i, t in rows if i % 5]
+    assert sum(map(len, texts)) > 1 << 21
+    levels = [np.unique(ppm_scoring.strings(texts, k)[0], return_counts=True) for k in range(7)]
+    contexts = []
+    for keys, n in levels:
+        own, at = np.unique(keys >> 8, return_inverse=True)
+        contexts.append((own, np.bincount(at, n).astype(np.int64)))
+    want = ppm_scoring.Trie(levels, contexts).score([ppm_scoring.canonical(t) for _, t in rows])
+    assert all(abs(got[i] - w) < 1e-3 + 1e-6 * abs(w) for (i, _), w in zip(rows, want, strict=True))
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(6)
     plain = ["tree", "river", "stone", "cloud", "you", "walk"]
