@@ -288,7 +288,7 @@ def walks_of(spark, sf_dir):
 
     n, e = (durable(x) for x in graph_of(spark, sf_dir))
     s = durable(infer_sessions(n, e, mode="walk"))
-    steps = walks.random_walks(n, e, attempts=30, length=4)
+    steps = walks.random_walks(n, e, attempts=30 * 8, length=5, max_next=1)
     return n, s, steps, durable(walks.accept_walks(steps, n, s))
 
 

@@ -155,6 +155,42 @@ def test_walk_constraints(turns):
     assert lost.verdict == "reject" and "node_not_found_in_graph" in lost.issues and lost.citation_validity == 0.0
 
 
+def test_registered_walks_equal_brute_force(spark, turns, monkeypatch):
+    import hashlib
+    import math
+
+    from memengine.plans import table_queries
+
+    nodes, edges = durable(graph.oracle_nodes(turns)), durable(graph.oracle_edges(turns))
+    monkeypatch.setattr(table_queries, "graph_of", lambda spark, sf_dir: (nodes, edges))
+    n, sessions, steps, accepted = table_queries.walks_of(spark, "")
+    unit = lambda *keys: (int(hashlib.sha256(":".join(map(str, keys)).encode()).hexdigest()[:12], 16) + 1) / (16**12 + 1)
+    adj, kind = {}, {r.node_id: r.node_type for r in n.collect()}
+    for r in walks.adjacency(nodes, edges).collect():
+        adj.setdefault(r.node_id, []).append(r)
+    starts = [x for x in sorted(adj) if kind[x] in ("fact", "abstract_memory")] or sorted(adj)
+    drawn, first = {}, []
+    for attempt in range(1, 241):
+        at, prev, run = starts[min(int(unit(42, "r", attempt) * len(starts)), len(starts) - 1)], None, 0
+        walk = [at]
+        for k in range(1, 5):
+            options = [(-math.log(unit(42, "r", attempt, k, o.edge_ord, o.traversal)) / o.weight, o.edge_ord, o.traversal, o.next_id, o.edge_type) for o in adj.get(at, []) if o.next_id != prev and (o.edge_type != "NEXT" or run < 1)]
+            if not options:
+                break
+            best = min(options)
+            at, prev, run = best[3], at, run + 1 if best[4] == "NEXT" else 0
+            walk.append(at)
+        drawn[attempt] = walk
+        types = [kind[x] for x in walk]
+        if len(walk) >= 2 and {"fact", "abstract_memory"} & set(types) and sum(t in ("topic", "session") for t in types) / len(walk) <= 0.35 and walk not in first:
+            first.append(walk)
+    got = {}
+    for r in steps.orderBy("attempt", "step").collect():
+        got.setdefault(r.attempt, []).append(r.node_id)
+    assert got == drawn
+    assert [r.node_ids for r in accepted.orderBy("trajectory_id").collect()] == first[:8]
+
+
 def test_find_keys(spark):
     df = spark.createDataFrame([(1, '{"graph": {"question": "x", "n": [{"gold_answer": 1}]}, "edges": [{"target": "a"}], "target": 2}'), (2, "not json question")], "id int, j string")
     found = {(r.row_id, r.path) for r in audit.find_keys(df, "id", "j", ["question", "gold_answer", "target"], edge_targets=True).collect()}
