@@ -58,12 +58,15 @@ def group_issues(samples: DataFrame, rewards: DataFrame) -> DataFrame:
     return twice.unionByName(mixed).unionByName(lost)
 
 
-def token_rows(items: DataFrame, max_prompt: int, max_response: int, truncation: str = "right") -> DataFrame:
+def token_rows(items: DataFrame, max_prompt: int | None = None, max_response: int | None = None, truncation: str = "right") -> DataFrame:
     """A10: character ids with a start id, masks, and reward and advantage spread over the response. Texts too long
-    are cut on the given side, or dropped into an error with ``error``; blank responses go."""
+    are cut on the given side, or dropped into an error with ``error``; without a limit nothing is cut. Blank responses
+    go."""
     ids = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x) % 256)
 
     def cut(arr, n):
+        if n is None:
+            return arr
         if truncation == "error":
             return F.when(F.size(arr) > n, F.raise_error(F.lit("text exceeds its limit"))).otherwise(arr)
         return F.when(F.size(arr) > n, F.slice(arr, F.size(arr) - n + 1, n) if truncation == "left" else F.slice(arr, 1, n)).otherwise(arr)

@@ -116,6 +116,16 @@ def token_rows(spark, sf_dir):
     return out.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n"), F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
 
+@query(
+    "a10_whole_token_rows",
+    """SELECT conv_id, turn, length(role) + 1 + length(text) AS n, (1 + list_sum([ascii(x) % 256 FOR x IN string_split(role, '')]) + list_sum([ascii(x) % 256 FOR x IN string_split(text, '')]))::BIGINT AS id_sum FROM conversations WHERE trim(text) <> ''""",
+)
+def whole_token_rows(spark, sf_dir):
+    items = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("prompt"), F.col("text").alias("response"), F.lit(1.0).alias("reward"), F.lit(0.5).alias("advantage"))
+    out = rollout.token_rows(items)
+    return out.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n"), F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
 _HASH = "sha256('42:' || record_id)"
 
 

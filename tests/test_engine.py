@@ -191,6 +191,16 @@ def test_registered_walks_equal_brute_force(spark, turns, monkeypatch):
     assert [r.node_ids for r in accepted.orderBy("trajectory_id").collect()] == first[:8]
 
 
+def test_token_rows_whole_and_cut(spark):
+    df = spark.createDataFrame([("ab", "c" * 90 + "d", 1.0, 0.5), ("x", " ", 1.0, 0.5)], "prompt string, response string, reward double, advantage double")
+    whole = rollout.token_rows(df).collect()
+    assert [r.input_ids for r in whole] == [[1, 97, 98, *[99] * 90, 100]]
+    assert rollout.token_rows(df, 2, 3).first().input_ids == [1, 97, 99, 99, 99]
+    assert rollout.token_rows(df, 2, 3, "left").first().input_ids == [97, 98, 99, 99, 100]
+    with pytest.raises(Exception, match="exceeds its limit"):
+        rollout.token_rows(df, None, 3, "error").collect()
+
+
 def test_find_keys(spark):
     df = spark.createDataFrame([(1, '{"graph": {"question": "x", "n": [{"gold_answer": 1}]}, "edges": [{"target": "a"}], "target": 2}'), (2, "not json question")], "id int, j string")
     found = {(r.row_id, r.path) for r in audit.find_keys(df, "id", "j", ["question", "gold_answer", "target"], edge_targets=True).collect()}
