@@ -26,6 +26,11 @@ def text_functions(spark, sf_dir):
     )
 
 
+@query("p2_whole_canonical_names", f"SELECT doc_id, sha1({S.canon('text')}) AS canon_hash FROM documents")
+def whole_canonical_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha1(C.canonicalize_name("text").cast("binary")).alias("canon_hash"))
+
+
 _PAIRS = f"""WITH t AS (SELECT conv_id, turn, text AS p, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
 n AS (SELECT *, {S.rnorm('p')} AS pn, {S.rnorm('e')} AS en FROM t WHERE e IS NOT NULL)"""
 

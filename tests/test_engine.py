@@ -201,6 +201,16 @@ def test_token_rows_whole_and_cut(spark):
         rollout.token_rows(df, None, 3, "error").collect()
 
 
+def test_canonical_names_of_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from memengine.plans import table_queries
+
+    spark.createDataFrame([(1, "a" * 60 + " End"), (2, "a" * 60 + " Other"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.canon_hash for r in table_queries.whole_canonical_names(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha1(t.encode()).hexdigest() for i, t in ((1, "a" * 60 + "_end"), (2, "a" * 60 + "_other"), (3, "unknown"))}
+
+
 def test_find_keys(spark):
     df = spark.createDataFrame([(1, '{"graph": {"question": "x", "n": [{"gold_answer": 1}]}, "edges": [{"target": "a"}], "target": 2}'), (2, "not json question")], "id int, j string")
     found = {(r.row_id, r.path) for r in audit.find_keys(df, "id", "j", ["question", "gold_answer", "target"], edge_targets=True).collect()}
