@@ -401,6 +401,10 @@ def scores(docs: DataFrame, train) -> DataFrame:
     ends = parts.select(F.explode("trains").alias("t")).where("t").count()
     n, v = (n or 0) + ends, v + (1 if ends else 0)
     counts = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("s")).select("block", F.col("s.c").alias("known"))
+    # compact from here on: what the last exchanges carry is the texts, one array of counts and the logs
+    counts = saved(counts, "ppm-known")
+    dropped(known)
+    released(spark)
     logs = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "logs"))).alias("s")).select("block", F.col("s.logs").alias("logs"))
     full = parts.select("block", "ids", "texts", "trains").join(counts.hint("merge"), "block", "left").join(logs.hint("merge"), "block")
 
