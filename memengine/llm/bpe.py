@@ -6,19 +6,20 @@
 * ``RankSynchronousCounter`` holds all pre-tokens of a batch in ragged numpy arrays and applies the lowest-rank
   pair of every sequence in the same round, until no sequence has a mergeable pair.
 
-Both give what the ``tokenizers`` library gives. Texts are cut at white space into chunks no pre-token crosses;
-results of chunks are remembered in a table of bounded size per Python worker.
+Both give what the ``tokenizers`` library gives. ``TokenTable`` makes the pre-tokens of many texts at once: Arrow cuts
+texts at white space, distinct chunks become pre-tokens, and each distinct pre-token is merged once. Nothing is kept
+from one part of a batch to the next, so memory is bounded by ``PART_CHARS`` and the longest stretch without a space.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import json
-import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed values of the two public vocabularies: the Unicode White_Space characters and the split patterns.
@@ -26,9 +27,11 @@ WHITE = "\t-\r \x85\xa0  -     　"
 GPT_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 WORD_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 
-MEMO_CHUNKS = 500_000
 LONG = 192
 BATCH = 8192
+#: Characters of text whose pre-tokens are made together, and distinct pre-tokens that are merged together.
+PART_CHARS = 8 << 20
+MERGED_TOGETHER = 1 << 16
 
 
 def byte_characters() -> list[str]:
@@ -59,16 +62,13 @@ class Vocabulary:
         pairs = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
         left, right, made = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         keys = left * self.size + right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.key_rank = keys[order], order.astype(np.int64)
+        self._pair_table(keys)
         self.made = made
         self.n_merges = len(made)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.split = regex.compile(WORD_SPLIT if self.lower else GPT_SPLIT)
-        self.chunk = regex.compile(rf"[^{WHITE}]+" if self.lower else rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        #: white space that is more than one space between two words
-        self.blank_line = regex.compile(rf"\.\n[{WHITE}]")
-        self.uneven = regex.compile(rf" [{WHITE}]|[{WHITE}] ")
+        #: a place where a long text can be cut: one space between two words
+        self.gap = regex.compile(rf"[^{WHITE}](?= [^{WHITE}])")
         byte_of = {c: b for b, c in enumerate(chars)}
         self.bytes_of = [b""] * self.size
         for t, i in self.ids.items():
@@ -84,63 +84,100 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def chunks(self, text: str) -> list[str]:
-        if self.lower and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split()
-        return self.chunk.findall(text)
-
-    def pre_tokens(self, piece: str) -> list[bytes]:
-        """Pre-tokens of a prepared piece of text."""
-        # a word, alone or with one mark behind it, needs no pattern
-        word = piece[1:] if piece[:1] == " " and not self.lower else piece
-        if word.isalpha():
-            return [piece.encode()]
-        if word[:-1].isalpha() and word[-1] in ".,!?;:":
-            return [piece[:-1].encode(), word[-1].encode()]
-        return [t.encode() for t in self.split.findall(piece)]
-
-    def parts(self, chunk: str) -> list[int | bytes]:
-        """Ids of special tokens and pre-tokens of a piece as it stands in the text, in order."""
-        out: list[int | bytes] = []
-        for piece in self.special_re.split(chunk) if self.special_re is not None else [chunk]:
+    def parts(self, text: str) -> list[int | str]:
+        """Ids of special tokens, and pre-tokens, of a text as it stands, in order."""
+        out: list[int | str] = []
+        for piece in self.special_re.split(text) if self.special_re is not None else [text]:
             if piece in self.special:
                 out.append(self.special[piece])
             elif piece:
-                out += self.pre_tokens(self.prepared(piece))
+                out += self.split.findall(self.prepared(piece))
         return out
 
+    def _pair_table(self, keys: np.ndarray) -> None:
+        """Ranks of pairs by open addressing."""
+        self.bits = int(len(keys)).bit_length() + 2
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.slot_rank = np.full(1 << self.bits, len(keys), np.int64)
+        todo, at = np.arange(len(keys)), self._spot(keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = keys[todo[free]]  # of several that want one slot the last gets it
+            won = self.slots[at] == keys[todo]
+            self.slot_rank[at[won]] = todo[won]
+            todo, at = todo[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; ``n_merges`` where it never merges."""
         keys = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, keys), self.n_merges - 1)
-        return np.where(self.keys[at] == keys, self.key_rank[at], self.n_merges)
+        at = self._spot(keys)
+        there = self.slots[at]
+        out = np.where(there == keys, self.slot_rank[at], self.n_merges)
+        open_ = np.nonzero((there != keys) & (there >= 0))[0]
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            there = self.slots[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.slot_rank[at[hit]]
+            more = ~hit & (there >= 0)
+            open_, at = open_[more], at[more]
+        return out
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions starts[i], starts[i] + 1, .. of every i, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Merged:
+    """Ids of sequences, one after another: those of sequence i begin at ``starts[i]``, ``sizes[i]`` of them."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray | None = None):
+        """``owner``: which sequence each stretch belongs to; each has one stretch."""
+        starts = np.cumsum(sizes) - sizes
+        self.ids = ids
+        if owner is not None:
+            by = np.empty(len(owner), np.int64)
+            by[owner] = np.arange(len(owner))
+            starts, sizes = starts[by], sizes[by]
+        self.starts, self.sizes = starts, sizes
+
+
 class SegmentTreeBPE:
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
 
-    def encode(self, tokens: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token."""
-        out: list[np.ndarray | None] = [None] * len(tokens)
-        by_width: dict[int, list[int]] = {}
-        for k, t in enumerate(tokens):
-            n = len(t)
-            if n > LONG:
-                out[k] = self._one(t)
-            else:
-                by_width.setdefault(1 if n < 3 else 1 << (n - 2).bit_length(), []).append(k)
-        for width, members in by_width.items():
-            for s in range(0, len(members), BATCH):
-                part = members[s : s + BATCH]
-                for k, ids in zip(part, self._many([tokens[k] for k in part], width), strict=True):
-                    out[k] = ids
-        return out
+    def merge(self, flat: np.ndarray, lengths: np.ndarray) -> Merged:
+        """Ids of each pre-token; ``flat`` holds their bytes one after another."""
+        starts = np.cumsum(lengths) - lengths
+        ids, sizes, owner = [], [], []
+        width = np.where(lengths < 3, 1, 1 << np.ceil(np.log2(np.maximum(lengths - 1, 1))).astype(np.int64))
+        width[lengths > LONG] = 0
+        for w in np.unique(width):
+            members = np.nonzero(width == w)[0]
+            for s in range(0, len(members), BATCH if w else 1):
+                part = members[s : s + (BATCH if w else 1)]
+                if w:
+                    found, n = self._many(flat, starts[part], lengths[part], int(w))
+                else:
+                    found = self._one(flat[starts[part[0]] : starts[part[0]] + lengths[part[0]]].tobytes())
+                    n = np.array([len(found)])
+                ids.append(found)
+                sizes.append(n)
+                owner.append(part)
+        if not ids:
+            return Merged(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Merged(np.concatenate(ids), np.concatenate(sizes), np.concatenate(owner))
 
     def _symbols(self, token: bytes) -> np.ndarray:
         ids = self.v.byte_ids[np.frombuffer(token, np.uint8)]
@@ -148,11 +185,10 @@ class SegmentTreeBPE:
             ids[-1] = self.v.last_ids[token[-1]]
         return ids
 
-    def _many(self, tokens: list[bytes], width: int) -> list[np.ndarray]:
+    def _many(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """``width`` leaves a tree, a power of two that holds the pairs of every token here."""
-        v, rows, cols = self.v, len(tokens), width + 1
-        lengths = np.array([len(t) for t in tokens])
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
+        v, rows, cols = self.v, len(starts), width + 1
+        flat = flat[ragged(starts, lengths)]
         row = np.repeat(np.arange(rows), lengths)
         col = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         symbol = np.full((rows, cols + 1), -1, np.int64)
@@ -205,8 +241,7 @@ class SegmentTreeBPE:
                 put(r, p, leaf_value(symbol[r, p], made[has], p))
             live = live[tree[live, 1] < never]
         kept = symbol >= 0
-        ids, ends = symbol[kept], np.cumsum(kept.sum(1))
-        return np.split(ids, ends[:-1])
+        return symbol[kept], kept.sum(1)
 
     def _one(self, token: bytes) -> np.ndarray:
         """The same with Python lists, for one long pre-token."""
@@ -260,33 +295,39 @@ class RankSynchronousCounter:
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
 
-    def count(self, tokens: list[bytes]) -> np.ndarray:
-        """Symbols that survive in each pre-token."""
-        out = np.zeros(len(tokens), np.int64)
-        for owner, sizes, _ in self._rounds(tokens):
+    def count(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Symbols that survive in each pre-token; ``flat`` holds their bytes one after another."""
+        out = np.zeros(len(lengths), np.int64)
+        for owner, sizes, _ in self._rounds(flat, lengths):
             out[owner] = sizes
         return out
 
-    def encode(self, tokens: list[bytes]) -> list[np.ndarray]:
-        """The symbols that survive in each pre-token."""
-        out = [np.zeros(0, np.int64)] * len(tokens)
-        for owner, sizes, symbols in self._rounds(tokens):
-            for k, ids in zip(owner.tolist(), np.split(symbols, np.cumsum(sizes)[:-1]), strict=True):
-                out[k] = ids
-        return out
+    def merge(self, flat: np.ndarray, lengths: np.ndarray) -> Merged:
+        """The symbols that survive in each pre-token, none of them empty."""
+        done = list(self._rounds(flat, lengths))
+        if not done:
+            return Merged(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        owner, sizes, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
+        return Merged(symbols, sizes, owner)
 
-    def _rounds(self, tokens: list[bytes]):
+    def _rounds(self, flat: np.ndarray, lengths: np.ndarray):
         """After each round, the sequences in which nothing merges any more: number, size, symbols."""
+        start = np.cumsum(lengths) - lengths
+        for s in range(0, len(lengths), MERGED_TOGETHER):
+            mine = lengths[s : s + MERGED_TOGETHER]
+            a = int(start[s])
+            for owner, sizes, symbols in self._together(flat[a : a + int(mine.sum())], mine):
+                yield owner + s, sizes, symbols
+
+    def _together(self, flat: np.ndarray, lengths: np.ndarray):
         v = self.v
-        lengths = np.array([len(t) for t in tokens], np.int64)
-        if not lengths.sum():
+        if not len(flat):
             return
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
         symbol = v.byte_ids[flat]
         full = np.nonzero(lengths)[0]
         last = np.cumsum(lengths)[full] - 1
         symbol[last] = v.last_ids[flat[last]]
-        owner = np.repeat(np.arange(len(tokens)), lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         rank = np.full(len(symbol), v.n_merges, np.int64)  # of the pair that starts here
         inner = np.nonzero(owner[:-1] == owner[1:])[0]
         rank[inner] = v.ranks(symbol[inner], symbol[inner + 1])
@@ -323,85 +364,159 @@ class RankSynchronousCounter:
             rank[pair] = v.ranks(symbol[pair], symbol[pair + 1])
 
 
-#: A full stop or comma that doesn't directly follow a letter or digit.
-ODD_MARK = re.compile(r"(?:^|[^\w]|_)[.,]")
-
-
-class ChunkCoder:
-    """What whole texts come to: chunks and pre-tokens that were met before are looked up, new ones go to ``merge``.
-
-    Values are ids as little-endian 32-bit integers. A key of ``known`` is a chunk of a text without its last comma or full stop. Under vocabularies that keep white space a
-    plain key stands for the chunk with one space before it, and a key that begins with NUL for the rest as it is."""
-
-    def __init__(self, vocab: Vocabulary, merge):
-        self.v, self.merge = vocab, merge
-        self.known, self.tokens = Memo(), Memo()
-
-    def keys(self, text: str) -> list[str]:
-        v = self.v
-        special = v.special_re is not None and "<" in text and v.special_re.search(text)
-        if special or "\0" in text:
-            # a special string ends the text before it: white space in front of it isn't split further
-            pieces = v.special_re.split(text) if special else [text]
-            return [f"\0{c}" for p in pieces if p for c in ([p] if p in v.special else v.chunks(v.prepared(p)))]
-        text = v.prepared(text)
-        plain = not ODD_MARK.search(text)
-        if v.lower:
-            return v.chunks(text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n") if plain else text)
-        if v.uneven.search(text):
-            return [f"\0{c}" for c in v.chunks(text)]
-        if plain:
-            text = text.replace(", ", " \0, ").replace(". ", " \0. ")
-            if not v.blank_line.search(text):
-                text = text.replace(".\n", " \0.\n \0")
-        out = text.split(" ")
-        out[0] = f"\0{out[0]}"
-        return out
-
-    def _parts(self, key: str) -> list[int | bytes]:
-        v = self.v
-        raw = key[:1] == "\0"
-        chunk = key[1:] if raw else key if v.lower else f" {key}"
-        if raw and chunk in v.special:
-            return [v.special[chunk]]
-        return v.pre_tokens(chunk) if chunk else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        return [b"".join(map(self.known.__getitem__, k)) for k in self._looked_up(texts)]
-
-    def _looked_up(self, texts: list[str]) -> list[list[str]]:
-        """The keys of each text, all of them in ``known``."""
-        keys = [self.keys(t) for t in texts]
-        known, tokens = self.known, self.tokens
-        seen = set().union(*keys)
-        new = known.room_for(seen)
-        if new:
-            parts = [self._parts(c) for c in new]
-            wanted = {t for p in parts for t in p if isinstance(t, bytes)}
-            order = tokens.room_for(wanted)
-            for t, ids in zip(order, self.merge(order), strict=True):
-                tokens[t] = ids.astype("<i4").tobytes()
-            for c, p in zip(new, parts, strict=True):
-                known[c] = tokens[p[0]] if len(p) == 1 and isinstance(p[0], bytes) else b"".join(t.to_bytes(4, "little") if isinstance(t, int) else tokens[t] for t in p)
-        return keys
-
-
-class Memo(dict):
-    """Results by key, of a bounded number: before it outgrows the bound it forgets the older half."""
-
-    def room_for(self, keys: set) -> list:
-        """Makes room for ``keys``, forgets none of them, and returns those that are not known."""
-        if len(self) + len(keys) > MEMO_CHUNKS:
-            kept = {k: self[k] for k in keys if k in self}
-            for k in list(itertools.islice(self, max(0, len(self) - max(0, MEMO_CHUNKS // 2 - len(keys))))):
-                del self[k]
-            self.update(kept)
-        return [k for k in keys if k not in self]
-
-
-_MEMOS: dict[tuple, Memo] = {}
-
-
-def memo(*key) -> Memo:
-    return _MEMOS.setdefault(key, Memo())
+MARKS = ".,!?;:"
+
+
+class TokenTable:
+    """The distinct pre-tokens of many texts, and every text as a run of numbers into them.
+
+    ``tokens`` are distinct pre-tokens; ``refs[offsets[i]:offsets[i + 1]]`` are those of text i, where a number
+    n >= len(tokens) stands for the special id ``specials[n - len(tokens)]``."""
+
+    def __init__(self, v: Vocabulary, texts: list[str]):
+        self.v = v
+        odd = {i: None for i, t in enumerate(texts) if (v.special_re is not None and "<" in t and v.special_re.search(t)) or (v.lower and any(c in t for c in "\x1c\x1d\x1e\x1f"))}
+        codes, offsets, chunks = self._cut(["" if i in odd else v.prepared(t) for i, t in enumerate(texts)])
+        if not v.lower:
+            odd |= dict.fromkeys(self._uneven(codes, offsets, chunks).tolist())
+            codes[offsets[:-1]] += len(chunks)  # a text's first chunk has no space before it
+        # which chunks occur, and what each comes to
+        seen = np.zeros(2 * len(chunks), bool)
+        seen[codes] = True
+        used, codes = np.nonzero(seen)[0], (np.cumsum(seen) - 1)[codes]
+        raw = used >= len(chunks)
+        strings = chunks.take(pa.array(used % max(1, len(chunks))))
+        word = pc.utf8_rtrim(strings, MARKS)
+        plain = pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False)
+        cut = pc.utf8_length(strings).to_numpy() - pc.utf8_length(word).to_numpy()
+        one, two = plain & (cut == 0), plain & (cut == 1)
+        at_one, at_two, at_odd = np.nonzero(one)[0], np.nonzero(two)[0], np.nonzero(~(one | two))[0]
+        bare = lambda at: at[raw[at]] if not v.lower else at
+        led = lambda at: at[~raw[at]] if not v.lower else at[:0]
+        space = lambda a: pc.binary_join_element_wise(pa.scalar(" "), a, pa.scalar("")) if len(a) else a
+        some = lambda a, at: a.take(pa.array(at))
+        words = [some(strings, bare(at_one)), space(some(strings, led(at_one))), some(word, bare(at_two)), space(some(word, led(at_two))), some(pc.utf8_slice_codeunits(strings, -1), at_two)]
+        owner = [bare(at_one), led(at_one), bare(at_two), led(at_two), at_two]
+        place = [np.zeros(len(o), np.int64) for o in owner[:4]] + [np.ones(len(at_two), np.int64)]
+        rest, rest_owner, rest_place = [], [], []
+        for k, c in zip(at_odd.tolist(), some(strings, at_odd).to_pylist(), strict=True):
+            found = v.split.findall(c if raw[k] or v.lower else f" {c}") if c or not (raw[k] or v.lower) else []
+            rest += found
+            rest_owner += [k] * len(found)
+            rest_place += range(len(found))
+        # texts that are split as they stand
+        apart, special = [], []
+        for i in odd:
+            found = v.parts(texts[i])
+            for k, t in enumerate(found):
+                if isinstance(t, int):
+                    special.append(t)
+                    apart.append((i, k, -len(special)))
+                else:
+                    apart.append((i, k, len(rest)))
+                    rest.append(t)
+                    rest_owner.append(-1)
+                    rest_place.append(0)
+        words.append(pa.array(rest, pa.string()))
+        owner.append(np.array(rest_owner, np.int64))
+        place.append(np.array(rest_place, np.int64))
+        coded = pa.concat_arrays([w.cast(pa.string()) for w in words]).dictionary_encode()
+        self.tokens, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.specials = np.array(special, np.int64)
+        owner, place = np.concatenate(owner), np.concatenate(place)
+        own = np.nonzero(owner >= 0)[0]
+        own = own[np.lexsort((place[own], owner[own]))]
+        refs, per = number[own], np.bincount(owner[own], minlength=len(used))
+        first = np.cumsum(per) - per
+        # every text: its chunks' pre-tokens in order
+        lengths = per[codes]
+        flat = refs[ragged(first[codes], lengths)]
+        ends = np.concatenate(([0], np.cumsum(lengths)))[offsets]
+        if odd:
+            free = len(number) - len(rest)
+            by_text: dict[int, list[int]] = {i: [] for i in odd}
+            for i, _, k in apart:
+                by_text[i].append(int(number[free + k]) if k >= 0 else len(self.tokens) - k - 1)
+            runs = [np.array(by_text[i], np.int64) if i in by_text else flat[ends[i] : ends[i + 1]] for i in range(len(texts))]
+            flat, ends = np.concatenate(runs), np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+        self.refs, self.offsets = flat, ends
+
+    def _cut(self, texts: list[str]):
+        """Number of each chunk among the distinct ones, where each text's chunks start, and the distinct chunks."""
+        lists = (pc.utf8_split_whitespace if self.v.lower else lambda a: pc.split_pattern(a, " "))(pa.array(texts, pa.string()))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), offsets - offsets[0], coded.dictionary
+
+    def _uneven(self, codes: np.ndarray, offsets: np.ndarray, chunks) -> np.ndarray:
+        """Texts in which white space meets white space across a cut: it is split there in another way."""
+        begins = pc.match_substring_regex(chunks, f"^[{WHITE}]|^$").to_numpy(zero_copy_only=False)
+        stops = pc.match_substring_regex(chunks, f"[{WHITE}]$|^$").to_numpy(zero_copy_only=False)
+        meets = np.zeros(len(codes) + 1, bool)
+        if len(codes) > 1:
+            meets[1:-1] = stops[codes[:-1]] & begins[codes[1:]]
+        meets[offsets[:-1]] = False
+        return np.unique(np.searchsorted(offsets, np.nonzero(meets)[0], side="right") - 1)
+
+    def merged(self, merger) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text's begin; ``merger`` merges pre-tokens."""
+        flat, lengths = self.bytes()
+        m = merger.merge(flat, lengths)
+        ids = np.concatenate((m.ids, self.specials))
+        starts = np.concatenate((m.starts, len(m.ids) + np.arange(len(self.specials))))[self.refs]
+        sizes = np.concatenate((m.sizes, np.ones(len(self.specials), np.int64)))[self.refs]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[self.offsets]
+        return ids[ragged(starts, sizes)].astype("<i4"), ends
+
+    def counts(self, counter: RankSynchronousCounter) -> np.ndarray:
+        """Number of tokens of each text."""
+        sizes = np.concatenate((counter.count(*self.bytes()), np.ones(len(self.specials), np.int64)))
+        total = np.concatenate(([0], np.cumsum(sizes[self.refs])))
+        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+
+    def bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all pre-tokens one after another, and how many each has."""
+        a = pa.concat_arrays([self.tokens])
+        offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) if len(a) else np.zeros(1, np.int64)
+        flat = np.frombuffer(a.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        return flat, np.diff(offsets)
+
+
+def parted(v: Vocabulary, texts: list[str]):
+    """Pieces of texts in parts of about ``PART_CHARS``: (pieces, number of the text that each belongs to)."""
+    pieces, owner, held = [], [], 0
+    for i, t in enumerate(texts):
+        start = 0
+        while True:
+            stop = len(t)
+            if len(t) - start > PART_CHARS and (m := v.gap.search(t, start + PART_CHARS // 2)):
+                stop = m.end()
+            pieces.append(t[start:stop])
+            owner.append(i)
+            held += stop - start
+            start = stop
+            if held >= PART_CHARS:
+                yield pieces, np.array(owner)
+                pieces, owner, held = [], [], 0
+            if start >= len(t):
+                break
+    if pieces:
+        yield pieces, np.array(owner)
+
+
+def encoded(v: Vocabulary, merger, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another as little-endian 32-bit integers, and where each text's begin and end."""
+    ids, sizes = [], np.zeros(len(texts), np.int64)
+    for pieces, owner in parted(v, texts):
+        found, ends = TokenTable(v, pieces).merged(merger)
+        ids.append(found)
+        np.add.at(sizes, owner, np.diff(ends))
+    return np.concatenate(ids) if ids else np.zeros(0, "<i4"), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def counted(v: Vocabulary, counter: RankSynchronousCounter, texts: list[str]) -> np.ndarray:
+    """Number of tokens of each text."""
+    out = np.zeros(len(texts), np.int64)
+    for pieces, owner in parted(v, texts):
+        np.add.at(out, owner, TokenTable(v, pieces).counts(counter))
+    return out

@@ -18,48 +18,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import fresh, sub_batches, table, with_arrays
+from .common import fresh, table, with_arrays
 
 
-@functools.lru_cache(maxsize=4)
-def _coder(path: str) -> bpe.ChunkCoder:
+def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another as little-endian 32-bit integers, and where each text's begin and end."""
     v = bpe.vocabulary(path)
-    return bpe.ChunkCoder(v, bpe.SegmentTreeBPE(v).encode)
-
-
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers."""
-    coder = _coder(path)
-    return [ids for a, b in sub_batches(texts) for ids in coder.encode(texts[a:b])]
+    return bpe.encoded(v, bpe.SegmentTreeBPE(v), texts)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", name: str = "ids", drop_text: bool = False) -> DataFrame:
     """``df`` with the ids of ``text`` as an array of integers."""
 
     def compute(column):
-        coded = encode_texts([t or "" for t in column.to_pylist()], path)
-        offsets = np.zeros(len(coded) + 1, np.int32)
-        np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))]
+        ids, ends = encode_texts([t or "" for t in column.to_pylist()], path)
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
 
     return with_arrays(df, text, [(fresh(df, name), "array<int>")], compute, drop_text)
 
 
+@functools.lru_cache(maxsize=2)
+def _spelled(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids one after another, where each id's begin and how many it has; one more entry is empty."""
+    v = bpe.vocabulary(path)
+    ends = {i for t, i in v.ids.items() if v.suffix and t.endswith(v.suffix)}
+    spelled = [b + b" " if i in ends else b for i, b in enumerate(v.bytes_of)] + [b""]
+    sizes = np.array([len(b) for b in spelled], np.int64)
+    return np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids``; special tokens are written out."""
 
     def compute(column):
-        v = bpe.vocabulary(path)
-        table_, size, tail = v.bytes_of, v.size, v.suffix
-        ends = {i for t, i in v.ids.items() if tail and t.endswith(tail)}
-        texts = []
-        for row in column:
-            row = [] if not row.is_valid else row.values.to_pylist()
-            if ends:
-                data = b"".join(table_[i] + (b" " if i in ends else b"") for i in row if i is not None and 0 <= i < size)
-            else:
-                data = b"".join([table_[i] for i in row if i is not None and 0 <= i < size])
-            texts.append(data.decode("utf-8", "replace"))
+        flat, starts, sizes = _spelled(path)
+        rows = column.offsets.to_numpy().astype(np.int64)
+        mine = column.values.slice(rows[0], rows[-1] - rows[0]).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        mine = np.where((mine < 0) | (mine >= len(sizes) - 1), len(sizes) - 1, mine)  # the last entry has no bytes
+        # null rows keep their (empty) place in the offsets
+        texts, step = [], 0
+        rows = rows - rows[0]
+        while step < len(column):
+            stop = max(step + 1, int(np.searchsorted(rows, rows[step] + (4 << 20), side="right")) - 1)
+            part = mine[rows[step] : rows[stop]]
+            data = flat[bpe.ragged(starts[part], sizes[part])].tobytes()
+            ends = np.concatenate(([0], np.cumsum(sizes[part])))[rows[step : stop + 1] - rows[step]].tolist()
+            texts += [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            step = stop
         return [pa.array(texts, pa.string())]
 
     return with_arrays(df, ids, [(fresh(df, name), "string")], compute)

@@ -87,13 +87,38 @@ def with_arrays(df: DataFrame, column: str, names_types: list[tuple[str, str]],
     return df.mapInArrow(run, full)
 
 
-def sub_batches(texts, limit: int = 2 << 20):
-    """Ranges of neighbouring texts of about ``limit`` characters together, one text at least."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+class Memo(dict):
+    """Results by key (bytes or text), of a bounded size: keys that would outgrow it push out all that isn't needed now."""
+
+    BYTES = 48 << 20
+    ENTRY = 150
+
+    def __init__(self):
+        super().__init__()
+        self.held = 0
+
+    def room_for(self, keys: set) -> list:
+        """Makes room for ``keys``, forgets none of them, and returns those that are not known."""
+        new = [k for k in keys if k not in self]
+        more = self._size(new)
+        if self.held + more > self.BYTES:
+            kept = {k: self[k] for k in keys if k in self}
+            self.clear()
+            self.update(kept)
+            self.held = self._size(kept)
+        self.held += more
+        return new
+
+    def _size(self, keys) -> int:
+        return sum(map(len, keys)) + self.ENTRY * len(keys)
+
+
+_MEMOS: dict[tuple, Memo] = {}
+
+
+def memo(*key) -> Memo:
+    """The memo of that name. A Python worker that is used again holds one at a time."""
+    if key not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[key] = Memo()
+    return _MEMOS[key]

@@ -28,8 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import dropped, saved, table, with_arrays
+from .common import dropped, memo, saved, table, with_arrays
 from .components import components
 
 PERMUTATIONS = 64
@@ -55,7 +54,7 @@ def shingles(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64), b""
-    known = bpe.memo("words")
+    known = memo("words")
     for w in known.room_for(set(words)):
         known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

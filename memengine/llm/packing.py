@@ -12,25 +12,24 @@ Defined results:
 * null ids or text: packed as the empty example (for ``op2``, its end id alone); null in other columns passes through;
 * an example beyond the limits of one sequence is cut into pieces that each fill a sequence, and a rest;
 * an example without tokens and without an end id gives no piece; repeated rows are packed each;
-* ties go to the piece that came first; an empty table gives no rows;
+* of pieces with equal demand the first comes first, of equal scores the demand met first; an empty table gives no rows;
 * columns of the input stay; added names that clash get underscores in front.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import bpe
-from .common import fresh, sub_batches, table, with_arrays
+from .common import fresh, table, with_arrays
 
 
 @dataclass(frozen=True)
@@ -40,8 +39,9 @@ class Limits:
     loss: int = 4096
 
 
-#: Tokens a window holds before it is packed; a gap below ``MIN_GAP`` tokens is left as padding.
+#: Tokens and pieces a window holds before it is packed; a gap below ``MIN_GAP`` tokens is left as padding.
 WINDOW_TOKENS = 1 << 20
+WINDOW_PIECES = 1 << 16
 MIN_GAP = 32
 GIVE_BACK = 0.98
 
@@ -73,31 +73,35 @@ def cut_example(row, n: int, loss_from: int, limits: Limits) -> tuple[list[_Piec
 
 
 def pack_window(pieces: list[_Piece], limits: Limits) -> list[list[_Piece]]:
-    """Sequences by the dot-product heuristic."""
+    """Sequences by the dot-product heuristic. Pieces of equal demand are one class with a queue, so a choice costs
+    the number of different demands, not of pieces."""
     caps = np.array([limits.tokens, limits.segments, limits.loss], float)
-    need = np.array([[p.length, 1, p.loss] for p in pieces], float).reshape(-1, 3) / caps
-    weight = need.sum(0) / max(need.sum(), 1e-12)
-    score_parts = need * weight
-    slack = 1 + 1e-12
-    alive = np.arange(len(pieces))
+    queues: dict[tuple[int, int], list[_Piece]] = {}
+    for p in pieces:
+        queues.setdefault((p.length, p.loss), []).append(p)
+    need = np.array([[n, 1, loss] for n, loss in queues], float).reshape(-1, 3) / caps
+    left = np.array([len(q) for q in queues.values()])
+    waiting = [q[::-1] for q in queues.values()]
+    total = need.T @ left
+    worth = need * (total / max(total.sum(), 1e-12))
+    class_ = np.arange(len(left))
     out: list[list[_Piece]] = []
-    while len(alive):
-        room, bin_, taken = np.ones(3), [], []
-        demand, parts = need[alive], score_parts[alive]
-        free = np.ones(len(alive), bool)
+    while len(class_):
+        room, bin_ = np.ones(3), []
+        demand, parts, mine = need[class_], worth[class_], left[class_]
         while True:
-            fits = free & (demand <= room * slack + 1e-12).all(1)
+            fits = (mine > 0) & (demand <= room + 1e-9).all(1)
             if not fits.any():
                 break
             at = int(np.argmax(np.where(fits, parts @ room, -1.0)))
-            free[at] = False
-            taken.append(at)
+            mine[at] -= 1
             room = room - demand[at]
-            bin_.append(pieces[alive[at]])
-        if not taken:
+            bin_.append(waiting[class_[at]].pop())
+        if not bin_:
             raise ValueError("a piece exceeds the limits of a sequence")
         out.append(bin_)
-        alive = alive[free]
+        left[class_] = mine
+        class_ = class_[mine > 0]
     return out
 
 
@@ -144,7 +148,7 @@ class _Packer:
         if rest is not None:
             self.pool.append(rest)
             self.held += rest.length
-        if self.held >= self.window_tokens:
+        if self.held >= self.window_tokens or len(self.pool) >= WINDOW_PIECES:
             yield from self.flush(last=False)
 
     def flush(self, last: bool):
@@ -159,7 +163,7 @@ class _Packer:
             else:
                 self.pool += b
                 self.held += n
-        if not last and self.held >= self.window_tokens // 2:  # a window of pieces that don't combine
+        if not last and (self.held >= self.window_tokens // 2 or len(self.pool) >= WINDOW_PIECES // 2):  # a window of pieces that don't combine
             for b in pack_window(self.pool, self.limits):
                 yield b
             self.pool, self.held = [], 0
@@ -245,26 +249,20 @@ def pack(
     return base.mapInArrow(run, schema)
 
 
-@functools.lru_cache(maxsize=4)
-def _coder(path: str) -> bpe.ChunkCoder:
+def token_ids(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each text as the ``tokenizers`` library gives them, then ``end_id``, one after another as little-endian
+    32-bit integers, and where each text's begin and end."""
     v = bpe.vocabulary(path)
-    return bpe.ChunkCoder(v, bpe.RankSynchronousCounter(v).encode)
-
-
-def token_ids(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """Ids of each text as the ``tokenizers`` library gives them, then ``end_id``; little-endian 32 bits."""
-    coder, end = _coder(path), end_id.to_bytes(4, "little")
-    return [ids + end for a, b in sub_batches(texts) for ids in coder.encode(texts[a:b])]
+    ids, ends = bpe.encoded(v, bpe.RankSynchronousCounter(v), texts)
+    return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
 
 
 def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text", name: str = "ids") -> DataFrame:
     """``df`` without ``text``, with its ids and the end id; a null text is empty."""
 
     def compute(column):
-        coded = token_ids([t or "" for t in column.to_pylist()], path, end_id)
-        offsets = np.zeros(len(coded) + 1, np.int32)
-        np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))]
+        ids, ends = token_ids([t or "" for t in column.to_pylist()], path, end_id)
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
 
     return with_arrays(df, text, [(fresh(df, name), "array<int>")], compute, drop=True)
 
@@ -275,6 +273,22 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return pack(coded, with_ids=False)
 
 
+def conversation_examples(conversations: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(conv_id, turn, ids, prompt_tokens): each assistant turn as an example, prompted by the turn before it; only the
+    turn's own tokens and its end id bear loss."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = conversations.select("conv_id", "turn", "role", "text", F.lag("text").over(before).alias("prompt"))
+    asked = tokenize(turns.where("role = 'assistant'").select("conv_id", "turn", "text", "prompt"), path, end_id, text="prompt", name="prompt_ids")
+    both = tokenize(asked, path, end_id, name="answer_ids")
+    return both.select("conv_id", "turn", F.concat("prompt_ids", "answer_ids").alias("ids"), F.size("prompt_ids").alias("prompt_tokens"))
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data under three limits that all bind: tokens, segments and loss-bearing tokens."""
+    examples = conversation_examples(table(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return pack(examples, loss_from="prompt_tokens", limits=Limits(tokens=2048, segments=12, loss=1024), cut=False, with_ids=False)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")

@@ -6,7 +6,7 @@ from .bpe_codec import op3
 from .embedding_graph import op1
 from .language_id import op8
 from .minhash_dedup import op9
-from .packing import op2
+from .packing import op2, packed_conversations
 from .ppm_scoring import op5
 from .quality_rules import op6
 from .sharding import op4
@@ -26,6 +26,7 @@ def queries():
         "op5_ppm_scores": op5,
         "op6_robust_outliers": op6,
         "op7_rank_synchronous_counts": op7,
+        "packed_conversations": packed_conversations,
     }
 
 

@@ -8,34 +8,21 @@ columns of the input stay, added names that clash get underscores in front.
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import fresh, sub_batches, table, with_arrays
+from .common import fresh, table, with_arrays
 
 LIMIT = 2048
 
 
-def count_texts(texts: list[str], path: str) -> list[int]:
+def count_texts(texts: list[str], path: str) -> np.ndarray:
     v = bpe.vocabulary(path)
-    counter, known = bpe.RankSynchronousCounter(v), bpe.memo("counts", path)
-    out: list[int] = []
-    for a, b in sub_batches(texts):
-        chunks = [v.chunks(t) for t in texts[a:b]]
-        seen = set().union(*chunks)
-        new = known.room_for(seen)
-        if new:
-            parts = [v.parts(c) for c in new]
-            tokens = {t for p in parts for t in p if isinstance(t, bytes)}
-            order = list(tokens)
-            size = dict(zip(order, counter.count(order).tolist(), strict=True))
-            for c, p in zip(new, parts, strict=True):
-                known[c] = sum(1 if isinstance(t, int) else size[t] for t in p)
-        out += [sum(map(known.__getitem__, c)) for c in chunks]
-    return out
+    return bpe.counted(v, bpe.RankSynchronousCounter(v), texts)
 
 
 def with_token_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_tokens", drop_text: bool = False) -> DataFrame:

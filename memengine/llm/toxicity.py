@@ -28,8 +28,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import fold, fresh, saved, table, with_arrays
+from .common import fold, fresh, memo, saved, table, with_arrays
 
 #: Common insults, second-person words of four languages, look-alike characters.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool foolish ugly hate jerk pig bastard crap shut vermin filth imbecile cretin".split())
@@ -113,7 +112,7 @@ class Features:
         text = text or ""
         chunks = text.lower().split()
         n = len(chunks)
-        known = bpe.memo(*self.key)
+        known = memo(*self.key)
         for c in known.room_for(set(chunks)):
             known[c] = self._chunk(c)
         found = [(i, k) for i, k in enumerate(map(known.__getitem__, chunks)) if k is not None]

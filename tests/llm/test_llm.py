@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from memengine.llm import bpe_codec, embedding_graph, language_id, minhash_dedup, packing, ppm_scoring, quality_rules, sharding, token_counts, toxicity
+from memengine.llm import bpe, bpe_codec, embedding_graph, language_id, minhash_dedup, packing, ppm_scoring, quality_rules, sharding, token_counts, toxicity
 from memengine.llm.components import components
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -23,12 +23,25 @@ def library(path, texts):
     return [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
-def test_merges_equal_the_library():
-    ids = [np.frombuffer(b, "<i4").tolist() for b in bpe_codec.encode_texts(ODD, BYTE)]
-    assert ids == library(BYTE, ODD)
-    want = library(WORD, ODD)
-    assert token_counts.count_texts(ODD, WORD) == [len(w) for w in want]
-    assert [np.frombuffer(b, "<i4").tolist() for b in packing.token_ids(ODD, WORD, 2)] == [w + [2] for w in want]
+def lists(coded):
+    ids, ends = coded
+    return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def fuzzed(n=400):
+    rng = np.random.default_rng(12)
+    bits = ["a", "Bc", "é", "é", "Σ", "ß", "İ", "don't", "12", "3", ".", ",", "!?", "\n", "\t", " ", " ", "  ", "\u00a0", "\u2003", "\x85", "<|endoftext|>", "<", "日本", "😀", "'s", "-", "x" * 250, "\x1c", "\0"]
+    return ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("part", [1 << 20, 40])
+def test_merges_equal_the_library(monkeypatch, part):
+    monkeypatch.setattr(bpe, "PART_CHARS", part)
+    texts = [*ODD, *fuzzed(), *ODD[::-1]]
+    assert lists(bpe_codec.encode_texts(texts, BYTE)) == library(BYTE, texts)
+    want = library(WORD, texts)
+    assert token_counts.count_texts(texts, WORD).tolist() == [len(w) for w in want]
+    assert lists(packing.token_ids(texts, WORD, 2)) == [w + [2] for w in want]
 
 
 def test_codec_round_trip_and_nulls(spark):
@@ -83,6 +96,38 @@ def test_packing_limits_and_coverage(spark):
     assert packing.pack(df.where("false")).count() == 0
 
 
+def by_hand(pieces, limits):
+    """The dot-product heuristic, piece by piece."""
+    caps = np.array([limits.tokens, limits.segments, limits.loss], float)
+    need = [np.array([p.length, 1, p.loss]) / caps for p in pieces]
+    weight = sum(need) / sum(need).sum()
+    left, out = list(range(len(pieces))), []
+    while left:
+        room, got = np.ones(3), []
+        while fitting := [i for i in left if (need[i] <= room + 1e-9).all()]:
+            best = max(fitting, key=lambda i: (round(float((need[i] * weight) @ room), 12), -i))
+            left.remove(best)
+            got.append(best)
+            room = room - need[best]
+        out.append([(pieces[i].length, pieces[i].loss) for i in got])
+    return out
+
+
+def test_packing_follows_the_heuristic():
+    rng = np.random.default_rng(5)
+    limits = packing.Limits(tokens=256, segments=6, loss=90)
+    pieces = [packing._Piece(i, 0, int(n), int(rng.integers(max(0, n - 90), n + 1))) for i, n in enumerate([*rng.integers(1, 120, 150), *[1] * 40, *[70] * 20])]
+    got = packing.pack_window(pieces, limits)
+    assert [[(p.length, p.loss) for p in b] for b in got] == by_hand(pieces, limits)
+    full = [(sum(p.length for p in b), len(b), sum(p.loss for p in b)) for b in got]
+    assert any(s == 6 for _, s, _ in full) and any(x >= 88 for *_, x in full) and any(t >= 250 for t, *_ in full)
+
+
+def test_packing_of_very_many_tiny_pieces():
+    pieces = [packing._Piece(i, 0, 1, 1) for i in range(30_000)]
+    assert len(packing.pack_window(pieces, packing.Limits())) == -(-30_000 // 128)
+
+
 def test_language_profiles(spark):
     words = {"aa": ["tha", "shi", "hun"], "bb": ["que", "ñor", "zil"]}
     rows = [(i, " ".join(words[g][(i + k) % 3] for k in range(20)), g) for i in range(20) for g in words]
