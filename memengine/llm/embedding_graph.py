@@ -1,26 +1,28 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-1. Vectors go to the shards of their ``OVERLAP`` nearest centroids, which are fitted on a bounded sample; shards over
-   ``SHARD_ROWS`` are split again in the same way by centroids of their own, level by level, until none is left. A
-   shard that no centroids part (all of one direction) stays whole.
-2. A task builds its shard's graph: each vector's nearest candidates, pruned so that no kept neighbour is much
-   closer to a candidate than the vector itself (robust pruning), plus the reverse edges. From the shard's medoid it
-   runs a greedy beam search for each of its vectors, which goes on expanding every node within the range.
-3. The adjacency lists of all shards are united. Every vector, linked or not, walks greedily along the united edges
-   from its nearest neighbour while it gets nearer. Then links are extended along the united edges of their ends, round
-   by round, until a round finds nothing. Both are joins and carry the search across shards; rounds that run out fail.
-4. Every link is verified by cosine in double precision. Recall is audited by brute force against all vectors on two
-   bounded samples, one of all vectors and one of those with links; the lower one is returned with each row, and one
-   below ``LEAST_RECALL`` fails.
-
-Vectors equal in every component are one node with a count.
+1. Vectors go to the shards of their ``overlap`` nearest centroids, which are fitted on a bounded sample; shards over
+   ``SHARD_ROWS`` are split again in the same way by centroids of their own, level by level. The shard of the nearest
+   centroids is a vector's home.
+2. A task builds its shard's graph: each vector's nearest candidates, pruned so that no kept neighbour is much closer
+   to a candidate than the vector itself (robust pruning), plus the reverse edges. A shard holds so few rows that its
+   candidates come from a matrix product; the search below is what carries across shards.
+3. The adjacency lists of all shards are united. A search task has a shard's vectors, the vectors that the united lists
+   of its residents lead to, and all their lists. Every resident is a query once, at home: it descends greedily from
+   the medoid, and from its own place, keeps the nearest of what it meets, and expands every node within the range.
+4. What is in range is verified by cosine in double precision. A task returns counts of links and, for each node it has
+   linked, one edge to the smallest node of its part of the component, so no set of pairs is ever written.
+5. Recall is audited by brute force against all vectors on two bounded samples, one of all vectors and one of those
+   with links. While the lower one is under ``WANTED_RECALL``, everything is done again with more overlap; one under
+   ``LEAST_RECALL`` at the end fails. It comes with each row, null where the samples have no link to find.
+
+Vectors of one direction (to 12 digits) are one node with a count.
 
 Defined results:
 * null, zero, empty or non-finite vectors, and null components: linked with nothing, own component, kept;
 * vectors of different lengths are never linked; a null id: linked with nothing, null component, kept;
-* rows that repeat an id: one node if the vectors are equal, each copy counts as a vector; several vectors of one id
-  are counted as separate nodes that share the id;
-* an empty table gives no rows; columns besides id and vector are not looked at.
+* rows that repeat an id: each row is a vector and gets a row; the vectors of an id share its component;
+* ties between neighbours go to the smaller id; an empty table gives no rows;
+* columns besides id and vector are not looked at, so none can clash.
 """
 
 from __future__ import annotations
@@ -28,146 +30,169 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, released, saved, table
+from .common import dropped, saved, table
 from .components import components
 
-SAMPLE_PER_CENTROID = 16
-MAX_CENTROIDS = 2048
+SAMPLE_PER_CENTROID = 8
+MAX_CENTROIDS = 1024
 SHARD_TARGET = 1000
 SHARD_ROWS = 2000
-OVERLAP = 2
+FAN_OUT = 64
+CHUNK_ROWS = 20_000
+OVERLAPS = (2, 4, 8)
 CANDIDATES = 48
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 8
 AUDIT = 256
+WANTED_RECALL = 0.97
 LEAST_RECALL = 0.9
-MAX_ROUNDS = 50
-FAN_OUT = 64
-CHUNK_ROWS = 20_000
-WALK_PAIRS = 300_000
-WALK_CHUNKS = 64
 
 
-def usable(df: DataFrame, vec: str) -> DataFrame:
-    ok = F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    return df.where(ok)
+def _unit(x: np.ndarray) -> np.ndarray:
+    # scaled first, so that squares neither overflow nor vanish
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def matrix(units) -> np.ndarray:
+    """Rows of vectors of one length that are kept as bytes of doubles."""
+    units = list(units)
+    return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
+
+
+def unit_vectors(df: DataFrame, vec_id: str, vec: str) -> DataFrame:
+    """(vec_id, key, unit): the vector scaled to length one as bytes of doubles, and a hash of its direction; both
+    null where the vector can't be used."""
 
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            starts = column.offsets.to_numpy().astype(np.int64)
+            sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(starts))
+            values = column.values.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            keys, units = np.full(len(sizes), None, object), np.full(len(sizes), None, object)
+            for n in np.unique(sizes[sizes > 0]):
+                at = np.nonzero(sizes == n)[0]
+                x = values[starts[at][:, None] + np.arange(n)]
+                good = np.isfinite(x).all(1)
+                good[good] = (x[good] != 0).any(1)
+                at, x = at[good], _unit(x[good])
+                # + 0.0 makes minus zero plain zero
+                keys[at] = [xxhash.xxh3_128_digest(r.tobytes()) for r in np.round(x, 12) + 0.0]
+                units[at] = [r.tobytes() for r in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "key", "unit"])
+
+    return df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vec)).mapInArrow(run, "vec_id bigint, key binary, unit binary")
+
+
+def lloyd(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` unit centroids of unit vectors, by a few steps from a seeded draw."""
+    c = x[np.random.default_rng(11).permutation(len(x))[:k]]
+    for _ in range(5):
+        total = np.zeros_like(c)
+        np.add.at(total, np.argmax(x @ c.T, 1), x)
+        size = np.linalg.norm(total, axis=1)
+        c = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], c)
+    return c
 
-def centroids(nodes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Unit centroids for each vector length, by a few Lloyd steps on a sample of bounded size."""
-    k_all = int(min(MAX_CENTROIDS, max(1, -(-n * OVERLAP // SHARD_TARGET))))
+
+def centroids(nodes: DataFrame, n: int, overlap: int) -> dict[int, np.ndarray]:
+    """Unit centroids for each vector length, fitted on a sample of bounded size."""
+    k_all = int(min(MAX_CENTROIDS, max(1, -(-n * overlap // SHARD_TARGET))))
     want = SAMPLE_PER_CENTROID * k_all
     share = min(1.0, 1.5 * want / max(1, n))
-    rows = nodes.where(F.pmod(F.xxhash64("node", F.lit("centroids")), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(2 * want + 64).toArrow()
+    rows = nodes.where(F.pmod(F.xxhash64("first_id", F.lit("centroids")), F.lit(1 << 30)) < int(share * (1 << 30))).select("first_id", "node", "unit").limit(2 * want + 64).toArrow()
     by_length: dict[int, list] = {}
-    for v in rows.column(0).to_pylist():
-        by_length.setdefault(len(v), []).append(v)
-    out = {}
-    for length, vs in by_length.items():
-        x = _unit(np.array(vs, float))
-        k = max(1, min(len(x), round(k_all * len(x) / max(1, rows.num_rows))))
-        c = x[np.random.default_rng(11).permutation(len(x))[:k]]
-        for _ in range(5):
-            near = np.argmax(x @ c.T, 1)
-            total = np.zeros_like(c)
-            np.add.at(total, near, x)
-            size = np.linalg.norm(total, axis=1)
-            c = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], c)
-        out[length] = c
-    return out
+    for _, _, u in sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True)):
+        by_length.setdefault(len(u) // 8, []).append(u)
+    return {n_: lloyd(matrix(us), max(1, min(len(us), round(k_all * len(us) / rows.num_rows)))) for n_, us in by_length.items()}
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    # scaled first, so that squares neither overflow nor vanish
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def nearest(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
+    """The ``overlap`` nearest centroids of each row, the nearest first."""
+    return np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
+
 
+SHARDS = "shard string, node bigint, first_id bigint, unit binary, own boolean"
 
-def sharded(nodes: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
-    """(shard, node, vec): each node once per shard it belongs to."""
+
+def sharded(nodes: DataFrame, centers: dict[int, np.ndarray], overlap: int) -> DataFrame:
+    """``SHARDS``: each node once per shard it belongs to; ``own`` marks its home."""
 
     def run(batches):
         for batch in batches:
-            ids, vecs = batch.column(0), batch.column(1)
-            lengths = np.array([len(v) for v in vecs])
-            shard, pick = [], []
-            for length in np.unique(lengths):
-                at = np.nonzero(lengths == length)[0]
-                if length not in centers:  # a length the sample doesn't have
-                    shard += [f"{length}:0"] * len(at)
-                    pick.append(at)
-                    continue
-                c = centers[length]
-                x = _unit(np.stack([vecs[int(i)].values.to_numpy(zero_copy_only=False) for i in at]).astype(float))
-                o = min(OVERLAP, len(c))
-                near = np.argpartition(-(x @ c.T), o - 1, axis=1)[:, :o]
-                shard += [f"{length}:{s}" for s in near.ravel()]
-                pick.append(np.repeat(at, o))
+            units = batch.column(2)
+            lengths = np.array([len(u.as_buffer()) // 8 for u in units], np.int64)
+            shard, pick, own = [], [], []
+            for n in np.unique(lengths):
+                at = np.nonzero(lengths == n)[0]
+                if n in centers:
+                    near = nearest(matrix(units.take(pa.array(at)).to_pylist()), centers[n], overlap)
+                else:  # a length the sample doesn't have
+                    near = np.zeros((len(at), 1), np.int64)
+                shard += [f"{n}:{s}" for s in near.ravel()]
+                pick.append(np.repeat(at, near.shape[1]))
+                own.append(np.tile(np.arange(near.shape[1]) == 0, len(at)))
             take = pa.array(np.concatenate(pick) if pick else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.string()), ids.take(take), vecs.take(take)], names=["shard", "node", "vec"])
+            columns = [pa.array(shard, pa.string()), *(batch.column(k).take(take) for k in range(3)), pa.array(np.concatenate(own) if own else np.zeros(0, bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "node", "first_id", "unit", "own"])
 
-    first = saved(nodes.select("node", "vec").mapInArrow(run, "shard string, node bigint, vec array<double>"), "graph-shards")
-    return split_again(first)
+    first = saved(nodes.select("node", "first_id", "unit").mapInArrow(run, SHARDS), "graph-shards")
+    return split_again(first, overlap)
 
 
-def _own_centroids(x: np.ndarray, k: int) -> np.ndarray:
+def _parting(x: np.ndarray, k: int, overlap: int) -> np.ndarray:
     """At most ``k`` unit centroids of a sample, none of them among the nearest of most of it."""
-    c = x[np.random.default_rng(11).permutation(len(x))[:k]]
-    for _ in range(5):
-        total = np.zeros_like(c)
-        np.add.at(total, np.argmax(x @ c.T, 1), x)
-        size = np.linalg.norm(total, axis=1)
-        c = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], c)
-    while len(c) > OVERLAP + 1:
-        near = np.argpartition(-(x @ c.T), OVERLAP - 1, axis=1)[:, :OVERLAP]
-        drawn = np.bincount(near.ravel(), minlength=len(c))
+    c = lloyd(x, k)
+    while len(c) > overlap + 1:
+        drawn = np.bincount(nearest(x, c, overlap).ravel(), minlength=len(c))
         if drawn.max() <= 0.7 * len(x):
             break
         c = np.delete(c, drawn.argmax(), 0)
     return c
 
 
-def split_again(shards: DataFrame) -> DataFrame:
-    """Splits shards over ``SHARD_ROWS`` by centroids of their own, until none is left that can be parted."""
+def split_again(shards: DataFrame, overlap: int) -> DataFrame:
+    """Splits shards over ``SHARD_ROWS`` by centroids of their own, until none is left that gets smaller by it."""
+    lasting = max(SHARD_ROWS, 500 * overlap)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node")
-        c = _own_centroids(_unit(np.stack(frame["vec"].to_numpy()).astype(float)), int(frame["k"].iloc[0]))
+        frame = frame.sort_values(["first_id", "node"])
+        c = _parting(matrix(frame["unit"]), int(frame["k"].iloc[0]), overlap)
         return pd.DataFrame({"shard": frame["shard"].iloc[:1], "n": frame["n"].iloc[:1], "centers": [c.tolist()]})
 
     def deal(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"shard": [], "node": [], "vec": [], "parent_n": []})
-        c = np.stack([np.asarray(r, float) for r in model["centers"].iloc[0]])
-        o = min(OVERLAP, len(c))
-        near = np.argpartition(-(_unit(np.stack(rows["vec"].to_numpy()).astype(float)) @ c.T), o - 1, axis=1)[:, :o]
-        at = np.repeat(np.arange(len(rows)), o)
-        out = rows.iloc[at][["shard", "node", "vec", "n"]].rename(columns={"n": "parent_n"})
-        return out.assign(shard=[f"{s}/{i}" for s, i in zip(out["shard"], near.ravel(), strict=True)])
-
-    whole = "shard string, node bigint, vec array<double>, parent_n bigint"
+            return pd.DataFrame({c: [] for c in ("shard", "node", "first_id", "unit", "own", "parent_n")})
+        near = nearest(matrix(rows["unit"]), np.stack([np.asarray(r, float) for r in model["centers"].iloc[0]]), overlap)
+        at = np.repeat(np.arange(len(rows)), near.shape[1])
+        out = rows.iloc[at][["shard", "node", "first_id", "unit", "own", "n"]].rename(columns={"n": "parent_n"})
+        return out.assign(shard=[f"{s}/{i}" for s, i in zip(out["shard"], near.ravel(), strict=True)], own=out["own"].to_numpy() & np.tile(np.arange(near.shape[1]) == 0, len(rows)))
+
     done, now, level = None, shards.withColumn("parent_n", F.lit(None).cast("bigint")), 0
     while True:
         sizes = saved(now.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("parent_n").alias("parent_n")), "graph-sizes")
-        big = sizes.where((F.col("n") > SHARD_ROWS) & (F.col("parent_n").isNull() | (F.col("n") < F.col("parent_n")))).select("shard", "n")
+        big = sizes.where((F.col("n") > lasting) & (F.col("parent_n").isNull() | (F.col("n") < F.col("parent_n")))).select("shard", "n")
         if big.isEmpty():
-            small = now.select("shard", "node", "vec")
+            small = now.drop("parent_n")
             return small if done is None else done.unionByName(small)
         level += 1
-        small = now.join(big.hint("merge"), "shard", "left_anti").select("shard", "node", "vec")
+        small = now.join(big.hint("merge"), "shard", "left_anti").drop("parent_n")
         done = small if done is None else done.unionByName(small)
         chunks = F.floor((F.col("n") - 1) / CHUNK_ROWS) + 1
-        rows = now.select("shard", "node", "vec").join(big.hint("merge"), "shard").withColumn("k", F.least(F.lit(FAN_OUT), F.ceil(F.col("n") * OVERLAP / SHARD_TARGET)).cast("int"))
-        share = F.least(F.lit(1.0), 1.5 * SAMPLE_PER_CENTROID * F.col("k") / F.col("n"))
-        sample = rows.where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) < F.greatest(share, F.lit(0.01)) * (1 << 30))
+        wanted = F.greatest(F.lit(overlap + 1), F.ceil(F.col("n") * overlap / SHARD_TARGET))
+        rows = now.drop("parent_n").join(big.hint("merge"), "shard").withColumn("k", F.least(F.lit(FAN_OUT), wanted).cast("int"))
+        share = F.least(F.lit(1.0), 3.0 * SAMPLE_PER_CENTROID * F.col("k") / F.col("n"))
+        sample = rows.where(F.pmod(F.xxhash64("first_id", F.lit(level)), F.lit(1 << 30)) < share * (1 << 30))
         centers = sample.groupBy("shard").applyInPandas(fit, "shard string, n bigint, centers array<array<double>>")
         centers = saved(centers, "graph-centers").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks))
-        now = saved(rows.groupBy("shard", "chunk").cogroup(centers.groupBy("shard", "chunk")).applyInPandas(deal, whole), "graph-shards")
+        now = saved(rows.groupBy("shard", "chunk").cogroup(centers.groupBy("shard", "chunk")).applyInPandas(deal, f"{SHARDS}, parent_n bigint"), "graph-shards")
 
 
 def build_graph(x: np.ndarray) -> list[np.ndarray]:
@@ -176,245 +201,201 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
     near = min(CANDIDATES, n - 1)
     if near < 1:
         return [np.zeros(0, np.int64)] * n
-    cand = np.empty((n, near), np.int64)
-    dist = np.empty((n, near))
-    for s in range(0, n, 512):
-        sims = x[s : s + 512] @ x.T
-        sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
-        top = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+    rows, cols = [], []
+    for s in range(0, n, 256):
+        sims = x[s : s + 256] @ x.T
+        here = np.arange(len(sims))
+        sims[here, s + here] = -2
+        top = np.sort(np.argpartition(-sims, near - 1, axis=1)[:, :near], 1)
         value = np.take_along_axis(sims, top, 1)
         by = np.argsort(-value, axis=1, kind="stable")
-        cand[s : s + 512] = np.take_along_axis(top, by, 1)
-        dist[s : s + 512] = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(value, by, 1)))
-    alive = np.ones((n, near), bool)
-    kept = np.zeros((n, near), bool)
-    for r in range(near):
-        now = alive[:, r] & (kept.sum(1) < DEGREE)
-        kept[:, r] = now
-        if r + 1 < near and now.any():
-            mine, rest = x[cand[now, r]], x[cand[now, r + 1 :]]
-            between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nd,nkd->nk", mine, rest)))
-            alive[np.nonzero(now)[0], r + 1 :] &= ALPHA * between > dist[now, r + 1 :]
-    rows, cols = np.nonzero(kept)[0], cand[kept]
+        top, value = np.take_along_axis(top, by, 1), np.take_along_axis(value, by, 1)
+        dist = np.sqrt(np.maximum(0, 2 - 2 * value))
+        mine = x[top]
+        between = ALPHA * np.sqrt(np.maximum(0, 2 - 2 * (mine @ mine.transpose(0, 2, 1))))
+        alive, kept = np.ones(top.shape, bool), np.zeros(top.shape, bool)
+        for r in range(near):
+            kept[:, r] = alive[:, r] & (kept.sum(1) < DEGREE)
+            alive[:, r + 1 :] &= ~kept[:, r, None] | (between[:, r, r + 1 :] > dist[:, r + 1 :])
+        at, r = np.nonzero(kept)
+        rows.append(s + at)
+        cols.append(top[at, r])
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
     both = np.unique(np.concatenate((rows * n + cols, cols * n + rows)))
     return np.split(both % n, np.searchsorted(both // n, np.arange(1, n)))
 
 
-def range_search(x: np.ndarray, graph: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with cosine >= ``least`` that a beam search from the medoid and from the query's own node
-    meets, for every vector as a query, all in step. A node in range is always expanded; others while they are among the beam's best."""
-    n = len(x)
-    medoid = int(np.argmax(x @ x.mean(0)))
-    sims = np.full((n, n), -2.0, np.float32)
-    open_ = np.zeros((n, n), bool)
-    sims[:, medoid] = x @ x[medoid]
-    open_[:, medoid] = True
-    # a query is a node itself: its own place is a second entry beside the medoid
-    np.fill_diagonal(sims, 1.0)
-    np.fill_diagonal(open_, True)
-    width = max(len(g) for g in graph)
-    table_ = np.full((n, max(1, width)), -1, np.int64)
-    for i, g in enumerate(graph):
-        table_[i, : len(g)] = g
-    live = np.arange(n)
-    beam = min(BEAM, n)
-    while len(live):
-        mine = sims[live]
-        bar = np.minimum(np.partition(mine, n - beam, axis=1)[:, n - beam], least)
-        mine[~open_[live]] = -3
-        best = np.argmax(mine, 1)
-        go = mine[np.arange(len(live)), best] >= bar
-        go &= mine[np.arange(len(live)), best] > -2
-        live, best = live[go], best[go]
-        if not len(live):
-            break
-        open_[live, best] = False
-        steps = table_[best]
-        row = np.repeat(live, steps.shape[1])
-        col = steps.ravel()
-        new = col >= 0
-        row, col = row[new], col[new]
-        new = sims[row, col] == -2
-        row, col = row[new], col[new]
-        for s in range(0, len(row), 1 << 17):
-            r, c = row[s : s + (1 << 17)], col[s : s + (1 << 17)]
-            sims[r, c] = np.einsum("nd,nd->n", x[r], x[c])
-        open_[row, col] = True
-    return np.nonzero(sims >= np.float32(least - 1e-6))
-
-
-def search_shards(shards: DataFrame, cosine: float) -> DataFrame:
-    """(kind, a, b, sim): edges of each shard's graph ('edge', both directions) with their cosine, and pairs in range
-    ('pair', a < b)."""
+def shard_graphs(shards: DataFrame) -> DataFrame:
+    """(node, near): each node's neighbours in each of its shards."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         # rows come in any order; sorted, a repeated task does the same
-        frame = frame.drop_duplicates("node").sort_values("node")
+        frame = frame.sort_values(["first_id", "node"])
         ids = frame["node"].to_numpy()
-        x = _unit(np.stack(frame["vec"].to_numpy()).astype(float))
-        graph = build_graph(x)
-        src = np.repeat(np.arange(len(x)), [len(g) for g in graph])
-        dst = np.concatenate(graph).astype(np.int64)
-        sim = np.concatenate([np.einsum("nd,nd->n", x[src[i : i + (1 << 17)]], x[dst[i : i + (1 << 17)]]) for i in range(0, len(src), 1 << 17)] or [np.zeros(0)])
-        q, v = range_search(x, graph, cosine)
-        low, high = np.minimum(ids[q], ids[v]), np.maximum(ids[q], ids[v])
-        pairs = pd.DataFrame({"a": low, "b": high})[low < high].drop_duplicates()
-        edges = pd.DataFrame({"a": ids[src], "b": ids[dst], "sim": sim})
-        return pd.concat([edges.assign(kind="edge"), pairs.assign(kind="pair", sim=1.0)])[["kind", "a", "b", "sim"]]
-
-    return shards.groupBy("shard").applyInPandas(run, "kind string, a bigint, b bigint, sim float")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose cosine in double precision reaches ``cosine``."""
-    return cosines(pairs.select("a", "b"), nodes).where(F.col("sim") >= cosine).select("a", "b")
-
+        return pd.DataFrame({"node": ids, "near": [ids[g] for g in build_graph(matrix(frame["unit"]))]})
 
-def cosines(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, sim) of pairs (a, b) of nodes of one length, with their cosine in double precision."""
-    vec = nodes.select("node", "vec")
-    both = pairs.join(vec.select(F.col("node").alias("a"), F.col("vec").alias("va")).hint("merge"), "a")
-    both = both.join(vec.select(F.col("node").alias("b"), F.col("vec").alias("vb")).hint("merge"), "b")
+    return shards.groupBy("shard").applyInPandas(run, "node bigint, near array<bigint>")
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            va, vb = batch.column(2), batch.column(3)
-            la, lb = (np.diff(v.offsets.to_numpy()) for v in (va, vb))
-            ok = np.nonzero(la == lb)[0]
-            sim = np.full(batch.num_rows, -2.0)
-            for length in np.unique(la[ok]):
-                at = pa.array(ok[la[ok] == length])
-                x, y = (v.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, length) for v in (va, vb))
-                sim[at.to_numpy()] = np.einsum("nd,nd->n", _unit(x), _unit(y))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], names=["a", "b", "sim"])
-            yield out.filter(pa.array(sim > -2))
-
-    return both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, sim double")
-
-
-def walked(nodes: DataFrame, edges: DataFrame, cosine: float) -> DataFrame:
-    """(a, b), a < b: links that greedy walks over the united edges meet. Every vector starts at its nearest neighbour
-    and moves to the nearest of that one's neighbours as long as it gets nearer."""
-    spark = nodes.sparkSession
-    at = saved(edges.groupBy("a").agg(F.max(F.struct("sim", "b")).alias("m")).select(F.col("a").alias("q"), F.col("m.b").alias("x"), F.col("m.sim").cast("double").alias("bar")), "graph-at")
-    own = edges.select(F.col("a").alias("q"), F.col("b").alias("y"))
-    found = []
-    for _ in range(MAX_ROUNDS):
-        steps = at.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).hint("merge"), "x").where("q <> y")
-        steps = saved(steps.select("q", "y").join(own.hint("merge"), ["q", "y"], "left_anti"), "graph-steps")
-        chunks = min(WALK_CHUNKS, -(-steps.count() // WALK_PAIRS))
-        best = []
-        for k in range(chunks):
-            mine = steps.where(F.pmod(F.xxhash64("q", F.lit("walk")), F.lit(chunks)) == k)
-            scored = cosines(mine.select(F.col("q").alias("a"), F.col("y").alias("b")), nodes)
-            # of each query: its nearest, and all in range
-            top = scored.groupBy("a").agg(F.max(F.struct("sim", "b")).alias("m"), F.collect_list(F.when(F.col("sim") >= cosine, F.col("b"))).alias("links"))
-            best.append(saved(top, "graph-walk"))
-            released(spark)
-        dropped(steps)
-        if not best:
-            break
-        met = best[0]
-        for b in best[1:]:
-            met = met.unionByName(b)
-        found.append(saved(met.select("a", F.explode("links").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph-walked"))
-        nearer = met.select(F.col("a").alias("q"), F.col("m.b").alias("x"), F.col("m.sim").alias("sim")).join(at.select("q", "bar").hint("merge"), "q").where("sim > bar")
-        at = saved(nearer.select("q", "x", F.col("sim").alias("bar")), "graph-at")
-        dropped(*best)
-        if at.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"walks over the united graph go on after {MAX_ROUNDS} rounds")
-    if not found:
-        return edges.select("a", "b").where("false")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
 
+def reached(x: np.ndarray, queries: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray, cosine: float):
+    """For blocks of ``queries`` (numbers of rows of ``x``) which rows within the range a search meets. The neighbours
+    of row i are ``ends[starts[i]:starts[i] + sizes[i]]``."""
+    medoid = int(np.argmax(x @ x.mean(0)))
+    beam = min(BEAM, len(x))
+    for s in range(0, len(queries), 256):
+        mine = queries[s : s + 256]
+        here = np.arange(len(mine))
+        sims = x[mine] @ x.T
+        seen, expanded = np.zeros(sims.shape, bool), np.zeros(sims.shape, bool)
+        seen[:, medoid] = True
+        seen[here, mine] = True
+        # greedy descent from the medoid, all queries in step
+        at, walking = np.full(len(mine), medoid), np.ones(len(mine), bool)
+        while walking.any():
+            rows = here[walking]
+            n = sizes[at[rows]]
+            who, to = np.repeat(rows, n), ends[_runs(starts[at[rows]], n)]
+            seen[who, to] = True
+            expanded[rows, at[rows]] = True
+            best = np.full(len(mine), -2.0)
+            np.maximum.at(best, who, sims[who, to])
+            better = walking & (best > sims[here, at])
+            hit = better[who] & (sims[who, to] == best[who])
+            at[who[hit]] = to[hit]
+            walking = better
+        # the nearest of what was met, and all in range, until all of them are expanded
+        while True:
+            met = np.where(seen, sims, -2.0)
+            bar = np.minimum(np.partition(met, sims.shape[1] - beam, axis=1)[:, sims.shape[1] - beam], cosine)
+            rows, cols = np.nonzero(seen & ~expanded & (met >= bar[:, None]))
+            if not len(rows):
+                break
+            expanded[rows, cols] = True
+            for k in range(0, len(rows), 1 << 15):
+                r, c = rows[k : k + (1 << 15)], cols[k : k + (1 << 15)]
+                seen[np.repeat(r, sizes[c]), ends[_runs(starts[c], sizes[c])]] = True
+        seen &= sims >= cosine
+        seen[here, mine] = False
+        yield mine, seen
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, .. of every i, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def search(places: DataFrame, cosine: float) -> DataFrame:
+    """(kind, x, y): the number of vectors linked to a node ('count', node, n), and edges between first ids that
+    connect what is linked ('link')."""
 
-def audit_recall(links: DataFrame, nodes: DataFrame, cosine: float, queries: int = AUDIT) -> float:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["first_id", "node"])
+        nodes, first, copies = (frame[c].to_numpy() for c in ("node", "first_id", "copies"))
+        x, m = matrix(frame["unit"]), len(frame)
+        flat = np.concatenate(frame["near"].to_list())
+        owner = np.repeat(np.arange(m), [len(a) for a in frame["near"]])
+        by = np.argsort(nodes)
+        spot = np.minimum(np.searchsorted(nodes, flat, sorter=by), m - 1)
+        there = nodes[by[spot]] == flat
+        owner, to = owner[there], by[spot[there]]
+        sizes = np.bincount(owner, minlength=m)
+        blocks = list(reached(x, np.nonzero(frame["own"].to_numpy())[0], np.cumsum(sizes) - sizes, sizes, to, cosine))
+        out = [pd.DataFrame({"kind": "count", "x": nodes[mine], "y": hit @ copies}) for mine, hit in blocks]
+        # rows are in the order of first ids, so the least number of a component is its smallest first id
+        label = np.arange(m)
+        while True:
+            before = label.copy()
+            for mine, hit in blocks:
+                low = np.minimum(label[mine], np.where(hit, label, m).min(1))
+                label[mine] = low
+                label = np.minimum(label, np.where(hit, low[:, None], m).min(0))
+            label = label[label]
+            if (label == before).all():
+                break
+        moved = np.nonzero(label != np.arange(m))[0]
+        out.append(pd.DataFrame({"kind": "link", "x": first[moved], "y": first[label[moved]]}))
+        return pd.concat(out)
+
+    return places.groupBy("shard").applyInPandas(run, "kind string, x bigint, y bigint")
+
+
+def link_counts(nodes: DataFrame, n: int, cosine: float, overlap: int) -> DataFrame:
+    """What ``search`` finds over the united graph, written."""
+    shards = sharded(nodes, centroids(nodes, n, overlap), overlap)
+    lists = saved(shard_graphs(shards), "graph-lists")
+    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    united = saved(nodes.join(united.hint("merge"), "node"), "graph-united")
+    home = shards.where("own").select("shard", "node")
+    beyond = home.join(united.select("node", "near").hint("merge"), "node").select("shard", F.explode("near").alias("node"), F.lit(False).alias("own"))
+    places = shards.select("shard", "node", "own").unionByName(beyond).groupBy("shard", "node").agg(F.max("own").alias("own"))
+    places = places.join(united.select("node", "first_id", "copies", "unit", "near").hint("merge"), "node")
+    found = saved(search(places, cosine), "graph-found")
+    dropped(lists, united)
+    return found
+
+
+def audited_recall(nodes: DataFrame, counts: DataFrame, cosine: float, queries: int = AUDIT) -> float | None:
     """The lower one of two recalls: of about ``queries`` of all nodes and of as many nodes with links."""
-    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    return min(_recall(nodes, links, nodes, cosine, queries), _recall(nodes.join(linked.hint("merge"), "node", "left_semi"), links, nodes, cosine, queries))
+    found = [_recall(nodes, of, counts, cosine, queries) for of in (nodes, nodes.join(counts.where("n > 0").hint("merge"), "node", "left_semi"))]
+    found = [f for f in found if f is not None]
+    return min(found) if found else None
 
 
-def _recall(of: DataFrame, links: DataFrame, nodes: DataFrame, cosine: float, queries: int) -> float:
-    """Share of the true links of ``queries`` nodes of ``of``, chosen by hash, that ``links`` has; 1 where there are none."""
-    order = F.xxhash64("node", F.lit("audit"))
-    chosen = of.select("node", "vec").orderBy(order, "node").limit(queries).toArrow()
-    q_ids, q_vecs = np.array(chosen.column(0).to_pylist(), np.int64), chosen.column(1).to_pylist()
+def _recall(nodes: DataFrame, of: DataFrame, counts: DataFrame, cosine: float, queries: int) -> float | None:
+    """Share of the true links of ``queries`` nodes of ``of``, chosen by hash, that ``counts`` has; None if there are none."""
+    rows = of.select("node", "unit").orderBy(F.xxhash64("first_id", F.lit("audit")), "node").limit(queries).toArrow()
+    ids, units = rows.column(0).to_numpy(), rows.column(1).to_pylist()
+    if not len(ids):
+        return None
 
     def run(batches):
-        by_length = {n: [i for i, v in enumerate(q_vecs) if len(v) == n] for n in {len(v) for v in q_vecs}}
         for batch in batches:
-            ids, vecs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            out_a, out_b = [], []
-            for length, members in by_length.items():
-                at = np.array([i for i, v in enumerate(vecs) if len(v) == length], np.int64)
+            other, mine, copies = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            total = np.zeros(len(ids), np.int64)
+            for n in {len(u) for u in units}:
+                q, at = np.array([i for i, u in enumerate(units) if len(u) == n]), np.array([i for i, u in enumerate(mine) if len(u) == n], np.int64)
                 if len(at):
-                    hit = _unit(np.array([vecs[i] for i in at], float)) @ _unit(np.array([q_vecs[i] for i in members], float)).T >= cosine
-                    r, c = np.nonzero(hit)
-                    out_a.append(ids[at[r]])
-                    out_b.append(q_ids[np.array(members)[c]])
-            a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-            keep = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+                    near = (matrix(units[i] for i in q) @ matrix(mine[i] for i in at).T >= cosine) & (ids[q][:, None] != other[at])
+                    total[q] += near @ copies[at]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "true"])
 
-    if not len(q_ids):
-        return 1.0
-    truth = nodes.select("node", "vec").mapInArrow(run, "a bigint, b bigint").distinct()
-    n, found = truth.join(links.withColumn("hit", F.lit(1)).hint("merge"), ["a", "b"], "left").agg(F.count(F.lit(1)), F.sum("hit")).first()
-    return 1.0 if not n else (found or 0) / n
+    truth = nodes.select("node", "unit", "copies").mapInArrow(run, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
+    true, hit = truth.join(counts.hint("merge"), "node", "left").agg(F.sum("true"), F.sum("n")).first()
+    return (hit or 0) / true if true else None
 
 
 def embedding_links(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) for every row."""
-    rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"))
-    good = usable(rows, "vec").where("vec_id is not null")
-    # one node per distinct vector; its number is drawn from the vector, so it doesn't depend on the run
-    classes = good.groupBy("vec").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    nodes = saved(classes.select(F.xxhash64("vec", "first_id").alias("node"), "vec", "first_id", "copies"), "graph-nodes")
+    rows = saved(unit_vectors(df, vec_id, vec), "graph-units")
+    good = rows.where("key is not null and vec_id is not null")
+    classes = good.groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("unit").alias("unit"))
+    # numbers are given once, as the table is written
+    nodes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "graph-nodes")
     n = nodes.count()
-    # ends of an edge that can extend a link lie within twice the range's angle
-    bridge = float(np.cos(min(np.pi, 2 * np.arccos(cosine))))
-    found = saved(search_shards(sharded(nodes, centroids(nodes, n)), cosine), "graph-found")
-    united = saved(found.where("kind = 'edge'").groupBy("a", "b").agg(F.max("sim").alias("sim")), "graph-edges")
-    met = saved(found.where("kind = 'pair'").select("a", "b").distinct(), "graph-pairs")
-    dropped(found)
-    released(df.sparkSession)
-    met = met.unionByName(walked(nodes, united, cosine)).distinct()
-    links = saved(verified(met, nodes, cosine), "graph-links")
-    edges = united.where(F.col("sim") >= bridge - 1e-6)
-    frontier = links
-    for _ in range(MAX_ROUNDS):
-        ends = frontier.select(F.col("a").alias("q"), F.col("b").alias("x")).unionByName(frontier.select(F.col("b").alias("q"), F.col("a").alias("x")))
-        steps = ends.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).hint("merge"), "x").where("q <> y")
-        pairs = steps.select(F.least("q", "y").alias("a"), F.greatest("q", "y").alias("b")).distinct()
-        fresh_pairs = pairs.join(links.hint("merge"), ["a", "b"], "left_anti")
-        frontier = saved(verified(fresh_pairs, nodes, cosine), "graph-frontier")
-        if frontier.isEmpty():
+    for overlap in OVERLAPS:
+        found = link_counts(nodes, n, cosine, overlap)
+        counts = found.where("kind = 'count'").select(F.col("x").alias("node"), F.col("y").alias("n"))
+        recall = audited_recall(nodes, counts, cosine)
+        if recall is None or recall >= WANTED_RECALL:
             break
-        links = saved(links.unionByName(frontier), "graph-links")
-    else:
-        raise RuntimeError(f"links still grow after {MAX_ROUNDS} rounds")
-    recall = audit_recall(links, nodes, cosine)
-    if recall < LEAST_RECALL:
+    if recall is not None and recall < LEAST_RECALL:
         raise RuntimeError(f"audited recall is {recall:.4f}, less than {LEAST_RECALL}")
-    sizes = nodes.select("node", "first_id", "copies")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = ends.join(sizes.select(F.col("node").alias("b"), "copies").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    first = sizes.select("node", "first_id")
-    by_id = links.join(first.select(F.col("node").alias("a"), F.col("first_id").alias("u")).hint("merge"), "a").join(first.select(F.col("node").alias("b"), F.col("first_id").alias("v")).hint("merge"), "b")
-    labels = components(by_id.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    named = nodes.join(counts.hint("merge"), "node", "left").join(labels.withColumnRenamed("node", "first_id").hint("merge"), "first_id", "left")
-    named = named.select("vec", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "first_id").alias("component_id"))
-    linked = good.join(named.hint("merge"), "vec").select("vec_id", "n_links", "component_id")
-    alone = rows.where("vec_id is null").unionByName(rows.where("vec_id is not null").join(good.select("vec_id").distinct().hint("merge"), "vec_id", "left_anti"))
-    out = linked.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(float(recall)))
+    edges = found.where("kind = 'link'").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # the vectors of one id share its component
+    several = good.groupBy("vec_id").agg(F.min(F.xxhash64("key")).alias("low"), F.max(F.xxhash64("key")).alias("high")).where("low <> high").select("vec_id")
+    several = saved(several, "graph-several")
+    if not several.isEmpty():
+        own = good.join(several.hint("merge"), "vec_id", "left_semi").select("vec_id", "key").distinct()
+        own = own.join(nodes.select("key", "first_id").hint("merge"), "key")
+        edges = edges.unionByName(own.select(F.col("vec_id").alias("a"), F.col("first_id").alias("b")))
+    labels = components(edges).withColumnRenamed("node", "first_id")
+    named = nodes.join(counts.hint("merge"), "node").join(labels.hint("merge"), "first_id", "left")
+    named = saved(named.select("key", (F.col("copies") - 1 + F.col("n")).alias("n_links"), F.coalesce("component", "first_id").alias("component_id")), "graph-named")
+    linked = good.select("vec_id", "key").join(named.hint("merge"), "key").select("vec_id", "n_links", "component_id")
+    alone = rows.where("key is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(recall).cast("double"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,26 +210,51 @@ def test_embedding_links_brute_force(spark):
     x = rng.normal(size=(150, 16))
     x[50:90] = x[0] + rng.normal(size=(40, 16)) * 0.15
     x[90:95] = x[1]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 16), (202, [float("nan")] + [1.0] * 15), (203, [1.0, 2.0])]
-    got = {r.vec_id: r for r in embedding_graph.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    x[95:98] = x[2] * [[2.0], [3.0], [0.1]]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 16), (202, [float("nan")] + [1.0] * 15), (203, [1.0, 2.0]), (204, [None] + [1.0] * 15), (205, []), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = embedding_graph.embedding_links(df).collect()
+    got = {r.vec_id: r for r in out}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = (u @ u.T >= 0.9).sum(1) - 1
-    assert [got[i].n_links for i in range(150)] == links.tolist() and got[0].audit_recall == 1.0
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (200, 201, 202, 203))
+    assert len(out) == len(rows) and [got[i].n_links for i in range(150)] == links.tolist() and got[0].audit_recall == 1.0
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (200, 201, 202, 203, 204, 205))
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True)
+    assert embedding_graph.embedding_links(df.where("false")).count() == 0
 
 
-def test_oversized_shards_lose_no_isolated_pair(spark, monkeypatch):
-    monkeypatch.setattr(embedding_graph, "MAX_CENTROIDS", 1)
+def test_embedding_rows_of_one_id(spark):
+    rows = [(7, [1.0, 0.0]), (7, None), (7, [0.0, 1.0]), (3, [0.0, 2.0]), (9, [1.0, 0.01]), (9, [1.0, 0.01]), (5, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("unit", F.lit(1))
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_graph.embedding_links(df).collect())
+    assert out == [(3, 1, 3, True), (5, 0, 5, True), (7, 0, 7, True), (7, 1, 3, False), (7, 2, 3, False), (9, 2, 3, False), (9, 2, 3, False)]
+    lone = embedding_graph.embedding_links(df.where("vec_id = 5")).first()
+    assert lone.audit_recall is None
+
+
+def component_of(near):
+    label = np.arange(len(near))
+    while True:
+        new = np.array([label[near[i] | (np.arange(len(near)) == i)].min() for i in range(len(near))])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def test_many_and_oversized_shards_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_graph, "MAX_CENTROIDS", 2)
     monkeypatch.setattr(embedding_graph, "SHARD_ROWS", 100)
     monkeypatch.setattr(embedding_graph, "SHARD_TARGET", 50)
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(200, 16))
-    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.1])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got = {r.vec_id: r for r in embedding_graph.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), cosine=0.95).collect()}
+    x = rng.normal(size=(1200, 16))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.1, x[0] + rng.normal(size=(300, 16)) * 0.2])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_graph.embedding_links(df, cosine=0.95).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = (u @ u.T >= 0.95).sum(1) - 1
-    assert links.sum() > 300 and [got[i].n_links for i in range(400)] == links.tolist()
+    near = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert near.sum() > 3000 and (found <= near.sum(1)).all() and found.sum() >= 0.99 * near.sum() and got[0].audit_recall >= 0.97
+    assert np.mean([got[i].component_id == c for i, c in enumerate(component_of(near))]) > 0.99
 
 
 def test_ppm_is_a_distribution_and_counts_match(spark):
