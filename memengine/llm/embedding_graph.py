@@ -6,8 +6,8 @@
 2. A task builds its shard's graph: each vector's nearest candidates, pruned so that no kept neighbour is much closer
    to a candidate than the vector itself (robust pruning), plus the reverse edges. A shard holds so few rows that its
    candidates come from a matrix product; the search below is what carries across shards.
-3. The adjacency lists of all shards are united. A search task has a shard's vectors, the vectors that the united lists
-   of its residents lead to, and all their lists. Every resident is a query once, at home: it descends greedily from
+3. The adjacency lists of all shards are united. A search task has a shard's vectors, those that its residents' edges
+   of at most twice the range's angle lead to, and all their united lists. Every resident is a query once, at home: it descends greedily from
    the medoid, and from its own place, keeps the nearest of what it meets, and expands every node within the range.
 4. What is in range is verified by cosine in double precision. A task returns counts of links and, for each node it has
    linked, one edge to the smallest node of its part of the component, so no set of pairs is ever written.
@@ -195,12 +195,12 @@ def split_again(shards: DataFrame, overlap: int) -> DataFrame:
         now = saved(rows.groupBy("shard", "chunk").cogroup(centers.groupBy("shard", "chunk")).applyInPandas(deal, f"{SHARDS}, parent_n bigint"), "graph-shards")
 
 
-def build_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency of one shard's unit vectors: robustly pruned candidates, and their reverse edges."""
+def build_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of all edges of one shard's unit vectors, in order: robustly pruned candidates, and the reverse edges."""
     n = len(x)
     near = min(CANDIDATES, n - 1)
     if near < 1:
-        return [np.zeros(0, np.int64)] * n
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows, cols = [], []
     for s in range(0, n, 256):
         sims = x[s : s + 256] @ x.T
@@ -222,19 +222,25 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
         cols.append(top[at, r])
     rows, cols = np.concatenate(rows), np.concatenate(cols)
     both = np.unique(np.concatenate((rows * n + cols, cols * n + rows)))
-    return np.split(both % n, np.searchsorted(both // n, np.arange(1, n)))
+    return both // n, both % n
 
 
-def shard_graphs(shards: DataFrame) -> DataFrame:
-    """(node, near): each node's neighbours in each of its shards."""
+def shard_graphs(shards: DataFrame, cosine: float) -> DataFrame:
+    """(node, near, close): each node's neighbours in each of its shards, and which of them lie within twice the angle
+    of the range: no other edge can extend a link beyond a shard."""
+    bridge = float(np.cos(min(np.pi, 2 * np.arccos(cosine))))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         # rows come in any order; sorted, a repeated task does the same
         frame = frame.sort_values(["first_id", "node"])
-        ids = frame["node"].to_numpy()
-        return pd.DataFrame({"node": ids, "near": [ids[g] for g in build_graph(matrix(frame["unit"]))]})
+        ids, x = frame["node"].to_numpy(), matrix(frame["unit"])
+        a, b = build_graph(x)
+        parts = range(0, len(a), 1 << 15)
+        sim = np.concatenate([np.einsum("nd,nd->n", x[a[k : k + (1 << 15)]], x[b[k : k + (1 << 15)]]) for k in parts] or [np.zeros(0)])
+        split = lambda keep: np.split(ids[b[keep]], np.searchsorted(a[keep], np.arange(1, len(ids))))
+        return pd.DataFrame({"node": ids, "near": split(slice(None)), "close": split(sim >= bridge - 1e-9)})
 
-    return shards.groupBy("shard").applyInPandas(run, "node bigint, near array<bigint>")
+    return shards.groupBy("shard").applyInPandas(run, "node bigint, near array<bigint>, close array<bigint>")
 
 
 def reached(x: np.ndarray, queries: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray, cosine: float):
@@ -323,11 +329,11 @@ def search(places: DataFrame, cosine: float) -> DataFrame:
 def link_counts(nodes: DataFrame, n: int, cosine: float, overlap: int) -> DataFrame:
     """What ``search`` finds over the united graph, written."""
     shards = sharded(nodes, centroids(nodes, n, overlap), overlap)
-    lists = saved(shard_graphs(shards), "graph-lists")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    lists = saved(shard_graphs(shards, cosine), "graph-lists")
+    united = lists.groupBy("node").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "close")])
     united = saved(nodes.join(united.hint("merge"), "node"), "graph-united")
     home = shards.where("own").select("shard", "node")
-    beyond = home.join(united.select("node", "near").hint("merge"), "node").select("shard", F.explode("near").alias("node"), F.lit(False).alias("own"))
+    beyond = home.join(united.select("node", "close").hint("merge"), "node").select("shard", F.explode("close").alias("node"), F.lit(False).alias("own"))
     places = shards.select("shard", "node", "own").unionByName(beyond).groupBy("shard", "node").agg(F.max("own").alias("own"))
     places = places.join(united.select("node", "first_id", "copies", "unit", "near").hint("merge"), "node")
     found = saved(search(places, cosine), "graph-found")
