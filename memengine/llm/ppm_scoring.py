@@ -9,8 +9,9 @@ that of its token sequence. ``pretrained`` scores come from the counts of traini
 Counting: every block's distinct (ORDER+1)-byte strings go, with their training counts, to the part that the hash of
 the last ``HEAD`` context bytes names. A part so has all contexts of ``HEAD`` bytes or more whole, and the counts
 under shorter ones, whose number the alphabet bounds, come as one table. It sums the counts, works out each
-string's log probability and returns those to the blocks. All training rows count, and nothing is pruned. Word
-counts for the base score come back to the texts by an exchange on word hashes, per block of texts.
+string's log probability and returns those to the blocks. All training rows count, and nothing is pruned. Rows are
+one per block and part where both meet, so never more than the blocks have distinct strings. Word counts for the base
+score come back to the texts by an exchange on word hashes, per block of texts.
 
 Defined results:
 * null or empty text, or only white space: the end mark alone; rows without an id train and are scored like others;
@@ -24,8 +25,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dropped, fold, released, saved, table
@@ -52,11 +54,11 @@ def strings(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The (order+1)-byte string that ends at each byte of each text (end marks stand before its start), as integers
     with the predicted byte lowest; and how many each text has."""
     pad = END * order
-    flat = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.int64)
+    flat = pad + pad.join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
-    key = flat[order:].copy()
-    for back in range(1, order + 1):
-        key |= flat[order - back : len(flat) - back] << (8 * back)
+    # eight bytes from each place on, the first one highest; those behind the string are shifted out
+    key = np.ndarray((len(flat) - order,), ">u8", flat + bytes(8), 0, (1,)).astype(np.uint64)
+    key = (key >> np.uint64(8 * (7 - order))).view(np.int64)
     stop = np.cumsum(sizes + order)  # after each text follow the marks of the next
     keep = np.ones(len(key), bool)
     for k in range(order):
@@ -65,6 +67,58 @@ def strings(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], sizes
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    starts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0] if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.diff(np.r_[starts, len(keys)])
+
+
+class Lookup:
+    """Where distinct keys stand in their array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        todo, at = np.arange(len(keys)), self._spot(keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = keys[todo[free]]  # of several that want one slot the last gets it
+            won = self.slots[at] == keys[todo]
+            self.place[at[won]] = todo[won]
+            todo, at = todo[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        at = self._spot(keys)
+        out = self.place[at]
+        open_ = np.nonzero(self.slots[at] != keys)[0]
+        at = at[open_]
+        out[open_] = -1
+        more = self.slots[at] >= 0
+        open_, at = open_[more], at[more]
+        while len(open_):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            there = self.slots[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.place[at[hit]]
+            more = ~hit & (there >= 0)
+            open_, at = open_[more], at[more]
+        return out
+
+
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of canonical texts in the order of their first place (one may be empty), the number of each
+    word of the texts, and where each text's words begin and end."""
+    lists = pc.split_pattern(pa.array([t[:-1] for t in texts], pa.binary()).cast(pa.string()), " ")
+    coded = lists.values.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+
+
 def blocks(docs: DataFrame, train) -> DataFrame:
     """Neighbouring rows of ``docs`` (doc_id, text) as one row per block: ids, canonical texts, whether each trains,
     and the hashes of the block's words with their training counts."""
@@ -76,23 +130,18 @@ def blocks(docs: DataFrame, train) -> DataFrame:
         rows, size = [], 0
 
         def block():
-            counts: dict[bytes, int] = {}
-            for _, t, trains in rows:
-                words = t.split()
-                if trains:
-                    for w in words:
-                        counts[w] = counts.get(w, 0) + 1
-                else:
-                    for w in words:
-                        counts.setdefault(w, 0)
+            words, codes, ends = words_of([r[1] for r in rows])
+            trains = np.repeat([bool(r[2]) for r in rows], np.diff(ends))
+            counts = np.bincount(codes[trains], minlength=len(words))
+            hashes = [word_hash(w) if w else None for w in words.cast(pa.binary()).to_pylist()]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + serial], pa.int64()),
                     pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
                     pa.array([[r[1] for r in rows]], pa.list_(pa.binary())),
                     pa.array([[r[2] for r in rows]], pa.list_(pa.bool_())),
-                    pa.array([list(map(word_hash, counts))], pa.list_(pa.int64())),
-                    pa.array([list(counts.values())], pa.list_(pa.int64())),
+                    pa.array([hashes], pa.list_(pa.int64())),
+                    pa.array([counts], pa.list_(pa.int64())),
                 ],
                 names=["block", "ids", "texts", "trains", "hashes", "counts"],
             )
@@ -119,12 +168,7 @@ def string_counts(parts: DataFrame, order: int) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
-            keys = np.concatenate([k for k, _ in held])
-            n = np.concatenate([n for _, n in held])
-            by = np.argsort(keys, kind="stable")
-            keys, n = keys[by], n[by]
-            starts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
-            return keys[starts], np.add.reduceat(n, starts)
+            return summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
         def out(keys, n):
             for s in range(0, len(keys), 1 << 17):
@@ -135,7 +179,7 @@ def string_counts(parts: DataFrame, order: int) -> DataFrame:
                 mine = [t for t, yes in zip(texts, trains, strict=True) if yes]
                 if not mine:
                     continue
-                held.append(np.unique(strings(mine, order)[0], return_counts=True))
+                held.append(distinct(strings(mine, order)[0]))
                 if sum(len(k) for k, _ in held) > 1 << 21:
                     keys, n = merged()
                     held = [(keys, n)]
@@ -152,8 +196,9 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
     if not len(keys):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    by = np.argsort(keys, kind="stable")
-    keys, n = keys[by], n[by]
+    if (keys[1:] < keys[:-1]).any():
+        by = np.argsort(keys)
+        keys, n = keys[by], n[by]
     starts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
     return keys[starts], np.add.reduceat(n, starts)
 
@@ -186,12 +231,9 @@ def dealt_strings(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 block, texts, trains = (batch.column(c)[k].as_py() for c in range(3))
-                keys = np.unique(strings(texts, order)[0])
-                n = np.zeros(len(keys), np.int64)
-                mine = [t for t, yes in zip(texts, trains, strict=True) if yes]
-                if mine:
-                    seen, count = np.unique(strings(mine, order)[0], return_counts=True)
-                    n[np.searchsorted(keys, seen)] = count
+                groups = [[t for t, yes in zip(texts, trains, strict=True) if bool(yes) == kind] for kind in (True, False)]
+                (seen, count), (others, _) = (distinct(strings(g, order)[0]) if g else (np.zeros(0, np.int64),) * 2 for g in groups)
+                keys, n = summed(np.concatenate((seen, others)), np.concatenate((count, np.zeros(len(others), np.int64))))
                 by, cuts = in_parts(keys, parts)
                 low = summed((keys & ((1 << (8 * HEAD)) - 1))[n > 0], n[n > 0])
                 rows = [(-1, *low)] + [(p, keys[by[i:j]], n[by[i:j]]) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
@@ -246,7 +288,7 @@ def string_logs(dealt: DataFrame, short: tuple[np.ndarray, np.ndarray], order: i
 
 
 class Trie:
-    """Kept strings and contexts of every order as sorted arrays, with all that scoring needs worked out."""
+    """Strings and contexts of every order as arrays in order, with all that scoring needs worked out."""
 
     def __init__(self, strings_by_order: list[tuple[np.ndarray, np.ndarray]], contexts_by_order: list[tuple[np.ndarray, np.ndarray]]):
         self.order = len(strings_by_order) - 1
@@ -254,15 +296,13 @@ class Trie:
         self.after_total, self.after_escape = [], []
         kept, missing, kinds = [], [], []
         for (keys, n), (ctx, total) in zip(strings_by_order, contexts_by_order, strict=True):
-            by = np.argsort(keys)
-            keys, n = keys[by], n[by].astype(float)
+            n = n.astype(float)
             own = keys >> 8
             starts = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0] if len(own) else np.zeros(0, np.int64)
             mine = own[starts]
             known = np.add.reduceat(n, starts) if len(starts) else np.zeros(0)
             q = np.diff(np.r_[starts, len(own)]).astype(float)
-            by = np.argsort(ctx)
-            full = total[by][np.searchsorted(ctx[by], mine)].astype(float) if len(mine) else np.zeros(0)
+            full = total[np.searchsorted(ctx, mine)].astype(float) if len(mine) else np.zeros(0)
             self.keys.append(keys)
             self.count.append(n)
             self.contexts.append(mine)
@@ -288,46 +328,15 @@ class Trie:
                 self.after_total.append(np.zeros(0))
                 self.after_escape.append(np.zeros(0))
         self.unseen = -np.log10(max(1.0, 256 - len(self.keys[0])))
-        self._table()
-
-    def _table(self) -> None:
-        """Open addressing over the longest strings, which answer most look-ups at once."""
-        keys, logs = self.keys[-1], self.fresh_log[-1]
-        self.bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
-        self.slots = np.full(1 << self.bits, -1, np.int64)
-        self.slot_log = np.zeros(1 << self.bits, np.float32)
-        todo, at = np.arange(len(keys)), self._spot(keys)
-        self.probes = 0
-        while len(todo):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = keys[todo[free]]  # of several that want one slot the last gets it
-            won = self.slots[at] == keys[todo]
-            self.slot_log[at[won]] = logs[todo[won]]
-            todo, at = todo[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
-            self.probes += 1
-
-    def _spot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+        self.longest = Lookup(self.keys[-1])  # they answer most look-ups at once
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each string's last byte after the bytes before it."""
-        at = self._spot(keys)
-        out = self.slot_log[at]
-        miss = np.nonzero(self.slots[at] != keys)[0]
-        out = out.astype(np.float64)
-        walk, at = miss, at[miss]
-        lost = []
-        while len(walk):
-            empty = self.slots[at] < 0
-            lost.append(walk[empty])
-            walk, at = walk[~empty], (at[~empty] + 1) & ((1 << self.bits) - 1)
-            hit = self.slots[at] == keys[walk]
-            out[walk[hit]] = self.slot_log[at[hit]]
-            walk, at = walk[~hit], at[~hit]
-        miss = np.concatenate(lost) if lost else miss[:0]
+        at = self.longest.find(keys)
+        out = self.fresh_log[-1][at] if len(self.fresh_log[-1]) else np.zeros(len(keys))
+        miss = np.nonzero(at < 0)[0]
         if len(miss):
-            few, back = np.unique(keys[miss], return_inverse=True)
-            out[miss] = self._slow(few)[back]
+            out[miss] = self._slow(keys[miss])
         return out
 
     @staticmethod
@@ -390,50 +399,44 @@ def scores(docs: DataFrame, train) -> DataFrame:
     dropped(dealt)
     released(spark)
 
-    # one row per block and distinct word, so the words' totals come from one exchange; a word has at most as many
-    # rows as there are blocks
-    words = parts.select("block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.hashes").alias("hash"), F.col("w.counts").alias("n"))
-    whole, first = Window.partitionBy("hash"), Window.partitionBy("hash").orderBy("block")
-    known = words.select("block", F.col("pos").cast("int"), F.sum("n").over(whole).alias("c"), (F.row_number().over(first) == 1).alias("first"))
-    known = saved(known, "ppm-words")
-    released(spark)
-    v, n = known.agg(F.count_if((F.col("c") > 0) & F.col("first")), F.sum(F.when(F.col("first"), F.col("c")))).first()
+    # one row per block and distinct word; a word of every block is a hot key of the join, which the planner splits
+    words = parts.select("block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("pos", "w")).select("block", F.col("pos").cast("int").alias("pos"), F.col("w.hashes").alias("hash"), F.col("w.counts").alias("n"))
+    words = saved(words.where("hash is not null"), "ppm-words")
+    totals = saved(words.groupBy("hash").agg(F.sum("n").alias("c")), "ppm-totals")
+    v, n = totals.agg(F.count_if(F.col("c") > 0), F.sum("c")).first()
     ends = parts.select(F.explode("trains").alias("t")).where("t").count()
     n, v = (n or 0) + ends, v + (1 if ends else 0)
-    counts = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("s")).select("block", F.col("s.c").alias("known"))
+    known = words.select("block", "pos", "hash").join(totals.hint("merge"), "hash")
+    counts = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("s")).select("block", F.col("s.pos").alias("pos"), F.col("s.c").alias("known"))
     # compact from here on: what the last exchanges carry is the texts, one array of counts and the logs
     counts = saved(counts, "ppm-known")
-    dropped(known)
+    dropped(words, totals)
     released(spark)
     logs = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "logs"))).alias("s")).select("block", F.col("s.logs").alias("logs"))
     full = parts.select("block", "ids", "texts", "trains").join(counts.hint("merge"), "block", "left").join(logs.hint("merge"), "block")
 
     def run(batches):
         bottom = np.log10(n + 0.5 * (v + 1))
-        unknown, end = float(np.log10(0.5) - bottom), float(np.log10(ends + 0.5) - bottom)
+        end = float(np.log10(ends + 0.5) - bottom)
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, texts, trains = (batch.column(c)[k].as_py() for c in (1, 2, 3))
-                # the block's words in the order of their first place, as when they were counted
-                logs: dict[bytes, float] = {}
-                for t in texts:
-                    logs.update(dict.fromkeys(t.split(), unknown))
+                # the block's words have the numbers they had when they were counted
+                words, codes, stops = words_of(texts)
+                counts, real = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
                 if batch.column(4)[k].is_valid:
-                    c = batch.column(4)[k].values.to_numpy()
-                    logs = dict(zip(logs, (np.log10(c + 0.5) - bottom).tolist(), strict=True))
-                base, hits, sizes = [], [], []
-                for t in texts:
-                    w = t.split()
-                    values = np.fromiter(map(logs.__getitem__, w), np.float64, len(w))
-                    base.append(float(values.sum()) + end)
-                    hits.append(int((values > unknown).sum()) + (ends > 0))
-                    sizes.append(len(w) + 1)
+                    at = batch.column(4)[k].values.to_numpy()
+                    counts[at], real[at] = batch.column(5)[k].values.to_numpy(), True
+                worth = np.where(real, np.log10(counts + 0.5) - bottom, 0.0)
+                sizes = np.add.reduceat(real[codes].astype(np.int64), stops[:-1]) + 1
+                hits = np.add.reduceat((counts > 0)[codes].astype(np.int64), stops[:-1]) + (ends > 0)
+                base = np.add.reduceat(worth[codes], stops[:-1]) + end
                 # the block's strings in the order in which they were dealt
                 every, lengths = strings(texts, ORDER)
-                keys, at = np.unique(every, return_inverse=True)
+                keys = distinct(every)[0]
                 value = np.empty(len(keys), np.float64)
-                value[in_parts(keys, n_parts)[0]] = np.frombuffer(b"".join(batch.column(5)[k].as_py()), np.float32)
-                out = np.add.reduceat(value[at], np.cumsum(lengths) - lengths)
+                value[in_parts(keys, n_parts)[0]] = np.frombuffer(b"".join(batch.column(6)[k].as_py()), np.float32)
+                out = np.add.reduceat(value[Lookup(keys).find(every)], np.cumsum(lengths) - lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),

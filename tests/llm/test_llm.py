@@ -275,6 +275,7 @@ def test_ppm_is_a_distribution_and_counts_match(spark):
         w = ppm_scoring.canonical(t).split()
         base = sum(np.log10((count.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w) + np.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
         assert abs(out[i].base_score - base) < 1e-9 and out[i].train_tokens == n and out[i].n_known == sum(x in count for x in w) + 1
+    assert ppm_scoring.scores(df.where("false"), train).count() == 0
     trie = ppm_scoring.train_trie(ppm_scoring.blocks(df, train))
     for context in (0, int.from_bytes(b"\n\n\n the"[-6:], "big"), int.from_bytes(b"n whenz"[-6:], "big")):
         assert abs((10 ** trie.logs((context << 8) | np.arange(256))).sum() - 1) < 1e-5
