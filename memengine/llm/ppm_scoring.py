@@ -111,17 +111,28 @@ class Lookup:
         return out
 
 
-def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words of canonical texts in the order of their first place (one may be empty), the number of each
-    word of the texts, and where each text's words begin and end."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of canonical texts in the order of their first place, the number of each word of
+    the texts (-1 for the empty word of an empty text), and where each text's words begin and end."""
     lists = pc.split_pattern(pa.array([t[:-1] for t in texts], pa.binary()).cast(pa.string()), " ")
     coded = lists.values.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+    words, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    if b"" in words:
+        none = words.index(b"")
+        words.pop(none)
+        codes = np.where(codes == none, -1, codes - (codes > none))
+    return np.array(list(map(word_hash, words)), np.int64), codes, lists.offsets.to_numpy().astype(np.int64)
+
+
+def words_in_parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of word hashes by part and hash, and where each part starts and ends in it."""
+    part = ((hashes.view(np.uint64) >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((hashes, part))
+    return by, np.searchsorted(part[by], np.arange(parts + 1))
 
 
 def blocks(docs: DataFrame, train) -> DataFrame:
-    """Neighbouring rows of ``docs`` (doc_id, text) as one row per block: ids, canonical texts, whether each trains,
-    and the hashes of the block's words with their training counts."""
+    """Neighbouring rows of ``docs`` (doc_id, text) as one row per block: ids, canonical texts, whether each trains."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -130,20 +141,14 @@ def blocks(docs: DataFrame, train) -> DataFrame:
         rows, size = [], 0
 
         def block():
-            words, codes, ends = words_of([r[1] for r in rows])
-            trains = np.repeat([bool(r[2]) for r in rows], np.diff(ends))
-            counts = np.bincount(codes[trains], minlength=len(words))
-            hashes = [word_hash(w) if w else None for w in words.cast(pa.binary()).to_pylist()]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + serial], pa.int64()),
                     pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
                     pa.array([[r[1] for r in rows]], pa.list_(pa.binary())),
                     pa.array([[r[2] for r in rows]], pa.list_(pa.bool_())),
-                    pa.array([hashes], pa.list_(pa.int64())),
-                    pa.array([counts], pa.list_(pa.int64())),
                 ],
-                names=["block", "ids", "texts", "trains", "hashes", "counts"],
+                names=["block", "ids", "texts", "trains"],
             )
 
         for batch in batches:
@@ -157,7 +162,7 @@ def blocks(docs: DataFrame, train) -> DataFrame:
         if rows:
             yield block()
 
-    schema = "block bigint, ids array<bigint>, texts array<binary>, trains array<boolean>, hashes array<bigint>, counts array<bigint>"
+    schema = "block bigint, ids array<bigint>, texts array<binary>, trains array<boolean>"
     return docs.select("doc_id", "text", train.alias("trains")).mapInArrow(run, schema)
 
 
@@ -223,9 +228,9 @@ def in_parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return by, np.searchsorted(part[by], np.arange(parts + 1))
 
 
-def dealt_strings(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
-    """(part, block, size, keys, n): each block's distinct strings by part, with their training counts; as part -1 the
-    training counts of its HEAD-byte strings."""
+def dealt(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, block, size, keys, n): each block's distinct strings by part, with their training counts; from ``parts``
+    on its distinct words in the same way; as part -1 the training counts of its HEAD-byte strings."""
 
     def run(batches):
         for batch in batches:
@@ -237,6 +242,11 @@ def dealt_strings(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
                 by, cuts = in_parts(keys, parts)
                 low = summed((keys & ((1 << (8 * HEAD)) - 1))[n > 0], n[n > 0])
                 rows = [(-1, *low)] + [(p, keys[by[i:j]], n[by[i:j]]) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                hashes, codes, ends = words_of(texts)
+                taught = np.repeat([bool(t) for t in trains], np.diff(ends)) & (codes >= 0)
+                n = np.bincount(codes[taught], minlength=len(hashes))
+                by, cuts = words_in_parts(hashes, parts)
+                rows += [(parts + p, hashes[by[i:j]], n[by[i:j]]) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int32()),
@@ -251,7 +261,7 @@ def dealt_strings(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
     return blocks_.select("block", "texts", "trains").mapInArrow(run, "part int, block bigint, size bigint, keys binary, n binary")
 
 
-def short_counts(dealt: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def short_counts(dealt_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The counts of all HEAD-byte strings; the alphabet bounds their number, not the corpus."""
 
     def run(batches):
@@ -259,7 +269,7 @@ def short_counts(dealt: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for size, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpacked(keys, size, np.int64))), pa.array(unpacked(n, size, np.int64))], names=["key", "n"])
 
-    t = dealt.where("part = -1 and size > 0").select("size", "keys", "n").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    t = dealt_.where("part = -1 and size > 0").select("size", "keys", "n").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     return t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)
 
 
@@ -273,18 +283,26 @@ def trie_of(longest: tuple[np.ndarray, np.ndarray], order: int, short: tuple[np.
     return Trie(levels, [summed(keys >> 8, n) for keys, n in levels])
 
 
-def string_logs(dealt: DataFrame, short: tuple[np.ndarray, np.ndarray], order: int) -> DataFrame:
-    """(block, part, logs): log10 of the probability of each string of a block in a part, as float32."""
-    shared = dealt.sparkSession.sparkContext.broadcast(short)
+def worked_out(dealt_: DataFrame, short: tuple[np.ndarray, np.ndarray], order: int, parts: int) -> DataFrame:
+    """(block, part, found, total, kinds): log10 of the probability of each string of a block in a part, as float32; in the parts of
+    words each word's training count, and on one row the sum of the part's counts and how many are over 0."""
+    shared = dealt_.sparkSession.sparkContext.broadcast(short)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
         mine = [np.cumsum(unpacked(k, int(size), np.int64)) for k, size in zip(frame["keys"], frame["size"], strict=True)]
         keys, n = summed(np.concatenate(mine), np.concatenate([unpacked(c, int(size), np.int64) for c, size in zip(frame["n"], frame["size"], strict=True)]))
-        logs = trie_of((keys[n > 0], n[n > 0]), order, shared.value).logs(keys).astype(np.float32)
-        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "logs": [logs[np.searchsorted(keys, m)].tobytes() for m in mine]})
+        part = int(frame["part"].iloc[0])
+        if part < parts:
+            value = trie_of((keys[n > 0], n[n > 0]), order, shared.value).logs(keys).astype(np.float32)
+        else:
+            value = n
+        out = pd.DataFrame({"block": frame["block"], "part": frame["part"], "found": [packed(value[np.searchsorted(keys, m)]) for m in mine], "total": 0, "kinds": 0})
+        if part >= parts:
+            out.iloc[0, 3:] = [int(n.sum()), int((n > 0).sum())]
+        return out
 
-    return dealt.where("part >= 0").groupBy("part").applyInPandas(run, "block bigint, part int, logs binary")
+    return dealt_.where("part >= 0").groupBy("part").applyInPandas(run, "block bigint, part int, found binary, total bigint, kinds bigint")
 
 
 class Trie:
@@ -394,26 +412,15 @@ def scores(docs: DataFrame, train) -> DataFrame:
     spark = docs.sparkSession
     size = parts.agg(F.sum(F.aggregate("texts", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)))).first()[0] or 0
     n_parts = max(1, -(-size // PART_BYTES))
-    dealt = saved(dealt_strings(parts, ORDER, n_parts), "ppm-dealt")
-    found = saved(string_logs(dealt, short_counts(dealt), ORDER), "ppm-logs")
-    dropped(dealt)
+    mine = saved(dealt(parts, ORDER, n_parts), "ppm-dealt")
+    found = saved(worked_out(mine, short_counts(mine), ORDER, n_parts), "ppm-found")
+    dropped(mine)
     released(spark)
-
-    # one row per block and distinct word; a word of every block is a hot key of the join, which the planner splits
-    words = parts.select("block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("pos", "w")).select("block", F.col("pos").cast("int").alias("pos"), F.col("w.hashes").alias("hash"), F.col("w.counts").alias("n"))
-    words = saved(words.where("hash is not null"), "ppm-words")
-    totals = saved(words.groupBy("hash").agg(F.sum("n").alias("c")), "ppm-totals")
-    v, n = totals.agg(F.count_if(F.col("c") > 0), F.sum("c")).first()
+    stats = found.agg(F.sum("total"), F.sum("kinds")).first()
     ends = parts.select(F.explode("trains").alias("t")).where("t").count()
-    n, v = (n or 0) + ends, v + (1 if ends else 0)
-    known = words.select("block", "pos", "hash").join(totals.hint("merge"), "hash")
-    counts = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("s")).select("block", F.col("s.pos").alias("pos"), F.col("s.c").alias("known"))
-    # compact from here on: what the last exchanges carry is the texts, one array of counts and the logs
-    counts = saved(counts, "ppm-known")
-    dropped(words, totals)
-    released(spark)
-    logs = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "logs"))).alias("s")).select("block", F.col("s.logs").alias("logs"))
-    full = parts.select("block", "ids", "texts", "trains").join(counts.hint("merge"), "block", "left").join(logs.hint("merge"), "block")
+    n, v = (stats[0] or 0) + ends, (stats[1] or 0) + (1 if ends else 0)
+    sorted_ = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "found"))).alias("s"))
+    full = parts.select("block", "ids", "texts", "trains").join(sorted_.select("block", F.col("s.part").alias("part"), F.col("s.found").alias("found")).hint("merge"), "block")
 
     def run(batches):
         bottom = np.log10(n + 0.5 * (v + 1))
@@ -421,21 +428,23 @@ def scores(docs: DataFrame, train) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, texts, trains = (batch.column(c)[k].as_py() for c in (1, 2, 3))
-                # the block's words have the numbers they had when they were counted
-                words, codes, stops = words_of(texts)
-                counts, real = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-                if batch.column(4)[k].is_valid:
-                    at = batch.column(4)[k].values.to_numpy()
-                    counts[at], real[at] = batch.column(5)[k].values.to_numpy(), True
-                worth = np.where(real, np.log10(counts + 0.5) - bottom, 0.0)
-                sizes = np.add.reduceat(real[codes].astype(np.int64), stops[:-1]) + 1
+                # the block's words and strings in the order in which they were dealt
+                part, found = (batch.column(c)[k].as_py() for c in (4, 5))
+                hashes, codes, stops = words_of(texts)
+                by, cuts = words_in_parts(hashes, n_parts)
+                counts = np.zeros(len(hashes) + 1, np.int64)
+                got = [unpacked(f, int(cuts[p - n_parts + 1] - cuts[p - n_parts]), np.int64) for p, f in zip(part, found, strict=True) if p >= n_parts]
+                counts[by] = np.concatenate(got) if got else np.zeros(0, np.int64)
+                # the last entry stands for the empty word, which is none
+                worth = np.append(np.log10(counts[:-1] + 0.5) - bottom, 0.0)
+                sizes = np.add.reduceat((codes >= 0).astype(np.int64), stops[:-1]) + 1
                 hits = np.add.reduceat((counts > 0)[codes].astype(np.int64), stops[:-1]) + (ends > 0)
                 base = np.add.reduceat(worth[codes], stops[:-1]) + end
-                # the block's strings in the order in which they were dealt
                 every, lengths = strings(texts, ORDER)
                 keys = distinct(every)[0]
+                by, cuts = in_parts(keys, n_parts)
                 value = np.empty(len(keys), np.float64)
-                value[in_parts(keys, n_parts)[0]] = np.frombuffer(b"".join(batch.column(6)[k].as_py()), np.float32)
+                value[by] = np.concatenate([unpacked(f, int(cuts[p + 1] - cuts[p]), np.float32) for p, f in zip(part, found, strict=True) if p < n_parts])
                 out = np.add.reduceat(value[Lookup(keys).find(every)], np.cumsum(lengths) - lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
