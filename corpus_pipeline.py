@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from memengine.llm.common import saved, table
 from memengine.llm.language_id import with_language
-from memengine.llm.minhash_dedup import BROADCAST_IDS, near_duplicates
+from memengine.llm.minhash_dedup import BROADCAST_IDS, duplicate_rows, words_keys
 from memengine.llm.packing import pack_documents
 from memengine.llm.quality_rules import with_outliers, with_text_counts
 
@@ -43,16 +43,19 @@ def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates, and one row of each id; rows without an id stay."""
-    gone = saved(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "pipeline-gone")
+    """Keeps, of each group of near-duplicate texts, one row with the smallest id; rows without an id or a word stay."""
+    gone = duplicate_rows(docs).toDF("gone_id", "gone_key")
+    keyed = words_keys(_wrapped(docs, "doc_id", "text")).drop("text")
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    often = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "pipeline-again")
-    if often.isEmpty():
-        return left
-    same = F.col("doc_id") == F.col("again_id")
-    once = left.join(often.hint("merge"), same, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(often.hint("merge"), same, "left_anti").unionByName(once)
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.col("words_key") == F.col("gone_key"))
+    left = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), same, "left_anti")
+    # equal rows of one id stand in for each other
+    often = keyed.where("doc_id is not null and words_key is not null").groupBy(F.col("doc_id").alias("gone_id"), F.col("words_key").alias("gone_key")).count().where("count > 1")
+    often = saved(often.drop("count"), "pipeline-again")
+    if not often.isEmpty():
+        once = left.join(often.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "words_key"])
+        left = left.join(often.hint("merge"), same, "left_anti").unionByName(once)
+    return _unwrapped(left, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,19 +4,22 @@ One pass makes, per document, the set of its word shingles as 64-bit hashes and,
 functions, both the smallest and the largest value: two signature entries for one evaluation. Bands of ``ROWS``
 entries (minima or maxima) propose candidates, and every link is confirmed on the full sets.
 
-Exact copies are one class from the start (equal word sequences). Inside a bucket no set of all pairs is made:
-1. every class is compared to the bucket's smallest class, links are confirmed and components formed;
-2. buckets that still hold several components compare, in bounded blocks, the signatures of the rows outside their
-   largest component to all rows of other components; rows whose estimate comes within ``MARGIN`` of the threshold
-   are confirmed on the full sets. Pairs inside one component are not needed: its members share their id already.
+Equal word sequences are one class from the start; what follows works on classes. Inside a bucket no set of all pairs
+is made:
+1. every class is compared to the bucket's hub, the class that shares the most buckets with others; links are
+   confirmed on full sets and components formed;
+2. in buckets that still hold several components, the full sets of the rows outside the largest component meet all
+   other rows in blocks of bounded size. A task returns one link for two components that it joins, not the pairs.
 A pair at exactly the threshold shares no band with probability (1 - 0.8**4)**32, about 5e-8.
 
 Defined results:
 * null or empty text, or a text of white space: empty set, linked with nothing, its own component, kept;
 * fewer words than a shingle has: the whole sequence is the one shingle;
 * a row without an id is linked with nothing, has a null component and is kept;
-* rows that repeat an id are one document: each gets that id's component; texts are read whole;
-* an empty table gives no rows; columns besides id and text are not looked at.
+* rows that repeat an id are one document, also with several texts: each text's links count, all rows of the id get one
+  component; ``duplicate_rows`` instead decides by text;
+* texts are read whole; of equal texts the smallest id leads; an empty table gives no rows;
+* columns besides id and text are not looked at, so none can clash.
 """
 
 from __future__ import annotations
@@ -34,9 +37,10 @@ from .components import components
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-MARGIN = 0.14  # four standard errors of the estimate at the threshold
-BLOCK = 1024
-PART = 512
+#: Rows that meet in one task, on either side.
+BLOCK = 512
+#: Numbers from here on name the further classes of an id that has several texts.
+EXTRA = 1 << 62
 #: Ids of at most this many candidates travel to all tasks (8 bytes each); more are matched by an exchange.
 BROADCAST_IDS = 1_000_000
 
@@ -63,7 +67,12 @@ def shingles(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
     for i in range(k):
         mixed = (mixed ^ h[i : len(words) - k + 1 + i]) * _MIX[i % len(_MIX)]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed), xxhash.xxh3_128_digest(b" ".join(words))
+    return _distinct(mixed), xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -119,157 +128,187 @@ def with_signatures(df: DataFrame, width: int, text: str = "text") -> DataFrame:
     return with_arrays(df, text, [("words_key", "binary"), ("n_shingles", "bigint"), ("signature", "binary")], compute, drop=True)
 
 
-def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of ``ids`` (doc_id), written out."""
-    ids = saved(ids, "minhash-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
-    return saved(texts.dropDuplicates(["doc_id"]), "minhash-texts")
+def classified(marked: DataFrame) -> DataFrame:
+    """(node, rep, words_key, n_shingles, signature): one row per distinct word sequence. ``rep`` is its smallest id,
+    and so is ``node``, but for further texts of one id."""
+    rows = marked.where("words_key is not null and doc_id is not null")
+    classes = rows.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+    classes = saved(classes, "minhash-classes")
+    again = saved(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("words_key").alias("first_key")).where("n > 1").select("rep", "first_key"), "minhash-again")
+    if again.isEmpty():
+        return classes.select(F.col("rep").alias("node"), "*")
+    further = F.lit(EXTRA).bitwiseOR(F.xxhash64("words_key").bitwiseAND(F.lit(EXTRA - 1)))
+    node = F.when(F.col("first_key").isNull() | (F.col("first_key") == F.col("words_key")), F.col("rep")).otherwise(further)
+    return saved(classes.join(again.hint("merge"), "rep", "left").select(node.alias("node"), *classes.columns), "minhash-nodes")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = saved(pairs, "minhash-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = texts_of(ids, docs)
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+def full_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, set): the shingle hashes of each class, as bytes, from one of its rows; written."""
+    few = classes.count() <= BROADCAST_IDS
+    ids = classes.select("node", F.col("rep").alias("doc_id"), "words_key")
+    texts = docs.where("doc_id is not null").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id").select("node", "words_key", "text")
 
     def run(batches):
-        sets: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keep, sets = [], []
+            for i, (key, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                hashes, own = shingles(text.as_py(), width)
+                if own == key:  # an id may have other texts
+                    keep.append(i)
+                    sets.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node", "set"])
 
-        def of(i, text):
-            if i not in sets:
-                if len(sets) > 2000:
-                    sets.clear()
-                sets[i] = shingles(text.as_py(), width)[0]
-            return sets[i]
+    return saved(texts.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]), "minhash-sets")
 
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b")
+
+    def run(batches):
         for batch in batches:
             keep = []
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(batch.num_rows):
-                x, y = of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i])
-                common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(x) + len(y) - len(_distinct(np.concatenate((x, y))))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    links = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "minhash-links")
-    dropped(texts, pairs)
-    return links
+    return saved(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"), "minhash-links")
 
 
-def _estimates(percent: int):
-    least = int(np.ceil((percent / 100 - MARGIN) * 2 * PERMUTATIONS))
-
+def _joining(percent: int):
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Per outside row and part of another component: the rows of the bucket that it may be linked to."""
-        out = []
+        """Links between rows of different components, one for any two that meet here and become one."""
+        out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            y = np.stack([np.frombuffer(s, np.uint32) for s in right["signature"]])
-            ids, comps, sizes, parts = (right[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "part"))
-            for i, c, n, s in zip(left["doc_id"], left["component"], left["n_shingles"], left["signature"], strict=True):
-                near = (y == np.frombuffer(s, np.uint32)).sum(1) >= least
-                near &= (comps != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                at = np.nonzero(near)[0]
-                for k, p in set(zip(comps[at].tolist(), parts[at].tolist(), strict=True)):
-                    out.append((i, k, p, ids[at[(comps[at] == k) & (parts[at] == p)]].tolist()))
-        return pd.DataFrame(out, columns=["doc_id", "other", "part", "ids"])
-
-    return compare
-
-
-def _first_links(width: int, percent: int):
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Per outside row the first of its candidates in this part whose full set is close enough."""
-        out, sets = [], {}
-        texts = dict(zip(right["doc_id"], right["text"], strict=True))
-        for i, ids, text in zip(left["doc_id"], left["ids"], left["text"], strict=True):
-            x = shingles(text, width)[0]
-            for j in sorted(ids):
-                if j not in sets:
-                    sets[j] = shingles(texts[j], width)[0]
-                y = sets[j]
-                common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    out.append((min(i, j), max(i, j)))
-                    break
+            left, right = left.sort_values("node"), right.sort_values("node")
+            held = [np.frombuffer(x, np.uint64) for x in right["set"]]
+            sizes = np.array([len(x) for x in held])
+            values, flat = np.unique(np.concatenate(held), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            names, label = np.unique(np.concatenate((left["component"], right["component"])), return_inverse=True)
+            mine, theirs, nodes = label[: len(left)], label[len(left) :], right["node"].to_numpy()
+            marked = np.zeros(len(values), bool)
+            for k, (i, x) in enumerate(zip(left["node"], left["set"], strict=True)):
+                if (theirs == mine[k]).all():
+                    continue
+                x = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                at = at[values[at] == x]
+                marked[at] = True
+                common = np.add.reduceat(marked[flat].astype(np.int64), starts)
+                marked[at] = False
+                near = np.nonzero((theirs != mine[k]) & (100 * common >= percent * (len(x) + sizes - common)))[0]
+                for j in near.tolist():
+                    if theirs[j] != mine[k]:
+                        out.append((int(min(i, nodes[j])), int(max(i, nodes[j]))))
+                        old, new = theirs[j], mine[k]
+                        theirs[theirs == old] = new
+                        mine[mine == old] = new
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return compare
 
 
-def linked_outside(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components still apart inside one bucket.
-
-    Rows outside a bucket's largest component are compared by signature to all rows of the bucket's other components,
-    in blocks of bounded size. What may be a link is then confirmed on full sets, again in blocks: the texts of a
-    part of one component meet the texts of a part of the rows that may be linked to it, each once, and a row stops
-    at its first link to that part. So neither step writes out pairs."""
-    large = buckets.where("members > 2").select("band", "doc_id", "n_shingles")
-    labelled = large.join(labels.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
+def linked_outside(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components still apart inside one bucket: the rows outside a bucket's largest
+    component meet all rows of the bucket in blocks, with their full sets."""
+    large = buckets.where("members > 2").select("band", "node")
+    labelled = large.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("band").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"))
     mixed = saved(mixed.where("components > 1").drop("components"), "minhash-mixed")
-    rows = labelled.join(mixed.hint("merge"), "band")
-    whole = labels.groupBy("component").agg(F.count(F.lit(1)).alias("whole"))
-    rows = rows.join(whole.hint("merge"), "component", "left").join(classes.select("doc_id", "signature").hint("merge"), "doc_id")
-    parts = F.ceil(F.coalesce("whole", F.lit(1)) / PART)
-    rows = saved(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), parts)), "minhash-rows")
+    # what stands together in several bands is compared in one of them: the same members have the same hash
+    alike = labelled.join(mixed.select("band").hint("merge"), "band", "left_semi").groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("n"))
+    once = saved(alike.groupBy("mark", "n").agg(F.min("band").alias("band")).select("band"), "minhash-once")
+    mixed = mixed.join(once.hint("merge"), "band", "left_semi")
+    rows = saved(labelled.join(mixed.hint("merge"), "band"), "minhash-rows")
     out_n = F.col("members") - F.col("main_n")
     slots = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / BLOCK) - 1)
-    fields = ["band", "doc_id", "component", "n_shingles", "signature"]
-    inside = rows.select(*fields, "part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK)).alias("block"), F.explode(slots(out_n)).alias("outer"))
-    outside = rows.where("component <> main").select(*fields, F.explode(slots(F.col("members"))).alias("block"), F.pmod(F.xxhash64("doc_id"), F.ceil(out_n / BLOCK)).alias("outer"))
+    inside = rows.select("band", "node", "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("block"), F.explode(slots(out_n)).alias("outer"))
+    outside = rows.where("component <> main").select("band", "node", "component", F.explode(slots(F.col("members"))).alias("block"), F.pmod(F.xxhash64("node"), F.ceil(out_n / BLOCK)).alias("outer"))
     group = ["band", "block", "outer"]
-    found = outside.groupBy(*group).cogroup(inside.groupBy(*group)).applyInPandas(_estimates(percent), "doc_id bigint, other bigint, part bigint, ids array<bigint>")
-    found = saved(found, "minhash-found")
-    asked = found.groupBy("doc_id", "other", "part").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    askers = found.groupBy("other", "part").agg(F.ceil(F.approx_count_distinct("doc_id") / PART).alias("rounds"))
-    asked = asked.join(askers.hint("merge"), ["other", "part"]).withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.col("rounds")))
-    # the members of a part, once each, whatever the number of rows that ask for them
-    needed = rows.select(F.col("component").alias("other"), "part", "doc_id").distinct()
-    needed = needed.join(askers.hint("merge"), ["other", "part"]).select("other", "part", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("turn"))
-    texts = texts_of(found.select("doc_id").unionByName(needed.select("doc_id")).distinct(), docs)
-    left = asked.join(texts.hint("merge"), "doc_id").select("other", "part", "turn", "doc_id", "ids", "text")
-    # the same tables stand on both sides: new column identities keep the two apart
-    again = texts.toDF("doc_id", "text").hint("merge")
-    right = needed.join(again, "doc_id").select("other", "part", "turn", "doc_id", "text").toDF("other", "part", "turn", "doc_id", "text")
-    group = ["other", "part", "turn"]
-    links = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_first_links(width, percent), "a bigint, b bigint")
+    # the same table stands on both sides: new column identities keep the two apart
+    left = outside.join(sets.hint("merge"), "node")
+    right = inside.join(sets.toDF("node", "set").hint("merge"), "node").toDF("node", "band", "component", "block", "outer", "set")
+    links = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_joining(percent), "a bigint, b bigint")
     return saved(links.distinct(), "minhash-links")
 
 
+def class_links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes that connect what near-duplicates connect."""
+    keys = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
+    bands = classes.select("node", "n_shingles", F.explode(F.array(*keys)).alias("band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = saved(bands.join(shared.hint("merge"), "band"), "minhash-bands")
+    fame = saved(met.groupBy("node").agg(F.sum("members").alias("fame")), "minhash-fame")
+    buckets = saved(met.join(fame.hint("merge"), "node"), "minhash-buckets")
+    sets = full_sets(classes.join(fame.select("node").hint("merge"), "node", "left_semi"), docs, width)
+    hubs = buckets.groupBy("band").agg(F.max(F.struct("fame", (-F.col("node")).alias("low"), "n_shingles")).alias("hub"))
+    near = (F.col("node") != -F.col("hub.low")) & (100 * F.least("n_shingles", "hub.n_shingles") >= percent * F.greatest("n_shingles", "hub.n_shingles"))
+    pairs = buckets.join(hubs.hint("merge"), "band").where(near).select((-F.col("hub.low")).alias("a"), F.col("node").alias("b")).distinct()
+    links = confirmed(pairs, sets, percent)
+    more = linked_outside(buckets, components(links), sets, percent)
+    out = saved(links.unionByName(more), "minhash-all")
+    dropped(met, fame, buckets, sets, links, more)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     marked = saved(with_signatures(docs, width), "minhash-signatures")
-    reps = marked.where("words_key is not null and doc_id is not null").groupBy("words_key").agg(F.min("doc_id").alias("rep"))
-    reps = saved(reps, "minhash-classes")
-    of_rep = marked.join(reps.hint("merge"), (marked["words_key"] == reps["words_key"]) & (marked["doc_id"] == reps["rep"]), "left_semi")
-    classes = saved(of_rep.select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"]), "minhash-reps")
-
-    keys = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
-    bands = classes.select("doc_id", "n_shingles", F.explode(F.array(*keys)).alias("band"))
-    hub = F.min(F.struct("doc_id", "n_shingles"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), hub.alias("low")).where("members > 1")
-    buckets = saved(bands.join(shared.hint("merge"), "band"), "minhash-buckets")
-    # first every class to the smallest id of each of its buckets, then what is still apart inside a bucket
-    near = (F.col("doc_id") != F.col("low.doc_id")) & (100 * F.least("n_shingles", "low.n_shingles") >= percent * F.greatest("n_shingles", "low.n_shingles"))
-    pairs = buckets.where(near).select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(pairs, docs, width, percent)
-    more = linked_outside(buckets, components(links), classes, docs, width, percent)
-    labels = components(links.unionByName(more))
-
+    classes = classified(marked)
+    edges = class_links(classes, docs, width, percent)
+    reps = classes.select("words_key", "rep")
+    further = saved(classes.where(F.col("node") >= EXTRA).where("node <> rep").select("node", F.col("rep").alias("id")), "minhash-further")
+    if not further.isEmpty():
+        for end in ("a", "b"):
+            edges = edges.join(further.withColumnRenamed("node", end).hint("merge"), end, "left").withColumn(end, F.coalesce("id", end)).drop("id")
+    # the texts of one id share its component
+    good = marked.where("words_key is not null and doc_id is not null").select("doc_id", "words_key")
+    several = good.groupBy("doc_id").agg(F.min(F.xxhash64("words_key")).alias("low"), F.max(F.xxhash64("words_key")).alias("high")).where("low <> high").select("doc_id")
+    several = saved(several, "minhash-several")
+    if not several.isEmpty():
+        own = good.join(several.hint("merge"), "doc_id", "left_semi").distinct().join(reps.hint("merge"), "words_key")
+        edges = edges.select("a", "b").unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    labels = components(edges)
     named = reps.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("words_key", F.coalesce("component", "rep").alias("class_component"))
-    # an id with several texts belongs to several classes; they were joined under that id where it leads a class
     out = marked.select("doc_id", "words_key", "n_shingles").join(named.hint("merge"), "words_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def words_keys(docs: DataFrame, text: str = "text", name: str = "words_key") -> DataFrame:
+    """``docs`` with a digest of the word sequence of ``text``, null without words."""
+
+    def compute(column):
+        words = [(t or "").encode("utf-8", "replace").translate(_LOWER).split() for t in column.to_pylist()]
+        return [pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary())]
+
+    return with_arrays(docs, text, [(name, "binary")], compute)
+
+
+def duplicate_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, words_key) of the rows of ``docs`` (doc_id, text) that go when one text of each group of
+    near-duplicates stays, under its smallest id; written."""
+    docs = docs.select("doc_id", "text")
+    marked = saved(with_signatures(docs, width), "minhash-signatures")
+    classes = classified(marked)
+    labels = components(class_links(classes, docs, width, percent))
+    stays = classes.join(labels.hint("merge"), "node", "left").select("words_key", "rep", "node", F.coalesce("component", "node").alias("lead"))
+    if not classes.where("node <> rep").isEmpty():  # a further text of an id has a high number, but may lead by its id
+        leads = stays.groupBy("lead").agg(F.min_by("node", F.struct("rep", "node")).alias("first"))
+        stays = stays.join(leads.hint("merge"), "lead").select("words_key", "rep", "node", F.col("first").alias("lead"))
+    stays = stays.withColumn("leads", F.col("node") == F.col("lead"))
+    rows = marked.where("words_key is not null and doc_id is not null").select("doc_id", "words_key")
+    gone = rows.join(stays.hint("merge"), "words_key").where(~F.col("leads") | (F.col("doc_id") != F.col("rep")))
+    return saved(gone.select("doc_id", "words_key").distinct(), "minhash-gone")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)

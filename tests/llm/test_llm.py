@@ -199,6 +199,30 @@ def test_dedup_odd_rows(spark):
     assert len(rows) == 4 and {(r.doc_id, r.component_id, r.kept) for r in rows} == {(None, None, True), (1, 1, True), (2, 2, True)}
 
 
+def test_dedup_of_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (5, c), (6, c + " x"), (6, "short one"), (6, "short one")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df, width=4).collect())
+    assert got == [(1, 37, 1, True), (1, 37, 1, True), (2, 38, 1, False), (3, 38, 1, False), (5, 37, 5, True), (6, 1, 5, False), (6, 1, 5, False), (6, 38, 5, False)]
+    import corpus_pipeline
+
+    docs = df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("bigint").alias("n_chars"))
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert left == sorted([(1, a), (1, b), (5, c), (6, "short one")])
+
+
+def test_dedup_of_a_loose_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(15)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(int(i), " ".join(w if rng.random() > 0.03 else f"x{rng.integers(9999)}" for w in base)) for i in rng.permutation(120)]
+    want = brute_components(rows, 4, 80)
+    assert len({c for _, c in want.values()}) > 3
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4).collect()}
+    assert got == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(edges).collect()}
@@ -343,4 +367,4 @@ def test_pipeline_stages_decide(spark):
         if name == "quality_rules":
             assert 52 not in [r.doc_id for r in docs.collect()]
     ids = [r.doc_id for r in docs.collect()]
-    assert sorted(i for i in ids if i is not None) == list(range(30)) and ids.count(None) == 1
+    assert sorted(i for i in ids if i is not None) == list(range(30)) and ids.count(None) == 1  # 50 copies 0, 3 stands twice
