@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import fold, fresh, table, with_arrays
 
 PROFILE = 300
-#: Labels are a closed set; more than this many mean that the label column holds something else.
+#: Labels are a closed set, so all profiles travel to every task. Of a label column with more values than this the
+#: ones with the most rows are learned.
 MAX_LABELS = 2000
 HELD_OUT = 200_000
 
@@ -45,9 +46,11 @@ def grams(text: str) -> np.ndarray:
     a = padded[keep]
     if len(a) < 3:
         return np.zeros(0, np.int64)
+    letter = a > 0
+    a = np.where(letter, a, 1)  # a pad of its own: with 0 in front a longer n-gram would have a shorter one's code
     two = (a[:-1] << 21) | a[1:]
     three = (a[:-2] << 42) | (a[1:-1] << 21) | a[2:]
-    return np.concatenate((a[a > 0], two, three[a[1:-1] > 0]))
+    return np.concatenate((a[letter], two, three[letter[1:-1]]))
 
 
 def top_grams(text: str, size: int = PROFILE) -> np.ndarray:
@@ -105,9 +108,15 @@ def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 def profiles(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:
     """(lang, gram, rank from 0): ``size`` rows a language at most."""
+    labels = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).count()
+    counts = gram_counts(df, text, lang)
+    if labels.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        most = labels.orderBy(F.desc("count"), "lang").limit(MAX_LABELS).select("lang")
+        counts = counts.join(F.broadcast(most), "lang", "left_semi")
+    # a limit on the number itself lets every task drop all but its own first rows before the exchange
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranked = gram_counts(df, text, lang).withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.where(F.col("rank") < size).select("lang", "gram", "rank")
+    ranked = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    return ranked.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class RankModel:
@@ -116,8 +125,6 @@ class RankModel:
     def __init__(self, rows: list[tuple[str, int, int]], size: int = PROFILE):
         self.size = size
         self.langs = sorted({r[0] for r in rows})
-        if len(self.langs) > MAX_LABELS:
-            raise ValueError(f"{len(self.langs)} labels; at most {MAX_LABELS} are languages")
         self.codes = np.unique(np.array([r[1] for r in rows], np.int64))
         self.ranks = np.full((len(self.langs), len(self.codes) + 1), -1, np.int32)
         at = {name: i for i, name in enumerate(self.langs)}
@@ -138,8 +145,8 @@ class RankModel:
 
 def with_language(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """``df`` with the predicted language of ``text`` and its score, learned from ``text`` and ``lang`` of ``train``."""
-    limit = PROFILE * (MAX_LABELS + 1)
-    model = RankModel([tuple(r) for r in profiles(train, text, lang).limit(limit).collect()])
+    # MAX_LABELS times PROFILE rows at most
+    model = RankModel([tuple(r) for r in profiles(train, text, lang).collect()])
 
     def compute(column):
         out = [model.predict(t) for t in column.to_pylist()]

@@ -5,16 +5,19 @@ them into variance-stabilized shares, estimates per (language, source) the centr
 half-plus subset of rows with the smallest determinant, and rejects rows whose squared Mahalanobis distance lies
 beyond a chi-square quantile.
 
-The estimate uses all rows. It starts from medians and absolute deviations and repeats concentration steps: distance
-of every row, the group's quantile of distances, mean and covariance of the rows below it. Each step is a Spark
-aggregation with partial sums, so a group of any size needs no task of its own. Groups smaller than ``MIN_ROWS`` use
-the estimate of their language, small languages that of all rows.
+The estimate uses all rows. Every group has ``STARTS`` starts: medians with absolute deviations, and small subsets
+drawn by hash. Each makes ``FIRST_STEPS`` concentration steps: distance of every row, the group's quantile of
+distances (approximate, to 1 in 2000), mean and covariance of the rows below it. The start with the smallest
+determinant goes on until no group's determinant falls any more. Each step is a Spark aggregation with partial sums,
+so a group of any size needs no task of its own. As part of the method, groups under ``MIN_ROWS`` rows, too few for a
+covariance of their own, use the estimate of their language, small languages that of all rows.
 
 Defined results:
 * null or empty text: all counts 0, ``base_failed`` true, not kept; it takes no part in any estimate;
 * null language or source: a group of its own (together with the empty string);
 * no row that passes the base rules, or an empty table: nothing to estimate, verdicts follow the base rules;
 * a statistic without spread (most texts have no symbol): each scale has a floor, so covariances stay invertible;
+* a row exactly at a quantile belongs to the subset, also where many rows tie;
 * texts are read whole; repeated rows count each; input columns stay, added names that clash get underscores.
 """
 
@@ -40,7 +43,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Smallest scale of each statistic, in its transformed unit, in the order of ``statistics``.
 FLOORS = (0.08, 0.05, 0.20, 0.15, 0.05, 0.05)
 SUPPORT = 0.6
-STEPS = 6
+STARTS = 3
+START_ROWS = 60
+FIRST_STEPS = 2
+MOST_STEPS = 20
+SETTLED = 1e-3
 MIN_ROWS = 200
 TAIL = 1e-6
 BROADCAST_GROUPS = 20_000
@@ -88,14 +95,15 @@ def with_text_counts(df: DataFrame, text: str = "text", drop_text: bool = False)
     return with_arrays(df, text, [(fresh(df, c), "bigint") for c in COUNTS], compute, drop_text)
 
 
-def base_failed():
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(of=F.col):
+    """``of`` gives the column of a count by its name."""
+    return (of("n_words") < 50) | (100 * of("n_repeat_words") > 50 * of("n_words"))
 
 
-def statistics():
+def statistics(of=F.col):
     """The vector of a row: log of the mean word length, and square roots of shares, which have an even spread."""
-    chars, words, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("word_chars", "n_words", "n_lines"))
-    share = lambda c, d: F.sqrt(F.col(c) / d)
+    chars, words, lines = (F.greatest(of(c), F.lit(1)) for c in ("word_chars", "n_words", "n_lines"))
+    share = lambda c, d: F.sqrt(of(c) / d)
     return [
         F.log(chars / words),
         share("n_symbols", chars),
@@ -131,19 +139,52 @@ def consistency(support: float, k: int) -> float:
 
 
 def _precision(frames):
-    """Rows (g, n, mean, cov sums) to (g, n, mean, precision)."""
+    """Rows (g, start, size, used, sums, squares) to (g, start, size, mean, precision, logdet)."""
     p = len(FLOORS)
     ridge, factor = np.diag(np.square(FLOORS)), consistency(SUPPORT, p)
     for frame in frames:
-        means, inverses = [], []
+        means, inverses, dets = [], [], []
         for n, s, q in zip(frame["used"], frame["sums"], frame["squares"], strict=True):
             mean = np.array(s, float) / n
             cov = np.zeros((p, p))
             cov[np.triu_indices(p)] = np.array(q, float) / n
-            cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+            cov = (cov + np.triu(cov, 1).T - np.outer(mean, mean)) * factor + ridge
             means.append(mean.tolist())
-            inverses.append(np.linalg.inv(cov * factor + ridge).ravel().tolist())
-        yield pd.DataFrame({"g": frame["g"], "size": frame["size"], "mean": means, "precision": inverses})
+            inverses.append(np.linalg.inv(cov).ravel().tolist())
+            dets.append(float(np.linalg.slogdet(cov)[1]))
+        yield pd.DataFrame({"g": frame["g"], "start": frame["start"], "size": frame["size"], "mean": means, "precision": inverses, "logdet": dets})
+
+
+MODEL = "g string, start int, size bigint, mean array<double>, precision array<double>, logdet double"
+
+
+def _estimate(used: DataFrame) -> DataFrame:
+    """``MODEL`` of rows (g, start, size, x0, ..)."""
+    p = len(FLOORS)
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = used.groupBy("g", "start").agg(
+        F.first("size").alias("size"),
+        F.count(F.lit(1)).alias("used"),
+        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in upper],
+    )
+    sums = sums.select("g", "start", "size", "used", F.array(*[f"s{i}" for i in range(p)]).alias("sums"), F.array(*[f"q{i}_{j}" for i, j in upper]).alias("squares"))
+    return sums.mapInPandas(_precision, MODEL)
+
+
+def concentrated(stats: DataFrame, model: DataFrame, groups: int) -> DataFrame:
+    """One concentration step from every row of ``model``, written."""
+    p = len(FLOORS)
+    keys = ["g", "start"]
+    near = _joined(stats, model.select("g", "start", "size", "mean", "precision"), groups).select(*keys, "size", *[f"x{i}" for i in range(p)], _distance(p).alias("d2"))
+    cuts = saved(near.groupBy(*keys).agg(F.percentile_approx("d2", SUPPORT, 2000).alias("cut")), "mcd-cut")
+    used = near.join(F.broadcast(cuts) if groups <= BROADCAST_GROUPS else cuts.hint("merge"), keys).where(F.col("d2") <= F.col("cut"))
+    return saved(_estimate(used), "mcd-step")
+
+
+def least_determinant(model: DataFrame) -> DataFrame:
+    """Of each group the row with the smallest determinant, the first start of equal ones."""
+    return model.groupBy("g").agg(F.min_by(F.struct("start", "size", "mean", "precision", "logdet"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
 
 
 def _joined(rows: DataFrame, model: DataFrame, groups: int) -> DataFrame:
@@ -162,8 +203,8 @@ def _distance(p: int):
     return out
 
 
-def fit(stats: DataFrame, steps: int = STEPS) -> tuple[DataFrame, int]:
-    """(g, size, mean, precision) for every group of ``stats`` (g, x0, x1, ...), and the number of groups."""
+def fit(stats: DataFrame) -> tuple[DataFrame, int]:
+    """``MODEL`` with one row for every group of ``stats`` (g, x0, x1, ...), and the number of groups."""
     p = len(FLOORS)
     xs = [f"x{i}" for i in range(p)]
     first = stats.groupBy("g").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(x, 0.5, 2000).alias(f"m{x}") for x in xs])
@@ -175,58 +216,69 @@ def fit(stats: DataFrame, steps: int = STEPS) -> tuple[DataFrame, int]:
     diagonal = [F.lit(0.0)] * (p * p)
     for i, x in enumerate(xs):
         diagonal[i * p + i] = 1 / (F.pow(1.4826 * F.col(f"d{x}"), 2) + FLOORS[i] ** 2)
-    model = saved(away.select("g", "size", "mean", F.array(*diagonal).alias("precision")), "mcd-start")
-    for k in range(steps):
-        near = _joined(stats, model, groups).select("g", "size", *xs, _distance(p).alias("d2"))
-        cuts = saved(near.groupBy("g").agg(F.percentile_approx("d2", SUPPORT, 2000).alias("cut")), f"mcd-cut{k}")
-        used = _joined(near, cuts, groups).where(F.col("d2") <= F.col("cut"))
-        sums = used.groupBy("g").agg(
-            F.first("size").alias("size"),
-            F.count(F.lit(1)).alias("used"),
-            *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
-            *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)],
-        )
-        sums = sums.select("g", "size", "used", F.array(*[f"s{i}" for i in range(p)]).alias("sums"), F.array(*[f"q{i}_{j}" for i in range(p) for j in range(i, p)]).alias("squares"))
-        model = saved(sums.mapInPandas(_precision, "g string, size bigint, mean array<double>, precision array<double>"), f"mcd-step{k}")
-    return model, groups
-
-
-def with_outliers(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``counted`` (with ``COUNTS``) with ``base_failed``, the distance ``d2``, the ``fitted_on`` group and ``kept``."""
+    model = away.select("g", F.lit(0).alias("start"), "size", "mean", F.array(*diagonal).alias("precision"), F.lit(0.0).alias("logdet"))
+    if STARTS > 1:
+        # about START_ROWS rows of a group for each further start
+        sized = _joined(stats, first.select("g", "size"), groups).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))))
+        drawn = sized.where(F.pmod(F.xxhash64("start", *xs), F.lit(1 << 30)) < F.lit(float(START_ROWS << 30)) / F.col("size"))
+        model = model.unionByName(_estimate(drawn))
+    model = saved(model, "mcd-starts")
+    for _ in range(FIRST_STEPS):
+        model = concentrated(stats, model, groups)
+    best = saved(least_determinant(model), "mcd-best")
+    for _ in range(MOST_STEPS - FIRST_STEPS):
+        after = concentrated(stats, best, groups)
+        both = best.unionByName(after.withColumn("start", F.lit(STARTS)))
+        falls = best.select("g", "logdet").join(after.select("g", F.col("logdet").alias("now")).hint("merge"), "g").agg(F.max(F.col("logdet") - F.col("now"))).first()[0]
+        best = saved(least_determinant(both), "mcd-best")
+        if falls is None or falls < SETTLED:
+            break
+    return best, groups
+
+
+def with_outliers(counted: DataFrame, lang: str = "lang", source: str = "source", counts: list[str] = COUNTS) -> DataFrame:
+    """``counted`` with ``base_failed``, the distance ``d2``, the ``fitted_on`` group and ``kept``. ``counts`` names its
+    columns of ``COUNTS``."""
     p = len(FLOORS)
     sep = "\x1f"
-    fine = F.concat_ws(sep, F.lit("s"), F.coalesce(F.col(lang).cast("string"), F.lit("")), F.coalesce(F.col(source).cast("string"), F.lit("")))
-    mid = F.concat_ws(sep, F.lit("l"), F.coalesce(F.col(lang).cast("string"), F.lit("")))
-    xs = statistics()
-    passed = counted.where(~base_failed()).select(F.array(fine, mid, F.lit("all")).alias("levels"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
-    stats = saved(passed, "mcd-stats")
-    leveled = stats.select(F.explode("levels").alias("g"), *[f"x{i}" for i in range(p)])
-    model, groups = fit(leveled)
-    verdicts = counted.withColumn("_fine", fine).withColumn("_mid", mid)
-    for i, x in enumerate(xs):
-        verdicts = verdicts.withColumn(f"x{i}", x)
-    for level, key in (("_fine", "_gf"), ("_mid", "_gm"), (None, "_ga")):
-        part = model.select(F.col("g").alias(key), F.struct("mean", "precision").alias(f"{key}_m"))
-        on = verdicts[level] == part[key] if level else part[key] == F.lit("all")
-        if level is None:
-            verdicts = verdicts.join(F.broadcast(part.where(F.col(key) == "all")), on, "left")  # one row at most
-        else:
-            verdicts = verdicts.join(F.broadcast(part) if groups <= BROADCAST_GROUPS else part.hint("merge"), on, "left")
-    chosen = F.coalesce("_gf_m", "_gm_m", "_ga_m")
-    verdicts = verdicts.withColumn("mean", chosen["mean"]).withColumn("precision", chosen["precision"]).withColumn("fitted_on", F.coalesce("_gf", "_gm", "_ga"))
+    name = dict(zip(COUNTS, counts, strict=True))
+    of = lambda c: F.col(f"`{name[c]}`")
+    part = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    fine, mid = F.concat_ws(sep, F.lit("s"), part(lang), part(source)), F.concat_ws(sep, F.lit("l"), part(lang))
+    # the whole row is one column from here on, so that its names can't clash
+    rows = counted.select(F.struct(*[F.col(f"`{c}`") for c in counted.columns]).alias("row"), base_failed(of).alias("failed"), fine.alias("fine"), mid.alias("mid"), *[x.alias(f"x{i}") for i, x in enumerate(statistics(of))])
+    stats = saved(rows.where("not failed").select(F.array("fine", "mid", F.lit("all")).alias("levels"), *[f"x{i}" for i in range(p)]), "mcd-stats")
+    model, groups = fit(stats.select(F.explode("levels").alias("g"), *[f"x{i}" for i in range(p)]))
+    model = saved(model.select("g", "mean", "precision"), "mcd-model")
+    whole = model.where("g = 'all'").first()  # one row at most
+    verdicts = rows
+    for level in ("fine", "mid"):
+        named = model.select(F.col("g").alias(level), F.struct("g", "mean", "precision").alias(f"{level}_model"))
+        verdicts = verdicts.join(F.broadcast(named) if groups <= BROADCAST_GROUPS else named.hint("merge"), level, "left")
+    # without an estimate all distances are null
+    doubles = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    last = F.struct(F.lit("all").alias("g"), doubles(whole["mean"]).alias("mean"), doubles(whole["precision"]).alias("precision")) if whole else F.lit(None).cast("struct<g:string,mean:array<double>,precision:array<double>>")
+    verdicts = verdicts.select("row", "failed", *[f"x{i}" for i in range(p)], F.coalesce("fine_model", "mid_model", last).alias("m")).select("row", "failed", *[f"x{i}" for i in range(p)], "m.*")
     cutoff = chi_square_quantile(1 - TAIL, p)
-    failed = base_failed()
+    added = [fresh(counted, c) for c in ("base_failed", "d2", "fitted_on", "kept")]
     return verdicts.select(
-        *counted.columns,
-        failed.alias("base_failed"),
-        F.when(~failed, _distance(p)).alias("d2"),
-        F.regexp_replace("fitted_on", sep, "/").alias("fitted_on"),
-        (~failed & F.coalesce(_distance(p) <= cutoff, F.lit(True))).alias("kept"),
+        *[F.col(f"row.`{c}`").alias(c) for c in counted.columns],
+        F.col("failed").alias(added[0]),
+        F.when(~F.col("failed"), _distance(p)).alias(added[1]),
+        F.regexp_replace("g", sep, "/").alias(added[2]),
+        (~F.col("failed") & F.coalesce(_distance(p) <= cutoff, F.lit(True))).alias(added[3]),
     )
 
 
+def with_quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """``df`` with ``COUNTS`` of ``text`` and the columns of ``with_outliers``. Counts are made once and written, as
+    the fit reads them often."""
+    counts = [fresh(df, c) for c in COUNTS]
+    return with_outliers(saved(with_text_counts(df, text), "quality-counts"), lang, source, counts)
+
+
 def quality(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts, verdict) for ``documents``; counts are made once and written, the fit reads them often."""
+    """(doc_id, counts, verdict) for ``documents``."""
     counted = with_text_counts(docs.select("doc_id", "lang", "source", "text"), drop_text=True)
     return with_outliers(saved(counted, "quality-counts"))
 

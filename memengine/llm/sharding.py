@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, saved, table
 
 BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 16_384
@@ -37,27 +37,28 @@ def _row_bytes(df: DataFrame) -> Column:
     return out
 
 
-def scattered(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, str, str]:
-    """Pass one: ``df`` with its row hash and its bucket; returns the names of those two columns."""
-    key, bucket = fresh(df, "row_hash"), fresh(df, "bucket")
+def scattered(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame, str, str]:
+    """Pass one: ``df`` with its row hash and its bucket, (bucket, n) with the rows of each bucket, and the names of
+    the two added columns. ``df`` is a table that reads the same each time, such as files."""
+    key, bucket, serial = fresh(df, "row_hash"), fresh(df, "bucket"), fresh(df, "row_serial")
     hashed = df.withColumn(key, F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]))
-    total = hashed.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
-    n_buckets = max(1, -(-total["n"] // bucket_rows), -(-(total["b"] or 0) // bucket_bytes))
-    often = (
-        hashed.groupBy(F.col(key).alias("often_hash"))
-        .agg(F.count(F.lit(1)).alias("often_n"))
-        .where(F.col("often_n") > bucket_rows // 2)
-        .select("often_hash")
-    )
-    # at most 2 * rows / bucket_rows values are that frequent; they come out of a small aggregate
-    hot = [r[0] for r in often.limit(1).collect()]
-    if hot:
-        hashed = hashed.join(often.hint("shuffle_merge") if n_buckets > 100_000 else F.broadcast(often), F.col(key) == F.col("often_hash"), "left")
-        spread = F.when(F.col("often_hash").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
-        hashed = hashed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), spread), F.lit(n_buckets))).drop("often_hash")
-    else:
-        hashed = hashed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(n_buckets)))
-    return hashed, key, bucket
+    # one narrow row per row value: all that is counted comes from here
+    classes = saved(hashed.groupBy(F.col(key).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")), "shuffle-hashes")
+    total = classes.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    n_buckets = max(1, -(-(total["n"] or 0) // bucket_rows), -(-(total["b"] or 0) // bucket_bytes))
+    # at most 2 * rows / bucket_rows values are that frequent
+    often = classes.where(F.col("n") > bucket_rows // 2).select(F.col("hash").alias("often_hash"))
+    place = lambda h, spread: F.pmod(F.xxhash64(F.lit(seed + 1), h, spread), F.lit(n_buckets))
+    if often.isEmpty():
+        rows = hashed.withColumn(bucket, place(F.col(key), F.lit(0).cast("long")))
+        sizes = classes.groupBy(place(F.col("hash"), F.lit(0).cast("long")).alias(bucket)).agg(F.sum("n").alias("n"))
+        return rows, sizes, key, bucket
+    # rows are numbered as they are read, before any exchange, so each reading deals them alike
+    numbered = hashed.withColumn(serial, F.monotonically_increasing_id())
+    numbered = numbered.join(often.hint("shuffle_merge") if n_buckets > 100_000 else F.broadcast(often), F.col(key) == F.col("often_hash"), "left")
+    spread = F.when(F.col("often_hash").isNotNull(), F.col(serial)).otherwise(F.lit(0).cast("long"))
+    rows = numbered.withColumn(bucket, place(F.col(key), spread)).drop("often_hash", serial)
+    return rows, rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")), key, bucket
 
 
 def external_shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -66,10 +67,10 @@ def external_shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, buck
     Adds ``bucket``, ``position`` (in the order of all rows), ``shard`` and ``slot`` (gapless from 0 in a shard)."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    rows, key, bucket = scattered(df, seed, bucket_bytes, bucket_rows)
+    rows, sizes, key, bucket = scattered(df, seed, bucket_bytes, bucket_rows)
     position, shard, slot = (fresh(df, c) for c in ("position", "shard", "slot"))
     # where each bucket starts: one number per bucket, summed over blocks of buckets and then inside a block
-    sizes = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col(bucket) / 4096))
+    sizes = sizes.withColumn("block", F.floor(F.col(bucket) / 4096))
     blocks = sizes.groupBy("block").agg(F.sum("n").alias("block_n"))
     firsts = blocks.select("block", (F.expr("sum(block_n) OVER (ORDER BY block)") - F.col("block_n")).alias("before"), F.expr("sum(block_n) OVER ()").alias("total"))
     starts = sizes.join(firsts.hint("shuffle_hash"), "block").select(

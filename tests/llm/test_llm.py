@@ -139,6 +139,41 @@ def test_language_profiles(spark):
     assert none.lang_pred == "und"
 
 
+def test_out_of_place_distance_by_hand(spark):
+    texts = [(1, "abab abc", "aa"), (2, "abab ab", "aa"), (3, "xyxy xz", "bb"), (4, "xyz xyz zz", "bb"), (5, None, "aa"), (6, "1 2", "bb"), (7, "abab abc", "aa")]
+    df = spark.createDataFrame(texts, "doc_id int, text string, lang string")
+
+    def ranked(lines):
+        count = {}
+        for line in lines:
+            for w in line.split():
+                padded = f"_{w}_" if w.isalpha() else ""
+                for k in (1, 2, 3):
+                    for i in range(len(padded) - k + 1):
+                        g = padded[i : i + k]
+                        if g != "_" and not (k == 3 and g[1] == "_"):
+                            count[g] = count.get(g, 0) + 1
+        code = lambda g: sum((1 if c == "_" else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+        return sorted(count, key=lambda g: (-count[g], code(g)))[: language_id.PROFILE]
+
+    profile = {g: ranked(t for _, t, lang in texts if lang == g and t) for g in ("aa", "bb")}
+    for r in language_id.with_language(df.select("doc_id", "text"), df).collect():
+        own = ranked([r.text or ""])
+        if not own:
+            assert (r.lang_pred, r.lang_score) == ("und", 0.0)
+            continue
+        far = {g: sum(abs(i - p.index(x)) if x in p else language_id.PROFILE for i, x in enumerate(own)) for g, p in profile.items()}
+        best = min(sorted(far), key=far.get)
+        assert r.lang_pred == best and abs(r.lang_score - (1 - far[best] / (language_id.PROFILE * len(own)))) < 1e-12
+
+
+def test_labels_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LABELS", 2)
+    rows = [("abc abd", "aa")] * 3 + [("xyz xyw", "bb")] * 2 + [("mno mnp", "cc")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert {r.lang_pred for r in language_id.with_language(df.select("text"), df).collect()} <= {"aa", "bb"}
+
+
 def test_text_counts_brute_force():
     text = "a b c\na b c\n\n x# y$ a b c z\nx# y$"
     words = text.split()
@@ -164,6 +199,38 @@ def test_outliers_keep_clean_documents(spark):
     assert quality_rules.with_outliers(quality_rules.with_text_counts(df.where("false"))).count() == 0
 
 
+def test_outliers_use_their_own_counts(spark):
+    text = " ".join(f"word{k}" for k in range(80))
+    df = spark.createDataFrame([(1, text, "en", "s", 5, 2.0, "x"), (2, "too short", "en", "s", 500, 2.0, "y")], "doc_id int, text string, lang string, source string, n_words int, mean double, kept string")
+    out = {r.doc_id: r for r in quality_rules.with_quality(df).collect()}
+    assert (out[1].n_words, out[1]._n_words, out[1].mean, out[1].kept, out[1]._kept, out[1].base_failed) == (5, 80, 2.0, "x", True, False)
+    assert (out[2].n_words, out[2]._n_words, out[2].kept, out[2]._kept, out[2].base_failed) == (500, 2, "y", False, True)
+
+
+def test_least_determinant_by_hand(spark):
+    rng = np.random.default_rng(21)
+    p, n = len(quality_rules.FLOORS), 500
+    x = rng.normal(size=(n, p)) * 0.3
+    x[:150] = rng.normal(size=(150, p)) * 3.0 + 1.0
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"x{i} double" for i in range(p)))
+    model = quality_rules.fit(df)[0].first()
+    mean, precision = np.array(model["mean"]), np.array(model["precision"]).reshape(p, p)
+    step = lambda m, q: np.argsort(np.einsum("ni,ij,nj->n", x - m, q, x - m), kind="stable")[: int(np.ceil(quality_rules.SUPPORT * n))]
+
+    def estimate(at):
+        cov = np.cov(x[at].T, bias=True) * quality_rules.consistency(quality_rules.SUPPORT, p) + np.diag(np.square(quality_rules.FLOORS))
+        return x[at].mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    best = np.inf
+    for _ in range(60):  # the same by brute force, from many random starts
+        m, q, d = estimate(rng.permutation(n)[: p + 2])
+        for _ in range(30):
+            m, q, d = estimate(step(m, q))
+        best = min(best, d)
+    assert abs(-np.linalg.slogdet(precision)[1] - best) < 0.05 and np.abs(mean).max() < 0.2
+    assert len(set(step(mean, precision)) & set(range(150))) < 5
+
+
 def brute_components(texts, width, percent):
     sets = {i: (frozenset(zip(*[w[k:] for k in range(width)])) if len(w) >= width else frozenset([tuple(w)]) if w else frozenset()) for i, w in ((i, (t or "").lower().split()) for i, t in texts)}
     root = {i: i for i in sets}
