@@ -132,7 +132,8 @@ def words_in_parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarr
 
 
 def blocks(docs: DataFrame, train) -> DataFrame:
-    """Neighbouring rows of ``docs`` (doc_id, text) as one row per block: ids, canonical texts, whether each trains."""
+    """Neighbouring rows of ``docs`` (doc_id, text) as one row per block: ids, sizes of the canonical texts, the texts
+    compressed, and whether each trains."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -145,10 +146,11 @@ def blocks(docs: DataFrame, train) -> DataFrame:
                 [
                     pa.array([first + serial], pa.int64()),
                     pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
-                    pa.array([[r[1] for r in rows]], pa.list_(pa.binary())),
+                    pa.array([[len(r[1]) for r in rows]], pa.list_(pa.int32())),
+                    pa.array([pa.compress(b"".join(r[1] for r in rows), codec="zstd", asbytes=True)], pa.binary()),
                     pa.array([[r[2] for r in rows]], pa.list_(pa.bool_())),
                 ],
-                names=["block", "ids", "texts", "trains"],
+                names=["block", "ids", "sizes", "data", "trains"],
             )
 
         for batch in batches:
@@ -162,10 +164,17 @@ def blocks(docs: DataFrame, train) -> DataFrame:
         if rows:
             yield block()
 
-    schema = "block bigint, ids array<bigint>, texts array<binary>, trains array<boolean>"
+    schema = "block bigint, ids array<bigint>, sizes array<int>, data binary, trains array<boolean>"
     return docs.select("doc_id", "text", train.alias("trains")).mapInArrow(run, schema)
 
 
+def texts_in(sizes: list[int], data: bytes) -> list[bytes]:
+    """The texts of a block."""
+    ends = np.cumsum([0, *sizes]).tolist()
+    whole = pa.decompress(data, ends[-1], codec="zstd", asbytes=True)
+    return [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def string_counts(parts: DataFrame, order: int) -> DataFrame:
     """(key, n) of the training texts of all blocks."""
 
@@ -180,7 +189,8 @@ def string_counts(parts: DataFrame, order: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[s : s + (1 << 17)]), pa.array(n[s : s + (1 << 17)])], names=["key", "n"])
 
         for batch in batches:
-            for texts, trains in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for sizes, data, trains in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts = texts_in(sizes, data)
                 mine = [t for t, yes in zip(texts, trains, strict=True) if yes]
                 if not mine:
                     continue
@@ -194,7 +204,7 @@ def string_counts(parts: DataFrame, order: int) -> DataFrame:
         if held:
             yield from out(*merged())
 
-    return parts.select("texts", "trains").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return parts.select("sizes", "data", "trains").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +245,8 @@ def dealt(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                block, texts, trains = (batch.column(c)[k].as_py() for c in range(3))
+                block, sizes, data, trains = (batch.column(c)[k].as_py() for c in range(4))
+                texts = texts_in(sizes, data)
                 groups = [[t for t, yes in zip(texts, trains, strict=True) if bool(yes) == kind] for kind in (True, False)]
                 (seen, count), (others, _) = (distinct(strings(g, order)[0]) if g else (np.zeros(0, np.int64),) * 2 for g in groups)
                 keys, n = summed(np.concatenate((seen, others)), np.concatenate((count, np.zeros(len(others), np.int64))))
@@ -258,7 +269,7 @@ def dealt(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
                     names=["part", "block", "size", "keys", "n"],
                 )
 
-    return blocks_.select("block", "texts", "trains").mapInArrow(run, "part int, block bigint, size bigint, keys binary, n binary")
+    return blocks_.select("block", "sizes", "data", "trains").mapInArrow(run, "part int, block bigint, size bigint, keys binary, n binary")
 
 
 def short_counts(dealt_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -410,7 +421,7 @@ def scores(docs: DataFrame, train) -> DataFrame:
     the condition that picks training rows."""
     parts = saved(blocks(docs, train), "ppm-blocks")
     spark = docs.sparkSession
-    size = parts.agg(F.sum(F.aggregate("texts", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)))).first()[0] or 0
+    size = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
     n_parts = max(1, -(-size // PART_BYTES))
     mine = saved(dealt(parts, ORDER, n_parts), "ppm-dealt")
     found = saved(worked_out(mine, short_counts(mine), ORDER, n_parts), "ppm-found")
@@ -420,16 +431,17 @@ def scores(docs: DataFrame, train) -> DataFrame:
     ends = parts.select(F.explode("trains").alias("t")).where("t").count()
     n, v = (stats[0] or 0) + ends, (stats[1] or 0) + (1 if ends else 0)
     sorted_ = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "found"))).alias("s"))
-    full = parts.select("block", "ids", "texts", "trains").join(sorted_.select("block", F.col("s.part").alias("part"), F.col("s.found").alias("found")).hint("merge"), "block")
+    full = parts.select("block", "ids", "sizes", "data", "trains").join(sorted_.select("block", F.col("s.part").alias("part"), F.col("s.found").alias("found")).hint("merge"), "block")
 
     def run(batches):
         bottom = np.log10(n + 0.5 * (v + 1))
         end = float(np.log10(ends + 0.5) - bottom)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, texts, trains = (batch.column(c)[k].as_py() for c in (1, 2, 3))
+                ids, sizes, data, trains = (batch.column(c)[k].as_py() for c in range(1, 5))
+                texts = texts_in(sizes, data)
                 # the block's words and strings in the order in which they were dealt
-                part, found = (batch.column(c)[k].as_py() for c in (4, 5))
+                part, found = (batch.column(c)[k].as_py() for c in (5, 6))
                 hashes, codes, stops = words_of(texts)
                 by, cuts = words_in_parts(hashes, n_parts)
                 counts = np.zeros(len(hashes) + 1, np.int64)
