@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, fold, released, saved, table
+from .common import fold, released, saved, table
 
 ORDER = 6
 HEAD = 3
-PART_BYTES = 16 << 20
-BLOCK_BYTES = 4 << 20
+PART_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 BLOCK_ROWS = 2048
 END = b"\n"
 
@@ -240,7 +240,7 @@ def in_parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 def dealt(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
     """(part, block, size, keys, n): each block's distinct strings by part, with their training counts; from ``parts``
-    on its distinct words in the same way; as part -1 the training counts of its HEAD-byte strings."""
+    on its distinct words in the same way."""
 
     def run(batches):
         for batch in batches:
@@ -251,8 +251,7 @@ def dealt(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
                 (seen, count), (others, _) = (distinct(strings(g, order)[0]) if g else (np.zeros(0, np.int64),) * 2 for g in groups)
                 keys, n = summed(np.concatenate((seen, others)), np.concatenate((count, np.zeros(len(others), np.int64))))
                 by, cuts = in_parts(keys, parts)
-                low = summed((keys & ((1 << (8 * HEAD)) - 1))[n > 0], n[n > 0])
-                rows = [(-1, *low)] + [(p, keys[by[i:j]], n[by[i:j]]) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                rows = [(p, keys[by[i:j]], n[by[i:j]]) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
                 hashes, codes, ends = words_of(texts)
                 taught = np.repeat([bool(t) for t in trains], np.diff(ends)) & (codes >= 0)
                 n = np.bincount(codes[taught], minlength=len(hashes))
@@ -272,16 +271,10 @@ def dealt(blocks_: DataFrame, order: int, parts: int) -> DataFrame:
     return blocks_.select("block", "sizes", "data", "trains").mapInArrow(run, "part int, block bigint, size bigint, keys binary, n binary")
 
 
-def short_counts(dealt_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The counts of all HEAD-byte strings; the alphabet bounds their number, not the corpus."""
-
-    def run(batches):
-        for batch in batches:
-            for size, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpacked(keys, size, np.int64))), pa.array(unpacked(n, size, np.int64))], names=["key", "n"])
-
-    t = dealt_.where("part = -1 and size > 0").select("size", "keys", "n").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    return t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)
+def short_counts(blocks_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The training counts of all HEAD-byte strings; the alphabet bounds their number, not the corpus."""
+    t = string_counts(blocks_, HEAD - 1).toArrow()
+    return summed(t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64))
 
 
 def trie_of(longest: tuple[np.ndarray, np.ndarray], order: int, short: tuple[np.ndarray, np.ndarray] | None = None) -> Trie:
@@ -313,7 +306,7 @@ def worked_out(dealt_: DataFrame, short: tuple[np.ndarray, np.ndarray], order: i
             out.iloc[0, 3:] = [int(n.sum()), int((n > 0).sum())]
         return out
 
-    return dealt_.where("part >= 0").groupBy("part").applyInPandas(run, "block bigint, part int, found binary, total bigint, kinds bigint")
+    return dealt_.groupBy("part").applyInPandas(run, "block bigint, part int, found binary, total bigint, kinds bigint")
 
 
 class Trie:
@@ -423,9 +416,7 @@ def scores(docs: DataFrame, train) -> DataFrame:
     spark = docs.sparkSession
     size = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
     n_parts = max(1, -(-size // PART_BYTES))
-    mine = saved(dealt(parts, ORDER, n_parts), "ppm-dealt")
-    found = saved(worked_out(mine, short_counts(mine), ORDER, n_parts), "ppm-found")
-    dropped(mine)
+    found = saved(worked_out(dealt(parts, ORDER, n_parts), short_counts(parts), ORDER, n_parts), "ppm-found")
     released(spark)
     stats = found.agg(F.sum("total"), F.sum("kinds")).first()
     ends = parts.select(F.explode("trains").alias("t")).where("t").count()
