@@ -230,6 +230,11 @@ def unpacked(data: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
+def short_floats(x: np.ndarray) -> np.ndarray:
+    """The upper three bytes of ``x`` as float32, rounded: a relative error of 2**-17 at most."""
+    return (x.astype(np.float32).view(np.uint32) + np.uint32(128)) >> np.uint32(8)
+
+
 def in_parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of sorted ``keys`` by part and key, and where each part starts and ends in it."""
     head = ((keys >> 8) & ((1 << (8 * HEAD)) - 1)).astype(np.uint64)
@@ -288,7 +293,7 @@ def trie_of(longest: tuple[np.ndarray, np.ndarray], order: int, short: tuple[np.
 
 
 def worked_out(dealt_: DataFrame, short: tuple[np.ndarray, np.ndarray], order: int, parts: int) -> DataFrame:
-    """(block, part, found, total, kinds): log10 of the probability of each string of a block in a part, as float32; in the parts of
+    """(block, part, found, total, kinds): log10 of the probability of each string of a block in a part, in 24 bits; in the parts of
     words each word's training count, and on one row the sum of the part's counts and how many are over 0."""
     shared = dealt_.sparkSession.sparkContext.broadcast(short)
 
@@ -298,7 +303,7 @@ def worked_out(dealt_: DataFrame, short: tuple[np.ndarray, np.ndarray], order: i
         keys, n = summed(np.concatenate(mine), np.concatenate([unpacked(c, int(size), np.int64) for c, size in zip(frame["n"], frame["size"], strict=True)]))
         part = int(frame["part"].iloc[0])
         if part < parts:
-            value = trie_of((keys[n > 0], n[n > 0]), order, shared.value).logs(keys).astype(np.float32)
+            value = short_floats(trie_of((keys[n > 0], n[n > 0]), order, shared.value).logs(keys))
         else:
             value = n
         out = pd.DataFrame({"block": frame["block"], "part": frame["part"], "found": [packed(value[np.searchsorted(keys, m)]) for m in mine], "total": 0, "kinds": 0})
@@ -447,7 +452,8 @@ def scores(docs: DataFrame, train) -> DataFrame:
                 keys = distinct(every)[0]
                 by, cuts = in_parts(keys, n_parts)
                 value = np.empty(len(keys), np.float64)
-                value[by] = np.concatenate([unpacked(f, int(cuts[p + 1] - cuts[p]), np.float32) for p, f in zip(part, found, strict=True) if p < n_parts])
+                logs = np.concatenate([unpacked(f, int(cuts[p + 1] - cuts[p]), np.uint32) for p, f in zip(part, found, strict=True) if p < n_parts])
+                value[by] = (logs << np.uint32(8)).view(np.float32)
                 out = np.add.reduceat(value[Lookup(keys).find(every)], np.cumsum(lengths) - lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
