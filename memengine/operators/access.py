@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_text
+from ..sources.durable import durable
 
 #: Edge types along which sessions travel, by the kind of node they reach.
 SESSION_EDGES = {"fact": ("EXTRACTED_AS",), "abstract_memory": ("SUPPORTS",), "entity": ("MENTIONS", "FACT_SUBJECT", "FACT_OBJECT"), "topic": ("BELONGS_TO_TOPIC",)}
@@ -29,8 +30,7 @@ def graph_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def infer_sessions(nodes: DataFrame, edges: DataFrame, mode: str = "graph") -> DataFrame:
     """(record_id, node_id, session_id). Sessions start at session and event nodes and travel over evidence
-    edges. On these graphs every path has two steps at most (event to fact, entity, topic; fact to abstract, entity,
-    topic), so two joins are the fixed point. ``walk`` leaves topics out and asks for no kind of target."""
+    edges until a round reaches nothing new; each round is written. ``walk`` leaves topics out and asks for no kind of target."""
     seed = nodes.where("node_type in ('session', 'event') and session_id is not null").select("record_id", "node_id", "session_id")
     kinds = nodes.select("record_id", "node_id", "node_type")
     by_source = nodes.where("node_type = 'fact' and source_event_id is not null").select("record_id", F.col("source_event_id").alias("source"), F.col("node_id").alias("target"), F.lit("fact").alias("node_type"))
@@ -48,9 +48,13 @@ def infer_sessions(nodes: DataFrame, edges: DataFrame, mode: str = "graph") -> D
     def step(have):
         return have.withColumnRenamed("node_id", "source").join(flow, ["record_id", "source"]).select("record_id", F.col("target").alias("node_id"), "session_id")
 
-    first = step(seed)
-    second = step(first.distinct())
-    return seed.unionByName(first).unionByName(second).distinct()
+    flow = durable(flow)
+    out = new = durable(seed.distinct())
+    while True:
+        new = durable(step(new).distinct().join(out, ["record_id", "node_id", "session_id"], "left_anti"))
+        if new.isEmpty():
+            return out
+        out = out.unionByName(new)
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, ids: DataFrame, direction: str = "both", types: tuple[str, ...] | None = None) -> DataFrame:

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
-
 
 def find_keys(df: DataFrame, row_id: str, json_col: str, keys: list[str], edge_targets: bool = False, allow_null: bool = False, loose: bool = False) -> DataFrame:
     """L1, L2: (row_id, path, key) of every forbidden key at any depth, level by level without Python code.
 
     ``edge_targets`` lets ``target`` stand directly below ``edges``; ``allow_null`` passes null values; ``loose``
-    compares keys without case and punctuation. Rows whose text holds none of the names are left out first."""
+    compares keys without case and punctuation. Rows whose text holds none of the names are left out first, unless it
+    holds a backslash, with which a name can be written in another way. Any depth is read, one pass a level."""
     norm = (lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")) if loose else (lambda c: c)
     wanted = [k.lower().replace("_", "").replace("-", "") if loose else k for k in keys]
-    rows = df if loose else df.where(F.col(json_col).rlike("|".join(keys)))
+    rows = df if loose else df.where(functools.reduce(operator.or_, [F.contains(F.col(json_col), F.lit(k)) for k in ["\\", *keys]]))
     level = rows.select(F.col(row_id).alias("row_id"), F.lit("").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
     spark, out = df.sparkSession, None
-    for depth in range(MAX_DEPTH):
+    while True:
         level.createOrReplaceTempView("memengine_level")
         each = spark.sql("SELECT row_id, path AS parent, pos, key, value FROM memengine_level, LATERAL variant_explode(v)")
         here = F.when(F.col("key").isNull(), F.concat("parent", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("parent", F.when(F.col("parent") == "", "").otherwise("."), "key"))
@@ -32,10 +37,38 @@ def find_keys(df: DataFrame, row_id: str, json_col: str, keys: list[str], edge_t
         out = found if out is None else out.unionByName(found)
         level = each.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select("row_id", "path", F.col("value").alias("v"))
         if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"JSON deeper than {MAX_DEPTH} levels")
-    return out
+            return out
+
+
+def remove_keys(df: DataFrame, json_col: str, keys: list[str], edge_targets: bool = False) -> DataFrame:
+    """L3: ``json_col`` without forbidden keys, and ``removed_paths``, in the order they were met; a text that is no JSON
+    stays as it is. ``edge_targets`` lets ``target`` stand directly below ``edges``."""
+    wanted = frozenset(keys)
+
+    def clean(value, path, removed):
+        if isinstance(value, list):
+            return [clean(v, f"{path}[{i}]", removed) for i, v in enumerate(value)]
+        if not isinstance(value, dict):
+            return value
+        at = {k: f"{path}.{k}" if path else k for k in value}
+        gone = [k for k in value if k in wanted and not (edge_targets and k == "target" and re.search(r"(^|\.)edges\[\d+\]$", path))]
+        removed += [at[k] for k in gone]
+        return {k: clean(v, at[k], removed) for k, v in value.items() if k not in gone}
+
+    @F.pandas_udf("struct<json:string,removed:array<string>>")
+    def cleaned(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            removed: list[str] = []
+            try:
+                t = json.dumps(clean(json.loads(t), "", removed), ensure_ascii=False) if t is not None else None
+            except ValueError:
+                removed = []
+            out.append((t, removed))
+        return pd.DataFrame(out, columns=["json", "removed"])
+
+    done = df.withColumn("cleaned_", cleaned(F.col(json_col)))
+    return done.withColumn(json_col, F.col("cleaned_.json")).withColumn("removed_paths", F.col("cleaned_.removed")).drop("cleaned_")
 
 
 def leakage_report(findings: DataFrame, artifacts: DataFrame) -> DataFrame:

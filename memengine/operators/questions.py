@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,36 +116,82 @@ def normalize_questions(replies: DataFrame) -> DataFrame:
     return rows.withColumns({"question_id": ident, "question": normalize_text("question"), "answer": normalize_text("answer"), "question_type": F.coalesce(F.nullif("question_type", F.lit("")), F.lit("other")), **lists})
 
 
-#: Issues that may stand in a judgment.
-LEGAL_ISSUES = ("missing_judgment", "too_short", "not_a_question", "answer_leaked", "unsupported", "generic", "duplicate")
-SUB_SCORES = ("clarity", "specificity", "answerability", "grounding", "naturalness", "difficulty", "diversity")
+#: Sub-scores, issues and verdicts of a judgment, and phrases of template questions.
+SUB_SCORES = ("answerability", "evidence_grounding", "specificity", "memory_value", "reasoning_depth", "clarity", "multi_session_value")
+LEGAL_ISSUES = (
+    "unsupported_answer", "vague_question", "generic_template", "trivial_copy", "answer_too_long", "answer_too_short", "ambiguous_reference",
+    "depends_on_outside_knowledge", "mostly_assistant_advice", "weak_multi_session_use", "cited_nodes_missing", "cited_trajectories_missing",
+)
+VERDICTS = ("accept", "revise", "reject")
+GENERIC_PHRASES = ("what information is supported", "this graph trajectory", "what does the trajectory", "what is mentioned", "what information")
 
 
-def judge_questions(questions: DataFrame) -> DataFrame:
-    """Q7: six rules, seven sub-scores and their rounded mean; a generic question reaches 2 at most."""
-    q, a = normalize_text("question"), normalize_text("answer")
-    twice = F.count(F.lit(1)).over(Window.partitionBy("record_id", F.lower(q))) > 1
-    flags = {"too_short": F.size(F.split(q, " ")) < 4, "not_a_question": ~q.endswith("?"), "answer_leaked": (F.length(a) >= 10) & F.contains(F.lower(q), F.lower(a)), "unsupported": F.size(F.coalesce("supporting_node_ids", F.array().cast("array<string>"))) == 0, "generic": F.lower(q).rlike(PLACEHOLDER_MARKERS), "duplicate": twice}
-    rows = questions.select(*KEY, *[f.alias(k) for k, f in flags.items()])
-    low = lambda *fs: F.when(sum((F.col(f).cast("int") for f in fs), F.lit(0)) > 0, 2).otherwise(5)
-    scores = {"clarity": low("too_short", "not_a_question"), "specificity": low("generic"), "answerability": low("unsupported"), "grounding": low("unsupported"), "naturalness": low("not_a_question"), "difficulty": low("answer_leaked"), "diversity": low("duplicate")}
-    rows = rows.withColumns(scores)
-    mean = F.bround(sum((F.col(s) for s in SUB_SCORES), F.lit(0)) / len(SUB_SCORES)).cast("int")
-    issues = F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in flags]))
-    return rows.select(*KEY, *SUB_SCORES, F.when(F.col("generic"), F.least(mean, F.lit(2))).otherwise(mean).alias("overall"), issues.alias("issues"))
+def _mean_score():
+    """The rounded mean of the sub-scores; seven whole numbers never have a mean halfway."""
+    return F.round(sum((F.col(s) for s in SUB_SCORES), F.lit(0)) / len(SUB_SCORES)).cast("int")
 
 
-def normalize_judgments(judgments: DataFrame, questions: DataFrame) -> DataFrame:
-    """Q8: one row per question; legal issues only, sorted; a missing judgment is an issue with scores of 1."""
-    legal = F.array(*[F.lit(x) for x in LEGAL_ISSUES])
-    rows = questions.select(*KEY).join(judgments, KEY, "left")
-    missing = F.col("overall").isNull()
-    return rows.select(*KEY, *[F.when(missing, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), F.col(s)))).alias(s) for s in (*SUB_SCORES, "overall")], F.when(missing, F.array(F.lit("missing_judgment"))).otherwise(F.array_sort(F.array_intersect("issues", legal))).alias("issues"))
+def _verdict(score):
+    return F.when(score >= 4, "accept").when(score == 3, "revise").otherwise("reject")
+
+
+def judge_questions(questions: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """Q7: rule-based judgments of questions (record_id, question_id, question, answer, supporting_trajectory_ids,
+    supporting_node_ids) by trajectories (record_id, trajectory_id, session_ids): seven sub-scores, issues, verdict."""
+    none = F.array().cast("array<string>")
+    ids = F.filter(F.coalesce("supporting_trajectory_ids", none), lambda x: x.isNotNull())
+    cited = questions.select(*KEY, F.explode(F.array_distinct(ids)).alias("trajectory_id"))
+    known = trajectories.select("record_id", "trajectory_id", F.col("session_ids").cast("array<string>").alias("session_ids"))
+    met = cited.join(known.hint("merge"), ["record_id", "trajectory_id"], "left")
+    met = met.groupBy(*KEY).agg(F.bool_or(F.col("session_ids").isNull()).alias("lost"), F.size(F.array_distinct(F.flatten(F.collect_list("session_ids")))).alias("sessions"))
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    rows = questions.join(met.hint("merge"), KEY, "left").select(
+        *KEY,
+        strip("question").alias("q"),
+        F.length(strip("answer")).alias("a"),
+        (F.size(ids) > 0).alias("traced"),
+        F.coalesce("lost", F.lit(True)).alias("lost"),
+        F.coalesce("sessions", F.lit(0)).alias("sessions"),
+        (F.size(F.filter(F.coalesce("supporting_node_ids", none), lambda x: x.isNotNull())) > 0).alias("noded"),
+    )
+    generic = functools.reduce(operator.or_, [F.contains(F.lower("q"), F.lit(p)) for p in GENERIC_PHRASES])
+    rows = rows.withColumn("generic", generic).withColumn("many", F.col("sessions") >= 2)
+    flags = {"cited_trajectories_missing": "lost", "cited_nodes_missing": "not noded", "generic_template": "generic", "answer_too_long": "a > 220", "answer_too_short": "a < 2", "weak_multi_session_use": "not many"}
+    worth = {
+        "answerability": ("traced and a > 0", 2), "evidence_grounding": ("noded and not lost", 2), "specificity": ("not generic", 2), "memory_value": ("not generic", 2),
+        "reasoning_depth": ("many", 2), "clarity": (r"endswith(q, '?') and size(split(q, '\\s+')) >= 5", 3), "multi_session_value": ("many", 2),
+    }
+    rows = rows.withColumns({k: F.when(F.expr(good), 4).otherwise(bad) for k, (good, bad) in worth.items()})
+    rows = rows.withColumn("overall", F.when(F.col("generic"), F.least(_mean_score(), F.lit(2))).otherwise(_mean_score()))
+    issues = F.array_compact(F.array(*[F.when(F.expr(test), F.lit(k)) for k, test in flags.items()]))
+    return rows.select(*KEY, *SUB_SCORES, "overall", _verdict(F.col("overall")).alias("verdict"), issues.alias("issues"))
 
 
-def judgment_summary(judgments: DataFrame, accept_at: int = 4) -> DataFrame:
-    """Q9: per record counts, the mean of the overall score to three decimals, and the issues with their counts."""
-    base = judgments.groupBy("record_id").agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg("overall"), 3).alias("mean_overall"), F.count_if(F.col("overall") >= accept_at).alias("accepted"))
+def normalize_judgments(judgments: DataFrame, questions: DataFrame) -> DataFrame:
+    """Q8: one row per question: scores rounded half to even into 1 to 5 (1 where absent), an absent overall score is
+    their mean, an unknown verdict follows it, legal issues only, sorted; a question without judgment cites nothing."""
+    rows = questions.select(*KEY).join(judgments.withColumn("judged", F.lit(True)).hint("merge"), KEY, "left")
+    score = lambda c: F.greatest(F.lit(1), F.least(F.lit(5), F.bround(F.col(c).cast("double")).cast("int")))
+    rows = rows.withColumns({s: F.when(F.col(s).isNull(), 1).otherwise(score(s)) for s in SUB_SCORES})
+    rows = rows.withColumn("overall", F.when(F.col("overall").isNull(), _mean_score()).otherwise(score("overall")))
+    verdict = F.lower(F.trim(F.col("verdict")))
+    issues = F.array_intersect(F.coalesce("issues", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in LEGAL_ISSUES]))
+    issues = F.when(F.col("judged").isNull(), F.array_union(issues, F.array(F.lit("cited_trajectories_missing")))).otherwise(issues)
+    return rows.select(*KEY, *SUB_SCORES, "overall", F.when(verdict.isin(*VERDICTS), verdict).otherwise(_verdict(F.col("overall"))).alias("verdict"), F.array_sort(issues).alias("issues"))
+
+
+def judgment_summary(judgments: DataFrame, accept_at: float = 4.0) -> DataFrame:
+    """Q9: per record the mean overall score to three decimals, counts by verdict, accepted ids, and issues with their
+    counts. Ids and issues of a record's questions come as one sorted text each."""
+    yes = (F.col("verdict") == "accept") & (F.col("overall") >= accept_at)
+    base = judgments.groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("questions"),
+        F.round(F.avg("overall"), 3).alias("mean_overall"),
+        F.count_if(yes).alias("accepted"),
+        F.count_if(F.col("verdict") == "revise").alias("revise"),
+        F.count_if(F.col("verdict") == "reject").alias("rejected"),
+        F.array_join(F.array_sort(F.collect_list(F.when(yes, F.col("question_id").cast("string")))), "|").alias("accepted_ids"),
+    )
     counts = judgments.select("record_id", F.explode("issues").alias("issue")).groupBy("record_id", "issue").count()
     text = counts.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "issue", F.col("count").cast("string")))), "|").alias("issues"))
-    return base.join(text, "record_id", "left")
+    return base.join(text.hint("merge"), "record_id", "left")

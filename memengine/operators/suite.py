@@ -19,9 +19,12 @@ def run_metrics(record_runs: DataFrame, key: str = "split") -> DataFrame:
 
 
 def rollup_status(runs: DataFrame, key: str) -> DataFrame:
-    """All succeeded, all failed, or partial."""
-    ok = F.col("status") == "succeeded"
-    return runs.groupBy(key).agg(F.when(F.bool_and(ok), "succeeded").when(F.bool_and(F.col("status") == "failed"), "failed").when(F.bool_or(ok), "partial").otherwise("skipped").alias("status"))
+    """Running if any run is; succeeded, failed or pending if all are; else partial."""
+    every = lambda x: F.bool_and(F.col("status") == x)
+    status = F.when(F.bool_or(F.col("status") == "running"), "running")
+    for x in ("succeeded", "failed", "pending"):
+        status = status.when(every(x), x)
+    return runs.groupBy(key).agg(status.otherwise("partial").alias("status"))
 
 
 def seed_metrics_long(wide: DataFrame, metrics: list[str], methods: tuple[str, ...] = ("baseline", "ablation")) -> DataFrame:
@@ -83,16 +86,24 @@ def early_stop(rounds: DataFrame, key: str, metric: str, patience: int, min_delt
 
 
 def select_checkpoints(steps: DataFrame, dev: DataFrame, min_pass: float = 0.8, max_regression: float = 0.02) -> DataFrame:
-    """Whether a round's checkpoint goes on, and why not."""
-    prev = F.lag("dev_reward").over(Window.partitionBy("actor").orderBy("round_id"))
-    rows = steps.join(dev, ["actor", "round_id"], "left").withColumn("before", prev)
+    """The checkpoint of each round that goes on, and why or why not.
+
+    ``steps`` (round_id, actor, status, checkpoint_id, train_reward), one row per round and actor; ``dev`` (round_id,
+    dev_status, records, pass_rate, dev_reward), one row per round at most. Without a dev run, or with one of no
+    records, every successful checkpoint goes on; else the dev run must have succeeded at least in part, pass the
+    leakage gate, and not fall behind the training reward."""
+    rows = steps.join(dev, "round_id", "left")
     reason = (
-        F.when(F.col("dev_status").isNull(), "no_dev")
-        .when(F.col("dev_status") != "succeeded", "dev_failed")
-        .when(F.col("pass_rate") < min_pass, "low_pass_rate")
-        .when(F.col("before") - F.col("dev_reward") > max_regression, "regression")
+        F.when((F.col("status") != "succeeded") | (F.coalesce("checkpoint_id", F.lit("")) == ""), "no_successful_checkpoint")
+        .when(F.col("dev_status").isNull(), "latest_successful_no_dev")
+        .when(~F.col("dev_status").isin("succeeded", "partial"), "dev_status")
+        .when(F.col("records") == 0, "latest_successful_empty_dev")
+        .when(F.coalesce("pass_rate", F.lit(0.0)) < min_pass, "low_pass_rate")
+        .when(F.col("train_reward") - F.col("dev_reward") > max_regression, "regression")
+        .otherwise("latest_successful_with_dev_gate")
     )
-    return rows.withColumn("reason", F.coalesce(reason, F.lit("ok"))).withColumn("selected", F.col("reason") == "ok")
+    out = rows.select("round_id", "actor", "checkpoint_id", F.coalesce(reason, F.lit("no_successful_checkpoint")).alias("reason"))
+    return out.withColumn("selected", F.col("reason").startswith("latest_successful"))
 
 
 def learning_curves(rounds: DataFrame, key: str, metric: str) -> DataFrame:

@@ -26,7 +26,10 @@ def adjacency(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> Dat
     known = edges.join(kinds.withColumnRenamed("node_id", "source").withColumnRenamed("node_type", "source_type"), ["record_id", "source"]).join(kinds.withColumnRenamed("node_id", "target").withColumnRenamed("node_type", "target_type"), ["record_id", "target"])
     hubs = generic_entities(nodes)
     bridge = F.col("edge_type").isin("FACT_SUBJECT", "FACT_OBJECT", "MENTIONS")
-    kept = known.where(~bridge).unionByName(known.where(bridge).join(hubs.withColumnRenamed("node_id", "target"), ["record_id", "target"], "left_anti"))
+    bridges = known.where(bridge)
+    for end in ("source", "target"):
+        bridges = bridges.join(hubs.withColumnRenamed("node_id", end), ["record_id", end], "left_anti")
+    kept = known.where(~bridge).unionByName(bridges)
     out = kept.select("record_id", F.col("source").alias("node_id"), F.col("target").alias("next_id"), F.col("target_type").alias("next_type"), "edge_type", F.lit("out").alias("traversal"), "edge_ord")
     if not directed:
         out = out.unionByName(kept.select("record_id", F.col("target").alias("node_id"), F.col("source").alias("next_id"), F.col("source_type").alias("next_type"), "edge_type", F.lit("in").alias("traversal"), "edge_ord"))

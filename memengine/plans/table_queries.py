@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import audit, questions, replay, rollout, splits, suite, walks, weakness
+from ..sources import artifacts
 from ..sources.durable import durable
 from ..streaming import streams
 from . import sqlparts as S
@@ -269,6 +270,90 @@ def early_stop(spark, sf_dir):
     return suite.early_stop(table(spark, sf_dir, "events").withColumnRenamed("event_id", "round_id"), "user_id", "value", 10, 5.0)
 
 
+_STATUS = "CASE WHEN event_id % 41 = 0 THEN 'running' WHEN user_id % 4 = 0 THEN 'pending' WHEN user_id % 4 = 1 THEN 'failed' WHEN user_id % 4 = 2 THEN 'succeeded' WHEN value < 60 THEN 'failed' ELSE 'succeeded' END"
+
+
+@query(
+    "z2_rollup_status",
+    f"""WITH r AS (SELECT user_id, {_STATUS} AS status FROM events)
+    SELECT user_id, CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_and(status = 'succeeded') THEN 'succeeded' WHEN bool_and(status = 'failed') THEN 'failed'
+      WHEN bool_and(status = 'pending') THEN 'pending' ELSE 'partial' END AS status FROM r GROUP BY user_id""",
+)
+def rollup_status(spark, sf_dir):
+    return suite.rollup_status(table(spark, sf_dir, "events").select("user_id", F.expr(_STATUS).alias("status")), "user_id")
+
+
+@query(
+    "z10_select_checkpoints",
+    """WITH s AS (SELECT o_orderkey AS round_id, CASE WHEN o_orderkey % 9 = 0 THEN 'failed' ELSE 'succeeded' END AS status, o_totalprice / 1e6 AS train FROM orders),
+    d AS (SELECT l_orderkey AS round_id, count(*) - 1 AS records, CASE WHEN l_orderkey % 13 = 0 THEN 'failed' WHEN l_orderkey % 5 = 0 THEN 'partial' ELSE 'succeeded' END AS dev_status,
+      avg(l_quantity) / 25 AS pass_rate, sum(l_extendedprice) / 1e6 AS dev FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey),
+    r AS (SELECT s.round_id, CASE WHEN status <> 'succeeded' THEN 'no_successful_checkpoint' WHEN dev_status IS NULL THEN 'latest_successful_no_dev' WHEN dev_status = 'failed' THEN 'dev_status'
+      WHEN records = 0 THEN 'latest_successful_empty_dev' WHEN pass_rate < 0.8 THEN 'low_pass_rate' WHEN train - dev > 0.02 THEN 'regression' ELSE 'latest_successful_with_dev_gate' END AS reason FROM s LEFT JOIN d USING (round_id))
+    SELECT round_id, reason, starts_with(reason, 'latest_successful') AS selected FROM r""",
+)
+def select_checkpoints(spark, sf_dir):
+    steps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("round_id"), F.lit("memory_builder").alias("actor"), F.when(F.col("o_orderkey") % 9 == 0, "failed").otherwise("succeeded").alias("status"), F.concat(F.lit("c"), "o_orderkey").alias("checkpoint_id"), (F.col("o_totalprice") / 1e6).alias("train_reward"))
+    status = F.when(F.col("l_orderkey") % 13 == 0, "failed").when(F.col("l_orderkey") % 5 == 0, "partial").otherwise("succeeded")
+    dev = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").groupBy("l_orderkey").agg((F.count(F.lit(1)) - 1).alias("records"), (F.avg("l_quantity") / 25).alias("pass_rate"), (F.sum("l_extendedprice") / 1e6).alias("dev_reward"))
+    return suite.select_checkpoints(steps, dev.select(F.col("l_orderkey").alias("round_id"), status.alias("dev_status"), "records", "pass_rate", "dev_reward")).select("round_id", "reason", "selected")
+
+
+_JUDGED = """t AS (SELECT lang AS record_id, source AS tid, list(DISTINCT (doc_id % 3)::VARCHAR) AS s FROM documents WHERE source IS NOT NULL AND doc_id % 7 <> 0 GROUP BY ALL),
+q AS (SELECT lang AS record_id, doc_id AS question_id, CASE WHEN doc_id % 5 = 0 THEN 'What information ' ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN '?' ELSE '' END AS question,
+  CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN 'x' ELSE 'an answer' END AS answer, source AS tid, doc_id % 11 = 0 AS extra, doc_id % 6 <> 0 AS noded FROM documents),
+f AS (SELECT q.record_id, question_id, regexp_replace(question, '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', '', 'g') AS q, coalesce(length(regexp_replace(answer, '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', '', 'g')), 0) AS a,
+  q.tid IS NOT NULL OR extra AS traced, (q.tid IS NULL OR extra OR t.s IS NULL) AS lost, coalesce(len(t.s), 0) >= 2 AS many, noded, contains(lower(question), 'what information') OR contains(lower(question), 'what is mentioned') OR contains(lower(question), 'this graph trajectory') OR contains(lower(question), 'what does the trajectory') AS generic
+  FROM q LEFT JOIN t ON t.record_id = q.record_id AND t.tid = q.tid),
+g AS (SELECT *, (CASE WHEN traced AND a > 0 THEN 4 ELSE 2 END + CASE WHEN noded AND NOT lost THEN 4 ELSE 2 END + CASE WHEN generic THEN 4 ELSE 8 END + CASE WHEN many THEN 8 ELSE 4 END
+  + CASE WHEN ends_with(q, '?') AND len(string_split_regex(q, '[ \\t\\n\\x0b\\f\\r]+')) >= 5 THEN 4 ELSE 3 END) AS total FROM f),
+j AS (SELECT record_id, question_id, (CASE WHEN generic THEN least(2, round(total / 7.0)) ELSE round(total / 7.0) END)::INT AS overall,
+  concat_ws('|', CASE WHEN lost THEN 'cited_trajectories_missing' END, CASE WHEN NOT noded THEN 'cited_nodes_missing' END, CASE WHEN generic THEN 'generic_template' END, CASE WHEN a > 220 THEN 'answer_too_long' END,
+  CASE WHEN a < 2 THEN 'answer_too_short' END, CASE WHEN NOT many THEN 'weak_multi_session_use' END) AS issues FROM g)"""
+
+
+def _judged(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    known = docs.where("source is not null and doc_id % 7 <> 0").groupBy(F.col("lang").alias("record_id"), F.col("source").alias("trajectory_id")).agg(F.collect_set((F.col("doc_id") % 3).cast("string")).alias("session_ids"))
+    asked = docs.select(
+        F.col("lang").alias("record_id"),
+        F.col("doc_id").alias("question_id"),
+        F.concat(F.when(F.col("doc_id") % 5 == 0, "What information ").otherwise(""), F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "?").otherwise("")).alias("question"),
+        F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, "x").otherwise("an answer").alias("answer"),
+        F.array("source", F.when(F.col("doc_id") % 11 == 0, "nowhere")).alias("supporting_trajectory_ids"),
+        F.when(F.col("doc_id") % 6 != 0, F.array(F.lit("n"))).alias("supporting_node_ids"),
+    )
+    return questions.judge_questions(asked, known), asked
+
+
+@query("q7_judge_questions", f"WITH {_JUDGED} SELECT record_id, question_id, overall, CASE WHEN overall >= 4 THEN 'accept' WHEN overall = 3 THEN 'revise' ELSE 'reject' END AS verdict, issues FROM j")
+def judge_questions(spark, sf_dir):
+    return _judged(spark, sf_dir)[0].select("record_id", "question_id", "overall", "verdict", F.array_join("issues", "|").alias("issues"))
+
+
+@query(
+    "q8_q9_judgment_summary",
+    f"""WITH {_JUDGED}, k AS (SELECT record_id, question_id, CASE WHEN question_id % 10 = 3 THEN 1 ELSE overall END AS overall,
+      CASE WHEN question_id % 10 = 3 THEN 'reject' WHEN overall >= 4 THEN 'accept' WHEN overall = 3 THEN 'revise' ELSE 'reject' END AS verdict FROM j)
+    SELECT record_id, count(*) AS questions, round(avg(overall), 3) AS mean_overall, count(*) FILTER (verdict = 'accept') AS accepted, count(*) FILTER (verdict = 'revise') AS revise, count(*) FILTER (verdict = 'reject') AS rejected FROM k GROUP BY record_id""",
+)
+def judgment_summary(spark, sf_dir):
+    """A tenth of the judgments is lost, the others come with scores out of range and unknown verdicts."""
+    judged, asked = _judged(spark, sf_dir)
+    shaken = judged.where("question_id % 10 <> 3").withColumn("verdict", F.lit(" unsure ")).withColumn("clarity", F.col("clarity") * 9.5)
+    out = questions.judgment_summary(questions.normalize_judgments(shaken, asked))
+    return out.select("record_id", "questions", "mean_overall", "accepted", "revise", "rejected")
+
+
+@query("s14_parse_reply", "SELECT doc_id, doc_id AS id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE sha1(coalesce(text, '')) END AS text_hash FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 4 = 3")
+def parse_reply(spark, sf_dir):
+    """Whole texts inside JSON, plain, fenced, inside prose, and replies that hold none."""
+    body = F.to_json(F.struct(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    reply = F.when(F.col("doc_id") % 4 == 0, body).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("Sure: "), body, F.lit(" as asked."))).otherwise("no object here")
+    parsed = table(spark, sf_dir, "documents").select("doc_id", artifacts.parse_reply(reply).alias("v"))
+    return parsed.select("doc_id", F.try_variant_get("v", "$.id", "bigint").alias("id"), F.sha1(F.try_variant_get("v", "$.text", "string").cast("binary")).alias("text_hash"))
+
+
 @query("l1_find_keys", "SELECT event_id AS row_id, 'k' AS path, 'k' AS key FROM events")
 def find_keys(spark, sf_dir):
     return audit.find_keys(table(spark, sf_dir, "events"), "event_id", "props", ["k", "answer"])

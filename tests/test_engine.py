@@ -239,3 +239,26 @@ def test_registered_names_have_unique_columns():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 40
+
+
+def test_escaped_and_deep_keys_are_found(spark):
+    deep = "[" * 40 + '{"answer": 1}' + "]" * 40
+    df = spark.createDataFrame([(1, '{"a": {"answer": 2}}'), (2, '{"a": {"\\u0061nswer": 2}}'), (3, deep), (4, '{"b": 1}')], "id int, j string")
+    found = sorted((r.row_id, r.path[-6:]) for r in audit.find_keys(df, "id", "j", ["answer"]).collect())
+    assert found == [(1, "answer"), (2, "answer"), (3, "answer")]
+
+
+def test_forbidden_keys_are_removed(spark, tmp_path):
+    from memengine.sources import artifacts
+
+    (tmp_path / "a.json").write_text('{"record_id": "r", "answer": 1, "nodes": [{"node_id": "n", "gold_answer": "x"}], "edges": [{"source": "n", "target": "n", "edge_type": "NEXT"}]}')
+    nodes, edges, findings = artifacts.read_graphs(spark, str(tmp_path), strict=False, sanitize=True)
+    assert [r.path for r in findings.collect()] == ["answer", "nodes[0].gold_answer"]
+    assert [(r.record_id, r.node_id) for r in nodes.collect()] == [("r", "n")] and [r.target for r in edges.collect()] == ["n"]
+    assert artifacts.read_graphs(spark, str(tmp_path))[0].count() == 0
+
+
+def test_sessions_travel_to_a_fixed_point(spark):
+    nodes = spark.createDataFrame([("r", "e", "event", "s1", None), ("r", "f", "fact", None, "e"), ("r", "a", "abstract_memory", None, None), ("r", "b", "abstract_memory", None, None), ("r", "t", "topic", None, None)], "record_id string, node_id string, node_type string, session_id string, source_event_id string")
+    edges = spark.createDataFrame([("r", "f", "a", "SUPPORTS"), ("r", "a", "b", "SUPPORTS"), ("r", "b", "t", "BELONGS_TO_TOPIC"), ("r", "b", "a", "SUPPORTS")], "record_id string, source string, target string, edge_type string")
+    assert {r.node_id for r in access.infer_sessions(nodes, edges).collect()} == {"e", "f", "a", "b", "t"}
