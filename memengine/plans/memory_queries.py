@@ -39,11 +39,16 @@ def answers_of(spark, sf_dir):
     return q, retrieval.baseline_answers(q, retrieval.retrieve(q, memory_of(spark, sf_dir)[0]))
 
 
-def items_of(spark, sf_dir):
-    nodes, _, summaries = memory_of(spark, sf_dir)
-    nodes, q = durable(nodes), durable(questions_of(spark, sf_dir))
+def scored_memory_of(spark, sf_dir):
+    """Scored question items, memory nodes and summaries, each worked out once."""
+    nodes = durable(memory_of(spark, sf_dir)[0])
+    summaries, q = durable(memory.memory_summaries(nodes)), durable(questions_of(spark, sf_dir))
     a = durable(retrieval.baseline_answers(q, retrieval.retrieve(q, nodes)))
-    return durable(rewards.question_items(q, a, durable(graph_of(spark, sf_dir)[0]), nodes, summaries))
+    return durable(rewards.question_items(q, a, durable(graph_of(spark, sf_dir)[0]), nodes, summaries)), nodes, summaries
+
+
+def items_of(spark, sf_dir):
+    return scored_memory_of(spark, sf_dir)[0]
 
 
 @query("m2_m3_retained_turns", f"WITH {S.KEPT} SELECT record_id, event_id, kept_ord FROM kept WHERE kept_ord <= 6")
@@ -184,9 +189,9 @@ _NAMES = list(rewards.MEMORY_WEIGHTS)
 
 
 def components_of(spark, sf_dir):
-    nodes, _, summaries = memory_of(spark, sf_dir)
+    items, nodes, summaries = scored_memory_of(spark, sf_dir)
     records = turns_of(spark, sf_dir).select("record_id").distinct()
-    return rewards.memory_components(items_of(spark, sf_dir), nodes, summaries, records)
+    return rewards.memory_components(items, nodes, summaries, records)
 
 
 @query("v5_v11_memory_rewards", f"WITH {_COMPONENTS} SELECT record_id, {', '.join(f'round({c}, 9) AS {c}' for c in _NAMES)}, round(greatest(0, least(1, {_TOTAL})), 9) AS total_reward FROM comp")

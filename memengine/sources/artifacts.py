@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from ..operators.audit import find_keys, remove_keys
 
 #: Keys that a graph for question makers must not hold.
@@ -39,3 +41,33 @@ def read_graphs(spark: SparkSession, path: str, strict: bool = True, sanitize: b
     nodes = graph.select(record, F.explode("g.nodes").alias("x")).select("record_id", *[field(c) for c in ("node_id", "node_type", "session_id", "text", "name", "source_event_id")])
     edges = graph.select(record, F.posexplode("g.edges").alias("edge_ord", "x")).select("record_id", *[field(c) for c in ("source", "target", "edge_type")], "edge_ord")
     return nodes, edges, findings
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
+    """Rows of JSON-lines files; blank lines go. A line that is no object of ``schema`` is left out, or with
+    ``strict`` fails the read."""
+    kind = StructType.fromDDL(schema).add("_bad", "string")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", kind, {"columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    if strict:
+        rows = rows.withColumn("r", F.when(bad, F.raise_error(F.concat(F.lit("not a record: "), "value"))).otherwise(F.col("r")))
+        return rows.select("r.*").drop("_bad")
+    return rows.where(~bad).select("r.*").drop("_bad")
+
+
+def append_json_lines(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON-lines files; what stands there stays."""
+    df.write.mode("append").json(path)
+
+
+def read_id_list(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id) of text files with one id a line; blank lines, comments (#) and repeats go."""
+    ids = spark.read.text(path).select(F.trim("value").alias("record_id"))
+    return ids.where((F.col("record_id") != "") & ~F.col("record_id").startswith("#")).distinct()
+
+
+def chosen_records(records: DataFrame, ids: DataFrame | None = None, max_records: int | None = None) -> DataFrame:
+    """``records`` with an id of ``ids``, and of those the first ``max_records`` by id where a limit is asked for."""
+    out = records if ids is None else records.join(ids.select("record_id").distinct().hint("merge"), "record_id", "left_semi")
+    return out if max_records is None else out.orderBy("record_id").limit(max_records)

@@ -262,3 +262,22 @@ def test_sessions_travel_to_a_fixed_point(spark):
     nodes = spark.createDataFrame([("r", "e", "event", "s1", None), ("r", "f", "fact", None, "e"), ("r", "a", "abstract_memory", None, None), ("r", "b", "abstract_memory", None, None), ("r", "t", "topic", None, None)], "record_id string, node_id string, node_type string, session_id string, source_event_id string")
     edges = spark.createDataFrame([("r", "f", "a", "SUPPORTS"), ("r", "a", "b", "SUPPORTS"), ("r", "b", "t", "BELONGS_TO_TOPIC"), ("r", "b", "a", "SUPPORTS")], "record_id string, source string, target string, edge_type string")
     assert {r.node_id for r in access.infer_sessions(nodes, edges).collect()} == {"e", "f", "a", "b", "t"}
+
+
+def test_json_lines_and_id_lists(spark, tmp_path):
+    from memengine.sources import artifacts
+
+    path = str(tmp_path / "replay")
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, tag string")
+    artifacts.append_json_lines(rows, path)
+    artifacts.append_json_lines(rows.where("id = 2").withColumn("id", F.lit(3)), path)
+    (tmp_path / "replay" / "more.json").write_text('\n{"id": 4, "tag": "d"}\nbroken\n')
+    got = artifacts.read_json_lines(spark, path, "id bigint, tag string")
+    assert sorted((r.id, r.tag) for r in got.collect()) == [(1, "a"), (2, None), (3, None), (4, "d")]
+    with pytest.raises(Exception, match="not a record"):
+        artifacts.read_json_lines(spark, path, "id bigint, tag string", strict=True).collect()
+    (tmp_path / "ids.txt").write_text("b\n# no\n\n a \nb\n")
+    ids = artifacts.read_id_list(spark, str(tmp_path / "ids.txt"))
+    records = spark.createDataFrame([("a",), ("b",), ("c",)], "record_id string")
+    assert sorted(r[0] for r in artifacts.chosen_records(records, ids).collect()) == ["a", "b"]
+    assert [r[0] for r in artifacts.chosen_records(records, max_records=1).collect()] == ["a"]
