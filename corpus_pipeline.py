@@ -22,30 +22,32 @@ LEAST_LANGUAGE_SCORE = 0.15
 
 
 def _wrapped(docs: DataFrame, *needed: str) -> DataFrame:
-    """The whole row as one column, so that its names can't clash, and the columns an operator needs."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
+    """The columns an operator needs, and all others as one, so that their names can't clash; a text travels once."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(F.struct(*rest or [F.lit(None).alias("none")]).alias("row"), *needed)
 
 
-def _unwrapped(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in like.columns])
+def _unwrapped(df: DataFrame, like: DataFrame, *needed: str) -> DataFrame:
+    """The columns of ``like`` out of what came from ``_wrapped(like, *needed)``."""
+    return df.select(*[F.col(c) if c in needed else F.col(f"row.`{c}`").alias(c) for c in like.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that no profile comes near; profiles come from the labelled rows."""
     known = with_language(_wrapped(docs, "text"), docs.select("text", "lang"))
-    return _unwrapped(known.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)), docs)
+    return _unwrapped(known.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)), docs, "text")
 
 
 def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that fail the base rules or are outliers of their language and source."""
     counted = with_text_counts(_wrapped(docs, "text", "lang", "source"))
-    return _unwrapped(with_outliers(counted).where("kept"), docs)
+    return _unwrapped(with_outliers(counted).where("kept"), docs, "text", "lang", "source")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near-duplicate texts, one row with the smallest id; rows without an id or a word stay."""
     gone = duplicate_rows(docs).toDF("gone_id", "gone_key")
-    keyed = words_keys(_wrapped(docs, "doc_id", "text")).drop("text")
+    keyed = words_keys(_wrapped(docs, "doc_id", "text"))
     few = gone.count() <= BROADCAST_IDS
     same = (F.col("doc_id") == F.col("gone_id")) & (F.col("words_key") == F.col("gone_key"))
     left = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), same, "left_anti")
@@ -55,7 +57,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not often.isEmpty():
         once = left.join(often.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "words_key"])
         left = left.join(often.hint("merge"), same, "left_anti").unionByName(once)
-    return _unwrapped(left, docs)
+    return _unwrapped(left, docs, "doc_id", "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

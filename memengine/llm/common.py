@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -73,6 +75,25 @@ def fold(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def tidy(run):
+    """A function of batches for ``mapInArrow`` that, at the end of a task, gives the memory it has freed back to the
+    machine: Spark keeps Python workers for later stages, and what an idle one holds is missing there."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def with_arrays(df: DataFrame, column: str, names_types: list[tuple[str, str]], compute, drop: bool = False) -> DataFrame:
     """Appends columns that ``compute(pyarrow.Array of column) -> list of pyarrow.Array`` gives, batch by batch.
 
@@ -92,8 +113,9 @@ def with_arrays(df: DataFrame, column: str, names_types: list[tuple[str, str]],
             new = compute(batch.column(batch.schema.get_field_index(column)))
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(columns + list(new), names=[*names, *[n for n, _ in names_types]])
+            del batch, new, columns  # before the next batch comes
 
-    return df.mapInArrow(run, full)
+    return df.mapInArrow(tidy(run), full)
 
 
 class Memo(dict):
