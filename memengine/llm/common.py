@@ -75,21 +75,27 @@ def fold(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def given_back() -> None:
+    """Gives memory that this Python worker has freed back to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run):
-    """A function of batches for ``mapInArrow`` that, at the end of a task, gives the memory it has freed back to the
-    machine: Spark keeps Python workers for later stages, and what an idle one holds is missing there."""
+    """A function of batches for ``mapInArrow`` that keeps no memory after its task: Spark keeps Python workers for
+    later stages, and what an idle one holds is missing there."""
 
     @functools.wraps(run)
     def tidied(batches):
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim is not None:
-                trim(0)
+            _MEMOS.clear()
+            given_back()
 
     return tidied
 
@@ -148,7 +154,7 @@ _MEMOS: dict[tuple, Memo] = {}
 
 
 def memo(*key) -> Memo:
-    """The memo of that name. A Python worker that is used again holds one at a time."""
+    """The memo of that name. A Python worker holds one at a time, and none after a task."""
     if key not in _MEMOS:
         _MEMOS.clear()
         _MEMOS[key] = Memo()

@@ -149,7 +149,7 @@ def with_language(df: DataFrame, train: DataFrame, text: str = "text", lang: str
     model = RankModel([tuple(r) for r in profiles(train, text, lang).collect()])
 
     def compute(column):
-        out = [model.predict(t) for t in column.to_pylist()]
+        out = [model.predict(t.as_py()) for t in column]
         return [pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
 
     return with_arrays(df, text, [(fresh(df, pred), "string"), (fresh(df, score), "double")], compute)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, memo, saved, table, tidy, with_arrays
+from .common import dropped, given_back, memo, saved, table, tidy, with_arrays
 from .components import components
 
 PERMUTATIONS = 64
@@ -182,6 +182,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _joining(percent: int):
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Links between rows of different components, one for any two that meet here and become one."""
+        try:
+            return linked(left, right)
+        finally:
+            if max(len(left), len(right)) >= BLOCK // 2:
+                given_back()
+
+    def linked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
             left, right = left.sort_values("node"), right.sort_values("node")
@@ -287,8 +294,11 @@ def words_keys(docs: DataFrame, text: str = "text", name: str = "words_key") ->
     """``docs`` with a digest of the word sequence of ``text``, null without words."""
 
     def compute(column):
-        words = [(t or "").encode("utf-8", "replace").translate(_LOWER).split() for t in column.to_pylist()]
-        return [pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary())]
+        keys = []
+        for t in column:  # the words of one text at a time
+            words = (t.as_py() or "").encode("utf-8", "replace").translate(_LOWER).split()
+            keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+        return [pa.array(keys, pa.binary())]
 
     return with_arrays(docs, text, [(name, "binary")], compute)
 

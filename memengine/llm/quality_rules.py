@@ -89,7 +89,7 @@ def with_text_counts(df: DataFrame, text: str = "text", drop_text: bool = False)
     """``df`` with ``COUNTS`` of ``text``."""
 
     def compute(column):
-        rows = [text_counts(t) for t in column.to_pylist()]
+        rows = [text_counts(t.as_py()) for t in column]
         return [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
 
     return with_arrays(df, text, [(fresh(df, c), "bigint") for c in COUNTS], compute, drop_text)
