@@ -46,17 +46,22 @@ def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near-duplicate texts, one row with the smallest id; rows without an id or a word stay."""
-    gone = duplicate_rows(docs).toDF("gone_id", "gone_key")
-    keyed = words_keys(_wrapped(docs, "doc_id", "text"))
-    few = gone.count() <= BROADCAST_IDS
-    same = (F.col("doc_id") == F.col("gone_id")) & (F.col("words_key") == F.col("gone_key"))
-    left = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), same, "left_anti")
-    # equal rows of one id stand in for each other
-    often = keyed.where("doc_id is not null and words_key is not null").groupBy(F.col("doc_id").alias("gone_id"), F.col("words_key").alias("gone_key")).count().where("count > 1")
-    often = saved(often.drop("count"), "pipeline-again")
-    if not often.isEmpty():
-        once = left.join(often.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "words_key"])
-        left = left.join(often.hint("merge"), same, "left_anti").unionByName(once)
+    gone, again = (rows.toDF("gone_id", "gone_key") for rows in duplicate_rows(docs))
+    wrapped = _wrapped(docs, "doc_id", "text")
+    ids = saved(gone.unionByName(again).select("gone_id").distinct(), "pipeline-ids")
+    few = ids.count() <= BROADCAST_IDS
+    sized = lambda df: F.broadcast(df) if few else df.hint("merge")
+    same_id = F.col("doc_id") == F.col("gone_id")
+    # most ids have nothing to drop; of the others the words decide, as an id may have several texts
+    clean = wrapped.join(sized(ids), same_id, "left_anti")
+    keyed = words_keys(wrapped.join(sized(ids), same_id, "left_semi"))
+    same = same_id & (F.col("words_key") == F.col("gone_key"))
+    left = keyed.join(gone.hint("merge"), same, "left_anti")
+    if not again.isEmpty():
+        # equal rows of one id stand in for each other
+        once = left.join(again.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "words_key"])
+        left = left.join(again.hint("merge"), same, "left_anti").unionByName(once)
+    left = clean.unionByName(left.drop("words_key"))
     return _unwrapped(left, docs, "doc_id", "text")
 
 

@@ -303,9 +303,9 @@ def words_keys(docs: DataFrame, text: str = "text", name: str = "words_key") ->
     return with_arrays(docs, text, [(name, "binary")], compute)
 
 
-def duplicate_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def duplicate_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, words_key) of the rows of ``docs`` (doc_id, text) that go when one text of each group of
-    near-duplicates stays, under its smallest id; written."""
+    near-duplicates stays, under its smallest id; and of those that stay and stand there several times; written."""
     docs = docs.select("doc_id", "text")
     marked = saved(with_signatures(docs, width), "minhash-signatures")
     classes = classified(marked)
@@ -317,7 +317,9 @@ def duplicate_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     stays = stays.withColumn("leads", F.col("node") == F.col("lead"))
     rows = marked.where("words_key is not null and doc_id is not null").select("doc_id", "words_key")
     gone = rows.join(stays.hint("merge"), "words_key").where(~F.col("leads") | (F.col("doc_id") != F.col("rep")))
-    return saved(gone.select("doc_id", "words_key").distinct(), "minhash-gone")
+    gone = saved(gone.select("doc_id", "words_key").distinct(), "minhash-gone")
+    again = rows.groupBy("doc_id", "words_key").count().where("count > 1").drop("count")
+    return gone, saved(again.join(gone.hint("merge"), ["doc_id", "words_key"], "left_anti"), "minhash-repeated")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
