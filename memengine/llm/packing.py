@@ -177,6 +177,7 @@ def pack(
     cut: bool = True,
     with_ids: bool = True,
     window_tokens: int = WINDOW_TOKENS,
+    encode=None,
 ) -> DataFrame:
     """One row per piece: the other columns of its row, and ``start``, ``length``, ``doc_tokens``, ``loss_tokens``,
     ``ids_crc32``, ``sequence_id``, ``offset``, and with ``with_ids`` the piece's ``ids``.
@@ -232,10 +233,14 @@ def pack(
                 size = 0
 
         for batch in batches:
-            slim = batch.select(names)
+            # a copy, as what waits in the pool would else hold the whole batch
+            slim = batch.select(names).take(pa.array(range(batch.num_rows), pa.int64())) if names else batch.select(names)
             column = batch.column(batch.schema.get_field_index(ids))
             prompt = batch.column(batch.schema.get_field_index(loss_from)).to_pylist() if loss_from else None
-            for i in range(batch.num_rows):
+            del batch
+            if encode is not None:
+                column = encode(column)
+            for i in range(len(column)):
                 value = column[i]
                 tokens = value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int32)
                 if len(tokens):
@@ -257,20 +262,26 @@ def token_ids(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.
     return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
 
 
-def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text", name: str = "ids") -> DataFrame:
-    """``df`` without ``text``, with its ids and the end id; a null text is empty."""
+def encoder(path: str, end_id: int):
+    """From an array of texts to the lists of their ids and the end id; a null text is empty."""
 
-    def compute(column):
+    def encode(column):
         ids, ends = token_ids([t or "" for t in column.to_pylist()], path, end_id)
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+    return encode
 
-    return with_arrays(df, text, [(fresh(df, name), "array<int>")], compute, drop=True)
+
+def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text", name: str = "ids") -> DataFrame:
+    """``df`` without ``text``, with its ids and the end id; a null text is empty."""
+    encode = encoder(path, end_id)
+    return with_arrays(df, text, [(fresh(df, name), "array<int>")], lambda column: [encode(column)], drop=True)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Whole ``documents`` with the production vocabulary and limits, without the pieces' ids."""
-    coded = tokenize(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return pack(coded, with_ids=False)
+    encode = encoder(public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pack(docs.select("doc_id", "text"), ids="text", with_ids=False, encode=encode)
 
 
 def conversation_examples(conversations: DataFrame, path: str, end_id: int) -> DataFrame:
