@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's bound on the bytes of a batch that goes to Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,6 +104,15 @@ def tidy(run):
     return tidied
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` that is tidy, with batches of bounded bytes unless the session sets a bound itself: a batch stands
+    in the memory of the executor and of the Python worker, however long its texts are."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, "8m")
+    return df.mapInArrow(tidy(run), schema)
+
+
 def with_arrays(df: DataFrame, column: str, names_types: list[tuple[str, str]], compute, drop: bool = False) -> DataFrame:
     """Appends columns that ``compute(pyarrow.Array of column) -> list of pyarrow.Array`` gives, batch by batch.
 
@@ -121,7 +134,7 @@ def with_arrays(df: DataFrame, column: str, names_types: list[tuple[str, str]],
             yield pa.RecordBatch.from_arrays(columns + list(new), names=[*names, *[n for n, _ in names_types]])
             del batch, new, columns  # before the next batch comes
 
-    return df.mapInArrow(tidy(run), full)
+    return mapped(df, run, full)
 
 
 class Memo(dict):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, table, tidy, with_arrays
+from .common import fold, fresh, mapped, table, with_arrays
 
 PROFILE = 300
 #: Labels are a closed set, so all profiles travel to every task. Of a label column with more values than this the
@@ -102,7 +102,7 @@ def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
         yield from out(merged())
 
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    parts = rows.mapInArrow(tidy(run), "lang string, gram bigint, n bigint")
+    parts = mapped(rows, run, "lang string, gram bigint, n bigint")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

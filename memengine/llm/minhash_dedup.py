@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, given_back, memo, saved, table, tidy, with_arrays
+from .common import dropped, given_back, mapped, memo, saved, table, with_arrays
 from .components import components
 
 PERMUTATIONS = 64
@@ -158,7 +158,7 @@ def full_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                     sets.append(hashes.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return saved(texts.mapInArrow(tidy(run), "node bigint, set binary").dropDuplicates(["node"]), "minhash-sets")
+    return saved(mapped(texts, run, "node bigint, set binary").dropDuplicates(["node"]), "minhash-sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return saved(both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a bigint, b bigint"), "minhash-links")
+    return saved(mapped(both.select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint"), "minhash-links")
 
 
 def _joining(percent: int):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import bpe
-from .common import fresh, table, tidy, with_arrays
+from .common import fresh, mapped, table, with_arrays
 
 
 @dataclass(frozen=True)
@@ -251,7 +251,7 @@ def pack(
         if ready:
             yield from emit()
 
-    return base.mapInArrow(tidy(run), schema)
+    return mapped(base, run, schema)
 
 
 def token_ids(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
