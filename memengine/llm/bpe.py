@@ -30,7 +30,7 @@ WORD_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{
 LONG = 192
 BATCH = 8192
 #: Characters of text whose pre-tokens are made together, and distinct pre-tokens that are merged together.
-PART_CHARS = 8 << 20
+PART_CHARS = 1 << 20
 MERGED_TOGETHER = 1 << 16
 
 
