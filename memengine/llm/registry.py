@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe_codec import op3
+from .chat_formatting import OP11_SQL, op11
+from .collocations import OP12_SQL, op12
 from .embedding_graph import op1
 from .language_id import op8
 from .minhash_dedup import op9
@@ -27,8 +29,10 @@ def queries():
         "op6_robust_outliers": op6,
         "op7_rank_synchronous_counts": op7,
         "packed_conversations": packed_conversations,
+        "op11_schema_fingerprints": op11,
+        "op12_de_bruijn_phrases": op12,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op11_schema_fingerprints": OP11_SQL, "op12_de_bruijn_phrases": OP12_SQL}
