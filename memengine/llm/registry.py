@@ -12,6 +12,7 @@ from .packing import op2, packed_conversations
 from .ppm_scoring import op5
 from .quality_rules import op6
 from .sharding import op4
+from .token_alignment import op13
 from .token_counts import op7
 from .toxicity import op10
 
@@ -31,6 +32,7 @@ def queries():
         "packed_conversations": packed_conversations,
         "op11_schema_fingerprints": op11,
         "op12_de_bruijn_phrases": op12,
+        "op13_fragment_monoid": op13,
     }
 
 
