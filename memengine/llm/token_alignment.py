@@ -22,6 +22,7 @@ import copy
 import functools
 import hashlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -41,7 +42,7 @@ from .common import dropped, mapped, saved, table
 #: Bytes of a text from which on it is cut into ranges, and of a range.
 RANGE_BYTES = 1 << 16
 #: Characters of texts that one block holds.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 22
 #: Fragments of one text that a task composes in a round.
 FAN_IN = 32
 
@@ -104,16 +105,17 @@ def grouped(s: Stream) -> Groups:
     """The groups of a stream that begins and ends at common ends."""
     ends = s.common_ends()
     at_a, at_b = np.searchsorted(s.a_end, ends, side="right"), np.searchsorted(s.b_end, ends, side="right")
-    return Groups(";".join(_written(s.a, at_a, s.b, at_b)), len(ends), _linked(s.a[at_a - 1], s.b[at_b - 1]).tolist(), int(ends[-1]))
+    return Groups(";".join(_written(s.a, at_a, s.b, at_b).to_pylist()), len(ends), _linked(s.a[at_a - 1], s.b[at_b - 1]).tolist(), int(ends[-1]))
 
 
-def _written(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> list[str]:
+def _joined(values: pa.Array, stops: np.ndarray, by: str) -> pa.Array:
+    """Runs of strings, each joined to one; a run stops before the place ``stops`` says."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), values), by)
+
+
+def _written(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> pa.Array:
     """Each group as text; they stop before the tokens ``at_a`` and ``at_b``."""
-    a, b, out, i, k = list(map(str, a.tolist())), list(map(str, b.tolist())), [], 0, 0
-    for j, m in zip(at_a.tolist(), at_b.tolist(), strict=True):
-        out.append(f"{a[i] if j - i == 1 else ','.join(a[i:j])}|{b[k] if m - k == 1 else ','.join(b[k:m])}")
-        i, k = j, m
-    return out
+    return pc.binary_join_element_wise(_joined(pa.array(a).cast(pa.string()), at_a, ","), _joined(pa.array(b).cast(pa.string()), at_b, ","), "|")
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,22 +166,23 @@ class Tokenizers:
 
     def left_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
-        ids, ends = bpe.encoded(self.left, self.merger, texts)
+        ids, ends = bpe.TokenTable(self.left, texts).merged(self.merger)
         return ids.astype(np.int64), np.diff(ends)
 
     def right_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same for texts that begin with a space, and whether their bytes are those of the texts; where not,
-        there are no ids."""
-        found = self.right.encode([t[1:] for t in texts], num_threads=1)
-        sizes = np.array([len(x) for x in found], np.int64)
-        ids = np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum()))
-        data = [t.encode() for t in texts]
-        due = np.array([len(d) for d in data], np.int64)
+        """The same for texts without the space they begin with, and whether the bytes of space and text come back;
+        where not, there are no ids."""
+        found = self.right.encode(texts, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        del found
+        empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        flat, due = _bytes(pc.binary_join_element_wise(empty, pa.array(texts, pa.large_string()), space))
         owner = np.repeat(np.arange(len(texts)), sizes)
         good = np.bincount(owner, self.right_bytes[ids], len(texts)).astype(np.int64) == due
         ids, owner = ids[good[owner]], owner[good[owner]]
         mine = self.right_flat[ragged(self.right_at[ids], self.right_bytes[ids])]
-        theirs = np.frombuffer(b"".join(d for d, ok in zip(data, good.tolist(), strict=True) if ok), np.uint8)
+        theirs = flat if good.all() else flat[np.repeat(good, due)]
         if not np.array_equal(mine, theirs):
             spots = np.repeat(np.flatnonzero(good), due[good])
             good[np.unique(spots[mine != theirs])] = False
@@ -189,10 +192,17 @@ class Tokenizers:
     def stream(self, left: str, left_start: int, right: str, right_start: int) -> tuple[Stream, bool]:
         """Tokens of a range, and whether its bytes come back."""
         a, _ = self.left_ids([left])
-        b, _, good = self.right_ids([right]) if right else (_none(), None, np.array([True]))
+        b, _, good = self.right_ids([right[1:]]) if right else (_none(), None, np.array([True]))
         return Stream(a, left_start + np.cumsum(self.left_bytes[a]), b, right_start + np.cumsum(self.right_bytes[b])), bool(good[0])
 
 
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings one after another, and how many each has."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    flat = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return flat, np.diff(offsets)
+
+
 @functools.lru_cache(maxsize=1)
 def tokenizers(left: str, right: str) -> Tokenizers:
     return Tokenizers(left, right)
@@ -213,8 +223,8 @@ def ranges(text: str, size: int):
 class Stretches:
     """The distinct stretches of many texts, aligned; every text is a run of them.
 
-    For text i: ``n_a[i]``, ``n_b[i]``, ``n_groups[i]``, ``digest(i)`` and ``links(i)``; zeros and nothing for a text
-    that is empty or whose bytes don't come back."""
+    For text i: ``n_a[i]``, ``n_b[i]``, ``n_groups[i]``; zeros for a text that is empty or whose bytes don't come
+    back."""
 
     def __init__(self, both: Tokenizers, texts: list[str]):
         lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
@@ -241,35 +251,32 @@ class Stretches:
             distinct, codes = [known[i] for i in used.tolist()], np.searchsorted(used, codes)
         else:
             distinct = distinct.to_pylist()
-        self.codes, self.offsets = codes, offsets
-        spaced = [" " + c for c in distinct]
-        a, a_size = both.left_ids(spaced)
-        b, b_size, good = both.right_ids(spaced)
-        begin = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(spaced)), a_size), both.left_bytes[a], len(spaced)).astype(np.int64))))
+        self.codes, self.offsets, n = codes, offsets, len(distinct)
+        a, a_size = both.left_ids([" " + c for c in distinct])
+        b, b_size, good = both.right_ids(distinct)
         a_end = np.cumsum(both.left_bytes[a])
-        owner = np.repeat(np.arange(len(spaced)), b_size)
+        begin = np.concatenate(([0], np.concatenate(([0], a_end))[np.cumsum(a_size)]))
+        owner = np.repeat(np.arange(n), b_size)
         b_end = np.cumsum(both.right_bytes[b])
         before = np.concatenate(([0], b_end))[np.cumsum(b_size) - b_size]
         b_end = b_end + (begin[:-1] - before)[owner]
         at = np.minimum(np.searchsorted(a_end, b_end), max(0, len(a_end) - 1))
         meet = np.flatnonzero(a_end[at] == b_end) if len(b) else _none()
-        self.of = owner[meet]  # the stretch of each group
         self.pairs = _linked(a[at[meet]], b[meet])
-        per = np.bincount(self.of, minlength=len(spaced))
+        self.per = np.bincount(owner[meet], minlength=n)  # groups of each stretch
+        self.first = np.cumsum(self.per) - self.per
         # a stretch that is not good has no groups, so what is written of the next one must not begin with its tokens
         a_kept = np.repeat(good, a_size)
-        a_place = np.cumsum(a_kept)[at[meet]]
-        written = _written(a[a_kept], a_place, b, meet + 1)
-        first = np.concatenate(([0], np.cumsum(per))).tolist()
-        self.written = np.array([";".join(written[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)] + [""], object)[:-1]
-        self.first, self.per = np.array(first[:-1], np.int64), per
+        written = _written(a[a_kept], np.cumsum(a_kept)[at[meet]], b, meet + 1)
+        self.written = _joined(written, np.cumsum(self.per), ";").cast(pa.large_string())
+        self.n_texts = len(texts)
         fine = np.ones(len(texts), bool)
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         fine[owner[~good[codes]]] = False
         fine &= np.array([bool(t) for t in texts], bool)
         self.fine = fine
         total = lambda x: np.where(fine, np.diff(np.concatenate(([0], np.cumsum(x[codes])))[offsets]), 0)
-        self.n_a, self.n_b, self.n_groups = total(a_size), total(b_size), total(per)
+        self.n_a, self.n_b, self.n_groups = total(a_size), total(b_size), total(self.per)
 
     @staticmethod
     def _uneven(codes: np.ndarray, offsets: np.ndarray, distinct) -> np.ndarray:
@@ -281,10 +288,19 @@ class Stretches:
         at = at[stops[codes[at - 1]] & begins[codes[at]]]
         return np.unique(np.searchsorted(offsets, at, side="right") - 1)
 
-    def digest(self, i: int) -> str:
-        if not self.fine[i]:
-            return ""
-        return hashlib.sha256(";".join(self.written[self.codes[self.offsets[i] : self.offsets[i + 1]]].tolist()).encode()).hexdigest()
+    def digests(self) -> list[str]:
+        """Hashes of the written groups of every text."""
+        out, step = [], max(1, self.n_texts // 8)
+        for s in range(0, self.n_texts, step):
+            ends = self.offsets[s : s + step + 1]
+            runs = self.written.take(pa.array(self.codes[ends[0] : ends[-1]]))
+            texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends - ends[0]), runs), pa.scalar(";", pa.large_string()))
+            flat, sizes = _bytes(texts)
+            stops = np.cumsum(sizes).tolist()
+            view = memoryview(flat)
+            for i, (stop, size) in enumerate(zip(stops, sizes.tolist(), strict=True)):
+                out.append(hashlib.sha256(view[stop - size : stop]).hexdigest() if self.fine[s + i] else "")
+        return out
 
     def block(self):
         """The distinct pairs of all fine texts, how often each is linked, and the texts' links as numbers into them."""
@@ -329,7 +345,7 @@ def text_blocks(docs: DataFrame, left: str, right: str) -> DataFrame:
                     stop += 1
                 s = Stretches(both, texts[start:stop])
                 sizes = s.n_groups.tolist()
-                rows = [{"key": None, "size": n, "n_a": a, "n_b": b, "n_groups": n, "groups_sha256": s.digest(i)} for i, (a, b, n) in enumerate(zip(s.n_a.tolist(), s.n_b.tolist(), sizes, strict=True))]
+                rows = [{"key": None, "size": n, "n_a": a, "n_b": b, "n_groups": n, "groups_sha256": d} for a, b, n, d in zip(s.n_a.tolist(), s.n_b.tolist(), sizes, s.digests(), strict=True)]
                 yield _block_row(schema, number, *s.block(), rows, batch.column(0).slice(start, stop - start))
                 number += 1
                 start = stop
