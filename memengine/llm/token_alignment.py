@@ -42,7 +42,7 @@ from .common import dropped, mapped, saved, table
 #: Bytes of a text from which on it is cut into ranges, and of a range.
 RANGE_BYTES = 1 << 16
 #: Characters of texts that one block holds.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 3 << 19
 #: Fragments of one text that a task composes in a round.
 FAN_IN = 32
 
