@@ -145,18 +145,20 @@ def frequent_words(texts: DataFrame, least: int) -> DataFrame:
 
 
 def edges(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(head, tail, weight): all edges of the graph; ``head`` holds the numbers of the first and second word, ``tail``
+    """(head, tail, weight): all edges of the graph of ``texts``, which are removed; ``head`` holds the numbers of the first and second word, ``tail``
     those of the third and fourth, 32 bits each."""
     asked = texts.select("block", "lang", F.posexplode("words").alias("at", "word"))
     found = asked.hint("merge").join(words.select("lang", "word", "word_id").hint("merge"), ["lang", "word"])
     found = found.groupBy("block").agg(F.collect_list(F.struct("at", F.col("word_id").cast("int").alias("id"))).alias("found"))
-    ready = texts.select("block", "codes").hint("merge").join(found.hint("merge"), "block").select(F.size("codes").alias("size"), "codes", "found")
+    # written before edges are counted, so that neither the blocks nor what was shuffled for this lies on disk by then
+    ready = saved(texts.select("block", "codes").hint("merge").join(found.hint("merge"), "block").select("codes", "found"), "collocation-texts")
+    dropped(texts)
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                codes = batch.column(1)[k].values.to_numpy()
-                pairs = batch.column(2)[k].values
+                codes = batch.column(0)[k].values.to_numpy()
+                pairs = batch.column(1)[k].values
                 ids = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
                 ids[pairs.field("at").to_numpy() + 1] = pairs.field("id").to_numpy()
                 w = np.concatenate((ids[codes], np.zeros(ORDER, np.int64)))
@@ -177,7 +179,9 @@ def edges(texts: DataFrame, words: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(head[at]), pa.array(tail[at]), pa.array(weight[s : s + (1 << 16)])], names=["head", "tail", "weight"])
 
     counted = mapped(ready, run, "head bigint, tail bigint, weight bigint")
-    return saved(counted.groupBy("head", "tail").agg(F.sum("weight").alias("weight")), "collocation-edges")
+    out = saved(counted.groupBy("head", "tail").agg(F.sum("weight").alias("weight")), "collocation-edges")
+    dropped(ready)
+    return out
 
 
 def _first(column):
@@ -257,12 +261,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     A phrase inside a longer one that has at least ``share`` hundredths of its count is left out. ``path_words`` is the
     number of words of the longest compacted path that holds the phrase; null where none does."""
     texts = saved(blocks(docs, text, lang), "collocation-blocks")
-    totals = texts.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n"))
+    totals = saved(texts.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n")), "collocation-totals")
     words = frequent_words(texts, least)
     graph = edges(texts, words)
     counts = phrases(graph, least)
-    totals = saved(totals, "collocation-totals")
-    dropped(texts, graph)
+    dropped(graph)
     # what lies in a longer phrase, and how often that one occurs
     longer = counts.where(F.size("ids") > 2).hint("merge").join(unary_paths(counts).select("ids", (F.col("edges") + (ORDER - 1)).alias("path_words")).hint("merge"), "ids", "left")
     spans = F.expr("flatten(transform(sequence(2, size(ids)), m -> transform(sequence(1, size(ids) - m + 1), s -> slice(ids, s, m))))")
