@@ -24,15 +24,19 @@ class MemoryConfig:
     max_event_nodes: int | None = None
 
 
-def retained_turns(turns: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
-    """M2, M3: turns that enter memory, with their ordinal in the record."""
+def enters_memory(cfg: MemoryConfig = MemoryConfig()):
+    """M2: whether a turn enters memory, but for the limit on events."""
     clean, who = normalize_text("text"), F.lower("speaker")
     keep = who.isin(*USERS)
     if cfg.include_assistant_turns:
         keep = keep | who.isin(*ASSISTANTS)
     task = (F.length(clean) < 50) & F.lower(clean).rlike(TASK_MARKERS)
-    rows = turns.where(keep & (F.length(clean) >= cfg.min_user_text_chars) & ~task)
-    rows = rows.withColumn("kept_ord", F.row_number().over(Window.partitionBy("record_id").orderBy("event_ord")))
+    return keep & (F.length(clean) >= cfg.min_user_text_chars) & ~task
+
+
+def retained_turns(turns: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
+    """M2, M3: turns that enter memory, with their ordinal in the record."""
+    rows = turns.where(enters_memory(cfg)).withColumn("kept_ord", F.row_number().over(Window.partitionBy("record_id").orderBy("event_ord")))
     return rows if cfg.max_event_nodes is None else rows.where(F.col("kept_ord") <= cfg.max_event_nodes)
 
 
@@ -61,28 +65,36 @@ def _sessions(kept: DataFrame) -> DataFrame:
     return grouped.where("n >= 2")
 
 
-def memory_nodes(kept: DataFrame) -> DataFrame:
-    """M4-M7: event and fact per retained turn, summary and abstract per session with two of them."""
-    event, fact = stable_id("mem_evt", "record_id", "event_id"), stable_id("mem_fact", "record_id", "event_id", F.substring("text", 1, 128))
+def turn_ids():
+    """Ids of a retained turn's event and fact."""
+    return stable_id("mem_evt", "record_id", "event_id"), stable_id("mem_fact", "record_id", "event_id", F.substring("text", 1, 128))
+
+
+def turn_nodes(kept: DataFrame) -> DataFrame:
+    """M4: event and fact of each retained turn."""
+    event, fact = turn_ids()
     at = F.col("kept_ord").cast("long") * 4
-    many = _sessions(kept)
+    events = _node(kept, "event", event, F.concat("speaker", F.lit(" said: "), "text"), 0.6, 0, at, F.col("turn_id"), F.array("event_id"))
+    return events.unionByName(_node(kept, "fact", fact, F.concat(F.lit("The user mentioned: "), normalize_text("text")), 0.55, 1, at + 1, F.col("turn_id"), F.array("event_id")))
+
+
+def session_nodes(many: DataFrame) -> DataFrame:
+    """M6: summary and abstract of sessions (n, last_ord, event_ids) with two retained turns or more."""
     end = F.col("last_ord").cast("long") * 4
-    parts = [
-        _node(kept, "event", event, F.concat("speaker", F.lit(" said: "), "text"), 0.6, 0, at, F.col("turn_id"), F.array("event_id")),
-        _node(kept, "fact", fact, F.concat(F.lit("The user mentioned: "), normalize_text("text")), 0.55, 1, at + 1, F.col("turn_id"), F.array("event_id")),
-        _node(many, "summary", stable_id("mem_summary", "record_id", "session_id"), F.concat(F.lit("Session "), "session_id", F.lit(" contains "), F.col("n").cast("string"), F.lit(" user-provided pieces of information.")), 0.5, 1, end + 2),
-        _node(many, "abstract", stable_id("mem_abs", "record_id", "session_id", "n"), F.lit("The user shared multiple pieces of information in this session."), 0.45, 2, end + 3, None, F.col("event_ids")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    summary = F.concat(F.lit("Session "), "session_id", F.lit(" contains "), F.col("n").cast("string"), F.lit(" user-provided pieces of information."))
+    top = _node(many, "summary", stable_id("mem_summary", "record_id", "session_id"), summary, 0.5, 1, end + 2)
+    return top.unionByName(_node(many, "abstract", stable_id("mem_abs", "record_id", "session_id", "n"), F.lit("The user shared multiple pieces of information in this session."), 0.45, 2, end + 3, None, F.col("event_ids")))
+
+
+def memory_nodes(kept: DataFrame) -> DataFrame:
+    """M4-M7: event and fact per retained turn, summary and abstract per session with two of them."""
+    return turn_nodes(kept).unionByName(session_nodes(_sessions(kept)))
 
 
 def memory_edges(kept: DataFrame) -> DataFrame:
     """M5, M7: a fact is derived from its event; a session's abstract covers its first five facts."""
     keys = [c for c in ("sample_id",) if c in kept.columns] + ["record_id"]
-    event, fact = stable_id("mem_evt", "record_id", "event_id"), stable_id("mem_fact", "record_id", "event_id", F.substring("text", 1, 128))
+    event, fact = turn_ids()
     derived = kept.select(*keys, fact.alias("source"), event.alias("target"), F.lit("DERIVED_FROM").alias("edge_type"), F.lit(0.6).alias("confidence"))
     first = kept.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "session_id").orderBy("kept_ord"))).where("rn <= 5")
     tops = _sessions(kept).select(*keys, "session_id", stable_id("mem_abs", "record_id", "session_id", "n").alias("source"))

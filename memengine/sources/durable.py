@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local master without one gets its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="memengine-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a local master without one gets its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            where = tempfile.mkdtemp(prefix="memengine-")
-        context.setCheckpointDir(where)
-    return df.checkpoint()
+    """``df`` written as Parquet into the shared folder and read back, so that its true size is known."""
+    path = f"{shared_folder(df.sparkSession)}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
