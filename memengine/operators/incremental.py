@@ -33,7 +33,8 @@ def memory_delta(records: DataFrame, sessions: DataFrame, turns: DataFrame, cfg:
 
     Turns that a session already holds are ignored, so a slice may come twice. A session may come in parts: its summary
     is written anew, its abstract, whose id names the number of turns, is replaced. ``build_step`` goes up by the
-    slice's sessions, or by its turns with ``by="turn"``."""
+    slice's sessions, or by its turns with ``by="turn"``, as far as memory doesn't hold them; what memory leaves out it
+    doesn't know again."""
     if by not in ("session", "turn"):
         raise ValueError(f"slices are by session or turn, not {by}")
     held = sessions.select("record_id", "session_id", F.col("n").alias("n0"), F.col("last_ord").alias("last0"), F.col("event_ids").alias("events0"), F.col("fact_ids").alias("facts0"))
