@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators.incremental import MemoryTable
 from ..sources.durable import shared_folder
+from ..streaming.stateful import CHANGES, folded_nodes, stream_memory
+from ..streaming.streams import stream_turns
 from . import sqlparts as S
 from .base import query
 from .graph_queries import turns_of
@@ -47,3 +49,18 @@ def memory_state(spark, sf_dir):
     """Build step and summary texts of every record, from the state after the last slice."""
     memory = grown_memory(spark, sf_dir)
     return memory.records().select("record_id", "build_step").join(memory.summaries(), "record_id").select("record_id", "build_step", "recent_changes", "stable_preferences", "active_plans")
+
+
+@query(
+    "t1_t2_streamed_memory",
+    f"WITH {S.MEMORY} SELECT record_id, node_id, node_type, content, session_id, event_ids FROM memory",
+)
+def streamed_memory(spark, sf_dir):
+    """All conversations as a stream of files, folded into memory by state; what stands at its end is the memory."""
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # a pattern, as the table may be one file
+    changes = stream_memory(stream_turns(spark, f"{sf_dir}/conversations.parque[t]"))
+    stream = changes.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").option("path", f"{where}/changes").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    nodes = folded_nodes(spark.read.schema(CHANGES).parquet(f"{where}/changes"))
+    return nodes.withColumn("event_ids", F.array_join("event_ids", "|"))
