@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import durable
+from . import retrieval, rewards
+
 EPS = 1e-6
 
 
@@ -91,3 +94,37 @@ def batch_stats(items: DataFrame, key: str) -> DataFrame:
 def trainer_metrics(steps: DataFrame) -> DataFrame:
     """Mean, least and largest of each metric per actor."""
     return steps.groupBy("actor", "metric").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("n"))
+
+
+def score_cells(cells: DataFrame, memory: DataFrame, summaries: DataFrame, questions: DataFrame, oracle: DataFrame) -> DataFrame:
+    """A2: every cell of A1 scored in one plan: (record_id, memory_sample_id, question_sample_id,
+    accepted_question_count, status, memory_reward, question_reward).
+
+    ``memory`` and ``summaries`` carry a ``memory_sample_id``, ``questions`` a ``question_sample_id``, ``oracle`` none. A
+    question is retrieved for, answered and judged once per memory sample of its record: those steps see a memory sample
+    as a record, and a question belongs to one question sample only. What a cell's reward sums up is put together from
+    these. Cells without accepted questions stay rejected, without rewards."""
+    live = cells.where("accepted_question_count > 0").select("record_id", "memory_sample_id", "question_sample_id")
+    samples = live.select("record_id", "memory_sample_id").distinct()
+    as_record = lambda df: df.drop("record_id", "sample_id").withColumnRenamed("memory_sample_id", "record_id")
+    used = lambda df: df.join(samples.hint("shuffle_hash"), ["record_id", "memory_sample_id"], "left_semi")
+    nodes, texts = durable(as_record(used(memory))), durable(as_record(used(summaries)))
+    full = F.concat_ws("|", "question_sample_id", "question_id").alias("question_id")
+    asked = questions.join(live.hint("merge"), ["record_id", "question_sample_id"])
+    asked = durable(asked.select(F.col("memory_sample_id").alias("record_id"), full, *[c for c in questions.columns if c not in ("record_id", "question_sample_id", "question_id")], "question_sample_id"))
+    truth = durable(as_record(oracle.join(samples.hint("merge"), "record_id")))
+    answers = durable(retrieval.baseline_answers(asked, retrieval.retrieve(asked, nodes)))
+    items = durable(rewards.question_items(asked.drop("question_sample_id"), answers, truth, nodes, texts))
+    # a cell takes the place of the record from here on
+    cell = F.concat_ws("|", "memory_sample_id", "question_sample_id")
+    of_memory = live.select(F.col("memory_sample_id").alias("record_id"), cell.alias("cell"))
+    in_cells = lambda df: df.join(of_memory.hint("merge"), "record_id").drop("record_id").withColumnRenamed("cell", "record_id")
+    by_question = lambda df: df.withColumn("record_id", F.concat_ws("|", "record_id", F.substring_index("question_id", "|", 1)))
+    judged = by_question(items)
+    components = rewards.memory_components(judged, in_cells(nodes), in_cells(texts), live.select(cell.alias("record_id")))
+    memory_reward = rewards.memory_rewards(components).select("record_id", F.col("total_reward").alias("memory_reward"))
+    verdicts = judged.select("record_id", "question_id", F.lit("accept").alias("verdict"))
+    question_reward = rewards.question_rewards(by_question(asked), verdicts, judged, in_cells(truth)).select("record_id", F.col("total_reward").alias("question_reward"))
+    both = memory_reward.hint("merge").join(question_reward.hint("merge"), "record_id", "left")
+    keyed = cells.withColumn("_cell", cell).hint("merge").join(both.withColumnRenamed("record_id", "_cell").hint("merge"), "_cell", "left")
+    return keyed.select("record_id", "memory_sample_id", "question_sample_id", "accepted_question_count", F.when(F.col("memory_reward").isNotNull(), "ok").otherwise(F.col("status")).alias("status"), "memory_reward", "question_reward")

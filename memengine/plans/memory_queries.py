@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_text
-from ..operators import graph, memory, retrieval, rewards
+from ..operators import graph, memory, retrieval, rewards, rollout
 from ..sources.durable import durable
 from . import sqlparts as S
 from .base import query, table
@@ -214,4 +214,56 @@ def round_summary(spark, sf_dir):
     return rewards.round_summary(r).select("records", "ok", "skipped", "failed", F.round("memory_reward_mean", 9).alias("memory_reward_mean"))
 
 
+def _cells(sql: str) -> str:
+    """The SQL of a record's rewards, for cells: each cell sees the turns of its record as a record of its own, its
+    memory sample says how long a retained text is at least, its question sample which turns ask."""
+    named = S.TURNS.replace("turns AS (", "turns0 AS (", 1)
+    cells = """, turns AS (SELECT t.* REPLACE (t.record_id || ':m' || m || '|' || t.record_id || ':q' || q AS record_id) FROM turns0 t, (VALUES (0), (1)) AS ms(m), (VALUES (0), (1)) AS qs(q))"""
+    sql = sql.replace(S.TURNS, named + cells)
+    sql = sql.replace("length(clean) >= 20", "length(clean) >= CASE WHEN contains(record_id, ':m1|') THEN 80 ELSE 20 END")
+    return sql.replace("WHERE lower(speaker) = 'assistant'", "WHERE lower(speaker) = 'assistant' AND event_ord % 2 = CASE WHEN record_id LIKE '%:q1' THEN 1 ELSE 0 END")
+
+
+def scored_cells_of(spark, sf_dir):
+    """Two memories of each record (texts of 20 and of 80 characters are retained) with two sets of questions."""
+    turns, oracle = durable(turns_of(spark, sf_dir)), durable(graph_of(spark, sf_dir)[0])
+    samples = [memory.MemoryConfig(20), memory.MemoryConfig(80)]
+    name = lambda kind, k: F.concat("record_id", F.lit(f":{kind}{k}"))
+    nodes, texts = None, None
+    for k, cfg in enumerate(samples):
+        mine = memory.memory_nodes(memory.retained_turns(turns, cfg))
+        own, said = (df.withColumn("memory_sample_id", name("m", k)) for df in (mine, memory.memory_summaries(mine)))
+        nodes, texts = (own, said) if nodes is None else (nodes.unionByName(own), texts.unionByName(said))
+    q = questions_of(spark, sf_dir)
+    q = durable(q.withColumn("question_sample_id", F.concat("record_id", F.lit(":q"), (F.col("event_ord") % 2).cast("string"))))
+    records = turns.select("record_id").distinct()
+    memories = records.select("record_id", F.explode(F.array(name("m", 0), name("m", 1))).alias("memory_sample_id"))
+    sets = records.select("record_id", F.explode(F.array(name("q", 0), name("q", 1))).alias("question_sample_id"))
+    asked = sets.join(q.groupBy("question_sample_id").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "question_sample_id", "left")
+    asked = durable(asked.select("record_id", "question_sample_id", F.coalesce("n", F.lit(0)).alias("accepted_question_count")))
+    return rollout.score_cells(durable(rollout.pair_cells(durable(memories), asked)), durable(nodes), durable(texts), q, oracle)
+
+
+_CELL_REWARDS = f"""WITH {_cells(_COMPONENTS)}, asked_n AS (SELECT record_id, count(*) AS n FROM questions GROUP BY ALL),
+  c AS (SELECT record_id AS cell, split_part(record_id, ':m', 1) AS record_id, split_part(record_id, '|', 1) AS memory_sample_id, split_part(record_id, '|', 2) AS question_sample_id, coalesce(n, 0) AS n, greatest(0, least(1, {_TOTAL})) AS r FROM comp LEFT JOIN asked_n USING (record_id))"""
+
+
+@query(
+    "a2_cell_scores",
+    f"{_CELL_REWARDS} SELECT record_id, memory_sample_id, question_sample_id, n AS accepted_question_count, CASE WHEN n > 0 THEN 'ok' ELSE 'rejected' END AS status, CASE WHEN n > 0 THEN round(r, 9) END AS memory_reward FROM c",
+)
+def cell_scores(spark, sf_dir):
+    return scored_cells_of(spark, sf_dir).select("record_id", "memory_sample_id", "question_sample_id", "accepted_question_count", "status", F.round("memory_reward", 9).alias("memory_reward"))
+
+
+@query(
+    "a2_a3_cell_marginals",
+    f"{_CELL_REWARDS} SELECT record_id, memory_sample_id AS sample_id, round(coalesce(avg(r) FILTER (n > 0), 0), 8) AS reward FROM c GROUP BY ALL",
+)
+def cell_marginals(spark, sf_dir):
+    """Marginal rewards of the memory samples, from scored cells."""
+    out = rollout.marginal_rewards(scored_cells_of(spark, sf_dir))
+    return out.where("role = 'memory_builder'").select("record_id", "sample_id", F.round("reward", 8).alias("reward"))
+
+
 FLAGSHIP = "v5_v11_memory_rewards"

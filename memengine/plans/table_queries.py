@@ -17,12 +17,12 @@ from .memory_queries import items_of
 
 @query(
     "p1_p3_p5_text_functions",
-    f"""SELECT doc_id, sha1({S.norm('text')}) AS norm_hash, {S.canon('substr(text, 1, 60)')} AS canon, sha1({S.rnorm('text')}) AS reward_hash, {S.sid('doc', 'doc_id', 'lang', 'NULL')} AS stable_id,
+    f"""SELECT doc_id, sha1({S.norm('text')}) AS norm_hash, sha1({S.canon('text')}) AS canon, sha1({S.rnorm('text')}) AS reward_hash, {S.sid('doc', 'doc_id', 'lang', 'NULL')} AS stable_id,
     len({S.words(S.norm('text'))})::INT AS n_ws, len({S.words(S.rnorm('text'))})::INT AS n_reward FROM documents""",
 )
 def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.sha1(C.normalize_text("text").cast("binary")).alias("norm_hash"), C.canonicalize_name(F.substring("text", 1, 60)).alias("canon"), F.sha1(C.normalize_for_reward("text").cast("binary")).alias("reward_hash"),
+        "doc_id", F.sha1(C.normalize_text("text").cast("binary")).alias("norm_hash"), F.sha1(C.canonicalize_name("text").cast("binary")).alias("canon"), F.sha1(C.normalize_for_reward("text").cast("binary")).alias("reward_hash"),
         C.stable_id("doc", "doc_id", "lang", F.lit(None)).alias("stable_id"), F.size(C.tokens_ws("text")).alias("n_ws"), F.size(C.tokens_reward("text")).alias("n_reward"),
     )
 
@@ -112,14 +112,24 @@ def marginals(spark, sf_dir):
     return rollout.marginal_rewards(cells).select("record_id", "role", "sample_id", F.round("reward", 9).alias("reward"))
 
 
+_IDS = "list_concat([1], list_concat([ascii(x) % 256 FOR x IN string_split(role, '')], [ascii(x) % 256 FOR x IN string_split(text, '')]))"
+
+
 @query(
     "a10_token_rows",
-    """SELECT conv_id, turn, least(length(role), 16) + 1 + least(length(text), 64) AS n, (1 + list_sum([ascii(x) % 256 FOR x IN string_split(substr(role, 1, 16), '')]) + list_sum([ascii(x) % 256 FOR x IN string_split(substr(text, 1, 64), '')]))::BIGINT AS id_sum FROM conversations WHERE trim(text) <> ''""",
+    f"""SELECT conv_id, turn, length(role) + 1 + length(text) AS n, sha1(array_to_string({_IDS}, ',')) AS ids_hash, (length(text))::BIGINT AS n_loss,
+    sha1(array_to_string(range(length(role) + 1 + length(text)), ',')) AS positions_hash, round(length(text) * (1.0 / length(text)), 9) AS reward_sum FROM conversations WHERE trim(text) <> ''""",
 )
 def token_rows(spark, sf_dir):
+    """Whole prompts and responses: hashes of ids and positions, tokens under the mask, and what rewards sum up to."""
     items = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("prompt"), F.col("text").alias("response"), F.lit(1.0).alias("reward"), F.lit(0.5).alias("advantage"))
-    out = rollout.token_rows(items, 17, 64)
-    return out.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n"), F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+    out = rollout.token_rows(items)
+    total = lambda c, zero: F.aggregate(c, F.lit(zero).cast("double"), lambda a, x: a + x)
+    hashed = lambda c: F.sha1(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary"))
+    return out.select(
+        "conv_id", "turn", F.size("input_ids").cast("bigint").alias("n"), hashed("input_ids").alias("ids_hash"), total("loss_mask", 0).cast("bigint").alias("n_loss"),
+        hashed("position_ids").alias("positions_hash"), F.round(total("token_rewards", 0), 9).alias("reward_sum"),
+    )
 
 
 @query(
