@@ -137,3 +137,37 @@ class MemoryTable:
             "record_id", F.lit("").alias("user_profile"), text("preference", "The user has expressed preferences in the conversation.").alias("stable_preferences"),
             text("plan", "The user has mentioned plans or intentions.").alias("active_plans"), changes.alias("recent_changes"), F.lit("").alias("cross_session_abstractions"),
         )
+
+
+#: A mergeable summary: whatever the cut into batches and their order, merging gives the same.
+TOTALS = "n bigint, sums map<string,double>, counts map<string,bigint>, failures map<string,bigint>"
+
+
+def batch_totals(rows: DataFrame, keys: list[str], values: list[str], failures: str = "failure_types") -> DataFrame:
+    """What a batch of judged rows adds up to by ``keys``: rows, sums and numbers of the values that are not null,
+    and how often each failure occurs."""
+    pairs = lambda f: F.map_from_arrays(F.array(*[F.lit(v) for v in values]), F.array(*[f(v) for v in values]))
+    per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pairs(lambda v: F.coalesce(F.sum(v), F.lit(0)).cast("double")).alias("sums"), pairs(F.count).alias("counts"))
+    kinds = rows.select(*keys, F.explode(failures).alias("kind")).groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("c"))
+    found = kinds.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "c"))).alias("failures"))
+    empty = F.create_map().cast("map<string,bigint>")
+    return per.hint("merge").join(found.hint("merge"), keys, "left").select(*keys, "n", "sums", "counts", F.coalesce("failures", empty).alias("failures"))
+
+
+def merged_totals(*batches: DataFrame, keys: list[str]) -> DataFrame:
+    """Several summaries as one, by addition; nothing that was judged is read again."""
+    rows = batches[0]
+    for more in batches[1:]:
+        rows = rows.unionByName(more)
+    out = rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+    for column, kind in (("sums", "double"), ("counts", "bigint"), ("failures", "bigint")):
+        each = rows.select(*keys, F.explode(column).alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v").cast(kind).alias("v"))
+        one = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+        out = out.hint("merge").join(one.hint("merge"), keys, "left")
+    return out.select(*keys, "n", "sums", "counts", F.coalesce("failures", F.create_map().cast("map<string,bigint>")).alias("failures"))
+
+
+def averages(totals: DataFrame, values: list[str]) -> DataFrame:
+    """Means of a summary, null where no value was."""
+    mean = lambda v: F.when(F.col("counts")[v] > 0, F.col("sums")[v] / F.col("counts")[v]).alias(f"average_{v}")
+    return totals.select(*[c for c in totals.columns if c not in ("sums", "counts")], *[mean(v) for v in values])

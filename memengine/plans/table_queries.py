@@ -251,6 +251,17 @@ def paired_t(spark, sf_dir):
     return suite.t_statistic(suite.paired_deltas(_long(spark, sf_dir), "final")).select("metric", "baseline", "n", F.round("mean_delta", 9).alias("mean_delta"), F.round("t", 8).alias("t"))
 
 
+@query(
+    "z7_p_values",
+    f"""WITH {_DELTAS}, s AS (SELECT metric, baseline, count(*) AS n, abs(avg(delta) / (stddev_samp(delta) / sqrt(count(*)))) AS t FROM dl GROUP BY ALL HAVING count(*) > 1 AND stddev_samp(delta) > 0),
+    g AS (SELECT s.*, i, (n - 1)::DOUBLE AS df, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM s, range(0, 4001) r(i))
+    SELECT metric, baseline, n, round(1 - 2 * sum(w * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2) * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())) * max(t) / 4000 / 3, 6) AS p_value FROM g GROUP BY ALL""",
+)
+def p_values(spark, sf_dir):
+    """Two-sided p-values of paired deltas; the SQL integrates the density by Simpson's rule."""
+    return suite.t_statistic(suite.paired_deltas(_long(spark, sf_dir), "final")).where("p_value is not null").select("metric", "baseline", "n", F.round("p_value", 6).alias("p_value"))
+
+
 @query(
     "z6_bootstrap",
     f"""WITH {_DELTAS}, p AS (SELECT *, row_number() OVER (PARTITION BY metric, baseline ORDER BY seed) - 1 AS pos, count(*) OVER (PARTITION BY metric, baseline) AS n FROM dl),
