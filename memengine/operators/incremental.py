@@ -148,8 +148,8 @@ def batch_totals(rows: DataFrame, keys: list[str], values: list[str], failures:
     and how often each failure occurs."""
     pairs = lambda f: F.map_from_arrays(F.array(*[F.lit(v) for v in values]), F.array(*[f(v) for v in values]))
     per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pairs(lambda v: F.coalesce(F.sum(v), F.lit(0)).cast("double")).alias("sums"), pairs(F.count).alias("counts"))
-    kinds = rows.select(*keys, F.explode(failures).alias("kind")).groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("c"))
-    found = kinds.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "c"))).alias("failures"))
+    kinds = rows.select(*keys, F.explode(failures).alias("_name")).groupBy(*keys, "_name").agg(F.count(F.lit(1)).alias("_value"))
+    found = kinds.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("failures"))
     empty = F.create_map().cast("map<string,bigint>")
     return per.hint("merge").join(found.hint("merge"), keys, "left").select(*keys, "n", "sums", "counts", F.coalesce("failures", empty).alias("failures"))
 
@@ -161,8 +161,8 @@ def merged_totals(*batches: DataFrame, keys: list[str]) -> DataFrame:
         rows = rows.unionByName(more)
     out = rows.groupBy(*keys).agg(F.sum("n").alias("n"))
     for column, kind in (("sums", "double"), ("counts", "bigint"), ("failures", "bigint")):
-        each = rows.select(*keys, F.explode(column).alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v").cast(kind).alias("v"))
-        one = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+        each = rows.select(*keys, F.explode(column).alias("_name", "_value")).groupBy(*keys, "_name").agg(F.sum("_value").cast(kind).alias("_value"))
+        one = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_name", "_value")))).alias(column))
         out = out.hint("merge").join(one.hint("merge"), keys, "left")
     return out.select(*keys, "n", "sums", "counts", F.coalesce("failures", F.create_map().cast("map<string,bigint>")).alias("failures"))
 
