@@ -286,7 +286,10 @@ class Stretches:
         inner[offsets[:-1][offsets[:-1] < len(codes)]] = False  # a text's first stretch follows nothing
         at = np.flatnonzero(inner)
         at = at[stops[codes[at - 1]] & begins[codes[at]]]
-        return np.unique(np.searchsorted(offsets, at, side="right") - 1)
+        # a space at an end of a text has no stretch of its own either
+        bare = np.flatnonzero((pc.binary_length(distinct).to_numpy() == 0)[codes])
+        found = np.unique(np.searchsorted(offsets, np.concatenate((at, bare)), side="right") - 1)
+        return found[np.diff(offsets)[found] > 1]  # the empty text is one empty stretch
 
     def digests(self) -> list[str]:
         """Hashes of the written groups of every text."""
