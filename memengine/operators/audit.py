@@ -11,31 +11,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import durable
 
-def find_keys(df: DataFrame, row_id: str, json_col: str, keys: list[str], edge_targets: bool = False, allow_null: bool = False, loose: bool = False) -> DataFrame:
+
+def find_keys(df: DataFrame, row_id: str, json_col: str, keys: list[str], edge_targets: bool = False, allow_null: bool = False, loose: bool = False, nested_json: bool = False) -> DataFrame:
     """L1, L2: (row_id, path, key) of every forbidden key at any depth, level by level without Python code.
 
     ``edge_targets`` lets ``target`` stand directly below ``edges``; ``allow_null`` passes null values; ``loose``
-    compares keys without case and punctuation. Rows whose text holds none of the names are left out first, unless it
-    holds a backslash, with which a name can be written in another way. Any depth is read, one pass a level."""
+    compares keys without case and punctuation; ``nested_json`` reads on inside strings that hold an object or an
+    array, below the path of the string. Rows whose text holds none of the names are left out first, unless it holds a
+    backslash, with which a name can be written in another way. Each level is written, so none is read twice."""
     norm = (lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")) if loose else (lambda c: c)
     wanted = [k.lower().replace("_", "").replace("-", "") if loose else k for k in keys]
     rows = df if loose else df.where(functools.reduce(operator.or_, [F.contains(F.col(json_col), F.lit(k)) for k in ["\\", *keys]]))
-    level = rows.select(F.col(row_id).alias("row_id"), F.lit("").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
+
+    def inner(v):
+        """``v`` where it has a next level, else null."""
+        nests = lambda x: F.when(F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"), x)
+        if not nested_json:
+            return nests(v)
+        text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+        return F.coalesce(nests(v), nests(F.try_parse_json(text)))
+
     spark, out = df.sparkSession, None
+    level = rows.select(F.col(row_id).alias("row_id"), F.lit("").alias("path"), inner(F.try_parse_json(json_col)).alias("v")).where("v is not null")
     while True:
-        level.createOrReplaceTempView("memengine_level")
-        each = spark.sql("SELECT row_id, path AS parent, pos, key, value FROM memengine_level, LATERAL variant_explode(v)")
+        each = level.withColumnRenamed("path", "parent").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         here = F.when(F.col("key").isNull(), F.concat("parent", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("parent", F.when(F.col("parent") == "", "").otherwise("."), "key"))
-        each = each.withColumn("path", here)
-        hit = norm(F.col("key")).isin(*wanted)
+        hit = F.coalesce(norm(F.col("key")).isin(*wanted), F.lit(False))
         if edge_targets:
             hit = hit & ~((F.col("key") == "target") & F.col("parent").rlike(r"(^|\.)edges\[\d+\]$"))
         if allow_null:
             hit = hit & ~F.is_variant_null("value")
-        found = each.where(hit).select("row_id", "path", "key")
+        each = each.select("row_id", here.alias("path"), "key", hit.alias("hit"), inner(F.col("value")).alias("v"))
+        each = durable(each.where("hit or v is not null"))
+        found = each.where("hit").select("row_id", "path", "key")
         out = found if out is None else out.unionByName(found)
-        level = each.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select("row_id", "path", F.col("value").alias("v"))
+        level = each.where("v is not null").select("row_id", "path", "v")
         if level.isEmpty():
             return out
 
