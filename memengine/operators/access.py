@@ -100,3 +100,31 @@ def evidence_context(sets: DataFrame, nodes: DataFrame, edges: DataFrame, max_ch
 def generic_entities(nodes: DataFrame) -> DataFrame:
     """Entities that stand for a speaker and connect everything with everything."""
     return nodes.where((F.col("node_type") == "entity") & F.lower(normalize_text("name")).isin("user", "assistant", "speaker", "unknown")).select("record_id", "node_id")
+
+
+def nodes_where(nodes: DataFrame, node_id: str | None = None, node_type: str | None = None) -> DataFrame:
+    """The nodes of all records with an id, of a type, or both; without either all of them."""
+    for name, wanted in (("node_id", node_id), ("node_type", node_type)):
+        nodes = nodes if wanted is None else nodes.where(F.col(name) == wanted)
+    return nodes
+
+
+def edges_where(edges: DataFrame, source: str | None = None, target: str | None = None, key: int | str | None = None, edge_type: str | None = None) -> DataFrame:
+    """The edges of all records that fit every given end, key (compared as text) and type."""
+    for name, wanted in (("source", source), ("target", target), ("edge_type", edge_type)):
+        edges = edges if wanted is None else edges.where(F.col(name) == wanted)
+    return edges if key is None else edges.where(F.col("edge_key").cast("string") == str(key))
+
+
+def look_up(table: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ("record_id", "node_id"), strict: bool = False) -> DataFrame:
+    """A row for each of ``wanted`` (the columns ``keys``), with what ``table`` holds under its key and ``found``.
+    What is not there has nulls, or with ``strict`` fails the query. Keys are compared as text; one that stands several
+    times in ``table``, as a node that was read twice, gives a row each time."""
+    text = lambda df: df.withColumns({f"_{k}": F.col(k).cast("string") for k in keys})
+    asked = text(wanted.select(*keys))
+    held = text(table).drop(*keys).withColumn("found", F.lit(True))
+    out = asked.hint("merge").join(held.hint("merge"), [f"_{k}" for k in keys], "left").drop(*[f"_{k}" for k in keys])
+    found = F.coalesce("found", F.lit(False))
+    if strict:
+        found = F.when(found, True).otherwise(F.raise_error(F.concat(F.lit("not in the table: "), F.to_json(F.struct(*keys)))).cast("boolean"))
+    return out.withColumn("found", found)

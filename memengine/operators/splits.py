@@ -78,3 +78,13 @@ def with_policy(df: DataFrame) -> DataFrame:
     """K9: whether a row's split may update models."""
     rule = F.create_map(*[F.lit(x) for s, u, _ in POLICY for x in (s, u)])
     return df.withColumn("update_allowed", F.coalesce(rule[F.col("split")], F.lit(False)))
+
+
+def inspect_split(splits: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K6: (severity, issues) for error, warning and info, zeros included; and (record_id, n, splits) of records that
+    are listed more than once, with the splits they stand in: more than one is a leak between splits."""
+    per = issues.groupBy(F.lower("severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    all_three = splits.sparkSession.createDataFrame([("error",), ("warning",), ("info",)], "severity string")
+    counts = all_three.join(F.broadcast(per.where(F.col("severity").isin("error", "warning", "info"))), "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("issues"))
+    twice = splits.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("split")).alias("splits")).where("n > 1")
+    return counts, twice

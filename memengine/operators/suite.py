@@ -159,3 +159,48 @@ def report_table(stats: DataFrame) -> DataFrame:
 def pending_runs(planned: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:
     """Planned runs that have not succeeded; all of them when forced."""
     return planned if force else planned.join(done.where("status = 'succeeded'").select(key).distinct(), key, "left_anti")
+
+
+#: The columns of a round's metrics.
+ROUND_METRICS = (
+    "train_memory_reward_mean", "train_question_reward_mean", "dev_memory_reward_mean", "dev_question_reward_mean", "train_no_leakage_pass_rate", "dev_no_leakage_pass_rate",
+    "input_memory_builder_checkpoint_id", "input_question_agent_checkpoint_id", "selected_memory_builder_checkpoint_id", "selected_question_agent_checkpoint_id",
+)
+TEST_METRICS = ("test_memory_reward_mean", "test_question_reward_mean", "test_no_leakage_pass_rate")
+
+
+def experiment_metrics(experiments: DataFrame, rounds: DataFrame, key: str = "experiment_id") -> DataFrame:
+    """Per experiment its rounds by status, the best reward on dev and its round (of equal ones the earliest), and
+    whether it stopped early: fewer rounds done than asked for, without having failed. ``experiments`` holds (key,
+    status, rounds_requested, rounds_completed); one without rounds has zeros and nulls."""
+    n = lambda status: F.count_if(F.col("status") == status).alias(f"num_rounds_{status}")
+    reward = F.when(~F.isnan("dev_memory_reward_mean"), F.col("dev_memory_reward_mean"))
+    best = F.max(F.when(reward.isNotNull(), F.struct(reward.alias("reward"), (-F.col("round_id")).alias("place")))).alias("best")
+    per = rounds.groupBy(key).agg(n("succeeded"), n("failed"), n("partial"), best)
+    rows = experiments.join(per.hint("merge"), key, "left")
+    count = lambda status: F.coalesce(f"num_rounds_{status}", F.lit(0)).alias(f"num_rounds_{status}")
+    early = (F.col("rounds_completed") < F.col("rounds_requested")) & (F.col("status") != "failed")
+    return rows.select(
+        key, *[count(s) for s in ("succeeded", "failed", "partial")], F.col("best.reward").alias("best_dev_memory_reward_mean"), (-F.col("best.place")).alias("best_dev_round_id"),
+        early.alias("early_stopped"),
+    )
+
+
+def round_metrics(rounds: DataFrame) -> DataFrame:
+    """A row per round: id, status, ``ROUND_METRICS`` (null where the reports lack them), and how many warnings and
+    errors it has."""
+    held = lambda c: F.col(c) if c in rounds.columns else F.lit(None).cast("string" if c.endswith("_id") else "double").alias(c)
+    count = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    return rounds.select("round_id", "status", *[held(c) for c in ROUND_METRICS], count("warnings").alias("num_warnings"), count("errors").alias("num_errors"))
+
+
+def method_comparison(evaluations: DataFrame) -> DataFrame:
+    """(place, method, status, test metrics) of evaluations on the test split: baselines by name, ``unknown``
+    where they have none, then the final checkpoint. ``evaluations`` holds (kind, name, split, status, metrics), kind
+    ``final`` or ``baseline``; other splits' rows go. Few rows by nature: one per method."""
+    rows = evaluations.where("split = 'test'")
+    final = F.col("kind") == "final"
+    method = F.when(final, "final_checkpoint").otherwise(F.coalesce("name", F.lit("unknown")))
+    order = Window.orderBy("last", "method", "status", *TEST_METRICS)
+    named = rows.select(final.cast("int").alias("last"), method.alias("method"), "status", *TEST_METRICS)
+    return named.select((F.row_number().over(order)).alias("place"), "method", "status", *TEST_METRICS)

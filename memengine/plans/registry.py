@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, incremental_queries, memory_queries, table_queries  # noqa: F401
+from . import export_queries, graph_queries, incremental_queries, memory_queries, table_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 

@@ -24,7 +24,8 @@ def parse_reply(text: Column | str) -> Column:
 
 def read_graphs(spark: SparkSession, path: str, strict: bool = True, sanitize: bool = False, keys: tuple[str, ...] = FORBIDDEN_KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, findings) of JSON files, one graph each. ``strict`` leaves out graphs with a forbidden key,
-    ``sanitize`` removes such keys instead; ``findings`` (file, path) lists them. A ``target`` of an edge is no finding."""
+    ``sanitize`` removes such keys instead; ``findings`` (file, path) lists them. A ``target`` of an edge is no finding. ``attributes`` keeps
+    what nodes and edges hold beside the columns, nested values as JSON."""
     if strict and sanitize:
         raise ValueError("strict and sanitize exclude each other")
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("json"))
@@ -35,11 +36,16 @@ def read_graphs(spark: SparkSession, path: str, strict: bool = True, sanitize: b
         findings = find_keys(files, "file", "json", list(keys), edge_targets=True).select(F.col("row_id").alias("file"), "path")
     if strict:
         files = files.join(findings.select("file").distinct().hint("merge"), "file", "left_anti")
-    graph = files.select("file", F.from_json("json", "record_id string, nodes array<map<string,string>>, edges array<map<string,string>>").alias("g"))
-    record = F.coalesce("g.record_id", "file").alias("record_id")
+    graph = files.select("file", F.from_json("json", "record_id string, graph map<string,string>, nodes array<map<string,string>>, edges array<map<string,string>>").alias("g"))
+    record = F.coalesce("g.record_id", F.col("g.graph")["record_id"], "file").alias("record_id")
     field = lambda c: F.col("x")[c].alias(c)
-    nodes = graph.select(record, F.explode("g.nodes").alias("x")).select("record_id", *[field(c) for c in ("node_id", "node_type", "session_id", "text", "name", "source_event_id")])
-    edges = graph.select(record, F.posexplode("g.edges").alias("edge_ord", "x")).select("record_id", *[field(c) for c in ("source", "target", "edge_type")], "edge_ord")
+    rest = lambda known: F.map_filter("x", lambda k, _: ~k.isin(*known)).alias("attributes")
+    node_fields = ("node_type", "session_id", "text", "name", "source_event_id")
+    node_id = F.coalesce(F.col("x")["node_id"], F.col("x")["id"]).alias("node_id")
+    nodes = graph.select(record, F.explode("g.nodes").alias("x")).select("record_id", node_id, *[field(c) for c in node_fields], rest(("node_id", "id", *node_fields)))
+    edge_fields = ("source", "target", "edge_type")
+    key = F.coalesce(F.col("x")["key"], F.lit("0")).alias("edge_key")
+    edges = graph.select(record, F.posexplode("g.edges").alias("edge_ord", "x")).select("record_id", *[field(c) for c in edge_fields], key, "edge_ord", rest((*edge_fields, "key")))
     return nodes, edges, findings
 
 
