@@ -108,16 +108,38 @@ def inspect_rounds(rounds: DataFrame, min_pass: float = 0.8) -> DataFrame:
     return rows.select("actor", "round_id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(c)) for t, c in rules]))).alias("code"))
 
 
-def checkpoint_issues(checkpoints: DataFrame) -> DataFrame:
-    """Repeated ids, and updated checkpoints without a path."""
-    twice = checkpoints.groupBy("checkpoint_id").count().where("count > 1").select("checkpoint_id", F.lit("duplicate_id").alias("code"))
-    bare = checkpoints.where("updated and coalesce(checkpoint_path, '') = ''").select("checkpoint_id", F.lit("missing_path").alias("code"))
-    return twice.unionByName(bare)
+#: What an updated checkpoint of the local backend must have, and how grave it is if the path leads nowhere.
+CHECKPOINT_PARTS = {"model": "error", "tokenizer": "warning", "optimizer": "warning"}
+
+
+def checkpoint_issues(checkpoints: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """(checkpoint_id, code, severity): ids that stand several times, and for each checkpoint paths that are
+    missing. ``paths`` (path) lists what exists; without it only empty paths are found. Of the backend ``local_hf`` an
+    updated checkpoint needs a model, a tokenizer and an optimizer. Columns that the table lacks count as empty."""
+    held = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in checkpoints.columns else F.lit(None).cast("string")
+    local = F.coalesce(held("backend"), F.lit("")) == "local_hf"
+    part_paths = [f"{p}_path" for p in CHECKPOINT_PARTS]
+    rows = checkpoints.select("checkpoint_id", F.coalesce("updated", F.lit(False)).alias("updated"), local.alias("local"), *[held(c).alias(c) for c in ("checkpoint_path", *part_paths)])
+    twice = rows.groupBy("checkpoint_id").count().where("count > 1").select("checkpoint_id", F.lit("duplicate_checkpoint_id").alias("code"), F.lit("error").alias("severity"))
+    issue = lambda test, code, severity: F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    rules = [issue(F.col("updated") & F.col("checkpoint_path").isNull(), "missing_path", "error")]
+    rules += [issue(F.col("local") & F.col("updated") & F.col(f"{p}_path").isNull(), f"missing_{p}_for_updated_checkpoint", "error") for p in CHECKPOINT_PARTS]
+    found = rows.select("checkpoint_id", F.explode(F.array_compact(F.array(*rules))).alias("i")).select("checkpoint_id", "i.code", "i.severity")
+    out = twice.unionByName(found)
+    if paths is None:
+        return out
+    named = [F.struct(F.lit("checkpoint").alias("part"), F.lit("error").alias("severity"), F.col("checkpoint_path").alias("path"))]
+    named += [F.struct(F.lit(p).alias("part"), F.lit(s).alias("severity"), F.when(F.col("local"), F.col(f"{p}_path")).alias("path")) for p, s in CHECKPOINT_PARTS.items()]
+    each = rows.select("checkpoint_id", F.explode(F.array(*named)).alias("p")).select("checkpoint_id", "p.*").where("path is not null")
+    lost = each.hint("merge").join(paths.select("path").distinct().hint("merge"), "path", "left_anti")
+    return out.unionByName(lost.select("checkpoint_id", F.concat("part", F.lit("_path_not_found")).alias("code"), "severity"))
 
 
 def latest_checkpoints(checkpoints: DataFrame) -> DataFrame:
-    """The newest of each actor."""
-    order = Window.partitionBy("actor_role").orderBy(F.desc("round_id"), F.desc("step_id"), F.desc("updated"), F.desc("checkpoint_id"))
+    """The newest of each actor: by round, step, whether it was updated, source batch, path and id."""
+    ties = [F.coalesce(F.col(c), F.lit("")) for c in ("source_batch_id", "checkpoint_path") if c in checkpoints.columns]
+    keys = [F.col("round_id"), F.col("step_id"), F.col("updated"), *ties, F.col("checkpoint_id")]
+    order = Window.partitionBy("actor_role").orderBy(*[k.desc() for k in keys])
     return checkpoints.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 

@@ -165,6 +165,12 @@ def memory_stats(nodes: DataFrame, edges: DataFrame, turns: DataFrame) -> DataFr
     return out.na.fill(0)
 
 
-def memory_build_summary(stats: DataFrame) -> DataFrame:
-    """Totals over records."""
-    return stats.agg(F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in ("nodes", "edges", "events", "sessions", "turns")], F.count_if(F.col("nodes") == 0).alias("empty_records"))
+def memory_build_summary(stats: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Totals over records (M12) and those in ``failed`` (record_id), which count as failed and add nothing to
+    the totals, whether they have stats or not. An event node stands for a retained turn."""
+    ok = stats if failed is None else stats.join(failed.select("record_id").hint("merge"), "record_id", "left_anti")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    totals = ok.agg(F.count(F.lit(1)).alias("records"), *[count(c) for c in ("nodes", "edges", "events", "sessions", "turns")], F.count_if(F.col("nodes") == 0).alias("empty_records"))
+    lost = totals.sparkSession.range(1).select(F.lit(0).cast("long").alias("n")) if failed is None else failed.agg(F.countDistinct("record_id").alias("n"))
+    # one row each
+    return totals.withColumn("k", F.lit(0)).join(F.broadcast(lost.withColumn("k", F.lit(0))), "k").drop("k").withColumnsRenamed({"n": "failed_records"}).withColumn("retained_turns", F.col("events"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_text, stable_id, tokens_ws
+from .audit import find_keys
 
 #: Fixed values.
 PLACEHOLDER = "What user information is supported by the cited evidence?"
@@ -16,6 +17,15 @@ PLACEHOLDER_REASON = "Generated in no-LLM mode for pipeline testing."
 PLACEHOLDER_MARKERS = "what user information is supported by the cited evidence|what information is supported by this graph trajectory|generated in no-llm mode"
 KEY = ["record_id", "question_id"]
 
+#: Keys that a question must hold nowhere.
+ARTIFACT_KEYS = ("benchmark_question", "target_question", "gold_answer", "benchmark_answer", "question_type_from_benchmark", "oracle_gold_answer", "reward", "eval_result")
+
+
+def artifact_leaks(questions: DataFrame, json_col: str = "metadata") -> DataFrame:
+    """Q4: (record_id, question_id, path, key) of forbidden keys at any depth of a question's ``json_col``."""
+    found = find_keys(questions.select(F.struct(*KEY).alias("id"), json_col), "id", json_col, list(ARTIFACT_KEYS))
+    return found.select(*[F.col(f"row_id.{k}").alias(k) for k in KEY], "path", "key")
+
 
 def best_evidence(walks: DataFrame, labels: DataFrame, label_needed: bool = False) -> DataFrame:
     """Q1: per walk the fact, else abstract, else event, else any node that comes first."""
@@ -48,9 +58,10 @@ def placeholder_questions(walks: DataFrame, labels: DataFrame, sessions: DataFra
     )
 
 
-def oracle_validity(questions: DataFrame, walks: DataFrame, labels: DataFrame, sessions: DataFrame, allow_placeholder: bool = False, min_sessions: int = 0, min_overlap: float = 0.6) -> DataFrame:
-    """Q4, Q5: (record_id, question_id, verdict, grounding, answerability, citation_validity, issues). Citations are
-    joined row by row; issues come in rule order as codes."""
+def oracle_validity(questions: DataFrame, walks: DataFrame, labels: DataFrame, sessions: DataFrame, allow_placeholder: bool = False, min_sessions: int = 0, min_overlap: float = 0.6, leaks: DataFrame | None = None) -> DataFrame:
+    """Q4, Q5: (record_id, question_id, verdict, grounding, answerability, citation_validity, leakage_risk, issues).
+    Citations are joined row by row; issues come in rule order as codes. Questions in ``leaks`` (see ``artifact_leaks``)
+    are rejected first of all."""
     empty = F.array().cast("array<string>")
     q = questions.withColumns({c: F.coalesce(c, empty) for c in ("supporting_trajectory_ids", "supporting_node_ids")})
     cited_walks = q.select(*KEY, F.explode("supporting_trajectory_ids").alias("trajectory_id"))
@@ -63,11 +74,16 @@ def oracle_validity(questions: DataFrame, walks: DataFrame, labels: DataFrame, s
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("label", F.lit("")).alias("label")))), lambda x: x["label"]), " ")
     nodes = rows.groupBy(*KEY).agg(F.count_if(F.col("on_walk").isNull()).alias("off_walk"), F.count_if(F.col("node_type").isNull()).alias("unknown"), F.max(F.coalesce(evidence, F.lit(False))).alias("evidence"), text.alias("evidence_text"))
     seen = cited.join(sessions, ["record_id", "node_id"]).groupBy(*KEY).agg(F.countDistinct("session_id").alias("n_sessions"))
-    all_ = q.join(on_walk, KEY, "left").join(nodes, KEY, "left").join(seen, KEY, "left")
+    if leaks is None:
+        marked = q.withColumn("leaked", F.lit(False))
+    else:
+        marked = q.hint("merge").join(leaks.select(*KEY).distinct().withColumn("leaked", F.lit(True)).hint("merge"), KEY, "left")
+    all_ = marked.join(on_walk, KEY, "left").join(nodes, KEY, "left").join(seen, KEY, "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     placeholder = F.lower("question").rlike(PLACEHOLDER_MARKERS) | F.lower(F.coalesce("reason", F.lit(""))).rlike(PLACEHOLDER_MARKERS) | (F.coalesce("mode", F.lit("")) == "no_llm")
     rules = [
+        (F.coalesce("leaked", F.lit(False)), "artifact_leakage"),
         (blank("question"), "empty_question"),
         (blank("answer"), "empty_answer"),
         (F.size("supporting_trajectory_ids") == 0, "no_trajectory_ids"),
@@ -94,6 +110,7 @@ def oracle_validity(questions: DataFrame, walks: DataFrame, labels: DataFrame, s
         "grounding",
         F.when(F.size(issues) == 0, 1.0).otherwise(0.5).alias("answerability"),
         F.when(missing, 0.0).otherwise(1.0).alias("citation_validity"),
+        F.when(F.col("leaked"), 1.0).otherwise(0.0).alias("leakage_risk"),
         issues.alias("issues"),
     )
 
@@ -107,6 +124,15 @@ def apply_verdicts(questions: DataFrame, reports: DataFrame, accept_revise: bool
     return questions.drop("status").join(reports.select(*KEY, "verdict"), KEY, "left").withColumn("status", status)
 
 
+def verdict_summary(judged: DataFrame) -> DataFrame:
+    """Q6: per record of ``apply_verdicts``: candidates, accepted, rejected (all the others), and accepted questions by
+    type as a sorted list of (type, n)."""
+    kind = F.coalesce("question_type", F.lit("other")).alias("question_type")
+    per = judged.groupBy("record_id", kind).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "accepted").alias("ok"))
+    types = F.array_sort(F.collect_list(F.when(F.col("ok") > 0, F.struct(F.col("question_type").alias("type"), F.col("ok").alias("n")))))
+    return per.groupBy("record_id").agg(F.sum("n").alias("candidates"), F.sum("ok").alias("accepted"), (F.sum("n") - F.sum("ok")).alias("rejected"), types.alias("question_types"))
+
+
 def normalize_questions(replies: DataFrame) -> DataFrame:
     """Q3: external replies (record_id, ord, question, answer, question_type, ids...) with defaults; blanks dropped."""
     empty = F.array().cast("array<string>")

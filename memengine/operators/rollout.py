@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +55,35 @@ def update_items(adv: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFra
     return chosen.join(samples.select("sample_id", "prompt", "response"), "sample_id"), chosen.join(samples, "sample_id", "left_anti")
 
 
-def group_issues(samples: DataFrame, rewards: DataFrame) -> DataFrame:
-    """Repeated sample ids, groups over several records, rewards without a sample."""
-    twice = samples.groupBy("sample_id").count().where("count > 1").select(F.lit("duplicate_sample_id").alias("code"), F.col("sample_id").alias("path"))
-    mixed = samples.groupBy("group_id").agg(F.countDistinct("record_id").alias("n")).where("n > 1").select(F.lit("group_record_mismatch").alias("code"), F.col("group_id").alias("path"))
-    lost = rewards.join(samples.select("sample_id"), "sample_id", "left_anti").select(F.lit("reward_without_sample").alias("code"), F.col("sample_id").alias("path"))
-    return twice.unionByName(mixed).unionByName(lost)
+def group_issues(samples: DataFrame, rewards: DataFrame, advantages: DataFrame | None = None) -> DataFrame:
+    """(code, path): ids that stand several times in a table, groups over several records or roles, rewards
+    without a sample of their group, advantages without a reward of theirs, and rewards or advantages that give another
+    record or role than the samples of their group. A group without samples (rewards) lets its rewards (advantages)
+    pass. Columns ``group_id``, ``record_id`` and ``role`` are compared where both tables have them."""
+    issue = lambda df, code, path: df.select(F.lit(code).alias("code"), F.col(path).alias("path"))
+    tables = {"sample": samples, "reward": rewards} | ({} if advantages is None else {"advantage": advantages})
+    found = [issue(t.groupBy("sample_id").count().where("count > 1"), f"duplicate_{'' if n == 'sample' else n + '_'}sample_id", "sample_id") for n, t in tables.items()]
+    grouped = [c for c in ("record_id", "role") if c in samples.columns]
+    for c in grouped:
+        per = samples.groupBy("group_id").agg(F.min(c).alias("a"), F.max(c).alias("b")).where("a <> b")
+        found.append(issue(per, f"group_{c.removesuffix('_id')}_mismatch", "group_id"))
+    names = list(tables)
+    for above, name in zip(names, names[1:]):
+        held, t = tables[above], tables[name]
+        same_group = "group_id" in held.columns and "group_id" in t.columns
+        on = ["group_id", "sample_id"] if same_group else ["sample_id"]
+        lost = t.hint("merge").join(held.select(*on).distinct().hint("merge"), on, "left_anti")
+        if same_group:
+            lost = lost.hint("merge").join(held.select("group_id").distinct().hint("merge"), "group_id", "left_semi")
+        found.append(issue(lost, f"{name}_without_{above}", "sample_id"))
+    for name in names[1:]:
+        t = tables[name]
+        for c in grouped:
+            if c in t.columns and "group_id" in t.columns:
+                whole = samples.groupBy("group_id").agg(F.min(c).alias("want"))
+                other = t.hint("merge").join(whole.hint("merge"), "group_id").where(F.col(c) != F.col("want"))
+                found.append(issue(other, f"{name}_{c.removesuffix('_id')}_mismatch", "sample_id"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def token_rows(items: DataFrame, max_prompt: int | None = None, max_response: int | None = None, truncation: str = "right") -> DataFrame:

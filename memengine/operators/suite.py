@@ -18,13 +18,30 @@ def run_metrics(record_runs: DataFrame, key: str = "split") -> DataFrame:
     )
 
 
-def rollup_status(runs: DataFrame, key: str) -> DataFrame:
-    """Running if any run is; succeeded, failed or pending if all are; else partial."""
+def rollup_status(runs: DataFrame, key: str, kind: str = "record") -> DataFrame:
+    """The status of a whole from its parts, by the rules of its kind.
+
+    ``record``: running if any part is; succeeded, failed or pending if all are; else partial. ``round``: failed if any
+    is, then running, succeeded if all are, partial if any is, else pending. ``suite``: succeeded or failed if all are,
+    else partial. ``actor``: parts read ok, failed or none (there was nothing to do): ok if all are, partial if some
+    are, skipped if all had nothing to do, else failed."""
     every = lambda x: F.bool_and(F.col("status") == x)
-    status = F.when(F.bool_or(F.col("status") == "running"), "running")
-    for x in ("succeeded", "failed", "pending"):
-        status = status.when(every(x), x)
-    return runs.groupBy(key).agg(status.otherwise("partial").alias("status"))
+    some = lambda x: F.bool_or(F.col("status") == x)
+    ladders = {
+        "record": ([(some, "running"), (every, "succeeded"), (every, "failed"), (every, "pending")], "partial"),
+        "round": ([(some, "failed"), (some, "running"), (every, "succeeded"), (some, "partial")], "pending"),
+        "suite": ([(every, "succeeded"), (every, "failed")], "partial"),
+    }
+    if kind == "actor":
+        status = F.when(every("ok"), "ok").when(some("ok"), "partial").when(every("none"), "skipped").otherwise("failed")
+    else:
+        steps, last = ladders[kind]
+        (test, first), *rest = steps
+        status = F.when(test(first), first)
+        for test, x in rest:
+            status = status.when(test(x), x)
+        status = status.otherwise(last)
+    return runs.groupBy(key).agg(status.alias("status"))
 
 
 def seed_metrics_long(wide: DataFrame, metrics: list[str], methods: tuple[str, ...] = ("baseline", "ablation")) -> DataFrame:

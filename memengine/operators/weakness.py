@@ -100,6 +100,18 @@ def active_weaknesses(book: DataFrame, n: int | None = None, failure_type: str |
     return rows if n is None else rows.where(F.col("rank") <= n)
 
 
+def question_agent_context(book: DataFrame, n: int = 10, oracle_ids: bool = True) -> DataFrame:
+    """(record_id, context): the ``n`` gravest active entries of a record as JSON, what a question maker needs of
+    each and nothing else; ``oracle_ids`` adds the ids of the nodes that were missed. Fields that the book lacks are
+    left out; a record without active entries has no row."""
+    fields = ["failure_type", "question_type", "related_session_ids", "recommended_focus"] + (["missing_oracle_node_ids"] if oracle_ids else [])
+    top = active_weaknesses(book, n)
+    entry = F.struct(*[c for c in fields if c in book.columns])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"])
+    per = top.groupBy("record_id").agg(listed.alias("active_weaknesses"))
+    return per.select("record_id", F.to_json(F.struct("active_weaknesses")).alias("context"))
+
+
 def weakness_summary(book: DataFrame) -> DataFrame:
     """Per record and failure class, counts of active and mastered entries."""
     return book.groupBy("record_id", "failure_type").agg(F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "mastered").alias("mastered"), F.sum("frequency").alias("frequency"))
