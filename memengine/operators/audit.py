@@ -95,19 +95,6 @@ def batch_gate(batches: DataFrame) -> DataFrame:
     return batches.withColumn("reasons", F.array_compact(F.array(*[F.when(t, F.lit(c)) for t, c in rules])))
 
 
-def inspect_rounds(rounds: DataFrame, min_pass: float = 0.8) -> DataFrame:
-    """Issues of rounds: pass rate, carry-over, metrics that are not finite or out of range."""
-    prev = F.lag("selected").over(Window.partitionBy("actor").orderBy("round_id"))
-    rows = rounds.withColumn("before", prev)
-    rules = [
-        (F.col("pass_rate") < min_pass, "low_pass_rate"),
-        (F.col("before").isNotNull() & (F.col("before") != F.col("input_checkpoint")), "broken_carry_over"),
-        (F.isnan("reward") | (F.abs("reward") == float("inf")), "not_finite"),
-        (F.abs("reward") > 1e6, "out_of_range"),
-    ]
-    return rows.select("actor", "round_id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(c)) for t, c in rules]))).alias("code"))
-
-
 #: What an updated checkpoint of the local backend must have, and how grave it is if the path leads nowhere.
 CHECKPOINT_PARTS = {"model": "error", "tokenizer": "warning", "optimizer": "warning"}
 
@@ -141,9 +128,3 @@ def latest_checkpoints(checkpoints: DataFrame) -> DataFrame:
     keys = [F.col("round_id"), F.col("step_id"), F.col("updated"), *ties, F.col("checkpoint_id")]
     order = Window.partitionBy("actor_role").orderBy(*[k.desc() for k in keys])
     return checkpoints.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
-
-
-def missing_artifacts(manifest: DataFrame, artifacts: DataFrame, kinds: list[str]) -> DataFrame:
-    """Expected kinds that a record lacks; the list of kinds is short."""
-    expected = manifest.select("record_id", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
-    return expected.join(artifacts.select("record_id", "kind").distinct(), ["record_id", "kind"], "left_anti")

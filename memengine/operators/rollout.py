@@ -111,6 +111,19 @@ def pad_rows(rows: DataFrame, batch: str, column: str = "input_ids", pad: int =
     return rows.withColumn(column, F.concat(column, F.array_repeat(F.lit(pad), (most - F.size(column)).cast("int"))))
 
 
+def with_returns(rows: DataFrame, strategy: str = "advantages_as_returns") -> DataFrame:
+    """``returns`` of each token and the ``returns_strategy`` that gave them: the advantages, or rewards plus
+    advantages (``rewards_plus_advantages``; without rewards the advantages alone); without advantages zeros, one per
+    input id."""
+    if strategy not in ("advantages_as_returns", "rewards_plus_advantages"):
+        raise ValueError(f"unknown returns strategy: {strategy}")
+    if "token_advantages" not in rows.columns:
+        return rows.withColumns({"returns": F.array_repeat(F.lit(0.0), F.size("input_ids")), "returns_strategy": F.lit("zero_returns")})
+    if strategy == "rewards_plus_advantages" and "token_rewards" in rows.columns:
+        return rows.withColumns({"returns": F.zip_with("token_rewards", "token_advantages", lambda r, a: r + a), "returns_strategy": F.lit(strategy)})
+    return rows.withColumns({"returns": F.col("token_advantages"), "returns_strategy": F.lit("advantages_as_returns")})
+
+
 def batch_stats(items: DataFrame, key: str) -> DataFrame:
     """A13."""
     return items.groupBy(key).agg(F.countDistinct("group_id").alias("groups"), F.count(F.lit(1)).alias("samples"), F.count_if("selected_for_update").alias("selected"), F.avg("reward").alias("reward_mean"), F.stddev_pop("reward").alias("reward_std"))
@@ -121,6 +134,24 @@ def trainer_metrics(steps: DataFrame) -> DataFrame:
     return steps.groupBy("actor", "metric").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("n"))
 
 
+def trainer_step_metrics(reports: DataFrame, key: str = "step_id", steps: DataFrame | None = None) -> DataFrame:
+    """Per step its status, how many actors were requested, succeeded, failed and skipped, and over those that
+    succeeded mean, least and largest loss, mean divergence and reward, and each actor's own. Nulls are left out; a
+    measure that no actor has is null. Status: that of all actors if they agree on succeeded, skipped or failed,
+    ``partial`` if not, ``pending`` for a step of ``steps`` without a report."""
+    ok = F.col("status") == "succeeded"
+    of = lambda c: F.when(ok, F.col(c))
+    own = [F.max(F.when(ok & (F.col("actor_role") == r), F.col(c))).alias(f"{r}_{c}") for r in ("memory_builder", "question_agent") for c in ("loss", "reward_mean", "approx_kl")]
+    agreed = [F.when(F.count_if(F.col("status") == s) == F.count(F.lit(1)), s) for s in ("succeeded", "skipped", "failed")]
+    counts = [F.count(F.lit(1)).alias("num_actors_requested"), *[F.count_if(F.col("status") == s).alias(f"num_actors_{s}") for s in ("succeeded", "failed", "skipped")]]
+    means = [F.avg(of("loss")).alias("mean_loss"), F.min(of("loss")).alias("min_loss"), F.max(of("loss")).alias("max_loss"), F.avg(of("approx_kl")).alias("mean_approx_kl"), F.avg(of("reward_mean")).alias("mean_reward")]
+    out = reports.groupBy(key).agg(F.coalesce(*agreed, F.lit("partial")).alias("status"), *counts, *means, *own)
+    if steps is None:
+        return out
+    whole = steps.select(key).distinct().hint("merge").join(out.hint("merge"), key, "left")
+    return whole.na.fill("pending", ["status"]).na.fill(0, [f"num_actors_{s}" for s in ("requested", "succeeded", "failed", "skipped")])
+
+
 def score_cells(cells: DataFrame, memory: DataFrame, summaries: DataFrame, questions: DataFrame, oracle: DataFrame) -> DataFrame:
     """A2: every cell of A1 scored in one plan: (record_id, memory_sample_id, question_sample_id,
     accepted_question_count, status, memory_reward, question_reward).

@@ -41,11 +41,34 @@ def explicit_split(records: DataFrame, lists: DataFrame) -> tuple[DataFrame, Dat
     return split, twice.unionByName(across).unionByName(lost)
 
 
-def split_fingerprint(splits: DataFrame) -> DataFrame:
-    """K4: counts and a drift hash; hashes of sorted buckets are hashed again, so no list holds all records."""
+#: Hex digits of a line's hash that name its bucket, level by level: 2**20 buckets, 256, one.
+BUCKET_DIGITS = (5, 2, 0)
+#: The most records whose lines one task hashes as a single text.
+WHOLE_RECORDS = 1_000_000
+
+
+def split_fingerprint(splits: DataFrame, whole: bool = False) -> DataFrame:
+    """K4: counts per split and a drift hash of 16 hex digits; a record that is listed twice counts twice.
+
+    The hash is a tree: sorted lines ``split:id`` of a bucket are hashed, then the buckets' hashes of each higher one, so
+    no task holds all records and the number of tasks does not depend on them. ``whole`` gives the SHA-256 of all sorted
+    lines as one text instead, which other tools can recompute; one task holds the lines then, so it refuses more than
+    ``WHOLE_RECORDS`` of them."""
     line = F.concat_ws(":", "split", "record_id")
-    buckets = splits.select("split", line.alias("line"), F.substring(F.sha1(line.cast("binary")), 1, 2).alias("b")).groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256).alias("h"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
-    return buckets.agg(*[F.sum(s).alias(s) for s in SPLITS], F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), "\n").cast("binary"), 256), 1, 16).alias("fingerprint"))
+    counts = [F.count_if(F.col("split") == s).alias(s) for s in SPLITS]
+    digest = lambda lines, end="": F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), F.lit(end)).cast("binary"), 256)
+    if whole:
+        n = splits.limit(WHOLE_RECORDS + 1).count()
+        if n > WHOLE_RECORDS:
+            raise ValueError(f"more than {WHOLE_RECORDS} records: take the tree's hash")
+        return splits.agg(*counts, F.substring(digest(line, "\n"), 1, 16).alias("fingerprint"))
+    level = splits.select("split", line.alias("line"), F.sha1(line.cast("binary")).alias("b"))
+    for digits in BUCKET_DIGITS:
+        of = level.withColumn("b", F.substring("b", 1, digits))
+        sums = counts if "split" in level.columns else [F.sum(s).alias(s) for s in SPLITS]
+        level = of.groupBy("b").agg(digest("line").alias("h"), *sums).withColumn("line", F.concat("b", "h"))
+    # no records: no bucket, the hash of nothing
+    return level.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SPLITS], F.substring(F.coalesce(F.max("h"), F.sha2(F.lit("").cast("binary"), 256)), 1, 16).alias("fingerprint"))
 
 
 def split_issues(splits: DataFrame) -> DataFrame:
@@ -55,10 +78,34 @@ def split_issues(splits: DataFrame) -> DataFrame:
     return per.select(F.explode(F.array_compact(F.array(*[F.when(t, F.lit(c)) for t, c in rules]))).alias("code"))
 
 
-def validate_split(splits: DataFrame, graphs: DataFrame, strict: bool = False) -> DataFrame:
-    """K5: records of a split without a graph."""
-    lost = splits.join(graphs.select("record_id").distinct(), "record_id", "left_anti")
-    return lost.select(F.lit("error" if strict else "warning").alias("severity"), F.lit("missing_graph").alias("code"), "record_id")
+def split_records(splits: DataFrame, records: DataFrame, graphs: DataFrame) -> DataFrame:
+    """K5: each record of a split with what exists for it: ``has_oracle_graph``, and ``has_benchmark_question`` and
+    ``has_benchmark_answer``, true where the records' ``question`` and ``answer`` hold more than blanks. Repeated records
+    and graphs do no harm."""
+    filled = lambda c: F.coalesce(F.bool_or(F.trim(F.col(c).cast("string")) != ""), F.lit(False)) if c in records.columns else F.lit(False)
+    told = records.groupBy("record_id").agg(filled("question").alias("has_benchmark_question"), filled("answer").alias("has_benchmark_answer"))
+    drawn = graphs.select("record_id").distinct().withColumn("has_oracle_graph", F.lit(True))
+    out = splits.hint("merge").join(told.hint("merge"), "record_id", "left").hint("merge").join(drawn.hint("merge"), "record_id", "left")
+    return out.na.fill(False, ["has_benchmark_question", "has_benchmark_answer", "has_oracle_graph"])
+
+
+def validate_split(splits: DataFrame, graphs: DataFrame, missing: str = "error") -> DataFrame:
+    """K5: (severity, code, record_id) of a split's records, one row per listing.
+
+    graphs (record_id, graph_record_id): whose file it is and which record the graph inside names; null where the file
+    names none, and with ``readable`` false where it could not be read. ``missing_oracle_graph`` has the severity
+    ``missing``, ``oracle_graph_record_id_mismatch`` is an error, or a warning for an unreadable file;
+    ``duplicate_record_id`` stands once for each listing after a record's first. Of several graphs of a record any that
+    fits will do."""
+    can = F.coalesce("readable", F.lit(True)) if "readable" in graphs.columns else F.lit(True)
+    fits = F.bool_or(can & F.col("record_id").eqNullSafe(F.col("graph_record_id")))
+    held = graphs.groupBy("record_id").agg(fits.alias("fits"), F.bool_or(can).alias("read"))
+    rows = splits.select("record_id").hint("merge").join(held.hint("merge"), "record_id", "left")
+    issue = lambda df, severity, code: df.select(severity.alias("severity"), F.lit(code).alias("code"), "record_id")
+    lost = issue(rows.where("fits is null"), F.lit(missing), "missing_oracle_graph")
+    other = issue(rows.where("not fits"), F.when(F.col("read"), "error").otherwise("warning"), "oracle_graph_record_id_mismatch")
+    again = splits.groupBy("record_id").agg((F.count(F.lit(1)) - 1).cast("int").alias("n")).where("n > 0")
+    return lost.unionByName(other).unionByName(issue(again.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("n")))), F.lit("error"), "duplicate_record_id"))
 
 
 def round_records(splits: DataFrame, split: str, round_id: int, k: int, seed: int = 42, policy: str = "window") -> DataFrame:

@@ -117,6 +117,21 @@ def weakness_summary(book: DataFrame) -> DataFrame:
     return book.groupBy("record_id", "failure_type").agg(F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "mastered").alias("mastered"), F.sum("frequency").alias("frequency"))
 
 
+def described(book: DataFrame) -> DataFrame:
+    """The book with what an entry says to people, ``short_summary``, and to the question maker,
+    ``recommended_focus``; both follow from its failure class, so books do not carry them."""
+    summary, focus = weakness_text()
+    return book.withColumns({"short_summary": summary, "recommended_focus": focus})
+
+
+def book_summary(book: DataFrame) -> DataFrame:
+    """Per record the newest round, counts of active and mastered entries and ``top_failure_types``, the active
+    entries of each failure class as a map."""
+    per = book.groupBy("record_id", "failure_type").agg(F.count_if(F.col("status") == "active").alias("a"), F.count_if(F.col("status") == "mastered").alias("m"), F.max("last_seen_round").alias("r"))
+    kinds = F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("a") > 0) & F.col("failure_type").isNotNull(), F.struct("failure_type", "a")))))
+    return per.groupBy("record_id").agg(F.max("r").alias("updated_round"), F.sum("a").alias("active_count"), F.sum("m").alias("mastered_count"), kinds.alias("top_failure_types"))
+
+
 def weakness_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """What changed between two books."""
     a = old.select("weakness_id", F.col("frequency").alias("f0"), F.col("last_seen_round").alias("r0"), F.col("status").alias("s0"))
