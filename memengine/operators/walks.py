@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, unit_hash
+from ..functions.columns import clip, normalize_text, unit_hash
 from ..sources.durable import durable
 from .access import generic_entities
 
@@ -37,63 +37,113 @@ def adjacency(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> Dat
     return out.withColumn("weight", weight)
 
 
-def random_walks(nodes: DataFrame, edges: DataFrame, attempts: int = 30, length: int = 5, seed: int = 42, max_next: int = -1) -> DataFrame:
-    """(record_id, attempt, step, node_id, edge_type, traversal) of every attempt. A walk starts at a fact
-    or abstract with neighbours (at any node with neighbours where a record has none) and takes each step by an
-    exponential race over hashed draws: the same walk on every run and partitioning. The adjacency and each
-    step's frontier are written out, as later steps read them again."""
-    adj = durable(adjacency(nodes, edges))
-    linked = nodes.join(adj.select("record_id", "node_id").distinct(), ["record_id", "node_id"], "left_semi").select("record_id", "node_id", F.col("node_type").isin("abstract_memory", "fact").cast("int").alias("good"))
-    starts = linked.withColumn("best", F.max("good").over(Window.partitionBy("record_id"))).where("good = best").withColumn("pos", F.row_number().over(Window.partitionBy("record_id").orderBy("node_id")) - 1)
-    starts = starts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("record_id")))
-    tries = starts.select("record_id", "n").distinct().select("record_id", "n", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
+def walk_starts(nodes: DataFrame, adj: DataFrame) -> DataFrame:
+    """(record_id, pos, node_id, n): facts and abstracts with neighbours, all nodes with neighbours where a record
+    has none; ``n`` is how many the record has."""
+    linked = nodes.hint("merge").join(adj.select("record_id", "node_id").distinct().hint("merge"), ["record_id", "node_id"], "left_semi").select("record_id", "node_id", F.col("node_type").isin("abstract_memory", "fact").cast("int").alias("good"))
+    whole = Window.partitionBy("record_id")
+    best = linked.withColumn("best", F.max("good").over(whole)).where("good = best")
+    return best.select("record_id", "node_id", (F.row_number().over(whole.orderBy("node_id")) - 1).alias("pos"), F.count(F.lit(1)).over(whole).alias("n"))
+
+
+def _walk(adj: DataFrame, starts: DataFrame, first: int, last: int, length: int, seed: int, max_next: int) -> DataFrame:
+    """The attempts ``first`` to ``last`` of the records of ``starts``; each step's frontier is written out."""
+    tries = starts.where("pos = 0").select("record_id", "n", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("attempt"))
     pick = F.least(F.floor(unit_hash(F.lit(seed), "record_id", "attempt") * F.col("n")), F.col("n") - 1)
-    at = tries.withColumn("pos", pick).join(starts.select("record_id", "pos", "node_id"), ["record_id", "pos"]).select("record_id", "attempt", "node_id", F.lit(None).cast("string").alias("prev_id"), F.lit(0).alias("run"))
-    at = durable(at)
-    steps = [at.select("record_id", "attempt", F.lit(0).alias("step"), "node_id", F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("string").alias("traversal"))]
+    at = tries.withColumn("pos", pick).hint("merge").join(starts.select("record_id", "pos", "node_id").hint("merge"), ["record_id", "pos"])
+    at = durable(at.select("record_id", "attempt", "node_id", F.lit(None).cast("string").alias("prev_id"), F.lit(0).alias("run")))
+    out = at.select("record_id", "attempt", F.lit(0).alias("step"), "node_id", F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("string").alias("traversal"))
     for k in range(1, length):
-        options = at.join(adj, ["record_id", "node_id"]).where("prev_id is null or next_id <> prev_id")
+        options = at.hint("merge").join(adj.hint("merge"), ["record_id", "node_id"]).where("prev_id is null or next_id <> prev_id")
         if max_next >= 0:
             options = options.where((F.col("edge_type") != "NEXT") | (F.col("run") < max_next))
         race = -F.log(unit_hash(F.lit(seed), "record_id", "attempt", F.lit(k), "edge_ord", "traversal")) / F.col("weight")
-        best = options.groupBy("record_id", "attempt").agg(F.min(F.struct(race.alias("race"), F.col("edge_ord"), F.col("traversal"), F.col("next_id"), F.col("edge_type"), F.col("node_id"), F.col("run"))).alias("b"))
-        at = best.select("record_id", "attempt", F.col("b.next_id").alias("node_id"), F.col("b.node_id").alias("prev_id"), F.when(F.col("b.edge_type") == "NEXT", F.col("b.run") + 1).otherwise(F.lit(0)).alias("run"), F.col("b.edge_type"), F.col("b.traversal"))
-        at = durable(at)
-        steps.append(at.select("record_id", "attempt", F.lit(k).alias("step"), "node_id", "edge_type", "traversal"))
+        best = options.groupBy("record_id", "attempt").agg(F.min(F.struct(race.alias("race"), "edge_ord", "traversal", "next_id", "edge_type", "node_id", "run")).alias("b"))
+        at = durable(best.select("record_id", "attempt", F.col("b.next_id").alias("node_id"), F.col("b.node_id").alias("prev_id"), F.when(F.col("b.edge_type") == "NEXT", F.col("b.run") + 1).otherwise(F.lit(0)).alias("run"), "b.edge_type", "b.traversal"))
+        out = out.unionByName(at.select("record_id", "attempt", F.lit(k).alias("step"), "node_id", "edge_type", "traversal"))
         at = at.select("record_id", "attempt", "node_id", "prev_id", "run")
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
     return out
 
 
-def accept_walks(steps: DataFrame, nodes: DataFrame, sessions: DataFrame, num_walks: int = 8, min_nodes: int = 2, min_sessions: int = 0) -> DataFrame:
-    """The first ``num_walks`` attempts per record with an evidence node, few structural nodes, enough sessions
-    and a new sequence of nodes; numbered traj_0001 on. Columns: node_ids, session_ids, n_nodes."""
-    typed = steps.join(nodes.select("record_id", "node_id", "node_type"), ["record_id", "node_id"]).join(sessions, ["record_id", "node_id"], "left")
+def random_walks(nodes: DataFrame, edges: DataFrame, attempts: int = 30, length: int = 5, seed: int = 42, max_next: int = -1) -> DataFrame:
+    """(record_id, attempt, step, node_id, edge_type, traversal) of every attempt. A walk starts at a fact
+    or abstract with neighbours (at any node with neighbours where a record has none) and takes each step by an
+    exponential race over hashed draws: the same walk on every run and partitioning. The adjacency and each
+    step's frontier are written out, as later steps read them again."""
+    adj = durable(adjacency(nodes, edges))
+    return _walk(adj, durable(walk_starts(nodes, adj)), 1, attempts, length, seed, max_next)
+
+
+def _good_walks(steps: DataFrame, nodes: DataFrame, sessions: DataFrame, min_nodes: int, min_sessions: int) -> DataFrame:
+    typed = steps.hint("merge").join(nodes.select("record_id", "node_id", "node_type").hint("merge"), ["record_id", "node_id"]).hint("merge").join(sessions.hint("merge"), ["record_id", "node_id"], "left")
     walks = typed.groupBy("record_id", "attempt").agg(
         F.transform(F.array_sort(F.collect_set(F.struct("step", "node_id"))), lambda x: x["node_id"]).alias("node_ids"),
         F.array_sort(F.collect_set("session_id")).alias("session_ids"),
         F.max(F.col("node_type").isin("fact", "abstract_memory").cast("int")).alias("evidence"),
         F.size(F.collect_set(F.when(F.col("node_type").isin("topic", "session"), F.col("step")))).alias("structural"),
     )
-    good = walks.withColumn("n_nodes", F.size("node_ids")).where((F.col("n_nodes") >= min_nodes) & (F.col("evidence") == 1) & (F.size("session_ids") >= min_sessions) & (F.col("structural") / F.col("n_nodes") <= MAX_STRUCTURAL))
+    good = (F.col("n_nodes") >= min_nodes) & (F.col("evidence") == 1) & (F.size("session_ids") >= min_sessions) & (F.col("structural") / F.col("n_nodes") <= MAX_STRUCTURAL)
+    return walks.withColumn("n_nodes", F.size("node_ids")).where(good).select("record_id", "node_ids", "session_ids", "n_nodes", "attempt")
+
+
+def _first_walks(good: DataFrame, num_walks: int) -> DataFrame:
+    """The first attempt of each sequence of nodes, the first ``num_walks`` of a record, with their place ``rn``."""
     first = good.groupBy("record_id", "node_ids", "session_ids", "n_nodes").agg(F.min("attempt").alias("attempt"))
-    ranked = first.withColumn("rn", F.row_number().over(Window.partitionBy("record_id").orderBy("attempt"))).where(F.col("rn") <= num_walks)
+    return first.withColumn("rn", F.row_number().over(Window.partitionBy("record_id").orderBy("attempt"))).where(F.col("rn") <= num_walks)
+
+
+def _numbered(ranked: DataFrame) -> DataFrame:
     return ranked.select("record_id", F.format_string("traj_%04d", "rn").alias("trajectory_id"), "attempt", "node_ids", "session_ids", "n_nodes")
 
 
-def node_labels(nodes: DataFrame, limit: int = 300) -> DataFrame:
-    """(record_id, node_id, node_type, label, truncated)."""
+def accept_walks(steps: DataFrame, nodes: DataFrame, sessions: DataFrame, num_walks: int = 8, min_nodes: int = 2, min_sessions: int = 0) -> DataFrame:
+    """The first ``num_walks`` attempts per record with an evidence node, few structural nodes, enough sessions
+    and a new sequence of nodes; numbered traj_0001 on. Columns: node_ids, session_ids, n_nodes."""
+    return _numbered(_first_walks(_good_walks(steps, nodes, sessions, min_nodes, min_sessions), num_walks))
+
+
+def accepted_walks(nodes: DataFrame, edges: DataFrame, sessions: DataFrame, num_walks: int = 8, attempts: int | None = None, length: int = 5, seed: int = 42, max_next: int = -1, min_nodes: int = 2, min_sessions: int = 0) -> DataFrame:
+    """What ``accept_walks`` gives of ``attempts`` walks (30 for each wanted one), walked in waves: records that
+    have their ``num_walks`` leave, and the others' next wave is four times as long, so a record walks about as often as
+    it needs and the number of waves grows with the logarithm of ``attempts``."""
+    attempts = 30 * num_walks if attempts is None else attempts
+    adj = durable(adjacency(nodes, edges))
+    starts = durable(walk_starts(nodes, adj))
+    kept, first, size = None, 1, 3 * num_walks
+    while True:
+        last = min(attempts, first + size - 1)
+        good = _good_walks(_walk(adj, starts, first, last, length, seed, max_next), nodes, sessions, min_nodes, min_sessions)
+        kept = durable(_first_walks(good if kept is None else kept.drop("rn").unionByName(good), num_walks))
+        if last == attempts:
+            return _numbered(kept)
+        full = kept.where(F.col("rn") == num_walks).select("record_id")
+        starts = durable(starts.hint("merge").join(full.hint("merge"), "record_id", "left_anti"))
+        if starts.isEmpty():
+            return _numbered(kept)
+        first, size = last + 1, 4 * size
+
+
+#: Which field of a node its label is made of.
+LABEL_SOURCES = {"event": "speaker:text", "fact": "text", "abstract_memory": "summary", "entity": "name", "topic": "name", "session": "session_id"}
+
+
+def node_labels(nodes: DataFrame, limit: int = 300, limits: dict[str, int] | None = None) -> DataFrame:
+    """(record_id, node_id, node_type, label, truncated, label_source). ``limits`` sets other limits for node types;
+    zero or less cuts nothing. Nodes of other types are labelled by all their fields as JSON, from ``node``."""
     raw = (
         F.when(F.col("node_type") == "event", F.concat(F.coalesce(F.nullif("speaker", F.lit("")), F.lit("unknown")), F.lit(": "), F.coalesce("text", F.lit(""))))
         .when(F.col("node_type") == "fact", F.coalesce(F.nullif("text", F.lit("")), F.concat_ws(" ", "subject", "predicate", "object")))
         .when(F.col("node_type") == "abstract_memory", F.coalesce("summary", F.lit("")))
         .when(F.col("node_type").isin("entity", "topic"), F.coalesce("name", F.lit("")))
-        .otherwise(F.coalesce("session_id", F.lit("")))
+        .when(F.col("node_type") == "session", F.coalesce("session_id", F.lit("")))
+        .otherwise(F.to_json(F.struct(*nodes.columns)))
     )
-    label = clip(raw, limit)
-    return nodes.select("record_id", "node_id", "node_type", label.alias("label"), label.endswith("...").alias("truncated"))
+    label, most = clip(raw, limit), F.lit(limit)
+    for kind, own in (limits or {}).items():
+        here = F.col("node_type") == kind
+        label, most = F.when(here, clip(raw, own)).otherwise(label), F.when(here, F.lit(own)).otherwise(most)
+    cut = (most > 0) & (F.length(normalize_text(raw)) > most)
+    return nodes.select("record_id", "node_id", "node_type", label.alias("label"), cut.alias("truncated"), F.coalesce(_map(LABEL_SOURCES)[F.col("node_type")], F.lit("node")).alias("label_source"))
 
 
 def walk_text(steps: DataFrame, labels: DataFrame) -> DataFrame:

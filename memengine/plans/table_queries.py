@@ -409,21 +409,71 @@ def walks_of(spark, sf_dir):
 
     n, e = (durable(x) for x in graph_of(spark, sf_dir))
     s = durable(infer_sessions(n, e, mode="walk"))
-    steps = walks.random_walks(n, e, attempts=30 * 8, length=5, max_next=1)
-    return n, s, steps, durable(walks.accept_walks(steps, n, s))
+    return n, s, walks.accepted_walks(n, e, s, num_walks=8, length=5, max_next=1)
 
 
-@query("w11_w12_walks")
+_WEIGHT = f"(CASE next_type {' '.join(f"WHEN '{k}' THEN {w}" for k, w in walks.NODE_WEIGHTS.items())} ELSE 1.0 END)::DOUBLE * (CASE edge_type {' '.join(f"WHEN '{k}' THEN {w}" for k, w in walks.EDGE_FACTORS.items())} ELSE 1.0 END)::DOUBLE"
+_STEPS = ", ".join(
+    f"""w{k} AS MATERIALIZED (SELECT w.record_id, attempt, a.next_id AS node_id, w.node_id AS prev_id, CASE WHEN edge_type = 'NEXT' THEN run + 1 ELSE 0 END AS run FROM w{k - 1} w JOIN adj a ON a.record_id = w.record_id AND a.node_id = w.node_id
+    WHERE (prev_id IS NULL OR next_id <> prev_id) AND (edge_type <> 'NEXT' OR run < 1) QUALIFY row_number() OVER (PARTITION BY w.record_id, attempt ORDER BY -ln({S.unit("42", "w.record_id", "attempt", str(k), "edge_ord", "traversal")}) / weight, edge_ord, traversal) = 1)"""
+    for k in range(1, 5)
+)
+#: All 240 attempts of every record, step by step, and the first 8 good and different walks.
+_WALKS = f"""WITH RECURSIVE {S.GRAPH}, wflow AS (SELECT DISTINCT record_id, source, target FROM edges WHERE edge_type IN ('EXTRACTED_AS', 'SUPPORTS', 'MENTIONS', 'FACT_SUBJECT', 'FACT_OBJECT')
+    UNION SELECT record_id, source_event_id, node_id FROM nodes WHERE node_type = 'fact'),
+  reach AS (SELECT record_id, node_id, session_id FROM nodes WHERE node_type IN ('session', 'event') UNION SELECT f.record_id, f.target, r.session_id FROM reach r JOIN wflow f ON f.record_id = r.record_id AND f.source = r.node_id),
+  hubs AS (SELECT record_id, node_id FROM nodes WHERE node_type = 'entity' AND lower({S.norm("name")}) IN ('user', 'assistant', 'speaker', 'unknown')),
+  known AS (SELECT e.record_id, e.source, e.target, e.edge_type, e.edge_ord, a.node_type AS source_type, b.node_type AS target_type FROM edges e JOIN nodes a ON a.record_id = e.record_id AND a.node_id = e.source JOIN nodes b ON b.record_id = e.record_id AND b.node_id = e.target
+    WHERE NOT (edge_type IN ('FACT_SUBJECT', 'FACT_OBJECT', 'MENTIONS') AND EXISTS (SELECT 1 FROM hubs h WHERE h.record_id = e.record_id AND (h.node_id = e.source OR h.node_id = e.target)))),
+  adj AS MATERIALIZED (SELECT *, {_WEIGHT} AS weight FROM (SELECT record_id, source AS node_id, target AS next_id, target_type AS next_type, edge_type, 'out' AS traversal, edge_ord FROM known
+    UNION ALL SELECT record_id, target, source, source_type, edge_type, 'in', edge_ord FROM known)),
+  linked AS (SELECT record_id, node_id, (node_type IN ('fact', 'abstract_memory'))::INT AS good FROM nodes WHERE (record_id, node_id) IN (SELECT (record_id, node_id) FROM adj)),
+  starts AS MATERIALIZED (SELECT record_id, node_id, row_number() OVER (PARTITION BY record_id ORDER BY node_id) - 1 AS pos, count(*) OVER (PARTITION BY record_id) AS n FROM (SELECT *, max(good) OVER (PARTITION BY record_id) AS best FROM linked) WHERE good = best),
+  tries AS (SELECT record_id, attempt, least(floor({S.unit("42", "record_id", "attempt")} * n), n - 1)::BIGINT AS pos FROM (SELECT DISTINCT record_id, n FROM starts), (SELECT unnest(range(1, 241)) AS attempt)),
+  w0 AS MATERIALIZED (SELECT record_id, attempt, node_id, NULL::VARCHAR AS prev_id, 0 AS run FROM tries JOIN starts USING (record_id, pos)), {_STEPS},
+  steps AS MATERIALIZED ({" UNION ALL ".join(f"SELECT record_id, attempt, {k} AS step, node_id FROM w{k}" for k in range(5))}),
+  good AS (SELECT record_id, attempt, string_agg(node_id, '|' ORDER BY step) AS node_ids, count(*)::INT AS n_nodes FROM steps JOIN nodes USING (record_id, node_id) GROUP BY ALL
+    HAVING count(*) >= 2 AND bool_or(node_type IN ('fact', 'abstract_memory')) AND count(*) FILTER (node_type IN ('topic', 'session')) / count(*) <= 0.35),
+  fresh AS (SELECT record_id, node_ids, n_nodes, min(attempt) AS attempt FROM good GROUP BY ALL),
+  walks AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY attempt) AS rn FROM fresh QUALIFY rn <= 8),
+  touched AS (SELECT record_id, attempt, string_agg(DISTINCT session_id, '|' ORDER BY session_id) AS session_ids FROM steps JOIN reach USING (record_id, node_id) GROUP BY ALL)"""
+
+
+@query(
+    "w11_w12_walks",
+    f"{_WALKS} SELECT record_id, 'traj_' || lpad(rn::VARCHAR, 4, '0') AS trajectory_id, node_ids, coalesce(session_ids, '') AS session_ids, n_nodes FROM walks LEFT JOIN touched USING (record_id, attempt)",
+)
 def accepted_walks(spark, sf_dir):
-    _, _, _, accepted = walks_of(spark, sf_dir)
+    _, _, accepted = walks_of(spark, sf_dir)
     return accepted.select("record_id", "trajectory_id", F.array_join("node_ids", "|").alias("node_ids"), F.array_join("session_ids", "|").alias("session_ids"), "n_nodes")
 
 
-@query("q2_q6_question_gate")
+_CANDIDATES = f"""{_WALKS},
+  ranked_nodes AS (SELECT w.record_id, w.rn, n.node_id, {S.norm('coalesce(f.fact_text, b.summary)')} AS label, row_number() OVER (PARTITION BY w.record_id, w.rn ORDER BY n.node_type = 'fact' DESC, s.step) AS place
+    FROM walks w JOIN steps s ON s.record_id = w.record_id AND s.attempt = w.attempt JOIN nodes n ON n.record_id = s.record_id AND n.node_id = s.node_id
+    LEFT JOIN facts f ON f.record_id = s.record_id AND f.fact_id = s.node_id LEFT JOIN abstracts b ON b.record_id = s.record_id AND b.node_id = s.node_id WHERE w.rn <= 5 AND n.node_type IN ('fact', 'abstract_memory')),
+  candidates AS (SELECT * FROM ranked_nodes WHERE place = 1)"""
+
+
+@query(
+    "q1_q2_placeholder_questions",
+    f"""{_CANDIDATES} SELECT record_id, {S.sid('question', 'record_id', "'no_llm_' || (rn - 1)::VARCHAR")} AS question_id, sha1(label) AS answer_hash, 'traj_' || lpad(rn::VARCHAR, 4, '0') AS trajectory_id, node_id,
+      coalesce((SELECT string_agg(DISTINCT session_id, '|' ORDER BY session_id) FROM reach r WHERE r.record_id = c.record_id AND r.node_id = c.node_id), '') AS session_ids FROM candidates c""",
+)
+def placeholder_questions(spark, sf_dir):
+    """The first five walks of each record as questions over their best evidence."""
+    n, s, accepted = walks_of(spark, sf_dir)
+    q = questions.placeholder_questions(accepted, walks.node_labels(n), s)
+    only = lambda c: F.col(c)[0]
+    return q.select("record_id", "question_id", F.sha1(F.col("answer").cast("binary")).alias("answer_hash"), only("supporting_trajectory_ids").alias("trajectory_id"), only("supporting_node_ids").alias("node_id"), F.array_join("supporting_session_ids", "|").alias("session_ids"))
+
+
+@query("q2_q6_question_gate", f"{_CANDIDATES} SELECT record_id, 'accepted' AS status, count(*) AS n FROM candidates WHERE label <> '' GROUP BY record_id")
 def question_gate(spark, sf_dir):
-    n, s, _, accepted = walks_of(spark, sf_dir)
-    labels = walks.node_labels(n)
-    q = questions.placeholder_questions(accepted, labels, s)
+    n, s, accepted = walks_of(spark, sf_dir)
+    accepted = durable(accepted)
+    labels = durable(walks.node_labels(n))
+    q = durable(questions.placeholder_questions(accepted, labels, s))
     gate = questions.oracle_validity(q, accepted, labels, s, allow_placeholder=True, min_sessions=0)
     return questions.apply_verdicts(q, gate).groupBy("record_id", "status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -163,7 +163,8 @@ def test_registered_walks_equal_brute_force(spark, turns, monkeypatch):
 
     nodes, edges = durable(graph.oracle_nodes(turns)), durable(graph.oracle_edges(turns))
     monkeypatch.setattr(table_queries, "graph_of", lambda spark, sf_dir: (nodes, edges))
-    n, sessions, steps, accepted = table_queries.walks_of(spark, "")
+    n, sessions, accepted = table_queries.walks_of(spark, "")
+    steps = walks.random_walks(nodes, edges, attempts=240, length=5, max_next=1)
     unit = lambda *keys: (int(hashlib.sha256(":".join(map(str, keys)).encode()).hexdigest()[:12], 16) + 1) / (16**12 + 1)
     adj, kind = {}, {r.node_id: r.node_type for r in n.collect()}
     for r in walks.adjacency(nodes, edges).collect():
@@ -189,6 +190,11 @@ def test_registered_walks_equal_brute_force(spark, turns, monkeypatch):
         got.setdefault(r.attempt, []).append(r.node_id)
     assert got == drawn
     assert [r.node_ids for r in accepted.orderBy("trajectory_id").collect()] == first[:8]
+    assert sorted(accepted.collect()) == sorted(walks.accept_walks(steps, n, sessions).collect())
+    for wanted, tries in ((1, 240), (30, 240), (200, 7), (8, 24)):
+        some = walks.accepted_walks(nodes, edges, sessions, num_walks=wanted, attempts=tries, max_next=1)
+        assert sorted(some.collect()) == sorted(walks.accept_walks(steps.where(F.col("attempt") <= tries), n, sessions, num_walks=wanted).collect())
+    assert walks.accepted_walks(nodes.limit(0), edges, sessions).count() == 0
 
 
 def test_token_rows_whole_and_cut(spark):

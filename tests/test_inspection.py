@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from memengine.operators import inspection, rollout, splits, weakness
+from memengine.operators import inspection, rollout, splits, walks, weakness
 
 
 def rows(df, *cols):
@@ -127,3 +127,13 @@ def test_returns_and_step_metrics(spark):
     assert [got[k].status for k in "abcdef"] == ["succeeded", "skipped", "partial", "failed", "partial", "pending"]
     assert (got["a"].mean_loss, got["a"].min_loss, got["a"].max_loss, got["a"].mean_approx_kl, got["a"].mean_reward, got["a"].question_agent_loss) == (2.0, 1.0, 3.0, 0.2, 0.5, 3.0)
     assert got["b"].mean_loss is None and got["c"].memory_builder_loss is None and got["c"].mean_reward == 1.0 and (got["c"].num_actors_requested, got["c"].num_actors_failed, got["f"].num_actors_requested) == (2, 1, 0)
+
+
+def test_labels_of_nodes(spark):
+    rows_ = [("event", "", "a  b", None, None), ("fact", None, "so it ends...", None, None), ("fact", None, "x" * 12, None, None), ("topic", None, None, "n" * 12, None), ("session", None, None, None, "s1"), ("other", None, "t", None, None)]
+    n = spark.createDataFrame([("r", f"n{i}", k, sp, t, nm, se, None, None, None, None) for i, (k, sp, t, nm, se) in enumerate(rows_)], "record_id string, node_id string, node_type string, speaker string, text string, name string, session_id string, subject string, predicate string, object string, summary string")
+    got = {r.node_id: (r.label, r.truncated, r.label_source) for r in walks.node_labels(n, 13, {"topic": 6, "other": 0}).collect()}
+    assert got == {
+        "n0": ("unknown: a b", False, "speaker:text"), "n1": ("so it ends...", False, "text"), "n2": ("x" * 12, False, "text"), "n3": ("nnn...", True, "name"), "n4": ("s1", False, "session_id"),
+        "n5": ('{"record_id":"r","node_id":"n5","node_type":"other","text":"t"}', False, "node"),
+    }
