@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import export_queries, graph_queries, incremental_queries, inspection_queries, memory_queries, review_queries, table_queries  # noqa: F401
+from . import export_queries, graph_queries, incremental_queries, inspection_queries, memory_queries, order_queries, review_queries, table_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
