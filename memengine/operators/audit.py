@@ -89,6 +89,36 @@ def leakage_report(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
     return per.groupBy("stage").agg(F.count(F.lit(1)).alias("artifacts"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"), F.count_if(F.coalesce("n", F.lit(0)) > 0).alias("failed")).withColumn("passed", F.col("violations") == 0)
 
 
+#: What no input of a stage may hold.
+STAGE_FORBIDDEN = {
+    "memory_builder_input": ["oracle_graph", "benchmark_target_question", "benchmark_question", "benchmark_answer", "gold_answer", "test_label", "generated_training_question", "reward_report"],
+    "question_agent_training_input": ["benchmark_target_question", "benchmark_question", "benchmark_answer", "test_label"],
+    "answerer_input": ["raw_history", "oracle_graph", "benchmark_answer", "gold_answer"],
+    "trainer_batch": ["benchmark_target_question", "benchmark_question", "benchmark_answer", "gold_answer", "test_label"],
+}
+
+
+def stage_audit(artifacts: DataFrame) -> DataFrame:
+    """L4: (experiment, path, stage, split, field) of forbidden fields in ``artifacts`` (experiment, path, stage, split,
+    json): each field of the stage's set once, at whatever depth it stands and with any value; ``__unreadable_json__``
+    for a text that is null or no JSON. Stages without a set have no forbidden field. Texts are read once for all
+    stages."""
+    keys = sorted({k for ks in STAGE_FORBIDDEN.values() for k in ks})
+    rows = artifacts.withColumn("_id", F.struct("experiment", "path", "stage", "split"))
+    found = find_keys(rows, "_id", "json", keys).select("row_id.*", "key").distinct()
+    sets = F.create_map(*[x for stage, ks in STAGE_FORBIDDEN.items() for x in (F.lit(stage), F.array(*[F.lit(k) for k in ks]))])
+    field = found.where(F.array_contains(sets[F.col("stage")], F.col("key"))).withColumnRenamed("key", "field")
+    lost = artifacts.where(F.try_parse_json("json").isNull()).select("experiment", "path", "stage", "split", F.lit("__unreadable_json__").alias("field"))
+    return field.unionByName(lost)
+
+
+def audit_report(artifacts: DataFrame, issues: DataFrame) -> DataFrame:
+    """L4: per experiment files scanned, issues, files with an issue and ``passed`` or ``failed``."""
+    per = issues.groupBy("experiment").agg(F.count(F.lit(1)).alias("issues"), F.countDistinct("path").alias("bad_files"))
+    out = artifacts.groupBy("experiment").agg(F.count(F.lit(1)).alias("scanned_files")).hint("merge").join(per.hint("merge"), "experiment", "left").na.fill(0, ["issues", "bad_files"])
+    return out.withColumn("status", F.when(F.col("issues") > 0, "failed").otherwise("passed"))
+
+
 def batch_gate(batches: DataFrame) -> DataFrame:
     """Reasons against training on a batch."""
     rules = [(F.col("split") != "train", "not_train_split"), (~F.col("manifest_passed"), "manifest_failed"), (F.col("violations") > 0, "leakage"), (F.col("items") == 0, "empty")]

@@ -167,10 +167,54 @@ def learning_curves(rounds: DataFrame, key: str, metric: str) -> DataFrame:
     return rounds.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("round_id", F.col(metric).alias("v")))), lambda x: x["v"]).alias("curve"))
 
 
+#: The measures of a learning curve.
+CURVE_METRICS = ("train_memory_reward_mean", "train_question_reward_mean", "dev_memory_reward_mean", "dev_question_reward_mean")
+#: Methods of a report in its order, and the note beside each.
+REPORT_METHODS = {"no_llm_memory": "baseline", "initial_checkpoint": "before training", "final_checkpoint": "trained"}
+METHOD_NAMES = {"no_llm_memory": "No-LLM Memory", "initial_checkpoint": "Initial Model", "final_checkpoint": "Final Model"}
+BAR_METRICS = ("test_memory_reward_mean", "test_question_reward_mean")
+
+
+def curve_points(rounds: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, seed, place, round_id, ``CURVE_METRICS``) of the runs (key, seed, status) that succeeded: one row a
+    point, ``place`` from 0 in order of rounds, so no row holds a curve. Measures that ``rounds`` lacks are null."""
+    done = runs.where("status = 'succeeded'").select(key, "seed")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("round_id")) - 1
+    measures = [(F.col(m) if m in rounds.columns else F.lit(None)).cast("double").alias(m) for m in CURVE_METRICS]
+    return rounds.select(key, "round_id", *measures).hint("merge").join(done.hint("merge"), key).select(key, "seed", place.alias("place"), "round_id", *CURVE_METRICS)
+
+
+def _cell(mean, std):
+    one = lambda c: F.format_string("%.4f", c)
+    return F.when(mean.isNull(), "N/A").when(std.isNull() | (std == 0), one(mean)).otherwise(F.concat(one(mean), F.lit(" ± "), one(std)))
+
+
 def report_table(stats: DataFrame) -> DataFrame:
-    """P20: ``mean ± std`` with four decimals, ``N/A`` without a mean."""
-    cell = F.when(F.col("mean").isNull(), "N/A").otherwise(F.format_string("%.4f ± %.4f", "mean", "std"))
-    return stats.select("method", "metric", cell.alias("cell"))
+    """P20: ``mean ± std`` with four decimals; the mean alone without a spread, ``N/A`` without a mean."""
+    return stats.select("method", "metric", _cell(F.col("mean"), F.col("std")).alias("cell"))
+
+
+def _by_method(stats: DataFrame, by: list[str], values: list) -> DataFrame:
+    """A row for each known method, with its place in the report."""
+    place = F.array_position(F.array(*[F.lit(m) for m in REPORT_METHODS]), F.col("method"))
+    return stats.where(F.col("method").isin(*REPORT_METHODS)).groupBy(*by, "method").agg(*values).withColumn("place", place)
+
+
+def suite_report(stats: DataFrame, by: list[str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """P20: the table of results, one row for each method of ``REPORT_METHODS`` that ``stats`` (method, metric, mean, std,
+    count; and ``by``, the columns that tell suites apart) holds: place, name, cells of memory reward, question reward and
+    the leakage pass rate (no spread), seeds and a note. ``names`` sets other display names."""
+    of = lambda metric, c: F.max(F.when(F.col("metric") == metric, F.col(c)))
+    cells = [_cell(of(m, "mean"), of(m, "std")).alias(n) for m, n in zip(BAR_METRICS, ("memory_reward", "question_reward"), strict=True)]
+    cells += [_cell(of("test_no_leakage_pass_rate", "mean"), F.lit(None)).alias("no_leakage"), F.coalesce(of(BAR_METRICS[0], "count"), F.lit(0)).alias("seeds")]
+    told = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("method")]
+    return _by_method(stats, by or [], cells).withColumns({"name": told(METHOD_NAMES | (names or {})), "notes": told(REPORT_METHODS)})
+
+
+def bar_chart(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean and standard error (``stderr``) of both rewards on the test split for each known method, in place order."""
+    bars = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(n) for m in BAR_METRICS for c, n in (("mean", m), ("stderr", m.replace("_mean", "_stderr")))]
+    return _by_method(stats, by or [], bars)
 
 
 def pending_runs(planned: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:

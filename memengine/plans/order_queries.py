@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, replay, rewards, rollout
+from ..operators import audit, graph, replay, rewards, rollout, splits, suite
 from . import sqlparts as S
 from .base import query, table
 from .graph_queries import turns_of
+from .memory_queries import _COMPONENTS, _NAMES, _TOTAL, scored_memory_of
 
 _SAYS = "CASE WHEN event_ord % 3 = 0 THEN 'Noted,  thank YOU.' WHEN event_ord % 7 = 0 THEN 'noted, thank you.' ELSE text END"
 _REPEATED = S.FACTS.replace("turns AS (", "turns0 AS (", 1).replace("facts0 AS (", f"turns AS (SELECT * REPLACE ({_SAYS} AS text) FROM turns0), facts0 AS (", 1)
@@ -124,3 +125,99 @@ def replay_stage(spark, sf_dir):
     items = _replay_lines(spark, sf_dir).where("record_id % 10 <> 0 and (record_id % 11 <> 0 or n = 5)")
     paths = _lines(spark, sf_dir).where("n % 2 = 0").select(F.concat_ws("/", F.lit("/p"), "k", "n").alias("path"))
     return replay.replay_stage(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id")), items, paths)
+
+
+_STAGE = "CASE doc_id % 5 WHEN 0 THEN 'memory_builder_input' WHEN 1 THEN 'question_agent_training_input' WHEN 2 THEN 'answerer_input' WHEN 3 THEN 'trainer_batch' ELSE 'other' END"
+
+
+@query(
+    "l4_stage_audit",
+    f"""WITH d AS (SELECT doc_id, {_STAGE} AS stage FROM documents), i AS (
+      SELECT doc_id, stage, '__unreadable_json__' AS field FROM d WHERE doc_id % 7 = 0
+      UNION ALL SELECT doc_id, stage, 'gold_answer' FROM d WHERE doc_id % 7 <> 0 AND doc_id % 3 = 0 AND stage IN ('memory_builder_input', 'answerer_input', 'trainer_batch')
+      UNION ALL SELECT doc_id, stage, 'test_label' FROM d WHERE doc_id % 7 <> 0 AND doc_id % 4 = 0 AND stage IN ('memory_builder_input', 'question_agent_training_input', 'trainer_batch'))
+    SELECT e.experiment, e.scanned_files, coalesce(issues, 0) AS issues, coalesce(bad_files, 0) AS bad_files, CASE WHEN issues > 0 THEN 'failed' ELSE 'passed' END AS status, fields
+    FROM (SELECT doc_id % 100 AS experiment, count(*) AS scanned_files FROM documents GROUP BY 1) e
+    LEFT JOIN (SELECT doc_id % 100 AS experiment, count(*) AS issues, count(DISTINCT doc_id) AS bad_files, sum(CASE field WHEN 'gold_answer' THEN 1 WHEN 'test_label' THEN 100 ELSE 10000 END)::BIGINT AS fields FROM i GROUP BY 1) r USING (experiment)""",
+)
+def stage_audit(spark, sf_dir):
+    """Documents as inputs of stages, their whole texts inside JSON with forbidden fields in objects of lists."""
+    d = table(spark, sf_dir, "documents")
+    gold = F.struct(F.when(F.col("doc_id") % 3 == 0, F.lit(1)).alias("gold_answer"), F.col("text").alias("note"))
+    label = F.struct(F.array(F.struct(F.when(F.col("doc_id") % 4 == 0, F.lit("")).alias("test_label"))).alias("in"), F.col("text").alias("gold"))
+    body = F.when(F.col("doc_id") % 7 != 0, F.to_json(F.struct(F.array(gold).alias("a"), label.alias("b"))))
+    a = d.select((F.col("doc_id") % 100).alias("experiment"), F.col("doc_id").cast("string").alias("path"), F.expr(_STAGE).alias("stage"), F.lit("train").alias("split"), F.when(F.col("doc_id") % 14 == 0, "{gold_answer").otherwise(body).alias("json"))
+    issues = audit.stage_audit(a)
+    weight = F.when(F.col("field") == "gold_answer", 1).when(F.col("field") == "test_label", 100).otherwise(10000)
+    return audit.audit_report(a, issues).join(issues.groupBy("experiment").agg(F.sum(weight).alias("fields")).hint("merge"), "experiment", "left")
+
+
+@query(
+    "l6_k9_batch_gate",
+    """SELECT o_orderkey AS batch_id, o_orderkey % 4 < 2 AS update_allowed, concat_ws('|', CASE WHEN o_orderkey % 4 >= 2 THEN 'not_train_split' END, CASE WHEN o_orderkey % 5 = 0 THEN 'manifest_failed' END, CASE WHEN o_orderkey % 6 = 0 THEN 'leakage' END, CASE WHEN n IS NULL OR o_orderkey % 9 = 0 THEN 'empty' END) AS reasons
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+)
+def batch_gate(spark, sf_dir):
+    """Orders as update batches of their lines."""
+    n = table(spark, sf_dir, "lineitem").where("l_orderkey % 9 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("items"))
+    b = table(spark, sf_dir, "orders").select("o_orderkey").hint("merge").join(n.hint("merge"), "o_orderkey", "left").na.fill(0, ["items"])
+    k = F.col("o_orderkey")
+    b = b.select(k.alias("batch_id"), F.when(k % 4 < 2, "train").when(k % 4 == 2, "dev").otherwise("test").alias("split"), (k % 5 != 0).alias("manifest_passed"), (k % 6 == 0).cast("int").alias("violations"), "items")
+    return splits.with_policy(audit.batch_gate(b)).select("batch_id", "update_allowed", F.array_join("reasons", "|").alias("reasons"))
+
+
+_STATS = """SELECT o_custkey AS suite, CASE o_orderkey % 4 WHEN 0 THEN 'no_llm_memory' WHEN 1 THEN 'final_checkpoint' WHEN 2 THEN 'initial_checkpoint' ELSE 'odd' END AS method, avg(o_totalprice::DOUBLE / 70000) AS m, stddev_samp(o_totalprice::DOUBLE / 70000) AS sd, count(*) AS n FROM orders GROUP BY 1, 2"""
+
+
+def _stats(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("suite"), F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'no_llm_memory' WHEN 1 THEN 'final_checkpoint' WHEN 2 THEN 'initial_checkpoint' ELSE 'odd' END").alias("method"), (F.col("o_totalprice").cast("double") / 70000).alias("v"))
+    per = o.groupBy("suite", "method").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.count(F.lit(1)).alias("count"))
+    metric = F.explode(F.array(*[F.lit(m) for m in ("test_memory_reward_mean", "test_no_leakage_pass_rate")])).alias("metric")
+    return per.select("suite", "method", "mean", "std", "count", (F.col("std") / F.sqrt("count")).alias("stderr"), metric)
+
+
+@query(
+    "p20_suite_report",
+    f"""SELECT suite, CASE method WHEN 'no_llm_memory' THEN 1 WHEN 'initial_checkpoint' THEN 2 ELSE 3 END AS place, CASE method WHEN 'no_llm_memory' THEN 'No-LLM Memory' WHEN 'initial_checkpoint' THEN 'Initial Model' ELSE 'Final Model' END AS name,
+      CASE WHEN sd IS NULL OR sd = 0 THEN printf('%.4f', m) ELSE printf('%.4f', m) || ' ± ' || printf('%.4f', sd) END AS memory_reward, 'N/A' AS question_reward, printf('%.4f', m) AS no_leakage, n AS seeds, CASE method WHEN 'no_llm_memory' THEN 'baseline' WHEN 'initial_checkpoint' THEN 'before training' ELSE 'trained' END AS notes FROM ({_STATS}) WHERE method <> 'odd'""",
+)
+def suite_report(spark, sf_dir):
+    """Customers as suites, four methods by order, one of them unknown to the report."""
+    return suite.suite_report(_stats(spark, sf_dir), ["suite"]).drop("method")
+
+
+@query(
+    "z11_bar_chart",
+    f"SELECT suite, method, CASE method WHEN 'no_llm_memory' THEN 1 WHEN 'initial_checkpoint' THEN 2 ELSE 3 END AS place, round(m, 8) AS test_memory_reward_mean, round(sd / sqrt(n), 8) AS test_memory_reward_stderr, NULL::DOUBLE AS test_question_reward_mean, NULL::DOUBLE AS test_question_reward_stderr FROM ({_STATS}) WHERE method <> 'odd'",
+)
+def bar_chart(spark, sf_dir):
+    return suite.bar_chart(_stats(spark, sf_dir), ["suite"]).withColumns({c: F.round(c, 8) for c in ("test_memory_reward_mean", "test_memory_reward_stderr")})
+
+
+@query(
+    "z11_z13_curves_and_runs",
+    """WITH p AS (SELECT o_custkey AS run_id, o_custkey % 7 AS seed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, o_orderkey AS round_id, round(o_totalprice::DOUBLE, 2) AS reward FROM orders WHERE o_custkey % 4 <> 0)
+    SELECT run_id, seed, place, round_id, reward, false AS pending FROM p UNION ALL SELECT DISTINCT o_custkey, o_custkey % 7, NULL, NULL, NULL, true FROM orders WHERE o_custkey % 4 = 0""",
+)
+def curves_and_runs(spark, sf_dir):
+    """Customers as runs and orders as rounds: the curves of runs that succeeded, and the runs that are still to do."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("round_id"), F.col("o_totalprice").cast("double").alias("train_memory_reward_mean"))
+    runs = o.select("run_id").distinct().select("run_id", (F.col("run_id") % 7).alias("seed"), F.when(F.col("run_id") % 4 != 0, "succeeded").otherwise("failed").alias("status"))
+    points = suite.curve_points(o, runs).select("run_id", "seed", "place", "round_id", F.round("train_memory_reward_mean", 2).alias("reward"), F.lit(False).alias("pending"))
+    left = suite.pending_runs(runs.select("run_id", "seed"), runs, "run_id")
+    return points.unionByName(left.select("run_id", "seed", F.lit(None).cast("int").alias("place"), F.lit(None).cast("bigint").alias("round_id"), F.lit(None).cast("double").alias("reward"), F.lit(True).alias("pending")))
+
+
+_FAILED = "concat_ws('|', CASE WHEN non_redundancy < 0.65 THEN 'redundancy_noise' END, CASE WHEN compression_balance <= 0.25 AND oracle_coverage < 0.45 THEN 'over_compression' END, CASE WHEN abstraction_quality < 0.5 THEN 'wrong_abstraction' END, CASE WHEN format_safety < 1 THEN 'format_safety_error' END)"
+
+
+@query(
+    "v10_v13_unsafe_memories",
+    f"WITH {_COMPONENTS}, u AS (SELECT * REPLACE (CASE WHEN right(record_id, 1) IN ('3', '8') THEN 0.0::DOUBLE ELSE 1.0 END AS format_safety) FROM comp) SELECT record_id, {', '.join(f'round({c}, 9) AS {c}' for c in _NAMES)}, round(greatest(0, least(1, {_TOTAL})), 9) AS total_reward, {_FAILED} AS failures FROM u",
+)
+def unsafe_memories(spark, sf_dir):
+    """Rewards where two records in ten have validation issues."""
+    items, nodes, summaries = scored_memory_of(spark, sf_dir)
+    records = turns_of(spark, sf_dir).select("record_id").distinct()
+    out = rewards.memory_rewards(rewards.memory_components(items, nodes, summaries, records, records.where(F.col("record_id").rlike("[38]$"))))
+    return out.select("record_id", *[F.round(c, 9).alias(c) for c in [*_NAMES, "total_reward"]], F.array_join("global_failures", "|").alias("failures"))

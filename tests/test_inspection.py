@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from memengine.operators import inspection, rollout, splits, walks, weakness
+from memengine.operators import audit, inspection, rollout, splits, suite, walks, weakness
 
 
 def rows(df, *cols):
@@ -137,3 +137,24 @@ def test_labels_of_nodes(spark):
         "n0": ("unknown: a b", False, "speaker:text"), "n1": ("so it ends...", False, "text"), "n2": ("x" * 12, False, "text"), "n3": ("nnn...", True, "name"), "n4": ("s1", False, "session_id"),
         "n5": ('{"record_id":"r","node_id":"n5","node_type":"other","text":"t"}', False, "node"),
     }
+
+
+def test_stage_audit(spark):
+    a = spark.createDataFrame([
+        ("e", "f1", "memory_builder_input", '{"x": [{"gold_answer": null}, {"gold_answer": 1}], "raw_history": []}'), ("e", "f2", "answerer_input", '{"raw_history": [], "test_label": 1}'), ("e", "f3", "trainer_batch", "{broken"), ("e", "f4", "trainer_batch", None),
+        ("e", "f5", "elsewhere", '{"gold_answer": 1}'), ("g", "f6", "question_agent_training_input", '{"gold_answer": 1, "note": "test_label"}'),
+    ], "experiment string, path string, stage string, json string").selectExpr("*", "'train' AS split")
+    issues = audit.stage_audit(a)
+    assert rows(issues, "path", "field") == [("f1", "gold_answer"), ("f2", "raw_history"), ("f3", "__unreadable_json__"), ("f4", "__unreadable_json__")]
+    assert {r.experiment: (r.scanned_files, r.issues, r.bad_files, r.status) for r in audit.audit_report(a, issues).collect()} == {"e": (5, 4, 4, "failed"), "g": (1, 0, 0, "passed")}
+
+
+def test_reports_of_suites(spark):
+    s = spark.createDataFrame([("final_checkpoint", "test_memory_reward_mean", 0.5, 0.25, 4, 0.125), ("final_checkpoint", "test_no_leakage_pass_rate", 1.0, 0.5, 4, 0.25), ("no_llm_memory", "test_memory_reward_mean", 0.1, 0.0, 2, 0.0), ("no_llm_memory", "test_question_reward_mean", 0.2, None, 1, None), ("odd", "test_memory_reward_mean", 1.0, 1.0, 1, 1.0), ("initial_checkpoint", "test_question_reward_mean", None, None, 0, None)], "method string, metric string, mean double, std double, count int, stderr double")
+    assert [r[:] for r in suite.suite_report(s, names={"final_checkpoint": "Mine"}).orderBy("place").select("place", "name", "memory_reward", "question_reward", "no_leakage", "seeds", "notes").collect()] == [
+        (1, "No-LLM Memory", "0.1000", "0.2000", "N/A", 2, "baseline"), (2, "Initial Model", "N/A", "N/A", "N/A", 0, "before training"), (3, "Mine", "0.5000 ± 0.2500", "N/A", "1.0000", 4, "trained"),
+    ]
+    assert [r[:] for r in suite.bar_chart(s).orderBy("place").select("method", *suite.BAR_METRICS, "test_memory_reward_stderr").collect()] == [("no_llm_memory", 0.1, 0.2, 0.0), ("initial_checkpoint", None, None, None), ("final_checkpoint", 0.5, None, 0.125)]
+    runs = spark.createDataFrame([("a", 1, "succeeded"), ("b", 2, "failed")], "run_id string, seed int, status string")
+    r = spark.createDataFrame([("a", 2, 0.2), ("a", 0, None), ("b", 0, 0.3)], "run_id string, round_id int, dev_memory_reward_mean double")
+    assert rows(suite.curve_points(r, runs), "run_id", "seed", "place", "round_id", "dev_memory_reward_mean", "train_memory_reward_mean") == [("a", 1, 0, 0, None, None), ("a", 1, 1, 2, 0.2, None)]
