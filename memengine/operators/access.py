@@ -86,14 +86,14 @@ def evidence_context(sets: DataFrame, nodes: DataFrame, edges: DataFrame, max_ch
     field = lambda label, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.col(c).cast("string")))
     shown = [("Session", "session_id"), ("Speaker", "speaker"), ("Text", "text"), ("Name", "name"), ("Subject", "subject"), ("Object", "object"), ("Summary", "summary")]
     block = F.concat_ws("\n", F.concat(F.lit("["), "node_type", F.lit("] "), "node_id"), *[field(a, b) for a, b in shown])
-    texts = sets.join(nodes, ["record_id", "node_id"]).groupBy("record_id", "set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("body"))
+    texts = sets.hint("merge").join(nodes.hint("merge"), ["record_id", "node_id"]).groupBy("record_id", "set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("body"))
     a = sets.select("record_id", "set_id", F.col("node_id").alias("source"))
     b = sets.select("record_id", "set_id", F.col("node_id").alias("target"))
-    inside = edges.join(a, ["record_id", "source"]).join(b, ["record_id", "set_id", "target"])
+    inside = edges.hint("merge").join(a.hint("merge"), ["record_id", "source"]).hint("merge").join(b.hint("merge"), ["record_id", "set_id", "target"])
     line = F.concat_ws(" ", "source", F.concat(F.lit("-["), "edge_type", F.lit("]->")), "target")
     lines = inside.groupBy("record_id", "set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
     text = F.concat_ws("\n\n", "body", "lines")
-    out = texts.join(lines, ["record_id", "set_id"], "left").select("record_id", "set_id", text.alias("context"))
+    out = texts.hint("merge").join(lines.hint("merge"), ["record_id", "set_id"], "left").select("record_id", "set_id", text.alias("context"))
     return out if max_chars is None else out.withColumn("context", F.substring("context", 1, max_chars))
 
 

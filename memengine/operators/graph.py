@@ -102,7 +102,7 @@ def fact_relations(facts: DataFrame, external: DataFrame | None = None) -> DataF
     pairs = seen.select("record_id", "event_ord", "new_fact", "key", F.posexplode("old").alias("rank", "o")).select("record_id", "event_ord", "new_fact", "key", "rank", "o.old_fact", "o.old_key")
     if external is None:
         return pairs.where("key = old_key").select("record_id", "event_ord", "new_fact", "old_fact", "rank", F.lit("duplicate").alias("relation"), F.lit(0.6).alias("confidence"))
-    return pairs.join(external, ["record_id", "new_fact", "old_fact"]).where("relation <> 'unrelated'").select("record_id", "event_ord", "new_fact", "old_fact", "rank", "relation", "confidence")
+    return pairs.hint("merge").join(external.hint("merge"), ["record_id", "new_fact", "old_fact"]).where("relation <> 'unrelated'").select("record_id", "event_ord", "new_fact", "old_fact", "rank", "relation", "confidence")
 
 
 def oracle_edges(turns: DataFrame, facts: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
@@ -144,7 +144,7 @@ def sanitize_abstracts(proposals: DataFrame, shown: DataFrame) -> DataFrame:
     fact_id)."""
     first = proposals.withColumn("rn", F.row_number().over(Window.partitionBy("record_id", "topic_id").orderBy("ord"))).where("rn <= 3")
     each = first.select("*", F.posexplode("supporting_fact_ids").alias("k", "fact_id"))
-    kept = each.join(shown.distinct(), ["record_id", "topic_id", "fact_id"], "left_semi")
+    kept = each.hint("merge").join(shown.distinct().hint("merge"), ["record_id", "topic_id", "fact_id"], "left_semi")
     return kept.groupBy("record_id", "topic_id", "ord", "summary", "scope", "confidence").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "fact_id"))), lambda x: x["fact_id"]).alias("supporting_fact_ids"))
 
 

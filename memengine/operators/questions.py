@@ -29,7 +29,7 @@ def artifact_leaks(questions: DataFrame, json_col: str = "metadata") -> DataFram
 
 def best_evidence(walks: DataFrame, labels: DataFrame, label_needed: bool = False) -> DataFrame:
     """Q1: per walk the fact, else abstract, else event, else any node that comes first."""
-    each = walks.select("record_id", "trajectory_id", F.posexplode("node_ids").alias("step", "node_id")).join(labels, ["record_id", "node_id"])
+    each = walks.select("record_id", "trajectory_id", F.posexplode("node_ids").alias("step", "node_id")).hint("merge").join(labels.hint("merge"), ["record_id", "node_id"])
     if label_needed:
         each = each.where("label <> ''")
     priority = F.when(F.col("node_type") == "fact", 3).when(F.col("node_type") == "abstract_memory", 2).when(F.col("node_type") == "event", 1).otherwise(0)
@@ -40,9 +40,9 @@ def placeholder_questions(walks: DataFrame, labels: DataFrame, sessions: DataFra
     """Q2: a candidate question for each of the first ``n`` walks of a record."""
     order = Window.partitionBy("record_id").orderBy("trajectory_id")
     first = walks.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < n)
-    best = best_evidence(first, labels).join(first.select("record_id", "trajectory_id", "i"), ["record_id", "trajectory_id"])
+    best = best_evidence(first, labels).hint("merge").join(first.select("record_id", "trajectory_id", "i").hint("merge"), ["record_id", "trajectory_id"])
     of_node = sessions.groupBy("record_id", "node_id").agg(F.array_sort(F.collect_set("session_id")).alias("supporting_session_ids"))
-    rows = best.join(of_node, ["record_id", "node_id"], "left")
+    rows = best.hint("merge").join(of_node.hint("merge"), ["record_id", "node_id"], "left")
     return rows.select(
         "record_id",
         stable_id("question", "record_id", F.concat(F.lit("no_llm_"), F.col("i").cast("string"))).alias("question_id"),
@@ -65,20 +65,20 @@ def oracle_validity(questions: DataFrame, walks: DataFrame, labels: DataFrame, s
     empty = F.array().cast("array<string>")
     q = questions.withColumns({c: F.coalesce(c, empty) for c in ("supporting_trajectory_ids", "supporting_node_ids")})
     cited_walks = q.select(*KEY, F.explode("supporting_trajectory_ids").alias("trajectory_id"))
-    found = cited_walks.join(walks.select("record_id", "trajectory_id", "node_ids"), ["record_id", "trajectory_id"], "left")
+    found = cited_walks.hint("merge").join(walks.select("record_id", "trajectory_id", "node_ids").hint("merge"), ["record_id", "trajectory_id"], "left")
     on_walk = found.groupBy(*KEY).agg(F.count_if(F.col("node_ids").isNull()).alias("lost_walks"))
     walk_nodes = found.select(*KEY, F.explode("node_ids").alias("node_id")).distinct().withColumn("on_walk", F.lit(True))
     cited = q.select(*KEY, F.posexplode("supporting_node_ids").alias("pos", "node_id"))
-    rows = cited.join(walk_nodes, [*KEY, "node_id"], "left").join(labels.select("record_id", "node_id", "node_type", "label"), ["record_id", "node_id"], "left")
+    rows = cited.hint("merge").join(walk_nodes.hint("merge"), [*KEY, "node_id"], "left").hint("merge").join(labels.select("record_id", "node_id", "node_type", "label").hint("merge"), ["record_id", "node_id"], "left")
     evidence = F.col("on_walk") & F.col("node_type").isin("fact", "abstract_memory", "event") & (F.col("label") != "")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("label", F.lit("")).alias("label")))), lambda x: x["label"]), " ")
     nodes = rows.groupBy(*KEY).agg(F.count_if(F.col("on_walk").isNull()).alias("off_walk"), F.count_if(F.col("node_type").isNull()).alias("unknown"), F.max(F.coalesce(evidence, F.lit(False))).alias("evidence"), text.alias("evidence_text"))
-    seen = cited.join(sessions, ["record_id", "node_id"]).groupBy(*KEY).agg(F.countDistinct("session_id").alias("n_sessions"))
+    seen = cited.hint("merge").join(sessions.hint("merge"), ["record_id", "node_id"]).groupBy(*KEY).agg(F.countDistinct("session_id").alias("n_sessions"))
     if leaks is None:
         marked = q.withColumn("leaked", F.lit(False))
     else:
         marked = q.hint("merge").join(leaks.select(*KEY).distinct().withColumn("leaked", F.lit(True)).hint("merge"), KEY, "left")
-    all_ = marked.join(on_walk, KEY, "left").join(nodes, KEY, "left").join(seen, KEY, "left")
+    all_ = marked.hint("merge").join(on_walk.hint("merge"), KEY, "left").hint("merge").join(nodes.hint("merge"), KEY, "left").hint("merge").join(seen.hint("merge"), KEY, "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     placeholder = F.lower("question").rlike(PLACEHOLDER_MARKERS) | F.lower(F.coalesce("reason", F.lit(""))).rlike(PLACEHOLDER_MARKERS) | (F.coalesce("mode", F.lit("")) == "no_llm")

@@ -13,8 +13,7 @@ TYPE_WEIGHTS = {"fact": 1.15, "abstract": 1.10, "summary": 0.95, "preference": 1
 
 
 def score_memory(questions: DataFrame, memory: DataFrame) -> DataFrame:
-    """The score of every (question, memory node) of a record. Only tokens that both sides have are joined; nodes
-    without a shared token get their zero back from the record's join."""
+    """The score of every question with every memory node of its record that is not archived."""
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in TYPE_WEIGHTS.items() for x in kv])[F.col("node_type")], F.lit(1.0))
     low = F.lower("content")
     weight = weight * F.when((F.col("node_type") == "preference") & low.rlike("prefer|like|favorite"), 1.1).when((F.col("node_type") == "plan") & low.rlike("plan|will|going to"), 1.1).otherwise(1.0)
@@ -45,7 +44,7 @@ def retrieve(questions: DataFrame, memory: DataFrame, k: int = 8, min_score: flo
     if summaries is None:
         return hits
     each = summaries.select("record_id", F.posexplode(F.array(*[F.struct(F.lit(s).alias("key"), F.col(s).alias("value")) for s in SUMMARY_KEYS])).alias("pos", "s")).where("trim(s.value) <> ''")
-    extra = questions.where(F.size(tokens_ws("question")) > 0).join(each, "record_id")
+    extra = questions.where(F.size(tokens_ws("question")) > 0).hint("merge").join(each.hint("merge"), "record_id")
     extra = extra.select("record_id", "question_id", (F.lit(k) + 1 + F.col("pos")).alias("rank"), F.concat(F.lit("summary_"), "s.key").alias("memory_id"), F.lit("summary").alias("memory_type"), F.concat("s.key", F.lit(": "), "s.value").alias("content"), F.lit(0.5).alias("score"))
     return hits.unionByName(extra)
 

@@ -30,7 +30,7 @@ def question_answer_pairs(questions: DataFrame, answers: DataFrame) -> DataFrame
 def citation_quality(pairs: DataFrame, memory: DataFrame) -> DataFrame:
     """V3: adds ``citation_quality``; legal citations are the memory's nodes and its summaries."""
     cited = pairs.select(*KEY, F.explode("supporting_memory_ids").alias("node_id")).where("node_id not like 'summary\\\\_%'")
-    bad = cited.join(memory.select("record_id", "node_id").distinct(), ["record_id", "node_id"], "left_anti").select(*KEY).distinct().withColumn("invalid", F.lit(True))
+    bad = cited.hint("merge").join(memory.select("record_id", "node_id").distinct().hint("merge"), ["record_id", "node_id"], "left_anti").select(*KEY).distinct().withColumn("invalid", F.lit(True))
     n_cited, n_evidence = F.size("supporting_memory_ids"), F.size("evidence_contents")
     ids = F.coalesce("evidence_ids", "supporting_memory_ids") if "evidence_ids" in pairs.columns else F.col("supporting_memory_ids")
     same = F.array_sort(F.array_distinct("supporting_memory_ids")) == F.array_sort(F.array_distinct(ids))
@@ -41,7 +41,7 @@ def citation_quality(pairs: DataFrame, memory: DataFrame) -> DataFrame:
         .when((n_cited == 0) & (n_evidence > 0), 0.5)
         .otherwise(0.8)
     )
-    return pairs.join(bad, KEY, "left").withColumn("citation_quality", score).drop("invalid")
+    return pairs.hint("merge").join(bad.hint("merge"), KEY, "left").withColumn("citation_quality", score).drop("invalid")
 
 
 def oracle_coverage(questions: DataFrame, nodes: DataFrame, memory: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def oracle_coverage(questions: DataFrame, nodes: DataFrame, memory: DataFrame, s
     F1 is above zero only where a token is shared, so texts meet on their tokens, not pairwise; zeros come back after.
     A citation list that is empty scores 1, one without a known node or without memory 0."""
     cited = questions.select(*KEY, F.explode("supporting_node_ids").alias("node_id"))
-    texts = cited.join(nodes.select("record_id", "node_id", F.coalesce("text", F.lit("")).alias("text")), ["record_id", "node_id"])
+    texts = cited.hint("merge").join(nodes.select("record_id", "node_id", F.coalesce("text", F.lit("")).alias("text")).hint("merge"), ["record_id", "node_id"])
     oracle = texts.select("record_id", "node_id", tokens_reward("text").alias("a")).distinct()
     mem = memory.where("status = 'active'").select("record_id", F.col("content").alias("t"), F.col("node_id").alias("mid"))
     for c in [c for c in summaries.columns if c not in ("record_id", "sample_id", "build_step")]:
@@ -58,16 +58,16 @@ def oracle_coverage(questions: DataFrame, nodes: DataFrame, memory: DataFrame, s
     mem = mem.select("record_id", "mid", tokens_reward("t").alias("b"))
     left = oracle.select("record_id", "node_id", F.size("a").alias("na"), F.explode("a").alias("token"))
     right = mem.select("record_id", "mid", F.size("b").alias("nb"), F.explode("b").alias("token"))
-    shared = left.join(right, ["record_id", "token"]).groupBy("record_id", "node_id", "mid", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    shared = left.hint("merge").join(right.hint("merge"), ["record_id", "token"]).groupBy("record_id", "node_id", "mid", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     p, r = F.col("c") / F.col("na"), F.col("c") / F.col("nb")
     best = shared.groupBy("record_id", "node_id").agg(F.max(2 * p * r / (p + r)).alias("best"))
     # two empty texts agree fully, as the score of two empty token sets is 1
     blank = mem.where(F.size("b") == 0).select("record_id").distinct().withColumn("blank", F.lit(1.0))
     some = mem.select("record_id").distinct().withColumn("some", F.lit(True))
-    per = texts.select(*KEY, "node_id", (F.size(tokens_reward("text")) == 0).alias("empty")).join(best, ["record_id", "node_id"], "left").join(blank, "record_id", "left")
+    per = texts.select(*KEY, "node_id", (F.size(tokens_reward("text")) == 0).alias("empty")).hint("merge").join(best.hint("merge"), ["record_id", "node_id"], "left").hint("merge").join(blank.hint("merge"), "record_id", "left")
     score = F.coalesce("best", F.when(F.col("empty"), F.col("blank")), F.lit(0.0))
     mean = per.groupBy(*KEY).agg(F.avg(score).alias("m"))
-    out = questions.select(*KEY, F.size("supporting_node_ids").alias("n")).join(mean, KEY, "left").join(some, "record_id", "left")
+    out = questions.select(*KEY, F.size("supporting_node_ids").alias("n")).hint("merge").join(mean.hint("merge"), KEY, "left").hint("merge").join(some.hint("merge"), "record_id", "left")
     return out.select(*KEY, F.when(F.col("n") <= 0, 1.0).when(F.col("some").isNull(), 0.0).otherwise(F.coalesce("m", F.lit(0.0))).alias("oracle_coverage"))
 
 
@@ -75,7 +75,7 @@ def classify_failures(items: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds ``failure_types`` in rule order."""
     cited = items.select(*KEY, F.explode("supporting_node_ids").alias("node_id"))
     high = nodes.where("node_type in ('abstract_memory', 'topic')").select("record_id", "node_id")
-    abstract = cited.join(high, ["record_id", "node_id"], "left_semi").select(*KEY).distinct().withColumn("abstract", F.lit(True))
+    abstract = cited.hint("merge").join(high.hint("merge"), ["record_id", "node_id"], "left_semi").select(*KEY).distinct().withColumn("abstract", F.lit(True))
     c, o = F.col("correctness"), F.col("oracle_coverage")
     low = (c < 0.5) & (o < 0.5)
     rules = [
@@ -88,7 +88,7 @@ def classify_failures(items: DataFrame, nodes: DataFrame) -> DataFrame:
         ((F.col("question_type") == "contradiction_update") & (c < 0.7), "contradiction_update_error"),
         ((F.col("evidence_support") < 0.3) & (c >= 0.7), "unsupported_answer"),
     ]
-    return items.join(abstract, KEY, "left").withColumn("failure_types", F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in rules]))).drop("abstract")
+    return items.hint("merge").join(abstract.hint("merge"), KEY, "left").withColumn("failure_types", F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in rules]))).drop("abstract")
 
 
 def question_items(questions: DataFrame, answers: DataFrame, nodes: DataFrame, memory: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -112,14 +112,14 @@ def non_redundancy(memory: DataFrame, threshold: float = 0.85) -> DataFrame:
     full = sets.where(F.size("tokens") > 0)
     each = full.select("record_id", "set_id", "copies", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     rarity = each.groupBy("record_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(rarity, ["record_id", "token"]).groupBy("record_id", "set_id", "copies", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    ordered = each.hint("merge").join(rarity.hint("merge"), ["record_id", "token"]).groupBy("record_id", "set_id", "copies", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     prefix = ordered.select("record_id", "set_id", "copies", "size", F.explode(F.slice("o", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))).alias("p"))
     a = prefix.select("record_id", F.col("p.token").alias("token"), F.col("set_id").alias("a"), F.col("copies").alias("ca"), F.col("size").alias("sa"))
     b = prefix.select("record_id", F.col("p.token").alias("token"), F.col("set_id").alias("b"), F.col("copies").alias("cb"), F.col("size").alias("sb"))
-    meet = a.join(b, ["record_id", "token"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)).select("record_id", "a", "b", "ca", "cb").distinct()
+    meet = a.hint("merge").join(b.hint("merge"), ["record_id", "token"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)).select("record_id", "a", "b", "ca", "cb").distinct()
     ta, tb = full.select("record_id", F.col("set_id").alias("a"), F.col("tokens").alias("ta")), full.select("record_id", F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    hits = meet.join(ta, ["record_id", "a"]).join(tb, ["record_id", "b"]).where(both / (F.size("ta") + F.size("tb") - both) >= threshold)
+    hits = meet.hint("merge").join(ta.hint("merge"), ["record_id", "a"]).hint("merge").join(tb.hint("merge"), ["record_id", "b"]).where(both / (F.size("ta") + F.size("tb") - both) >= threshold)
     near = hits.groupBy("record_id").agg(F.sum(F.col("ca") * F.col("cb")).alias("near"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     out = totals.join(same, "record_id", "left").join(near, "record_id", "left")

@@ -77,7 +77,7 @@ def bootstrap_ci(deltas: DataFrame, resamples: int = 1000, seed: int = 42, level
     rows = deltas.withColumns({"pos": F.row_number().over(w.orderBy("seed")) - 1, "n": F.count(F.lit(1)).over(w)}).where("n >= 3")
     draws = rows.select(*key, "n", F.col("pos").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
     at = F.least(F.floor(unit_hash(F.lit(seed), "metric", "baseline", "rep", "slot") * F.col("n")), F.col("n") - 1)
-    means = draws.withColumn("pos", at).join(rows.select(*key, "pos", "delta"), [*key, "pos"]).groupBy(*key, "rep").agg(F.avg("delta").alias("m"))
+    means = draws.withColumn("pos", at).hint("merge").join(rows.select(*key, "pos", "delta").hint("merge"), [*key, "pos"]).groupBy(*key, "rep").agg(F.avg("delta").alias("m"))
     ranked = means.withColumn("rn", F.row_number().over(w.orderBy("m", "rep")) - 1)
     low, high = (int(round(p * (resamples - 1))) for p in ((1 - level) / 2, 1 - (1 - level) / 2))
     return ranked.groupBy(*key).agg(F.max(F.when(F.col("rn") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("rn") == high, F.col("m"))).alias("high"))
