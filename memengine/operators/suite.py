@@ -185,7 +185,8 @@ def curve_points(rounds: DataFrame, runs: DataFrame, key: str = "run_id") -> Dat
 
 
 def _cell(mean, std):
-    one = lambda c: F.format_string("%.4f", c)
+    # what the number is in binary decides, halves to even: 7.00395 is a little less; format_string would go by its digits
+    one = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.format_string("%.4f", c)).otherwise(F.call_function("format_number", c, F.lit("0.0000")))
     return F.when(mean.isNull(), "N/A").when(std.isNull() | (std == 0), one(mean)).otherwise(F.concat(one(mean), F.lit(" ± "), one(std)))
 
 

@@ -179,11 +179,15 @@ def _stats(spark, sf_dir):
 @query(
     "p20_suite_report",
     f"""SELECT suite, CASE method WHEN 'no_llm_memory' THEN 1 WHEN 'initial_checkpoint' THEN 2 ELSE 3 END AS place, CASE method WHEN 'no_llm_memory' THEN 'No-LLM Memory' WHEN 'initial_checkpoint' THEN 'Initial Model' ELSE 'Final Model' END AS name,
-      CASE WHEN sd IS NULL OR sd = 0 THEN printf('%.4f', m) ELSE printf('%.4f', m) || ' ± ' || printf('%.4f', sd) END AS memory_reward, 'N/A' AS question_reward, printf('%.4f', m) AS no_leakage, n AS seeds, CASE method WHEN 'no_llm_memory' THEN 'baseline' WHEN 'initial_checkpoint' THEN 'before training' ELSE 'trained' END AS notes FROM ({_STATS}) WHERE method <> 'odd'""",
+      CASE WHEN sd IS NULL OR sd = 0 THEN printf('%.4f', m) ELSE printf('%.4f', m) || ' ± ' || printf('%.4f', sd) END AS memory_reward, 'N/A' AS question_reward, printf('%.4f', m) AS no_leakage, n AS seeds, CASE method WHEN 'no_llm_memory' THEN 'baseline' WHEN 'initial_checkpoint' THEN 'before training' ELSE 'trained' END AS notes
+      FROM (SELECT suite, method, round(m, 9) AS m, round(sd, 9) AS sd, n FROM ({_STATS})) WHERE method <> 'odd'""",
 )
 def suite_report(spark, sf_dir):
-    """Customers as suites, four methods by order, one of them unknown to the report."""
-    return suite.suite_report(_stats(spark, sf_dir), ["suite"]).drop("method")
+    """Customers as suites, four methods by order, one of them unknown to the report. Statistics are rounded to nine
+    decimals before they are written: the last bits of a mean depend on the order of its sum, and a mean that is halfway
+    between two texts would go by them."""
+    rounded = _stats(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("mean", "std")})
+    return suite.suite_report(rounded, ["suite"]).drop("method")
 
 
 @query(
