@@ -184,10 +184,20 @@ def curve_points(rounds: DataFrame, runs: DataFrame, key: str = "run_id") -> Dat
     return rounds.select(key, "round_id", *measures).hint("merge").join(done.hint("merge"), key).select(key, "seed", place.alias("place"), "round_id", *CURVE_METRICS)
 
 
+def _four(c):
+    """``c`` with four decimals, as the exact binary value rounds, halves to even: 7.00395 is a little less than it reads.
+    Both halves of its digits have exact products with 10000, so the sign of what is left beside k + 0.5 is exact."""
+    size = F.abs(c)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    k = F.floor(size * 10000)
+    rest = (high * 10000 - (k + 0.5)) + (size - high) * 10000
+    n = k + F.when((rest > 0) | ((rest == 0) & (k % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(c.cast("string").startswith("-"), "-").otherwise(""), F.format_string("%d.%04d", F.floor(n / 10000), n % 10000))
+    return F.when(size < 1e11, text).otherwise(F.format_string("%.4f", c))
+
+
 def _cell(mean, std):
-    # what the number is in binary decides, halves to even: 7.00395 is a little less; format_string would go by its digits
-    one = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.format_string("%.4f", c)).otherwise(F.call_function("format_number", c, F.lit("0.0000")))
-    return F.when(mean.isNull(), "N/A").when(std.isNull() | (std == 0), one(mean)).otherwise(F.concat(one(mean), F.lit(" ± "), one(std)))
+    return F.when(mean.isNull(), "N/A").when(std.isNull() | (std == 0), _four(mean)).otherwise(F.concat(_four(mean), F.lit(" ± "), _four(std)))
 
 
 def report_table(stats: DataFrame) -> DataFrame:
