@@ -129,10 +129,12 @@ def batch_gate(batches: DataFrame) -> DataFrame:
 CHECKPOINT_PARTS = {"model": "error", "tokenizer": "warning", "optimizer": "warning"}
 
 
-def checkpoint_issues(checkpoints: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def checkpoint_issues(checkpoints: DataFrame, paths: DataFrame | None = None, often: int = 100_000) -> DataFrame:
     """(checkpoint_id, code, severity): ids that stand several times, and for each checkpoint paths that are
     missing. ``paths`` (path) lists what exists; without it only empty paths are found. Of the backend ``local_hf`` an
-    updated checkpoint needs a model, a tokenizer and an optimizer. Columns that the table lacks count as empty."""
+    updated checkpoint needs a model, a tokenizer and an optimizer. Columns that the table lacks count as empty. Paths that
+    more than ``often`` checkpoints name are looked up once each and handed to all tasks (there is one at most in
+    ``often`` rows), as their rows would all meet in one."""
     held = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in checkpoints.columns else F.lit(None).cast("string")
     local = F.coalesce(held("backend"), F.lit("")) == "local_hf"
     part_paths = [f"{p}_path" for p in CHECKPOINT_PARTS]
@@ -148,7 +150,12 @@ def checkpoint_issues(checkpoints: DataFrame, paths: DataFrame | None = None) ->
     named = [F.struct(F.lit("checkpoint").alias("part"), F.lit("error").alias("severity"), F.col("checkpoint_path").alias("path"))]
     named += [F.struct(F.lit(p).alias("part"), F.lit(s).alias("severity"), F.when(F.col("local"), F.col(f"{p}_path")).alias("path")) for p, s in CHECKPOINT_PARTS.items()]
     each = rows.select("checkpoint_id", F.explode(F.array(*named)).alias("p")).select("checkpoint_id", "p.*").where("path is not null")
-    lost = each.hint("merge").join(paths.select("path").distinct().hint("merge"), "path", "left_anti")
+    listed = paths.select("path").distinct()
+    shared = each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).select("path")
+    shared = durable(shared.hint("merge").join(listed.withColumn("there", F.lit(True)).hint("merge"), "path", "left").select("path", F.coalesce("there", F.lit(False)).alias("there")))
+    marked = each.join(F.broadcast(shared), "path", "left")
+    rare = marked.where("there is null").drop("there")
+    lost = rare.hint("merge").join(listed.hint("merge"), "path", "left_anti").unionByName(marked.where("not there").drop("there"))
     return out.unionByName(lost.select("checkpoint_id", F.concat("part", F.lit("_path_not_found")).alias("code"), "severity"))
 
 
