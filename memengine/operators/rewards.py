@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.columns import answer_correctness, clamp, token_f1, tokens_reward
+from ..sources.durable import durable
 
 #: Weights of the components.
 MEMORY_WEIGHTS = {"answer_utility": 0.25, "oracle_coverage": 0.20, "groundedness": 0.15, "non_redundancy": 0.15, "compression_balance": 0.10, "abstraction_quality": 0.10, "format_safety": 0.05}
@@ -96,34 +99,69 @@ def question_items(questions: DataFrame, answers: DataFrame, nodes: DataFrame, m
     pairs = citation_quality(question_answer_pairs(questions, answers), memory)
     support = F.when((F.coalesce("answer", F.lit("")) == "") | (F.size("evidence_contents") == 0), 0.0).otherwise(token_f1(F.array_join("evidence_contents", " "), "answer"))
     rows = pairs.withColumn("correctness", answer_correctness("prediction", "answer")).withColumn("evidence_support", support)
-    rows = rows.join(oracle_coverage(questions, nodes, memory, summaries), KEY)
+    rows = rows.hint("merge").join(oracle_coverage(questions, nodes, memory, summaries).hint("merge"), KEY)
     return classify_failures(rows, nodes)
 
 
+def part_signatures(sets: DataFrame, threshold: float) -> DataFrame:
+    """(sig, record_id, set_id, copies, size) of token sets (record_id, set_id, copies, tokens), such that two different
+    sets of a record with a Jaccard similarity at the threshold or above have a ``sig`` in common.
+
+    Such sets differ by d = (1 - t) / (1 + t) * (|a| + |b|) tokens at most. Tokens are dealt into d + 1 parts or more by
+    their hash, so a part at least holds the same tokens of both; its tokens' hashes, summed up, are its signature. Sets
+    meet in groups of sizes: a size class is wider than the threshold lets sizes differ, and a set joins its own class
+    and the next. Empty parts count only for a set that has so many that all equal parts may be empty ones."""
+    base = 1.003 / threshold
+
+    def run(batches):
+        for batch in batches:
+            out = {"at": [], "sig": []}
+            for i, (h, record) in enumerate(zip(batch["h"], batch["record"])):
+                h = np.asarray(h, dtype=np.int64).view(np.uint64)
+                own = int(np.floor(np.log(len(h)) / np.log(base)))
+                for g in (own, own + 1):
+                    d = int((1 - threshold) / (1 + threshold) * 2 * np.ceil(base ** (g + 1) + 1e-9) + 1e-9)
+                    if d == 0:
+                        continue
+                    parts = d + 2 + -(-d // 20)
+                    at = (h % np.uint64(parts)).astype(np.int64)
+                    total = np.zeros(parts, dtype=np.uint64)
+                    np.add.at(total, at, h)
+                    full = np.bincount(at, minlength=parts) > 0
+                    used = np.flatnonzero(full) if (~full).sum() < parts - d else np.arange(parts)
+                    key = (total[used] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + used.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(g) * np.uint64(0x165667B19E3779F9) + np.asarray([record], dtype=np.int64).view(np.uint64)
+                    out["sig"].append(key.view(np.int64))
+                    out["at"].append(np.full(len(used), i))
+            if out["at"]:
+                rows = batch.iloc[np.concatenate(out["at"])][["record_id", "set_id", "copies", "size"]]
+                yield rows.assign(sig=np.concatenate(out["sig"]))
+
+    keyed = sets.select("record_id", "set_id", "copies", F.size("tokens").alias("size"), F.xxhash64("record_id").alias("record"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    kinds = sets.select("record_id", "set_id", "copies").schema
+    schema = StructType([*[StructField(f.name, f.dataType) for f in kinds], StructField("size", IntegerType()), StructField("sig", LongType())])
+    return keyed.mapInPandas(run, schema)
+
+
 def non_redundancy(memory: DataFrame, threshold: float = 0.85) -> DataFrame:
     """V7: per record, 1 minus the share of pairs of active nodes with token Jaccard at the threshold or above.
 
-    Equal token sets are counted by group size. Different sets meet only on their rarest tokens: two sets of that
-    similarity must share one of each one's first n - ceil(threshold * n) + 1 tokens in order of rarity."""
+    Equal token sets are counted by group size. Different sets meet where a part of their tokens is the same
+    (``part_signatures``), some five tokens at a time, and are compared in full."""
     active = memory.where("status = 'active'").select("record_id", "node_id", F.array_sort(tokens_reward("content")).alias("tokens"))
-    totals = active.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
-    sets = active.groupBy("record_id", "tokens").agg(F.count(F.lit(1)).alias("copies"), F.min("node_id").alias("set_id"))
-    same = sets.groupBy("record_id").agg(F.sum(F.col("copies") * (F.col("copies") - 1) / 2).alias("same"))
+    sets = durable(active.groupBy("record_id", "tokens").agg(F.count(F.lit(1)).alias("copies"), F.min("node_id").alias("set_id")))
+    totals = sets.groupBy("record_id").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * (F.col("copies") - 1) / 2).alias("same"))
     full = sets.where(F.size("tokens") > 0)
-    each = full.select("record_id", "set_id", "copies", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    rarity = each.groupBy("record_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.hint("merge").join(rarity.hint("merge"), ["record_id", "token"]).groupBy("record_id", "set_id", "copies", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    prefix = ordered.select("record_id", "set_id", "copies", "size", F.explode(F.slice("o", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))).alias("p"))
-    a = prefix.select("record_id", F.col("p.token").alias("token"), F.col("set_id").alias("a"), F.col("copies").alias("ca"), F.col("size").alias("sa"))
-    b = prefix.select("record_id", F.col("p.token").alias("token"), F.col("set_id").alias("b"), F.col("copies").alias("cb"), F.col("size").alias("sb"))
-    meet = a.hint("merge").join(b.hint("merge"), ["record_id", "token"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)).select("record_id", "a", "b", "ca", "cb").distinct()
+    signed = durable(part_signatures(full, threshold))
+    of = lambda x: signed.select("sig", "record_id", F.col("set_id").alias(x), F.col("copies").alias(f"c{x}"), F.col("size").alias(f"s{x}"))
+    fits = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)
+    meet = durable(of("a").hint("merge").join(of("b").hint("merge"), ["sig", "record_id"]).where(fits).select("record_id", "a", "b", "ca", "cb").distinct())
     ta, tb = full.select("record_id", F.col("set_id").alias("a"), F.col("tokens").alias("ta")), full.select("record_id", F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     hits = meet.hint("merge").join(ta.hint("merge"), ["record_id", "a"]).hint("merge").join(tb.hint("merge"), ["record_id", "b"]).where(both / (F.size("ta") + F.size("tb") - both) >= threshold)
     near = hits.groupBy("record_id").agg(F.sum(F.col("ca") * F.col("cb")).alias("near"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    out = totals.join(same, "record_id", "left").join(near, "record_id", "left")
-    return out.select("record_id", F.when(F.col("n") < 2, 1.0).otherwise(1 - (F.coalesce("same", F.lit(0.0)) + F.coalesce("near", F.lit(0))) / pairs).alias("non_redundancy"))
+    out = totals.hint("merge").join(near.hint("merge"), "record_id", "left")
+    return out.select("record_id", F.when(F.col("n") < 2, 1.0).otherwise(1 - (F.col("same") + F.coalesce("near", F.lit(0))) / pairs).alias("non_redundancy"))
 
 
 def memory_components(items: DataFrame, memory: DataFrame, summaries: DataFrame, records: DataFrame, unsafe: DataFrame | None = None) -> DataFrame:
