@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 WHITE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 #: What is no part of a word of the reward normalization: punctuation and white space alike.
 NO_WORD = r"[^\p{L}\p{N}_]+"
+#: One character that the normalizations keep. A search for it ends at the first, so that whether a text is
+#: blank costs no normalization, also where Spark works a condition out apart from the columns it names.
+INK, WORD_CHAR = r"[^\s\p{Z}\x1c-\x1f\x85]", r"[\p{L}\p{N}_]"
 
 
 def _c(c) -> Column:
@@ -21,6 +24,16 @@ def normalize_text(c) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_c(c), F.lit("")), WHITE, " "))
 
 
+def has_text(c) -> Column:
+    """Whether ``normalize_text`` leaves anything."""
+    return F.coalesce(_c(c), F.lit("")).rlike(INK)
+
+
+def has_words(c) -> Column:
+    """Whether ``tokens_reward`` has a token."""
+    return F.lower(F.coalesce(_c(c), F.lit(""))).rlike(WORD_CHAR)
+
+
 def canonicalize_name(c) -> Column:
     """Lower case, everything but a-z, 0-9 and CJK becomes ``_``; empty is ``unknown``."""
     # white space is among what becomes "_", so it needs no step of its own; the look-ahead passes most characters fast

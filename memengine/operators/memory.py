@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import normalize_text, stable_id
+from ..functions.columns import normalize_text, once, stable_id
 
 #: Fixed values.
 USERS, ASSISTANTS = ("user", "human"), ("assistant", "ai", "system")
@@ -26,12 +26,12 @@ class MemoryConfig:
 
 def enters_memory(cfg: MemoryConfig = MemoryConfig()):
     """M2: whether a turn enters memory, but for the limit on events."""
-    clean, who = normalize_text("text"), F.lower("speaker")
+    who = F.lower("speaker")
     keep = who.isin(*USERS)
     if cfg.include_assistant_turns:
         keep = keep | who.isin(*ASSISTANTS)
-    task = (F.length(clean) < 50) & F.lower(clean).rlike(TASK_MARKERS)
-    return keep & (F.length(clean) >= cfg.min_user_text_chars) & ~task
+    fits = lambda clean: (F.length(clean) >= cfg.min_user_text_chars) & ~((F.length(clean) < 50) & F.lower(clean).rlike(TASK_MARKERS))
+    return keep & once(normalize_text("text"), fits)
 
 
 def retained_turns(turns: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
@@ -40,11 +40,9 @@ def retained_turns(turns: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> Data
     return rows if cfg.max_event_nodes is None else rows.where(F.col("kept_ord") <= cfg.max_event_nodes)
 
 
-def _node(df, kind, ident, content, confidence, level, order, turn=None, events=None):
+def _node(kind, ident, content, confidence, level, order, turn=None, events=None):
     none = F.array().cast("array<string>")
-    return df.select(
-        *[c for c in ("sample_id",) if c in df.columns],
-        "record_id",
+    return F.struct(
         ident.alias("node_id"),
         F.lit(kind).alias("node_type"),
         content.alias("content"),
@@ -58,6 +56,12 @@ def _node(df, kind, ident, content, confidence, level, order, turn=None, events=
     )
 
 
+def _both(df, *nodes):
+    """The nodes of each row, which is read once."""
+    keys = [c for c in ("sample_id",) if c in df.columns] + ["record_id"]
+    return df.select(*keys, F.explode(F.array(*nodes)).alias("n")).select(*keys, "n.*")
+
+
 def _sessions(kept: DataFrame) -> DataFrame:
     """Sessions with two retained turns or more; their events in order."""
     keys = [c for c in ("sample_id",) if c in kept.columns] + ["record_id", "session_id"]
@@ -74,16 +78,16 @@ def turn_nodes(kept: DataFrame) -> DataFrame:
     """M4: event and fact of each retained turn."""
     event, fact = turn_ids()
     at = F.col("kept_ord").cast("long") * 4
-    events = _node(kept, "event", event, F.concat("speaker", F.lit(" said: "), "text"), 0.6, 0, at, F.col("turn_id"), F.array("event_id"))
-    return events.unionByName(_node(kept, "fact", fact, F.concat(F.lit("The user mentioned: "), normalize_text("text")), 0.55, 1, at + 1, F.col("turn_id"), F.array("event_id")))
+    said = _node("event", event, F.concat("speaker", F.lit(" said: "), "text"), 0.6, 0, at, F.col("turn_id"), F.array("event_id"))
+    return _both(kept, said, _node("fact", fact, F.concat(F.lit("The user mentioned: "), normalize_text("text")), 0.55, 1, at + 1, F.col("turn_id"), F.array("event_id")))
 
 
 def session_nodes(many: DataFrame) -> DataFrame:
     """M6: summary and abstract of sessions (n, last_ord, event_ids) with two retained turns or more."""
     end = F.col("last_ord").cast("long") * 4
     summary = F.concat(F.lit("Session "), "session_id", F.lit(" contains "), F.col("n").cast("string"), F.lit(" user-provided pieces of information."))
-    top = _node(many, "summary", stable_id("mem_summary", "record_id", "session_id"), summary, 0.5, 1, end + 2)
-    return top.unionByName(_node(many, "abstract", stable_id("mem_abs", "record_id", "session_id", "n"), F.lit("The user shared multiple pieces of information in this session."), 0.45, 2, end + 3, None, F.col("event_ids")))
+    top = _node("summary", stable_id("mem_summary", "record_id", "session_id"), summary, 0.5, 1, end + 2)
+    return _both(many, top, _node("abstract", stable_id("mem_abs", "record_id", "session_id", "n"), F.lit("The user shared multiple pieces of information in this session."), 0.45, 2, end + 3, None, F.col("event_ids")))
 
 
 def memory_nodes(kept: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import tokens_ws
+from ..functions.columns import has_text, tokens_ws
 from .memory import SUMMARY_KEYS
 
 #: Weight of a memory node by its type.
@@ -17,18 +17,19 @@ def score_memory(questions: DataFrame, memory: DataFrame) -> DataFrame:
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in TYPE_WEIGHTS.items() for x in kv])[F.col("node_type")], F.lit(1.0))
     low = F.lower("content")
     weight = weight * F.when((F.col("node_type") == "preference") & low.rlike("prefer|like|favorite"), 1.1).when((F.col("node_type") == "plan") & low.rlike("plan|will|going to"), 1.1).otherwise(1.0)
-    q = questions.select("record_id", "question_id", tokens_ws("question").alias("q_tokens")).where(F.size("q_tokens") > 0)
+    q = questions.select("record_id", "question_id", "question").where(has_text("question")).select("record_id", "question_id", tokens_ws("question").alias("q_tokens"))
     m = memory.where("status <> 'archived'").select("record_id", "node_id", "node_type", "content", "source_session_ids", "node_ord", tokens_ws("content").alias("m_tokens"), weight.alias("w"), F.coalesce("confidence", F.lit(0.8)).alias("c"))
-    ratio = F.size(F.array_intersect("q_tokens", "m_tokens")) / F.size("q_tokens")
+    # the second array is made a set for each pair, so the shorter one stands there
+    ratio = F.size(F.array_intersect("m_tokens", "q_tokens")) / F.size("q_tokens")
     score = F.least(F.lit(1.0), ratio * F.col("w") * F.col("c"))
     return q.join(m, "record_id").select("record_id", "question_id", "node_id", "node_type", "content", "source_session_ids", "node_ord", score.alias("score"))
 
 
 def retrieve(questions: DataFrame, memory: DataFrame, k: int = 8, min_score: float = 0.0, summaries: DataFrame | None = None, diversify: bool = False) -> DataFrame:
     """The best ``k`` nodes per question (ties in node order), then the summaries at 0.5."""
-    scored = score_memory(questions, memory).where(F.col("score") >= min_score)
     order = Window.partitionBy("record_id", "question_id").orderBy(F.desc("score"), "node_ord")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
+    # what scores too little comes last, so it can go after ranking; before, Spark would work each score out twice
+    ranked = score_memory(questions, memory).withColumn("rank", F.row_number().over(order)).where(F.col("score") >= min_score)
     if diversify:
         # one session only among the first k: the best node of another session takes the last place
         whole = Window.partitionBy("record_id", "question_id")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import normalize_text
+from ..functions.columns import has_text
 from ..operators import graph, memory, retrieval, rewards, rollout
 from ..sources.durable import durable
 from . import sqlparts as S
 from .base import query, table
-from .graph_queries import graph_of, turns_of
+from .graph_queries import turns_of
 
 
 def memory_of(spark, sf_dir):
@@ -19,9 +19,12 @@ def memory_of(spark, sf_dir):
 
 
 def questions_of(spark, sf_dir):
+    return questions_from(graph.heuristic_facts(turns_of(spark, sf_dir)))
+
+
+def questions_from(facts):
     """Every assistant turn as a question about itself: its first twelve words ask, the whole turn is expected."""
-    answer = normalize_text("text")
-    rows = graph.heuristic_facts(turns_of(spark, sf_dir)).where(F.lower("speaker") == "assistant").withColumn("answer", answer).where("answer <> ''")
+    rows = facts.where((F.lower("speaker") == "assistant") & has_text("text")).withColumnRenamed("clean", "answer")
     return rows.select(
         "record_id",
         F.concat(F.lit("q_"), "event_id").alias("question_id"),
@@ -41,10 +44,12 @@ def answers_of(spark, sf_dir):
 
 def scored_memory_of(spark, sf_dir):
     """Scored question items, memory nodes and summaries, each worked out once."""
-    nodes = durable(memory_of(spark, sf_dir)[0])
-    summaries, q = durable(memory.memory_summaries(nodes)), durable(questions_of(spark, sf_dir))
+    turns = durable(turns_of(spark, sf_dir))
+    facts = durable(graph.heuristic_facts(turns))
+    nodes = durable(memory.memory_nodes(durable(memory.retained_turns(turns))))
+    summaries, q = durable(memory.memory_summaries(nodes)), durable(questions_from(facts))
     a = durable(retrieval.baseline_answers(q, retrieval.retrieve(q, nodes)))
-    return durable(rewards.question_items(q, a, durable(graph_of(spark, sf_dir)[0]), nodes, summaries)), nodes, summaries
+    return durable(rewards.question_items(q, a, graph.oracle_nodes(turns, facts), nodes, summaries)), nodes, summaries
 
 
 def items_of(spark, sf_dir):
@@ -226,22 +231,23 @@ def _cells(sql: str) -> str:
 
 def scored_cells_of(spark, sf_dir):
     """Two memories of each record (texts of 20 and of 80 characters are retained) with two sets of questions."""
-    turns, oracle = durable(turns_of(spark, sf_dir)), durable(graph_of(spark, sf_dir)[0])
+    turns = durable(turns_of(spark, sf_dir))
+    facts = durable(graph.heuristic_facts(turns))
     samples = [memory.MemoryConfig(20), memory.MemoryConfig(80)]
     name = lambda kind, k: F.concat("record_id", F.lit(f":{kind}{k}"))
     nodes, texts = None, None
     for k, cfg in enumerate(samples):
-        mine = memory.memory_nodes(memory.retained_turns(turns, cfg))
+        mine = durable(memory.memory_nodes(memory.retained_turns(turns, cfg)))
         own, said = (df.withColumn("memory_sample_id", name("m", k)) for df in (mine, memory.memory_summaries(mine)))
         nodes, texts = (own, said) if nodes is None else (nodes.unionByName(own), texts.unionByName(said))
-    q = questions_of(spark, sf_dir)
+    q = questions_from(facts)
     q = durable(q.withColumn("question_sample_id", F.concat("record_id", F.lit(":q"), (F.col("event_ord") % 2).cast("string"))))
     records = turns.select("record_id").distinct()
     memories = records.select("record_id", F.explode(F.array(name("m", 0), name("m", 1))).alias("memory_sample_id"))
     sets = records.select("record_id", F.explode(F.array(name("q", 0), name("q", 1))).alias("question_sample_id"))
     asked = sets.join(q.groupBy("question_sample_id").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "question_sample_id", "left")
     asked = durable(asked.select("record_id", "question_sample_id", F.coalesce("n", F.lit(0)).alias("accepted_question_count")))
-    return rollout.score_cells(durable(rollout.pair_cells(durable(memories), asked)), durable(nodes), durable(texts), q, oracle)
+    return rollout.score_cells(durable(rollout.pair_cells(durable(memories), asked)), nodes, durable(texts), q, graph.oracle_nodes(turns, facts))
 
 
 _CELL_REWARDS = f"""WITH {_cells(_COMPONENTS)}, asked_n AS (SELECT record_id, count(*) AS n FROM questions GROUP BY ALL),
