@@ -60,14 +60,37 @@ def group_issues(samples: DataFrame, rewards: DataFrame, advantages: DataFrame |
     without a sample of their group, advantages without a reward of theirs, and rewards or advantages that give another
     record or role than the samples of their group. A group without samples (rewards) lets its rewards (advantages)
     pass. Columns ``group_id``, ``record_id`` and ``role`` are compared where both tables have them."""
-    issue = lambda df, code, path: df.select(F.lit(code).alias("code"), F.col(path).alias("path"))
     tables = {"sample": samples, "reward": rewards} | ({} if advantages is None else {"advantage": advantages})
-    found = [issue(t.groupBy("sample_id").count().where("count > 1"), f"duplicate_{'' if n == 'sample' else n + '_'}sample_id", "sample_id") for n, t in tables.items()]
     grouped = [c for c in ("record_id", "role") if c in samples.columns]
+    names, keyed = list(tables), all("group_id" in t.columns for t in tables.values())
+    own = lambda t, c: F.col(c) if c in t.columns else F.lit(None).cast(samples.schema[c].dataType).alias(c)
+    rows = [t.select("sample_id", F.lit(i).alias("_t"), *([own(t, c) for c in ("group_id", *grouped)] if keyed else [])) for i, t in enumerate(tables.values())]
+    rows = functools.reduce(DataFrame.unionByName, rows)
+    of = lambda i: F.col("_t") == i
+    issue = lambda test, code, path: F.when(test, F.struct(F.lit(code).alias("code"), F.col(path).cast(kind).alias("path")))
+    listed = lambda df, rules: df.select(F.explode(F.array_compact(F.array(*rules))).alias("i")).select("i.*")
+    kind = rows.schema["sample_id"].dataType
+    if "group_id" in samples.columns:
+        kind = samples.select("group_id").union(rows.select("sample_id")).schema[0].dataType
+    counts = rows.groupBy("sample_id").agg(*[F.count_if(of(i)).alias(f"n{i}") for i in range(len(names))])
+    found = [listed(counts, [issue(F.col(f"n{i}") > 1, f"duplicate_{'' if n == 'sample' else n + '_'}sample_id", "sample_id") for i, n in enumerate(names)])]
+    if keyed:
+        # all rows of a group meet once, sorted by sample; every rule is read off there
+        group, same = Window.partitionBy("group_id"), Window.partitionBy("group_id", "sample_id")
+        at = {f"_s{i}": F.max(of(i)).over(same) for i in range(len(names) - 1)} | {f"_g{i}": F.max(of(i)).over(group) for i in range(len(names) - 1)}
+        at |= {f"_{m}_{c}": getattr(F, m)(F.when(of(0), F.col(c))).over(group) for c in grouped for m in ("min", "max")}
+        met = rows.withColumns(at | {"_n": F.row_number().over(group.orderBy("sample_id"))})
+        placed = F.col("group_id").isNotNull()
+        rules = [issue((F.col("_n") == 1) & (F.col(f"_min_{c}") != F.col(f"_max_{c}")), f"group_{c.removesuffix('_id')}_mismatch", "group_id") for c in grouped]
+        for i, (above, name) in enumerate(zip(names, names[1:])):
+            held = F.col(f"_s{i}") & F.col("sample_id").isNotNull()
+            rules.append(issue(of(i + 1) & placed & F.col(f"_g{i}") & ~held, f"{name}_without_{above}", "sample_id"))
+            rules += [issue(of(i + 1) & placed & (F.col(c) != F.col(f"_min_{c}")), f"{name}_{c.removesuffix('_id')}_mismatch", "sample_id") for c in grouped if c in tables[name].columns]
+        return found[0].unionByName(listed(met, rules))
+    pick = lambda df, code, path: df.select(F.lit(code).alias("code"), F.col(path).alias("path"))
     for c in grouped:
         per = samples.groupBy("group_id").agg(F.min(c).alias("a"), F.max(c).alias("b")).where("a <> b")
-        found.append(issue(per, f"group_{c.removesuffix('_id')}_mismatch", "group_id"))
-    names = list(tables)
+        found.append(pick(per, f"group_{c.removesuffix('_id')}_mismatch", "group_id"))
     for above, name in zip(names, names[1:]):
         held, t = tables[above], tables[name]
         same_group = "group_id" in held.columns and "group_id" in t.columns
@@ -75,14 +98,14 @@ def group_issues(samples: DataFrame, rewards: DataFrame, advantages: DataFrame |
         lost = t.hint("merge").join(held.select(*on).distinct().hint("merge"), on, "left_anti")
         if same_group:
             lost = lost.hint("merge").join(held.select("group_id").distinct().hint("merge"), "group_id", "left_semi")
-        found.append(issue(lost, f"{name}_without_{above}", "sample_id"))
+        found.append(pick(lost, f"{name}_without_{above}", "sample_id"))
     for name in names[1:]:
         t = tables[name]
         for c in grouped:
             if c in t.columns and "group_id" in t.columns:
                 whole = samples.groupBy("group_id").agg(F.min(c).alias("want"))
                 other = t.hint("merge").join(whole.hint("merge"), "group_id").where(F.col(c) != F.col("want"))
-                found.append(issue(other, f"{name}_{c.removesuffix('_id')}_mismatch", "sample_id"))
+                found.append(pick(other, f"{name}_{c.removesuffix('_id')}_mismatch", "sample_id"))
     return functools.reduce(DataFrame.unionByName, found)
 
 
