@@ -154,8 +154,8 @@ def coalesce_truthy(*cols) -> Column:
 
 def clip(c, limit: int) -> Column:
     """At most ``limit`` characters, cut text ends in dots."""
-    t = normalize_text(c)
-    return t if limit <= 0 else F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("...")))
+    cut = lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("...")))
+    return normalize_text(c) if limit <= 0 else once(normalize_text(c), cut)
 
 
 def unit_hash(*keys) -> Column:

@@ -22,17 +22,16 @@ def _map(d):
 def adjacency(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
     """(record_id, node_id, next_id, edge_type, traversal, edge_ord, weight). Edges to unknown nodes and
     bridges over speaker entities are gone, weights are worked out, so a step is one join."""
-    kinds = nodes.select("record_id", "node_id", "node_type")
-    known = edges.join(kinds.withColumnRenamed("node_id", "source").withColumnRenamed("node_type", "source_type"), ["record_id", "source"]).join(kinds.withColumnRenamed("node_id", "target").withColumnRenamed("node_type", "target_type"), ["record_id", "target"])
-    hubs = generic_entities(nodes)
-    bridge = F.col("edge_type").isin("FACT_SUBJECT", "FACT_OBJECT", "MENTIONS")
-    bridges = known.where(bridge)
+    hubs = generic_entities(nodes).distinct().withColumn("hub", F.lit(True))
+    kinds = nodes.select("record_id", "node_id", "node_type").hint("merge").join(hubs.hint("merge"), ["record_id", "node_id"], "left")
+    known = edges
     for end in ("source", "target"):
-        bridges = bridges.join(hubs.withColumnRenamed("node_id", end), ["record_id", end], "left_anti")
-    kept = known.where(~bridge).unionByName(bridges)
-    out = kept.select("record_id", F.col("source").alias("node_id"), F.col("target").alias("next_id"), F.col("target_type").alias("next_type"), "edge_type", F.lit("out").alias("traversal"), "edge_ord")
-    if not directed:
-        out = out.unionByName(kept.select("record_id", F.col("target").alias("node_id"), F.col("source").alias("next_id"), F.col("source_type").alias("next_type"), "edge_type", F.lit("in").alias("traversal"), "edge_ord"))
+        known = known.hint("merge").join(kinds.select("record_id", F.col("node_id").alias(end), F.col("node_type").alias(f"{end}_type"), F.col("hub").alias(f"{end}_hub")).hint("merge"), ["record_id", end])
+    bridge = F.col("edge_type").isin("FACT_SUBJECT", "FACT_OBJECT", "MENTIONS")
+    kept = known.where(~bridge | (bridge & F.col("source_hub").isNull() & F.col("target_hub").isNull()))
+    way = lambda a, b, name: F.struct(F.col(a).alias("node_id"), F.col(b).alias("next_id"), F.col(f"{b}_type").alias("next_type"), F.lit(name).alias("traversal"))
+    ways = [way("source", "target", "out")] + ([] if directed else [way("target", "source", "in")])
+    out = kept.select("record_id", "edge_type", "edge_ord", F.explode(F.array(*ways)).alias("w")).select("record_id", "w.node_id", "w.next_id", "w.next_type", "edge_type", "w.traversal", "edge_ord")
     weight = F.coalesce(_map(NODE_WEIGHTS)[F.col("next_type")], F.lit(1.0)) * F.coalesce(_map(EDGE_FACTORS)[F.col("edge_type")], F.lit(1.0))
     return out.withColumn("weight", weight)
 
@@ -74,11 +73,17 @@ def random_walks(nodes: DataFrame, edges: DataFrame, attempts: int = 30, length:
     return _walk(adj, durable(walk_starts(nodes, adj)), 1, attempts, length, seed, max_next)
 
 
-def _good_walks(steps: DataFrame, nodes: DataFrame, sessions: DataFrame, min_nodes: int, min_sessions: int) -> DataFrame:
-    typed = steps.hint("merge").join(nodes.select("record_id", "node_id", "node_type").hint("merge"), ["record_id", "node_id"]).hint("merge").join(sessions.hint("merge"), ["record_id", "node_id"], "left")
+def _about(nodes: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(record_id, node_id, node_type, session_ids) of all nodes, so that a step of a walk is looked up once."""
+    of_node = sessions.groupBy("record_id", "node_id").agg(F.collect_set("session_id").alias("session_ids"))
+    return nodes.select("record_id", "node_id", "node_type").hint("merge").join(of_node.hint("merge"), ["record_id", "node_id"], "left")
+
+
+def _good_walks(steps: DataFrame, about: DataFrame, min_nodes: int, min_sessions: int) -> DataFrame:
+    typed = steps.hint("merge").join(about.hint("merge"), ["record_id", "node_id"])
     walks = typed.groupBy("record_id", "attempt").agg(
         F.transform(F.array_sort(F.collect_set(F.struct("step", "node_id"))), lambda x: x["node_id"]).alias("node_ids"),
-        F.array_sort(F.collect_set("session_id")).alias("session_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("session_ids")))).alias("session_ids"),
         F.max(F.col("node_type").isin("fact", "abstract_memory").cast("int")).alias("evidence"),
         F.size(F.collect_set(F.when(F.col("node_type").isin("topic", "session"), F.col("step")))).alias("structural"),
     )
@@ -99,7 +104,7 @@ def _numbered(ranked: DataFrame) -> DataFrame:
 def accept_walks(steps: DataFrame, nodes: DataFrame, sessions: DataFrame, num_walks: int = 8, min_nodes: int = 2, min_sessions: int = 0) -> DataFrame:
     """The first ``num_walks`` attempts per record with an evidence node, few structural nodes, enough sessions
     and a new sequence of nodes; numbered traj_0001 on. Columns: node_ids, session_ids, n_nodes."""
-    return _numbered(_first_walks(_good_walks(steps, nodes, sessions, min_nodes, min_sessions), num_walks))
+    return _numbered(_first_walks(_good_walks(steps, _about(nodes, sessions), min_nodes, min_sessions), num_walks))
 
 
 def accepted_walks(nodes: DataFrame, edges: DataFrame, sessions: DataFrame, num_walks: int = 8, attempts: int | None = None, length: int = 5, seed: int = 42, max_next: int = -1, min_nodes: int = 2, min_sessions: int = 0) -> DataFrame:
@@ -109,10 +114,11 @@ def accepted_walks(nodes: DataFrame, edges: DataFrame, sessions: DataFrame, num_
     attempts = 30 * num_walks if attempts is None else attempts
     adj = durable(adjacency(nodes, edges))
     starts = durable(walk_starts(nodes, adj))
+    about = durable(_about(nodes, sessions))
     kept, first, size = None, 1, 3 * num_walks
     while True:
         last = min(attempts, first + size - 1)
-        good = _good_walks(_walk(adj, starts, first, last, length, seed, max_next), nodes, sessions, min_nodes, min_sessions)
+        good = _good_walks(_walk(adj, starts, first, last, length, seed, max_next), about, min_nodes, min_sessions)
         kept = durable(_first_walks(good if kept is None else kept.drop("rn").unionByName(good), num_walks))
         if last == attempts:
             return _numbered(kept)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import access, graph
+from ..sources.durable import durable
 from ..sources.turns import turns_from_conversations
 from . import sqlparts as S
 from .base import query, table
@@ -19,9 +20,9 @@ def facts_of(spark, sf_dir):
 
 
 def graph_of(spark, sf_dir):
-    t = turns_of(spark, sf_dir)
-    f = graph.heuristic_facts(t)
-    return graph.oracle_nodes(t, f), graph.oracle_edges(t, f)
+    """Nodes and edges; their many parts read facts that are worked out and written once."""
+    f = durable(facts_of(spark, sf_dir).drop("clean", "session_ord"))
+    return graph.oracle_nodes(f, f), graph.oracle_edges(f, f)
 
 
 @query("s6_m1_turns", f"WITH {S.TURNS} SELECT record_id, session_id, session_ord, turn_id, event_ord, event_id, speaker, text FROM turns")

@@ -407,7 +407,8 @@ def sessions(spark, sf_dir):
 def walks_of(spark, sf_dir):
     from ..operators.access import infer_sessions
 
-    n, e = (durable(x) for x in graph_of(spark, sf_dir))
+    n, e = graph_of(spark, sf_dir)
+    n, e = durable(n), durable(e.drop("edge_key", "confidence"))
     s = durable(infer_sessions(n, e, mode="walk"))
     return n, s, walks.accepted_walks(n, e, s, num_walks=8, length=5, max_next=1)
 
@@ -472,7 +473,7 @@ def placeholder_questions(spark, sf_dir):
 def question_gate(spark, sf_dir):
     n, s, accepted = walks_of(spark, sf_dir)
     accepted = durable(accepted)
-    labels = durable(walks.node_labels(n))
+    labels = durable(walks.node_labels(n).select("record_id", "node_id", "node_type", "label"))
     q = durable(questions.placeholder_questions(accepted, labels, s))
     gate = questions.oracle_validity(q, accepted, labels, s, allow_placeholder=True, min_sessions=0)
     return questions.apply_verdicts(q, gate).groupBy("record_id", "status").agg(F.count(F.lit(1)).alias("n"))
