@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from ..sources.durable import durable
 
 
@@ -23,18 +24,19 @@ def find_keys(df: DataFrame, row_id: str, json_col: str, keys: list[str], edge_t
     backslash, with which a name can be written in another way. Each level is written, so none is read twice."""
     norm = (lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")) if loose else (lambda c: c)
     wanted = [k.lower().replace("_", "").replace("-", "") if loose else k for k in keys]
-    rows = df if loose else df.where(functools.reduce(operator.or_, [F.contains(F.col(json_col), F.lit(k)) for k in ["\\", *keys]]))
+    # each text is worked out and parsed once a row, however the planner moves the conditions
+    rows = df if loose else df.where(once(F.col(json_col), lambda t: functools.reduce(operator.or_, [F.contains(t, F.lit(k)) for k in ["\\", *keys]])))
 
     def inner(v):
         """``v`` where it has a next level, else null."""
         nests = lambda x: F.when(F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"), x)
         if not nested_json:
-            return nests(v)
-        text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-        return F.coalesce(nests(v), nests(F.try_parse_json(text)))
+            return once(v, nests)
+        text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+        return once(v, lambda x: F.coalesce(nests(x), once(F.try_parse_json(text(x)), nests)))
 
     spark, out = df.sparkSession, None
-    level = rows.select(F.col(row_id).alias("row_id"), F.lit("").alias("path"), inner(F.try_parse_json(json_col)).alias("v")).where("v is not null")
+    level = rows.select(F.col(row_id).alias("row_id"), F.lit("").alias("path"), inner(F.try_parse_json(json_col)).alias("v"))
     while True:
         each = level.withColumnRenamed("path", "parent").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         here = F.when(F.col("key").isNull(), F.concat("parent", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("parent", F.when(F.col("parent") == "", "").otherwise("."), "key"))
@@ -43,8 +45,8 @@ def find_keys(df: DataFrame, row_id: str, json_col: str, keys: list[str], edge_t
             hit = hit & ~((F.col("key") == "target") & F.col("parent").rlike(r"(^|\.)edges\[\d+\]$"))
         if allow_null:
             hit = hit & ~F.is_variant_null("value")
-        each = each.select("row_id", here.alias("path"), "key", hit.alias("hit"), inner(F.col("value")).alias("v"))
-        each = durable(each.where("hit or v is not null"))
+        met = F.array(F.struct(here.alias("path"), "key", hit.alias("hit"), inner(F.col("value")).alias("v")))
+        each = durable(each.select("row_id", F.inline(F.filter(met, lambda m: m["hit"] | m["v"].isNotNull()))))
         found = each.where("hit").select("row_id", "path", "key")
         out = found if out is None else out.unionByName(found)
         level = each.where("v is not null").select("row_id", "path", "v")

@@ -10,6 +10,8 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
+from ..sources.durable import durable
 from .audit import find_keys
 
 #: The measures of a round and of an actor that must be finite.
@@ -170,27 +172,30 @@ def inspect_alignment(rollouts: DataFrame, lines: DataFrame, artifacts: DataFram
     manifest has no further issue. A line that is no JSON object is an issue, a record whose memory or question group
     is missing another; a batch that holds a forbidden field with a value at any depth, also inside JSON strings, is
     unsafe, with its paths in ``what``."""
-    has = lambda path: artifacts.where(F.col("path") == path).select("rollout_id").distinct().hint("merge")
     plain = lambda df, severity, code, what=F.lit(None), record=F.lit(None): df.select("rollout_id", record.cast("string").alias("record_id"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), what.cast("string").alias("what"))
-    each = rollouts.select("rollout_id").distinct()
-    live = each.hint("merge").join(has("manifest.jsonl"), "rollout_id", "left_semi")
-    out = [plain(each.hint("merge").join(has("manifest.jsonl"), "rollout_id", "left_anti"), "error", "missing_manifest"), plain(live.hint("merge").join(has("summary.json"), "rollout_id", "left_anti"), "warning", "missing_summary")]
-    parsed = F.try_parse_json(F.trim("line"))
-    rows = lines.hint("merge").join(live.hint("merge"), "rollout_id", "left_semi").withColumn("_ok", F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))).withColumn("record_id", F.try_variant_get(parsed, "$.record_id", "string"))
+    held = {"manifest": "manifest.jsonl", "summary": "summary.json", "groups": "groups"}
+    has = artifacts.where(F.col("path").isin(*held.values())).groupBy("rollout_id").agg(*[F.bool_or(F.col("path") == p).alias(k) for k, p in held.items()])
+    each = durable(rollouts.select("rollout_id").distinct().hint("merge").join(has.hint("merge"), "rollout_id", "left").na.fill(False, list(held)))
+    live = each.where("manifest")
+    out = [plain(each.where("not manifest"), "error", "missing_manifest"), plain(live.where("not summary"), "warning", "missing_summary")]
+    # lines are joined and parsed once and written
+    read = once(F.try_parse_json(F.trim("line")), lambda v: F.struct(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("_ok"), F.try_variant_get(v, "$.record_id", "string").alias("record_id")))
+    rows = lines.select("rollout_id", "line_num", read.alias("r")).hint("merge").join(live.select("rollout_id", "groups").hint("merge"), "rollout_id")
+    rows = durable(rows.select("rollout_id", "line_num", "groups", "r.*"))
     out.append(plain(rows.where("not _ok"), "error", "invalid_manifest_line", F.col("line_num")))
-    named = rows.where("_ok").select("rollout_id", F.coalesce("record_id", F.lit("None")).alias("record_id"))
-    out.append(plain(named.hint("merge").join(has("groups"), "rollout_id", "left_anti"), "error", "missing_groups_dir", record=F.col("record_id")))
+    named = rows.where("_ok").select("rollout_id", "groups", F.coalesce("record_id", F.lit("None")).alias("record_id"))
+    out.append(plain(named.where("not groups"), "error", "missing_groups_dir", record=F.col("record_id")))
     kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.concat(F.lit("groups/"), "record_id", F.lit(f".{k}_group.json")).alias("path")) for k in ("memory", "question")])
-    grouped = named.hint("merge").join(has("groups"), "rollout_id", "left_semi").select("rollout_id", "record_id", F.explode(kinds).alias("e")).select("rollout_id", "record_id", "e.*")
-    lost = grouped.hint("merge").join(artifacts.select("rollout_id", "path").distinct().hint("merge"), ["rollout_id", "path"], "left_anti")
+    named = named.where("groups")
+    grouped = named.select("rollout_id", "record_id", F.explode(kinds).alias("e")).select("rollout_id", "record_id", "e.*")
+    lost = grouped.hint("merge").join(artifacts.select("rollout_id", "path").hint("merge"), ["rollout_id", "path"], "left_anti")
     out.append(lost.select("rollout_id", "record_id", F.lit("warning").alias("severity"), F.concat(F.lit("missing_"), "k", F.lit("_group")).alias("code"), F.lit(None).cast("string").alias("what")))
     # only batches of records that a rollout with groups names are read
-    listed = grouped.select("rollout_id", "record_id").distinct()
-    held = batches.hint("merge").join(listed.hint("merge"), ["rollout_id", "record_id"], "left_semi").withColumn("_id", F.to_json(F.struct("rollout_id", "record_id", "role")))
+    held = batches.hint("merge").join(named.select("rollout_id", "record_id").hint("merge"), ["rollout_id", "record_id"], "left_semi")
+    held = held.withColumn("_id", F.struct("rollout_id", F.col("record_id").cast("string").alias("record_id"), F.col("role").cast("string").alias("role")))
     unsafe = find_keys(held, "_id", "json", BATCH_FORBIDDEN, allow_null=True, nested_json=True)
     per = unsafe.groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("batch."), "path"))), ", ").alias("paths"))
-    back = F.from_json("row_id", "rollout_id string, record_id string, role string")
-    out.append(per.select(back.alias("b"), "paths").select(F.col("b.rollout_id").cast(rollouts.schema["rollout_id"].dataType).alias("rollout_id"), "b.record_id", F.lit("error").alias("severity"), F.lit("unsafe_actor_batch").alias("code"), F.concat_ws(": ", "b.role", "paths").alias("what")))
+    out.append(per.select(F.col("row_id").alias("b"), "paths").select(F.col("b.rollout_id").cast(rollouts.schema["rollout_id"].dataType).alias("rollout_id"), "b.record_id", F.lit("error").alias("severity"), F.lit("unsafe_actor_batch").alias("code"), F.concat_ws(": ", "b.role", "paths").alias("what")))
     return functools.reduce(DataFrame.unionByName, out)
 
 
