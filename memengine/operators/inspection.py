@@ -137,29 +137,41 @@ def inspect_runs(runs: DataFrame, records: DataFrame, artifacts: DataFrame, batc
     ``invalid_reward``: a mean outside -1e6 to 1e6 or not a number. ``passed`` runs are those without a row."""
     at = lambda *parts: F.concat(F.col("run_dir"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
     slot = lambda what, path, parent=None: F.struct((F.lit(what) if isinstance(what, str) else what).alias("what"), path.alias("path"), (F.lit(None) if parent is None else parent).cast("string").alias("parent"))
-    manifest = at("/multi_case_rollout_manifest.json")
-    lost = _lacking(runs.select("run_id", F.lit("manifest").alias("what"), manifest.alias("path")), artifacts).select("run_id", "what")
-    live = runs.hint("merge").join(lost.select("run_id").hint("merge"), "run_id", "left_anti")
     batches, both = at("/aggregate/actor_batches"), [f"{a}.{k}" for a in ACTORS for k in ("update_batch", "batch_manifest")]
     common = [slot("records", at("/records")), slot("aggregate", at("/aggregate"))]
     common += [slot(k, at(f"/aggregate/{f}"), at("/aggregate")) for k, f in (("replay_buffer", "replay_buffer.jsonl"), ("replay_manifest", "aggregated_replay_manifest.json"))]
     trained = [slot("actor_batches", batches, at("/aggregate"))] + [slot(b, at(f"/aggregate/actor_batches/{b}.json"), batches) for b in both]
-    expected = live.select("run_id", F.explode(F.concat(F.array(*common), F.when(F.col("split") == "train", F.array(*trained)).otherwise(F.array().cast("array<struct<what:string,path:string,parent:string>>")))).alias("e")).select("run_id", "e.*")
-    chosen = live.select("run_id", "run_dir", F.explode("selected_record_ids").alias("record_id")).select("run_id", slot(F.concat(F.lit("record."), "record_id"), at("/records/", F.col("record_id")), at("/records")).alias("e")).select("run_id", "e.*")
-    of_live = records.hint("merge").join(live.select("run_id").hint("merge"), "run_id", "left_semi")
-    ok = of_live.where("status = 'succeeded'")
-    reports = ok.select("run_id", slot(F.concat(F.lit("report."), "record_id"), _filled(ok, "final_report_path")).alias("e")).select("run_id", "e.*").where("path is not null")
-    gone = lost.unionByName(_lacking(expected.unionByName(chosen).unionByName(reports), artifacts).select("run_id", "what"))
+    none = F.array().cast("array<struct<what:string,path:string,parent:string>>")
+    chosen = F.transform("selected_record_ids", lambda r: slot(F.concat(F.lit("record."), r), at("/records/", r), at("/records")))
+    parts = {"manifest": F.array(slot("manifest", at("/multi_case_rollout_manifest.json"))), "common": F.array(*common), "trained": F.when(F.col("split") == "train", F.array(*trained)), "record": chosen}
+    of_kind = lambda k: lambda e: F.struct(F.lit(k).alias("kind"), e["what"].alias("what"), e["path"].alias("path"), e["parent"].alias("parent"))
+    every = [F.transform(F.coalesce(x, none), of_kind(k)) for k, x in parts.items()]
+    slots = runs.select("run_id", F.explode(F.concat(*every)).alias("e")).select("run_id", "e.*")
+    ok = records.where("status = 'succeeded'")
+    reports = ok.select("run_id", F.lit("report").alias("kind"), F.concat(F.lit("report."), "record_id").alias("what"), _filled(ok, "final_report_path").alias("path"), F.lit(None).cast("string").alias("parent")).where("path is not null")
+    # every path of every run is looked up in one join; what is not there, and what later rules ask for, is written
+    listed = artifacts.select("path").distinct().withColumn("there", F.lit(True))
+    met = slots.unionByName(reports).hint("merge").join(listed.hint("merge"), "path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    batch = (F.col("kind") == "trained") & F.col("what").endswith("batch_manifest")
+    met = durable(met.where(~F.col("there") | (F.col("kind") == "manifest") | batch))
+    state = durable(met.where("kind = 'manifest' and run_id is not null").groupBy("run_id").agg(F.bool_and("there").alias("live")))
+    live = state.where("live").select("run_id").hint("merge")
+    # a report counts only for a run of the table, as do records below; what lies in a missing folder is not listed
+    lost = met.where("not there and kind <> 'manifest'").hint("merge").join(state.hint("merge"), "run_id", "left").where("coalesce(live, kind <> 'report')")
+    folders = met.where("not there").select(F.col("path").alias("parent"))
+    inside = lost.where("parent is not null").hint("merge").join(folders.hint("merge"), "parent", "left_anti")
+    gone = met.where("not there and kind = 'manifest'").select("run_id", "what").unionByName(lost.where("parent is null").select("run_id", "what")).unionByName(inside.select("run_id", "what"))
     out = gone.select("run_id", F.lit("error").alias("severity"), F.lit("missing_artifact").alias("code"), "what")
     wrong = lambda c: ~((_col(records, c, "double") > -1e6) & (_col(records, c, "double") < 1e6))
-    out = out.unionByName(_found(of_live, ["run_id"], [_issue("error", "invalid_reward", F.concat_ws(".", "record_id", F.lit(c)), wrong(c)) for c in ("memory_reward_mean", "question_reward_mean")]))
+    means = _found(records, ["run_id"], [_issue("error", "invalid_reward", F.concat_ws(".", "record_id", F.lit(c)), wrong(c)) for c in ("memory_reward_mean", "question_reward_mean")])
+    out = out.unionByName(means.hint("merge").join(live, "run_id", "left_semi"))
     if strict:
-        failed = ok.where(~F.coalesce("no_leakage_passed", F.lit(False))).select("run_id").distinct()
+        failed = ok.where(~F.coalesce("no_leakage_passed", F.lit(False))).select("run_id").distinct().hint("merge").join(live, "run_id", "left_semi")
         out = out.unionByName(failed.select("run_id", F.lit("error").alias("severity"), F.lit("leakage_risk").alias("code"), F.lit("records").alias("what")))
     if batch_manifests is not None:
         unsafe = batch_manifests.where(~F.coalesce("no_leakage_passed", F.lit(False))).select("path").distinct()
-        held = expected.where(F.col("what").endswith("batch_manifest")).hint("merge").join(unsafe.hint("merge"), "path", "left_semi")
-        held = held.hint("merge").join(artifacts.select("path").distinct().hint("merge"), "path", "left_semi")
+        held = met.where(batch & F.col("there")).hint("merge").join(state.hint("merge"), "run_id", "left").where("coalesce(live, true)")
+        held = held.hint("merge").join(unsafe.hint("merge"), "path", "left_semi")
         out = out.unionByName(held.select("run_id", F.lit("error").alias("severity"), F.lit("leakage_risk").alias("code"), "what"))
     return out
 
