@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..functions.columns import answer_correctness, clamp, has_words, token_f1, tokens_reward
 from ..sources.durable import durable
@@ -14,6 +16,8 @@ from ..sources.durable import durable
 MEMORY_WEIGHTS = {"answer_utility": 0.25, "oracle_coverage": 0.20, "groundedness": 0.15, "non_redundancy": 0.15, "compression_balance": 0.10, "abstraction_quality": 0.10, "format_safety": 0.05}
 QUESTION_WEIGHTS = {"oracle_validity": 0.35, "adversarial_success": 0.25, "coverage_gain": 0.15, "diagnostic_value": 0.15, "diversity": 0.10}
 KEY = ["record_id", "question_id"]
+#: Token sets of a record up to which they meet by signatures, and of a chunk of a larger record.
+WHOLE_SETS, CHUNK_SETS = 2048, 8192
 
 
 def question_answer_pairs(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -156,23 +160,160 @@ def part_signatures(sets: DataFrame, threshold: float) -> DataFrame:
     return keyed.mapInPandas(run, schema)
 
 
-def non_redundancy(memory: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """V7: per record, 1 minus the share of pairs of active nodes with token Jaccard at the threshold or above.
+def parity_sketches(sets: DataFrame, threshold: float) -> DataFrame:
+    """(record_id, set_id, copies, size, g, bits) of token sets that have a token. Each token falls on a bit; a bit tells
+    whether an odd number did, so two sketches differ in no more bits than their sets differ in tokens. ``g`` is the size
+    class, as of ``part_signatures``; a class has about as many bits as its largest set has tokens, a power of two."""
+    base = 1.003 / threshold
 
-    Equal token sets are counted by group size. Different sets meet where a part of their tokens is the same
-    (``part_signatures``), some five tokens at a time, and are compared in full."""
-    active = memory.where("status = 'active'").select("record_id", "node_id", F.array_sort(tokens_reward("content")).alias("tokens"))
-    sets = durable(active.groupBy("record_id", "tokens").agg(F.count(F.lit(1)).alias("copies"), F.min("node_id").alias("set_id")))
-    totals = sets.groupBy("record_id").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * (F.col("copies") - 1) / 2).alias("same"))
-    full = sets.where(F.size("tokens") > 0)
-    signed = durable(part_signatures(full, threshold))
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.slice(s, 1024)
+                h = part.column("h")
+                size = np.diff(h.offsets.to_numpy()).astype(np.int64)
+                g = np.floor(np.log(size) / np.log(base)).astype(np.int64)
+                width = np.left_shift(1, np.maximum(7, np.ceil(np.log2(base ** (g + 1.0)))).astype(np.int64))
+                first = np.cumsum(width) - width
+                owner = np.repeat(np.arange(len(size)), size)
+                at = h.flatten().to_numpy() & (width[owner] - 1)
+                odd = (np.bincount(first[owner] + at, minlength=int(width.sum())) & 1).astype(np.uint8)
+                ends = np.concatenate(([0], np.cumsum(width // 8))).astype(np.int32)
+                bits = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.packbits(odd))])
+                own = [part.column(c) for c in ("record_id", "set_id", "copies")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(g), bits], names=["record_id", "set_id", "copies", "size", "g", "bits"])
+
+    keyed = sets.select("record_id", "set_id", "copies", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    schema = StructType([*keyed.drop("h").schema.fields, *[StructField(c, LongType()) for c in ("size", "g")], StructField("bits", BinaryType())])
+    return keyed.mapInArrow(run, schema)
+
+
+def _side(table: pa.Table, side: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of one side of a block by size, their sizes, and their sketches as words."""
+    table = table.filter(pc.equal(table.column("side"), side)).sort_by([("size", "ascending"), ("set_id", "ascending")]).combine_chunks()
+    return table, table.column("size").to_numpy(), np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+
+
+def _alike(x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarray, threshold: float, own: bool):
+    """(i, js): the rows of ``y`` that row i of ``x`` can reach the threshold with, by sizes and sketches; of one block
+    with itself (``own``) those after i. Rows are in the order of sizes."""
+    words = min(x.shape[1], y.shape[1])
+    # halves of a sketch laid over each other are the sketch of half its width
+    x, y = (np.bitwise_xor.reduce(z.reshape(len(z), -1, words), axis=1) for z in (x, y))
+    y, count, apart = np.ascontiguousarray(y.T), np.uint16 if words < 1000 else np.uint32, (1 - threshold) / (1 + threshold)
+    step = max(1, (1 << 17) // max(1, y.shape[1]))
+    for s in range(0, len(x), step):
+        mine, size = x[s : s + step], x_size[s : s + step]
+        lo, hi = np.searchsorted(y_size, threshold * size[0] - 1e-9), np.searchsorted(y_size, (size[-1] + 1e-9) / threshold, side="right")
+        lo = max(lo, s + 1) if own else lo
+        if hi <= lo:
+            continue
+        off = np.zeros((len(mine), hi - lo), count)
+        for w in range(words):
+            off += np.bitwise_count(mine[:, w, None] ^ y[w, lo:hi])
+        r, c = np.nonzero(off <= int(apart * (size[-1] + y_size[hi - 1]) + 1e-9))
+        a, b, j = size[r], y_size[lo + c], lo + c
+        good = (off[r, c] <= apart * (a + b) + 1e-9) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
+        good &= (j > s + r) if own else True
+        r, j = r[good], j[good]
+        for i, js in zip(np.unique(r), np.split(j, np.flatnonzero(np.diff(r)) + 1)):
+            yield s + i, js
+
+
+BLOCK = ["record_id", "ga", "ca", "gb", "cb"]
+
+
+def _sides(key, table: pa.Table) -> tuple[tuple, tuple, bool]:
+    own = key[1] == key[3] and key[2] == key[4]
+    left = _side(table, 0)
+    return left, left if own else _side(table, 1), own
+
+
+def sketch_blocks(sketches: DataFrame) -> DataFrame:
+    """``BLOCK``, side and the columns of ``sketches``: sets of a size class are dealt into chunks by hash, and every two
+    chunks that may hold sets of fitting sizes are a block, of at most about twice ``CHUNK_SETS`` sets."""
+    by = Window.partitionBy("record_id").orderBy("g")
+    sizes = sketches.groupBy("record_id", "g").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("k"))
+    beside = lambda f, at: F.when(f("g").over(by) == F.col("g") + at, f("k").over(by)).otherwise(0)
+    sizes = sizes.select("record_id", "g", "k", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    # a row a record and size class, of records of over WHOLE_SETS sets only
+    dealt = sketches.join(F.broadcast(durable(sizes, clean=True)), ["record_id", "g"]).withColumn("c", F.pmod(F.xxhash64("set_id"), F.col("k")))
+    block = lambda ga, ca, gb, cb, side: F.struct(ga.alias("ga"), ca.alias("ca"), gb.alias("gb"), cb.alias("cb"), side.cast("int").alias("side"))
+    of = lambda k, f: F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), f)).otherwise(F.array())
+    g, c = F.col("g"), F.col("c")
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: block(g, F.least(c, i), g, F.greatest(c, i), c > i))
+    below, above = of("below", lambda i: block(g - 1, i, g, c, F.lit(1))), of("above", lambda i: block(g, c, g + 1, i, F.lit(0)))
+    return dealt.select("record_id", F.explode(F.concat(own, below, above)).alias("at"), "set_id", "copies", "size", "bits").select("record_id", "at.*", "set_id", "copies", "size", "bits")
+
+
+def near_in_blocks(full: DataFrame, threshold: float) -> DataFrame:
+    """(record_id, near): pairs of nodes in different sets at the threshold or above, of records of any size.
+
+    Sketches meet in blocks, where what sizes and sketches can't rule out is found. The sets concerned come to their
+    blocks a second time, with their tokens, and are compared in full. No set of pairs is written or shuffled, and a
+    task holds one block. The comparisons of sketches are as many as pairs of fitting sizes, some nanoseconds each."""
+    blocks = sketch_blocks(durable(parity_sketches(full, threshold), clean=True))
+
+    def concerned(key, table):
+        (left, a, x), (right, b, y), own = _sides([k.as_py() for k in key], table)
+        hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for i, js in _alike(x, a, y, b, threshold, own):
+            hit_a[i] = hit_b[js] = True
+        parts = [left.filter(hit_a | hit_b)] if own else [left.filter(hit_a), right.filter(hit_b)]
+        return pa.concat_tables(parts).select(names)
+
+    def count(key, table):
+        (left, a, x), (right, b, y), own = _sides([k.as_py() for k in key], table)
+        tokens = pa.chunked_array([*left.column("tokens").chunks, *([] if own else right.column("tokens").chunks)]).combine_chunks()
+        codes = tokens.flatten().dictionary_encode().indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(np.concatenate((a, b)) if not own else a)))
+        starts = ends[:-1] if own else ends[len(a) : -1]
+        ca, cb, mark, near = left.column("copies").to_numpy(), right.column("copies").to_numpy(), np.zeros(int(codes.max(initial=0)) + 1, np.int32), 0
+        for i, js in _alike(x, a, y, b, threshold, own):
+            mine, n = codes[ends[i] : ends[i + 1]], b[js]
+            first = np.cumsum(n) - n
+            mark[mine] = 1
+            both = np.add.reduceat(mark[codes[np.arange(n.sum()) + np.repeat(starts[js] - first, n)]], first)
+            mark[mine] = 0
+            near += int(ca[i]) * int(cb[js][both / (a[i] + n - both) >= threshold].sum())
+        return pa.table({"record_id": pa.array([key[0].as_py()], left.schema.field("record_id").type), "near": pa.array([near], pa.int64())})
+
+    names = blocks.columns
+    found = durable(blocks.groupBy(*BLOCK).applyInArrow(concerned, blocks.schema), clean=True)
+    told = found.hint("merge").join(full.select("set_id", "tokens").hint("merge"), "set_id")
+    return told.groupBy(*BLOCK).applyInArrow(count, StructType([blocks.schema["record_id"], StructField("near", LongType())]))
+
+
+def near_by_signatures(full: DataFrame, threshold: float) -> DataFrame:
+    """(record_id, ca, cb): as ``near_in_blocks``, a row per pair of sets, for records of few sets: they meet where a part
+    of their tokens is the same (``part_signatures``), some five tokens at a time, and are compared in full."""
+    signed = durable(part_signatures(full, threshold), clean=True)
     of = lambda x: signed.select("sig", "record_id", F.col("set_id").alias(x), F.col("copies").alias(f"c{x}"), F.col("size").alias(f"s{x}"))
     fits = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)
-    meet = durable(of("a").hint("merge").join(of("b").hint("merge"), ["sig", "record_id"]).where(fits).select("record_id", "a", "b", "ca", "cb").distinct())
+    meet = durable(of("a").hint("merge").join(of("b").hint("merge"), ["sig", "record_id"]).where(fits).select("record_id", "a", "b", "ca", "cb").distinct(), clean=True)
     ta, tb = full.select("record_id", F.col("set_id").alias("a"), F.col("tokens").alias("ta")), full.select("record_id", F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    hits = meet.hint("merge").join(ta.hint("merge"), ["record_id", "a"]).hint("merge").join(tb.hint("merge"), ["record_id", "b"]).where(both / (F.size("ta") + F.size("tb") - both) >= threshold)
-    near = hits.groupBy("record_id").agg(F.sum(F.col("ca") * F.col("cb")).alias("near"))
+    return meet.hint("merge").join(ta.hint("merge"), ["record_id", "a"]).hint("merge").join(tb.hint("merge"), ["record_id", "b"]).where(both / (F.size("ta") + F.size("tb") - both) >= threshold).select("record_id", "ca", "cb")
+
+
+def non_redundancy(memory: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """V7: per record, 1 minus the share of pairs of active nodes with token Jaccard at the threshold or above.
+
+    Equal token sets are counted by group size. Different sets of a record of few sets meet by signatures, where sets
+    that meet by chance are few as well; those of larger records meet in blocks."""
+    active = memory.where("status = 'active'").select("record_id", F.array_sort(tokens_reward("content")).alias("tokens"))
+    # numbers are given once, as the table is written
+    sets = durable(active.groupBy("record_id", "tokens").agg(F.count(F.lit(1)).alias("copies")).withColumn("set_id", F.monotonically_increasing_id()), clean=True)
+    totals = sets.groupBy("record_id").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * (F.col("copies") - 1) / 2).alias("same"))
+    full = sets.where((F.size("tokens") > 0) & F.col("record_id").isNotNull())
+    # a row for WHOLE_SETS sets at most
+    large = durable(full.groupBy("record_id").count().where(F.col("count") > WHOLE_SETS).select("record_id"), clean=True)
+    if large.isEmpty():
+        near = near_by_signatures(full, threshold).select("record_id", (F.col("ca") * F.col("cb")).alias("near"))
+    else:
+        near = near_by_signatures(full.join(F.broadcast(large), "record_id", "left_anti"), threshold).select("record_id", (F.col("ca") * F.col("cb")).alias("near"))
+        near = near.unionByName(near_in_blocks(full.join(F.broadcast(large), "record_id", "left_semi"), threshold))
+    near = near.groupBy("record_id").agg(F.sum("near").alias("near"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     out = totals.hint("merge").join(near.hint("merge"), "record_id", "left")
     return out.select("record_id", F.when(F.col("n") < 2, 1.0).otherwise(1 - (F.col("same") + F.coalesce("near", F.lit(0))) / pairs).alias("non_redundancy"))

@@ -19,8 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back, so that its true size is known."""
-    path = f"{shared_folder(df.sparkSession)}/durable-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting to remove shuffle files at the end of a query.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(df: DataFrame, clean: bool = False) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back, so that its true size is known; with ``clean``,
+    what was shuffled for it is removed once it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true" if clean else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
