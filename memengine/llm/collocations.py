@@ -10,7 +10,7 @@ A word that occurs less often than a candidate has to can be in no candidate, so
 the graph after edges under the minimum went is compacted: edges that follow one another without a branch and with
 one weight become a path (``unary_paths``), which shows repeated passages whole.
 
-Words travel as numbers. Blocks of a few MB of text hold their words as a list of their own, so the table of frequent
+Words travel as numbers. Blocks of a MB of text hold their words as a list of their own, so the table of frequent
 words is joined to (block, word) rows, which grow with the text and never with a word's count, and is never broadcast.
 
 Defined results: a null text is empty; a null language is ``und``, together with rows of that language; ids and other
@@ -31,8 +31,8 @@ from .common import dropped, mapped, saved, table
 
 #: Words of the longest grams.
 ORDER = 4
-#: Bytes of text that a block holds.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that a block holds. A block is a row: smaller ones keep rows, pages and batches small in every step.
+BLOCK_BYTES = 1 << 20
 #: Number of no word: the piece ends here.
 END = 0
 
@@ -123,18 +123,15 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
 
 def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
-    """``df`` with dense numbers from 1. Only the number of rows of each partition passes the driver."""
+    """``df`` with dense numbers from 1. A task sees the number of rows of each partition, the driver their sum; all of
+    it stays in the JVM, as Python workers started for a small table would stay in the executors' memory."""
     first = saved(df.select("*", F.monotonically_increasing_id().alias("_at")), label)
     part = F.shiftright("_at", 33)
-    sizes = {r[0]: r[1] for r in first.groupBy(part.alias("p")).count().collect()}
-    starts, total = [], 0
-    for p in sorted(sizes):
-        starts.append((p, total + 1))
-        total += sizes[p]
-    if total >= 1 << 31:
+    sizes = first.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    base = saved(sizes.select("p", "n", (F.sum("n").over(Window.orderBy("p")) - F.col("n") + 1).alias("base")), f"{label}-starts")
+    if (base.agg(F.sum("n")).first()[0] or 0) >= 1 << 31:
         raise ValueError("more than 2**31 numbers, which edges can't hold")
-    base = df.sparkSession.createDataFrame(starts or [(0, 1)], "p bigint, base bigint")
-    return first.join(F.broadcast(base), part == F.col("p")).select(*df.columns, (F.col("base") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
+    return first.join(F.broadcast(base.drop("n")), part == F.col("p")).select(*df.columns, (F.col("base") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
 def frequent_words(texts: DataFrame, least: int) -> DataFrame:
