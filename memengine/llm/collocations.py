@@ -33,6 +33,8 @@ from .common import dropped, mapped, saved, table
 ORDER = 4
 #: Bytes of text that a block holds. A block is a row: smaller ones keep rows, pages and batches small in every step.
 BLOCK_BYTES = 1 << 20
+#: Blocks of a file.
+FILE_BLOCKS = 4
 #: Number of no word: the piece ends here.
 END = 0
 
@@ -148,7 +150,7 @@ def edges(texts: DataFrame, words: DataFrame) -> DataFrame:
     found = asked.hint("merge").join(words.select("lang", "word", "word_id").hint("merge"), ["lang", "word"])
     found = found.groupBy("block").agg(F.collect_list(F.struct("at", F.col("word_id").cast("int").alias("id"))).alias("found"))
     # written before edges are counted, so that neither the blocks nor what was shuffled for this lies on disk by then
-    ready = saved(texts.select("block", "codes").hint("merge").join(found.hint("merge"), "block").select("codes", "found"), "collocation-texts")
+    ready = saved(texts.select("block", "codes").hint("merge").join(found.hint("merge"), "block").select("codes", "found"), "collocation-texts", FILE_BLOCKS)
     dropped(texts)
 
     def run(batches):
@@ -257,7 +259,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
 
     A phrase inside a longer one that has at least ``share`` hundredths of its count is left out. ``path_words`` is the
     number of words of the longest compacted path that holds the phrase; null where none does."""
-    texts = saved(blocks(docs, text, lang), "collocation-blocks")
+    texts = saved(blocks(docs, text, lang), "collocation-blocks", FILE_BLOCKS)
     totals = saved(texts.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n")), "collocation-totals")
     words = frequent_words(texts, least)
     graph = edges(texts, words)

@@ -36,15 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, rows: int = 0) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: cuts the lineage, survives lost
-    executors, and gives the optimizer true sizes. What was shuffled for it is removed once it is written."""
+    executors, and gives the optimizer true sizes. What was shuffled for it is removed once it is written.
+
+    ``rows`` bounds the rows of a file: a writer and a reader hold up to thousands of rows of a file at once, so tables
+    of large rows need it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

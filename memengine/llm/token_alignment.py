@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import copy
 import functools
+import gc
 import hashlib
 from dataclasses import dataclass, field
 from itertools import chain
@@ -42,7 +43,9 @@ from .common import dropped, mapped, saved, table
 #: Bytes of a text from which on it is cut into ranges, and of a range.
 RANGE_BYTES = 1 << 16
 #: Characters of texts that one block holds.
-BLOCK_CHARS = 3 << 19
+BLOCK_CHARS = 1 << 20
+#: Blocks of a file.
+FILE_BLOCKS = 4
 #: Fragments of one text that a task composes in a round.
 FAN_IN = 32
 
@@ -208,6 +211,21 @@ def tokenizers(left: str, right: str) -> Tokenizers:
     return Tokenizers(left, right)
 
 
+def _forgotten(run):
+    """``run`` without the tokenizers after its task: idle workers would hold them beside all later stages."""
+
+    @functools.wraps(run)
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tokenizers.cache_clear()
+            bpe.vocabulary.cache_clear()
+            gc.collect()
+
+    return held
+
+
 def ranges(text: str, size: int):
     """Byte ranges of about ``size`` bytes of a space and the text: (left start, left text, right start, right text)."""
     text = " " + text
@@ -339,21 +357,23 @@ def text_blocks(docs: DataFrame, left: str, right: str) -> DataFrame:
         both = tokenizers(left, right)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
             start = 0
-            while start < len(texts):
+            while start < len(sizes):
                 stop, held = start, 0
-                while stop < len(texts) and (stop == start or held + len(texts[stop]) <= BLOCK_CHARS):
-                    held += len(texts[stop])
+                while stop < len(sizes) and (stop == start or held + sizes[stop] <= BLOCK_CHARS):
+                    held += sizes[stop]
                     stop += 1
-                s = Stretches(both, texts[start:stop])
-                sizes = s.n_groups.tolist()
-                rows = [{"key": None, "size": n, "n_a": a, "n_b": b, "n_groups": n, "groups_sha256": d} for a, b, n, d in zip(s.n_a.tolist(), s.n_b.tolist(), sizes, s.digests(), strict=True)]
-                yield _block_row(schema, number, *s.block(), rows, batch.column(0).slice(start, stop - start))
+                s = Stretches(both, [t or "" for t in batch.column(1).slice(start, stop - start).to_pylist()])
+                rows = [{"key": None, "size": n, "n_a": a, "n_b": b, "n_groups": n, "groups_sha256": d} for a, b, n, d in zip(s.n_a.tolist(), s.n_b.tolist(), s.n_groups.tolist(), s.digests(), strict=True)]
+                row = _block_row(schema, number, *s.block(), rows, batch.column(0).slice(start, stop - start))
+                del s, rows  # before the next block is made
+                yield row
+                del row
                 number += 1
                 start = stop
 
-    return mapped(docs.select("id", "text"), run, schema)
+    return mapped(docs.select("id", "text"), _forgotten(run), schema)
 
 
 STREAM = "struct<a:array<bigint>,a_end:array<bigint>,b:array<bigint>,b_end:array<bigint>>"
@@ -405,7 +425,7 @@ def range_fragments(parts: DataFrame, left: str, right: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     dealt = parts.repartition("key", "part")  # ranges of one text go to many tasks
-    return saved(mapped(dealt, run, schema), "alignment-fragments")
+    return saved(mapped(dealt, _forgotten(run), schema), "alignment-fragments")
 
 
 def reduced(fragments: DataFrame) -> DataFrame:
@@ -478,9 +498,9 @@ def group_blocks(groups: DataFrame, ident) -> DataFrame:
     def run(batches):
         number = (TaskContext.get().partitionId() << 32) | (1 << 31)  # apart from the blocks of whole texts
         for batch in batches:
-            for r in batch.to_pylist():
-                pairs, codes, counts = np.unique(np.array(r["links"], np.int64), return_inverse=True, return_counts=True)
-                row = {"key": r["key"], "size": len(codes), "n_a": 0, "n_b": 0, "n_groups": r["n"], "groups_sha256": None}
+            for key, n, links in zip(*(batch.column(k) for k in range(3)), strict=True):
+                pairs, codes, counts = np.unique(links.values.to_numpy(), return_inverse=True, return_counts=True)
+                row = {"key": key.as_py(), "size": len(codes), "n_a": 0, "n_b": 0, "n_groups": n.as_py(), "groups_sha256": None}
                 yield _block_row(schema, number, pairs, counts, codes, [row], pa.nulls(1))
                 number += 1
 
@@ -533,7 +553,7 @@ def aligned(docs: DataFrame, left: str, right: str, doc_id: str = "doc_id", text
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of ``docs``."""
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     is_long = F.coalesce(F.octet_length("text") > range_bytes, F.lit(False))
-    blocks = [saved(text_blocks(docs.where(~is_long), left, right), "alignment-blocks")]
+    blocks = [saved(text_blocks(docs.where(~is_long), left, right), "alignment-blocks", FILE_BLOCKS)]
     long_docs = docs.where(is_long)
     texts = None
     if not long_docs.isEmpty():
