@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, mapped, saved, table
+from .common import dropped, mapped, numbered, saved, table
 
 #: Words of the longest grams.
 ORDER = 4
@@ -124,18 +124,6 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return mapped(docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")), run, BLOCK_SCHEMA)
 
 
-def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
-    """``df`` with dense numbers from 1. A task sees the number of rows of each partition, the driver their sum; all of
-    it stays in the JVM, as Python workers started for a small table would stay in the executors' memory."""
-    first = saved(df.select("*", F.monotonically_increasing_id().alias("_at")), label)
-    part = F.shiftright("_at", 33)
-    sizes = first.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    base = saved(sizes.select("p", "n", (F.sum("n").over(Window.orderBy("p")) - F.col("n") + 1).alias("base")), f"{label}-starts")
-    if (base.agg(F.sum("n")).first()[0] or 0) >= 1 << 31:
-        raise ValueError("more than 2**31 numbers, which edges can't hold")
-    return first.join(F.broadcast(base.drop("n")), part == F.col("p")).select(*df.columns, (F.col("base") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
-
-
 def frequent_words(texts: DataFrame, least: int) -> DataFrame:
     """(word_id, lang, word, n): the words that occur ``least`` times or more in their language."""
     words = texts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))

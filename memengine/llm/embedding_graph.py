@@ -17,6 +17,9 @@
 
 Vectors of one direction (to 12 digits) are one node with a count.
 
+A vector is written once, as it is given; shards and places hold numbers of nodes, and vectors are joined to them where
+a task needs them. Of many nodes, shards are worked on in waves, so that what is shuffled at once is a part of all.
+
 Defined results:
 * null, zero, empty or non-finite vectors, and null components: linked with nothing, own component, kept;
 * vectors of different lengths are never linked; a null id: linked with nothing, null component, kept;
@@ -27,6 +30,8 @@ Defined results:
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, saved, table
+from .common import dropped, numbered, saved, table
 from .components import components
 
 SAMPLE_PER_CENTROID = 8
@@ -49,6 +54,9 @@ DEGREE = 24
 ALPHA = 1.2
 BEAM = 8
 AUDIT = 256
+#: Nodes of which the shards make a wave; most waves.
+WAVE_NODES = 250_000
+MOST_WAVES = 8
 WANTED_RECALL = 0.97
 LEAST_RECALL = 0.9
 
@@ -59,35 +67,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def matrix(units) -> np.ndarray:
-    """Rows of vectors of one length that are kept as bytes of doubles."""
-    units = list(units)
-    return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
+def matrix(vectors) -> np.ndarray:
+    """Unit rows of vectors of one length that are kept as bytes: of doubles, or of floats and one byte more."""
+    vectors = list(vectors)
+    flat = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1)
+    x = np.ascontiguousarray(flat[:, :-1]).view(np.float32) if flat.shape[1] % 4 else flat.view(np.float64)
+    return _unit(x.astype(np.float64))
+
+
+def length(vector: bytes) -> int:
+    return len(vector) // 4 if len(vector) % 4 else len(vector) // 8
 
 
-def unit_vectors(df: DataFrame, vec_id: str, vec: str) -> DataFrame:
-    """(vec_id, key, unit): the vector scaled to length one as bytes of doubles, and a hash of its direction; both
-    null where the vector can't be used."""
+def keyed_vectors(df: DataFrame, vec_id: str, vec: str) -> DataFrame:
+    """(vec_id, key, vec): a hash of the vector's direction, and the vector as bytes that ``matrix`` reads; both null
+    where the vector can't be used."""
 
     def run(batches):
         for batch in batches:
             column = batch.column(1)
             starts = column.offsets.to_numpy().astype(np.int64)
             sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(starts))
-            values = column.values.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
-            keys, units = np.full(len(sizes), None, object), np.full(len(sizes), None, object)
+            kind, end = (np.float32, b"\0") if pa.types.is_float32(column.values.type) else (np.float64, b"")
+            values = column.values.cast(pa.from_numpy_dtype(kind)).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            keys, vectors = np.full(len(sizes), None, object), np.full(len(sizes), None, object)
             for n in np.unique(sizes[sizes > 0]):
                 at = np.nonzero(sizes == n)[0]
                 x = values[starts[at][:, None] + np.arange(n)]
                 good = np.isfinite(x).all(1)
                 good[good] = (x[good] != 0).any(1)
-                at, x = at[good], _unit(x[good])
+                at, x = at[good], x[good]
                 # + 0.0 makes minus zero plain zero
-                keys[at] = [xxhash.xxh3_128_digest(r.tobytes()) for r in np.round(x, 12) + 0.0]
-                units[at] = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "key", "unit"])
+                keys[at] = [xxhash.xxh3_128_digest(r.tobytes()) for r in np.round(_unit(x.astype(np.float64)), 12) + 0.0]
+                vectors[at] = [r.tobytes() + end for r in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "key", "vec"])
 
-    return df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vec)).mapInArrow(run, "vec_id bigint, key binary, unit binary")
+    return df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vec)).mapInArrow(run, "vec_id bigint, key binary, vec binary")
 
 
 def lloyd(x: np.ndarray, k: int) -> np.ndarray:
@@ -106,10 +121,10 @@ def centroids(nodes: DataFrame, n: int, overlap: int) -> dict[int, np.ndarray]:
     k_all = int(min(MAX_CENTROIDS, max(1, -(-n * overlap // SHARD_TARGET))))
     want = SAMPLE_PER_CENTROID * k_all
     share = min(1.0, 1.5 * want / max(1, n))
-    rows = nodes.where(F.pmod(F.xxhash64("first_id", F.lit("centroids")), F.lit(1 << 30)) < int(share * (1 << 30))).select("first_id", "node", "unit").limit(2 * want + 64).toArrow()
+    rows = nodes.where(F.pmod(F.xxhash64("first_id", F.lit("centroids")), F.lit(1 << 30)) < int(share * (1 << 30))).select("first_id", "node", "vec").limit(2 * want + 64).toArrow()
     by_length: dict[int, list] = {}
     for _, _, u in sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True)):
-        by_length.setdefault(len(u) // 8, []).append(u)
+        by_length.setdefault(length(u), []).append(u)
     return {n_: lloyd(matrix(us), max(1, min(len(us), round(k_all * len(us) / rows.num_rows)))) for n_, us in by_length.items()}
 
 
@@ -118,7 +133,7 @@ def nearest(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
     return np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
 
 
-SHARDS = "shard string, node bigint, first_id bigint, unit binary, own boolean"
+SHARDS = "shard string, node int, own boolean"
 
 
 def sharded(nodes: DataFrame, centers: dict[int, np.ndarray], overlap: int) -> DataFrame:
@@ -126,24 +141,24 @@ def sharded(nodes: DataFrame, centers: dict[int, np.ndarray], overlap: int) -> D
 
     def run(batches):
         for batch in batches:
-            units = batch.column(2)
-            lengths = np.array([len(u.as_buffer()) // 8 for u in units], np.int64)
+            vectors = batch.column(1)
+            lengths = np.array([length(u.as_buffer()) for u in vectors], np.int64)
             shard, pick, own = [], [], []
             for n in np.unique(lengths):
                 at = np.nonzero(lengths == n)[0]
                 if n in centers:
-                    near = nearest(matrix(units.take(pa.array(at)).to_pylist()), centers[n], overlap)
+                    near = nearest(matrix(vectors.take(pa.array(at)).to_pylist()), centers[n], overlap)
                 else:  # a length the sample doesn't have
                     near = np.zeros((len(at), 1), np.int64)
                 shard += [f"{n}:{s}" for s in near.ravel()]
                 pick.append(np.repeat(at, near.shape[1]))
                 own.append(np.tile(np.arange(near.shape[1]) == 0, len(at)))
             take = pa.array(np.concatenate(pick) if pick else np.zeros(0, np.int64))
-            columns = [pa.array(shard, pa.string()), *(batch.column(k).take(take) for k in range(3)), pa.array(np.concatenate(own) if own else np.zeros(0, bool))]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "node", "first_id", "unit", "own"])
+            columns = [pa.array(shard, pa.string()), batch.column(0).take(take), pa.array(np.concatenate(own) if own else np.zeros(0, bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "node", "own"])
 
-    first = saved(nodes.select("node", "first_id", "unit").mapInArrow(run, SHARDS), "graph-shards")
-    return split_again(first, overlap)
+    first = saved(nodes.select("node", "vec").mapInArrow(run, SHARDS), "graph-shards")
+    return split_again(first, nodes, overlap)
 
 
 def _parting(x: np.ndarray, k: int, overlap: int) -> np.ndarray:
@@ -157,21 +172,21 @@ def _parting(x: np.ndarray, k: int, overlap: int) -> np.ndarray:
     return c
 
 
-def split_again(shards: DataFrame, overlap: int) -> DataFrame:
+def split_again(shards: DataFrame, nodes: DataFrame, overlap: int) -> DataFrame:
     """Splits shards over ``SHARD_ROWS`` by centroids of their own, until none is left that gets smaller by it."""
     lasting = max(SHARD_ROWS, 500 * overlap)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["first_id", "node"])
-        c = _parting(matrix(frame["unit"]), int(frame["k"].iloc[0]), overlap)
+        c = _parting(matrix(frame["vec"]), int(frame["k"].iloc[0]), overlap)
         return pd.DataFrame({"shard": frame["shard"].iloc[:1], "n": frame["n"].iloc[:1], "centers": [c.tolist()]})
 
     def deal(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({c: [] for c in ("shard", "node", "first_id", "unit", "own", "parent_n")})
-        near = nearest(matrix(rows["unit"]), np.stack([np.asarray(r, float) for r in model["centers"].iloc[0]]), overlap)
+            return pd.DataFrame({c: [] for c in ("shard", "node", "own", "parent_n")})
+        near = nearest(matrix(rows["vec"]), np.stack([np.asarray(r, float) for r in model["centers"].iloc[0]]), overlap)
         at = np.repeat(np.arange(len(rows)), near.shape[1])
-        out = rows.iloc[at][["shard", "node", "first_id", "unit", "own", "n"]].rename(columns={"n": "parent_n"})
+        out = rows.iloc[at][["shard", "node", "own", "n"]].rename(columns={"n": "parent_n"})
         return out.assign(shard=[f"{s}/{i}" for s, i in zip(out["shard"], near.ravel(), strict=True)], own=out["own"].to_numpy() & np.tile(np.arange(near.shape[1]) == 0, len(rows)))
 
     done, now, level = None, shards.withColumn("parent_n", F.lit(None).cast("bigint")), 0
@@ -187,14 +202,25 @@ def split_again(shards: DataFrame, overlap: int) -> DataFrame:
         chunks = F.floor((F.col("n") - 1) / CHUNK_ROWS) + 1
         wanted = F.greatest(F.lit(overlap + 1), F.ceil(F.col("n") * overlap / SHARD_TARGET))
         rows = now.drop("parent_n").join(big.hint("merge"), "shard").withColumn("k", F.least(F.lit(FAN_OUT), wanted).cast("int"))
+        rows = with_vectors(rows, nodes)
         share = F.least(F.lit(1.0), 3.0 * SAMPLE_PER_CENTROID * F.col("k") / F.col("n"))
         sample = rows.where(F.pmod(F.xxhash64("first_id", F.lit(level)), F.lit(1 << 30)) < share * (1 << 30))
         centers = sample.groupBy("shard").applyInPandas(fit, "shard string, n bigint, centers array<array<double>>")
         centers = saved(centers, "graph-centers").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks))
+        rows = rows.drop("first_id").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks))
         now = saved(rows.groupBy("shard", "chunk").cogroup(centers.groupBy("shard", "chunk")).applyInPandas(deal, f"{SHARDS}, parent_n bigint"), "graph-shards")
 
 
+def with_vectors(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    return rows.hint("merge").join(nodes.select("node", "first_id", "vec").hint("merge"), "node")
+
+
+def in_waves(shards: DataFrame, waves: int, work, label: str) -> DataFrame:
+    """``work`` of the rows of all shards, written wave by wave: what is shuffled for one is gone before the next."""
+    part = lambda i: shards.where(F.pmod(F.xxhash64("shard", F.lit("wave")), F.lit(waves)) == i)
+    return functools.reduce(DataFrame.unionByName, [saved(work(part(i)), label) for i in range(waves)])
+
+
 def build_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both ends of all edges of one shard's unit vectors, in order: robustly pruned candidates, and the reverse edges."""
     n = len(x)
@@ -225,7 +251,7 @@ def build_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both // n, both % n
 
 
-def shard_graphs(shards: DataFrame, cosine: float) -> DataFrame:
+def shard_graphs(shards: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
     """(node, near, close): each node's neighbours in each of its shards, and which of them lie within twice the angle
     of the range: no other edge can extend a link beyond a shard."""
     bridge = float(np.cos(min(np.pi, 2 * np.arccos(cosine))))
@@ -233,14 +259,14 @@ def shard_graphs(shards: DataFrame, cosine: float) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         # rows come in any order; sorted, a repeated task does the same
         frame = frame.sort_values(["first_id", "node"])
-        ids, x = frame["node"].to_numpy(), matrix(frame["unit"])
+        ids, x = frame["node"].to_numpy(), matrix(frame["vec"])
         a, b = build_graph(x)
         parts = range(0, len(a), 1 << 15)
         sim = np.concatenate([np.einsum("nd,nd->n", x[a[k : k + (1 << 15)]], x[b[k : k + (1 << 15)]]) for k in parts] or [np.zeros(0)])
         split = lambda keep: np.split(ids[b[keep]], np.searchsorted(a[keep], np.arange(1, len(ids))))
         return pd.DataFrame({"node": ids, "near": split(slice(None)), "close": split(sim >= bridge - 1e-9)})
 
-    return shards.groupBy("shard").applyInPandas(run, "node bigint, near array<bigint>, close array<bigint>")
+    return with_vectors(shards.select("shard", "node"), nodes).groupBy("shard").applyInPandas(run, "node int, near array<int>, close array<int>")
 
 
 def reached(x: np.ndarray, queries: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray, cosine: float):
@@ -298,7 +324,7 @@ def search(places: DataFrame, cosine: float) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["first_id", "node"])
         nodes, first, copies = (frame[c].to_numpy() for c in ("node", "first_id", "copies"))
-        x, m = matrix(frame["unit"]), len(frame)
+        x, m = matrix(frame["vec"]), len(frame)
         flat = np.concatenate(frame["near"].to_list())
         owner = np.repeat(np.arange(m), [len(a) for a in frame["near"]])
         by = np.argsort(nodes)
@@ -328,16 +354,18 @@ def search(places: DataFrame, cosine: float) -> DataFrame:
 
 def link_counts(nodes: DataFrame, n: int, cosine: float, overlap: int) -> DataFrame:
     """What ``search`` finds over the united graph, written."""
+    waves = min(MOST_WAVES, -(-n // WAVE_NODES)) or 1
     shards = sharded(nodes, centroids(nodes, n, overlap), overlap)
-    lists = saved(shard_graphs(shards, cosine), "graph-lists")
+    lists = in_waves(shards, waves, lambda part: shard_graphs(part, nodes, cosine), "graph-lists")
     united = lists.groupBy("node").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "close")])
-    united = saved(nodes.join(united.hint("merge"), "node"), "graph-united")
+    united = saved(united, "graph-united")
+    dropped(lists)
     home = shards.where("own").select("shard", "node")
     beyond = home.join(united.select("node", "close").hint("merge"), "node").select("shard", F.explode("close").alias("node"), F.lit(False).alias("own"))
-    places = shards.select("shard", "node", "own").unionByName(beyond).groupBy("shard", "node").agg(F.max("own").alias("own"))
-    places = places.join(united.select("node", "first_id", "copies", "unit", "near").hint("merge"), "node")
-    found = saved(search(places, cosine), "graph-found")
-    dropped(lists, united)
+    places = saved(shards.select("shard", "node", "own").unionByName(beyond).groupBy("shard", "node").agg(F.max("own").alias("own")), "graph-places")
+    full = lambda part: part.hint("merge").join(united.select("node", "near").hint("merge"), "node").join(nodes.select("node", "first_id", "copies", "vec").hint("merge"), "node")
+    found = in_waves(places, waves, lambda part: search(full(part), cosine), "graph-found")
+    dropped(shards, united, places)
     return found
 
 
@@ -350,8 +378,8 @@ def audited_recall(nodes: DataFrame, counts: DataFrame, cosine: float, queries:
 
 def _recall(nodes: DataFrame, of: DataFrame, counts: DataFrame, cosine: float, queries: int) -> float | None:
     """Share of the true links of ``queries`` nodes of ``of``, chosen by hash, that ``counts`` has; None if there are none."""
-    rows = of.select("node", "unit").orderBy(F.xxhash64("first_id", F.lit("audit")), "node").limit(queries).toArrow()
-    ids, units = rows.column(0).to_numpy(), rows.column(1).to_pylist()
+    rows = of.select("node", "first_id", "vec").orderBy(F.xxhash64("first_id", F.lit("audit")), "node").limit(queries).toArrow()
+    ids, units = rows.column(0).to_numpy(), rows.column(2).to_pylist()
     if not len(ids):
         return None
 
@@ -366,25 +394,28 @@ def _recall(nodes: DataFrame, of: DataFrame, counts: DataFrame, cosine: float, q
                     total[q] += near @ copies[at]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "true"])
 
-    truth = nodes.select("node", "unit", "copies").mapInArrow(run, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
+    truth = nodes.select("node", "vec", "copies").mapInArrow(run, "node int, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
     true, hit = truth.join(counts.hint("merge"), "node", "left").agg(F.sum("true"), F.sum("n")).first()
     return (hit or 0) / true if true else None
 
 
 def embedding_links(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) for every row."""
-    rows = saved(unit_vectors(df, vec_id, vec), "graph-units")
+    vectors = keyed_vectors(df, vec_id, vec)
+    rows = saved(vectors.select("vec_id", "key"), "graph-keys")
     good = rows.where("key is not null and vec_id is not null")
-    classes = good.groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("unit").alias("unit"))
+    classes = vectors.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("vec").alias("vec"))
     # numbers are given once, as the table is written
-    nodes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "graph-nodes")
+    nodes = numbered(classes, "node", "graph-nodes").withColumn("node", F.col("node").cast("int"))
     n = nodes.count()
     for overlap in OVERLAPS:
         found = link_counts(nodes, n, cosine, overlap)
-        counts = found.where("kind = 'count'").select(F.col("x").alias("node"), F.col("y").alias("n"))
+        counts = found.where("kind = 'count'").select(F.col("x").cast("int").alias("node"), F.col("y").alias("n"))
         recall = audited_recall(nodes, counts, cosine)
         if recall is None or recall >= WANTED_RECALL:
             break
+        if overlap != OVERLAPS[-1]:
+            dropped(found)
     if recall is not None and recall < LEAST_RECALL:
         raise RuntimeError(f"audited recall is {recall:.4f}, less than {LEAST_RECALL}")
     edges = found.where("kind = 'link'").select(F.col("x").alias("a"), F.col("y").alias("b"))
